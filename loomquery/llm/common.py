@@ -78,6 +78,16 @@ def save(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields])).parquet(path)
 
 
+def fence(df: DataFrame, *cols: str) -> DataFrame:
+    """The same rows, with ``cols`` computed once: no later filter is pushed below and evaluates them again.
+
+    (A generator of one element stops predicate push-down, which would copy costly expressions.)
+    """
+    others = [c for c in df.columns if c not in cols]
+    one = df.select(*others, F.explode(F.array(F.struct(*cols))).alias("_lq_fence"))
+    return one.select(*others, *[F.col("_lq_fence")[c].alias(c) for c in cols])
+
+
 def lookup(big: DataFrame, small: DataFrame, key: str, salt_by: Column, how: str = "left") -> DataFrame:
     """Join ``small`` (unique, non-null ``key``, already saved) to ``big`` on ``key``.
 

@@ -30,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomquery.plans.ship import ship
+
 LENGTH, END_ID = 2048, 1
 #: Tokens and documents that a block holds at most before it is packed.
 BLOCK_TOKENS, BLOCK_DOCS = 2_000_000, 4_096
@@ -164,4 +166,5 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         packer.flush()
         yield packer.taken()
 
+    ship(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)

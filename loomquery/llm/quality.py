@@ -147,5 +147,7 @@ def filter_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """``docs`` without the rejected rows; texts are not shuffled: counts are taken again where the verdict applies."""
     labels = labels.select(id_col, "quality")
     measured = with_metrics(docs.select(id_col, text_col, stratum_col), text_col, stratum_col).select(id_col, "_lq_stratum", "_lq_level", "_lq_base_failed")
+    measured = C.save(measured, "metrics")
     cut = thresholds(measured, labels, id_col, alpha, delta)
-    return _judged(with_metrics(docs, text_col, stratum_col), cut, id_col).filter("_lq_kept").select(*docs.columns)
+    again = with_metrics(docs, text_col, stratum_col).select(*docs.columns, "_lq_stratum", "_lq_level", "_lq_base_failed")
+    return _judged(C.fence(again, "_lq_stratum", "_lq_level", "_lq_base_failed"), cut, id_col).filter("_lq_kept").select(*docs.columns)
