@@ -63,22 +63,27 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return df.select("_lq_id", "_lq_t", place.alias("at"), "c.*")
 
 
-def _removals(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(_lq_id, _lq_t, _lq_x): for each document with some, its ranges of lines to remove, sorted."""
+def _removals(docs: DataFrame, keyed: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(_lq_id, _lq_t, _lq_x): for each document with some, its ranges of lines to remove, sorted.
+
+    ``keyed`` is joined with all its columns, and the result isn't written, so that the rebuild uses the
+    same exchange of texts again.
+    """
     all_chunks = C.save(chunks(docs, id_col, text_col), "chunks")
     again = all_chunks.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("at").alias("first")).filter("n > 1").select("h1", "h2", "first")
     seen = C.save(all_chunks.join(again, ["h1", "h2"]).withColumn("later", F.col("at") != F.col("first")).drop("at", "first"), "repeats")
     wanted = seen.groupBy("_lq_id", "_lq_t").agg(F.collect_set(F.struct("s", "e", "h1", "h2")).alias("w"))
-    texts = _keyed(docs.select(id_col, text_col), id_col, text_col).join(wanted, ["_lq_id", "_lq_t"])
-    texts = texts.select("w", _lines(text_col).alias("l")).select(F.explode(F.expr(r"transform(w, c -> named_struct('h1', c.h1, 'h2', c.h2, 'x', array_join(slice(l, c.s, c.e - c.s + 1), '\n')))")).alias("c"))
-    same = texts.groupBy("c.h1", "c.h2").agg((F.min("c.x") == F.max("c.x")).alias("same")).filter("same").select("h1", "h2")
+    texts = keyed.join(wanted, ["_lq_id", "_lq_t"]).select("w", F.xxhash64(*docs.columns).alias("row"), _lines(text_col).alias("l"))
+    texts = texts.select("row", F.explode(F.expr(r"transform(w, c -> named_struct('h1', c.h1, 'h2', c.h2, 'x', array_join(slice(l, c.s, c.e - c.s + 1), '\n')))")).alias("c"))
+    same = texts.groupBy("c.h1", "c.h2").agg((F.min("c.x") == F.max("c.x")).alias("same"), F.max("row").alias("row")).filter("same and row is not null").select("h1", "h2")
     gone = seen.filter("later").join(same, ["h1", "h2"], "left_semi")
-    return C.save(gone.groupBy("_lq_id", "_lq_t").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("_lq_x")), "ranges")
+    return gone.groupBy("_lq_id", "_lq_t").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("_lq_x"))
 
 
 def _deduped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``docs`` with text_col rewritten and _lq_lines, _lq_gone (lines before, lines removed)."""
-    found = _keyed(docs, id_col, text_col).join(_removals(docs, id_col, text_col), ["_lq_id", "_lq_t"], "left").withColumn("_lq_l", _lines(text_col))
+    keyed = _keyed(docs, id_col, text_col)
+    found = keyed.join(_removals(docs, keyed, id_col, text_col), ["_lq_id", "_lq_t"], "left").withColumn("_lq_l", _lines(text_col))
     rest = F.when(F.col("_lq_x").isNull(), F.col(text_col)).otherwise(F.array_join(F.expr(_REST), "\n"))
     gone = F.coalesce(F.aggregate("_lq_x", F.lit(0), lambda a, x: a + x["e"] - x["s"] + 1), F.lit(0))
     done = found.withColumn("_lq_lines", F.size("_lq_l")).withColumn("_lq_gone", gone).withColumn(text_col, rest)
