@@ -127,9 +127,10 @@ def token_estimate_plain(c: str | Column) -> Column:
 
 def human_size(n: str | Column) -> Column:
     n = _c(n).cast("double")
-    out = F.format_string("%.2f %s", n / 1024.0**5, F.lit("PB"))
+    shown = lambda i, unit: F.format_string("%.2f %s", F.bround(n / 1024.0**i, 2), F.lit(unit))
+    out = shown(5, "PB")
     for i, unit in reversed(list(enumerate(("B", "KB", "MB", "GB", "TB")))):
-        out = F.when(n < 1024.0 ** (i + 1), F.format_string("%.2f %s", n / 1024.0**i, F.lit(unit))).otherwise(out)
+        out = F.when(n < 1024.0 ** (i + 1), shown(i, unit)).otherwise(out)
     return out
 
 
