@@ -63,8 +63,10 @@ def features(text: str | None) -> np.ndarray | None:
 
 def codewords(k: int) -> np.ndarray:
     """k rows of +1 and -1."""
+    if k < 2:
+        return np.zeros((k, 0), dtype=np.float32)
     if k <= 7:
-        bits = [[1 if j >> i & 1 else -1 for i in range(k)] for j in range(1, 2 ** max(k - 1, 0))]
+        bits = [[1 if j >> i & 1 else -1 for i in range(k)] for j in range(1, 2 ** (k - 1))]
         return np.array(bits, dtype=np.float32).T.reshape(k, -1)
     rng, best, far = np.random.default_rng(7), None, -1.0
     for _ in range(200):

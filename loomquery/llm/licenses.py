@@ -3,8 +3,8 @@
 A text is cut into sentences, each is normalised (lower case, runs of other characters than a-z and 0-9
 become one space) and looked up among known licence sentences. The identifiers found, in order of the
 text, are matched against ordered licence rules: a rule holds if its identifiers follow one another in that
-sequence. Texts are cut in two ways, at every line and with wrapped lines joined, and a rule may hold in
-either. A licence that is named twice is told once; licences come in order of name.
+sequence. Texts are cut in two ways, at every line and at blank lines only (wrapped lines join), and a rule may
+hold in either. A licence that is named twice is told once; licences come in order of name.
 
 Everything happens inside the row: no shuffle, no join. Only texts with one of the anchor words are cut;
 every known sentence holds one of them (checked when the module loads), so none is missed.
@@ -68,7 +68,7 @@ def normal(sentence: str) -> str:
 
 # a sentence ends at punctuation before white space, so its own inner full stops ("v. 2.0", "software; you") split it
 def _parts(sentence: str) -> list[str]:
-    return [p for p in map(normal, re.split(r"[.!?;]+(?=\s|$)", sentence)) if p]
+    return [p for p in map(normal, re.split(r"[.!?;:]+(?=\s|$)", sentence)) if p]
 
 
 def _known(sentences: dict[str, str]) -> tuple[list[tuple[str, str]], dict[str, list[str]]]:
@@ -104,8 +104,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", senten
     df = docs.select(F.col(id_col).alias("doc_id"), C.text_of(text_col).alias("text"))
     some = F.lower(text).rlike("|".join(ANCHORS))
     none = F.array().cast("array<string>")
-    df = df.withColumn("lines", F.when(some, _text_sequence(text, r"[.!?;]+(?=\s|$)|\n", known)).otherwise(none))
-    df = df.withColumn("wrapped", F.when(some, _text_sequence(F.regexp_replace(text, r"\n", " "), r"[.!?;]+(?=\s|$)", known)).otherwise(none)).drop("text")
+    df = df.withColumn("lines", F.when(some, _text_sequence(text, r"[.!?;:]+(?=\s|$)|\n", known)).otherwise(none))
+    df = df.withColumn("wrapped", F.when(some, _text_sequence(text, r"[.!?;:]+(?=\s|$)|\n\s*\n", known)).otherwise(none)).drop("text")
     every = [F.when(_follow(F.col("lines"), want) | _follow(F.col("wrapped"), want), F.lit(name)) for name, rule in rules or RULES for want in [[i for r in rule for i in expanded[r]]]]
     found = F.array_sort(F.array_distinct(F.array_compact(F.array(*every))))
     quick = F.when(F.size("lines") + F.size("wrapped") > 0, found).otherwise(none)

@@ -1,0 +1,75 @@
+import re
+from collections import Counter
+from math import comb
+
+import pytest
+from pyspark.sql import functions as F
+
+from loomquery.llm import quality
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def base(text):
+    text = text or ""
+    w = WORD.findall(text)
+    windows = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    often = Counter(windows)
+    covered = {j for i, x in enumerate(windows) if often[x] > 1 for j in (i, i + 1, i + 2)}
+    seen, dup = set(), 0
+    for line in text.split("\n"):
+        if WORD.search(line):
+            dup += line in seen
+            seen.add(line)
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), dup, len(covered)
+
+
+def test_base_counts_match_brute_force(spark, trouble, labels, sf):
+    docs = trouble.select("doc_id", "text", "lang").unionByName(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").withColumn("doc_id", F.col("doc_id") + 1000))
+    got = quality.assess(docs, labels).collect()
+    want = Counter((r["doc_id"], *base(r["text"])) for r in docs.collect())
+    assert Counter((r["doc_id"], *(r[m] for m in quality.METRICS)) for r in got) == want
+    for r in got:
+        assert r["base_failed"] == (r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"])
+        assert not (r["kept"] and r["base_failed"])
+
+
+def test_tail_is_exact(spark):
+    cases = [(n, k, p) for n in (1, 7, 60, 900, 5000) for k in (0, 1, 3, 20, 40) for p in (0.005, 0.02, 0.2) if k <= n * p]
+    for p in (0.005, 0.02, 0.2):
+        some = [(n, k) for n, k, q in cases if q == p]
+        df = spark.createDataFrame(some, "n long, k long").select("n", "k", quality.lower_tail(F.col("n"), F.col("k"), p).alias("t"))
+        for r in df.collect():
+            want = sum(comb(r["n"], i) * p**i * (1 - p) ** (r["n"] - i) for i in range(r["k"] + 1))
+            assert r["t"] == pytest.approx(want, rel=1e-9)
+
+
+def test_thresholds_control_the_risk(spark):
+    """Two strata: one whose good rows never reach level 5, one too small to certify anything."""
+    rows = [(i, "=en", 4 if i % 3 == 0 else 0, False) for i in range(3000)] + [(10_000 + i, "=de", 0, False) for i in range(100)]
+    measured = spark.createDataFrame(rows, "doc_id long, _lq_stratum string, _lq_level int, _lq_base_failed boolean")
+    good = spark.createDataFrame([(r[0], 1) for r in rows], "doc_id long, quality int")
+    found = {r["stratum"]: r for r in quality.thresholds(measured, good).collect()}
+    assert set(found) == {"=en"} and found["=en"]["min_level"] == 5 and found["=en"]["false_rejects"] == 0
+    assert found["=en"]["p_value"] <= quality.DELTA / 2
+
+
+def test_filter_agrees_with_assess(spark, trouble, labels):
+    kept = quality.filter_quality(trouble, labels)
+    assert kept.columns == trouble.columns
+    a = Counter(r["doc_id"] for r in quality.assess(trouble, labels).collect() if r["kept"])
+    assert Counter(r["doc_id"] for r in kept.collect()) == a
+
+
+def test_junk_goes_and_clean_stays(spark):
+    clean = " ".join(f"word{i}of{i * 7 % 31} text." for i in range(60))
+    junk = " ".join(f"w{i}%%%" for i in range(120))
+    docs = spark.createDataFrame([(i, junk + str(i) if i % 10 == 0 else clean + str(i), "en") for i in range(2000)], "doc_id long, text string, lang string")
+    marks = spark.createDataFrame([(i, 0 if i % 10 == 0 else 1) for i in range(2000)], "doc_id long, quality int")
+    got = quality.assess(docs, marks).groupBy((F.col("doc_id") % 10 == 0).alias("junk"), "kept").count().collect()
+    assert {(r["junk"], r["kept"]): r["count"] for r in got} == {(True, False): 200, (False, True): 1800}
+
+
+def test_empty(spark, empty, labels):
+    assert quality.assess(empty, labels).count() == 0
+    assert quality.filter_quality(empty, labels).count() == 0
