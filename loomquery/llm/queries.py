@@ -73,3 +73,58 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint(table(spark, sf_dir, "documents"))
+
+
+# SQL -------------------------------------------------------------------------------------------------------
+
+_WORDS = r"list_filter(string_split_regex(coalesce({c}, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '')"
+
+
+def _level_sql(value: str, op: str, cuts: list[float]) -> str:
+    return "(" + " + ".join(f"({value} {op} {c}::double)::int" for c in cuts) + ")"
+
+
+def _op1_sql() -> str:
+    chars, n = "greatest(word_chars, 1)", "greatest(n_words, 1)"
+    value = {"symbols": f"n_symbols / {chars}", "repeats": f"n_repeat_words / {n}", "lines": "n_dup_lines / greatest(n_lines, 1)", "long_words": f"word_chars / {n}", "short_words": f"word_chars / {n}", "capitals": f"caps / {chars}"}
+    level = f"greatest({', '.join(_level_sql(value[k], op, cuts) for k, (op, cuts) in quality.GRID.items())})"
+    a = f"{quality.ALPHA}::double"
+    tail = f"list_sum(list_transform(range(0, false_rejects + 1), lambda i: exp(lgamma(n_good + 1) - lgamma(i + 1) - lgamma(n_good - i + 1) + i * ln({a}) + (n_good - i) * ln(1 - {a}))))"
+    return rf"""
+    with d as (select doc_id, coalesce('=' || lang, 'null') stratum, coalesce(text, '') text, {_WORDS.format(c="text")} w from documents),
+    g as (select doc_id, i, count(*) over (partition by doc_id, x) n from (select doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] x from d, lateral (select unnest(range(1, len(w) - 1)) i))),
+    r as (select doc_id, count(distinct i + j) n_repeat_words from g, (values (0), (1), (2)) v(j) where n > 1 group by doc_id),
+    l as (select doc_id, stratum, len(w) n_words, length(regexp_replace(text, '[ \t\n\x0B\f\r]+', '', 'g')) word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]+', '', 'g')) n_symbols,
+      length(text) - length(regexp_replace(text, '[A-Z]+', '', 'g')) caps, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \t\n\x0B\f\r]')) lines from d),
+    m as (select l.*, len(lines) n_lines, len(lines) - len(list_distinct(lines)) n_dup_lines, coalesce(n_repeat_words, 0) n_repeat_words from l left join r using (doc_id)),
+    x as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words base_failed, {level} level from m),
+    good as (select doc_id from labels group by doc_id having min(quality) = 1 and max(quality) = 1),
+    h as (select stratum, level from x semi join good using (doc_id) where not base_failed),
+    c as (select stratum, v.level, count(*) n_good, count(*) filter (h.level >= v.level) false_rejects from h, (select unnest(range(1, {quality.LEVELS + 1})) level) v group by all),
+    p as (select *, case when false_rejects > n_good * {a} then 1.0 else least(1.0, {tail}) end p_value from c),
+    f as (select *, min((p_value <= {quality.DELTA}::double / greatest(1, (select count(distinct stratum) from h)))::int) over (partition by stratum order by level desc) ok from p),
+    t as (select stratum, min(level)::int min_level from f where ok = 1 group by stratum)
+    select doc_id, n_words::bigint n_words, word_chars::bigint word_chars, n_symbols::bigint n_symbols, n_dup_lines::bigint n_dup_lines, n_repeat_words::bigint n_repeat_words, base_failed, level::int level, min_level,
+      not base_failed and coalesce(level < min_level, true) kept from x left join t using (stratum)"""
+
+
+def _op7_sql() -> str:
+    weights = ", ".join(map(str, mixing.WEIGHTS))
+    return rf"""
+    with d as (select doc_id, source, coalesce('=' || source, 'null') k, len({_WORDS.format(c="text")})::bigint size, ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 15))::bigint h from documents),
+    s as (select k, any_value(source) source, sum(size)::bigint source_size from d group by k),
+    w as (select k, source_size, {mixing.CAP} * source_size cap, ([{weights}])[((row_number() over (order by source nulls last) - 1) % {len(mixing.WEIGHTS)} + 1)::int] w from s),
+    c as (select *, sum(cap) over u cc, sum(w) over u cw from w window u as (order by cap / w, k rows unbounded preceding)),
+    v as (select max(({mixing.SHARE}::double * (select sum(source_size) from s) - (cc - cap)) / ((select sum(w) from w) - (cw - w))) level from c),
+    t as (select k, source_size, least(cap::double, level * w) target from w, v),
+    b as (select *, case when source_size > 0 then floor(target / source_size)::bigint else 0 end copies from t),
+    a as (select *, floor(target)::bigint - copies * source_size rest from b),
+    r as (select k, h, z, sum(z) over (partition by k order by h) cum from (select k, h, sum(size)::bigint z from d group by all)),
+    e as (select k, min(h) cut from r join a using (k) where cum > rest group by k),
+    p as (select a.*, cut, (rest - (cum - z))::double left_over, z from a left join e using (k) left join r on r.k = a.k and r.h = e.cut)
+    select doc_id, size, source_size, target, (copies * size + coalesce(case when h < cut then size when h = cut then floor(left_over * (size / greatest(z, 1))) else 0 end, 0))::bigint taken
+    from d join p using (k)"""
+
+
+ORACLES["op1_quality_rules"] = _op1_sql()
+ORACLES["op7_mixing"] = _op7_sql()
