@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from math import sqrt
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomquery.functions import vector as V
+from loomquery.plans.ship import ship
 from loomquery.plans.tables import save
 
-#: Coordinates whose grid blocks the similarity join.
-GRID = 3
+#: Vectors of a block of the similarity join.
+BLOCK = 2048
 
 
 def exact(docs: DataFrame, text_col: str = "text", *order: Column) -> DataFrame:
@@ -22,24 +22,38 @@ def exact(docs: DataFrame, text_col: str = "text", *order: Column) -> DataFrame:
     return marked.withColumn("n", F.row_number().over(first)).filter("n = 1").drop("n", "h")
 
 
-def similar_pairs(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", grid: int = GRID) -> DataFrame:
-    """(id_a, id_b, similarity): pairs with cosine similarity of at least ``threshold``, id_a < id_b.
+def similar_pairs(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", block: int = BLOCK) -> DataFrame:
+    """(id_a, id_b, similarity): all pairs with cosine similarity of at least ``threshold``, id_a < id_b.
 
-    Unit vectors that similar are at most sqrt(2 - 2 threshold) apart, so in each coordinate too: they lie in
-    the same or neighbouring cells of a grid of that width. Cells are joined on equality; all pairs are found.
+    Vectors are dealt into blocks of about ``block`` rows; each pair of blocks is one matrix product on an
+    executor that hands back the similar pairs only. A task holds two blocks, whatever the number of vectors.
     """
-    width = max(sqrt(2 - 2 * threshold), 1e-3) * 1.000001
-    unit = vectors.select(F.col(id_col).alias("id"), V.normalize("embedding").alias("v"), F.col("embedding").alias("e")).filter(V.norm("e") > 0)
-    cell = F.array(*[F.floor(F.col("v")[i] / width) for i in range(grid)])
-    a = unit.select(F.col("id").alias("id_a"), F.col("e").alias("ea"), cell.alias("cell"))
-    shifts = F.array(*[F.array(*[F.lit(x) for x in s]) for s in _shifts(grid)])
-    b = unit.select(F.col("id").alias("id_b"), F.col("e").alias("eb"), cell.alias("c")).select("id_b", "eb", F.explode(F.transform(shifts, lambda s: F.zip_with("c", s, lambda x, y: x + y))).alias("cell"))
-    s = V.cosine_similarity("ea", "eb")
-    return a.join(b, "cell").filter((F.col("id_a") < F.col("id_b")) & (s >= threshold)).select("id_a", "id_b", F.round(s, 6).alias("similarity"))
-
-
-def _shifts(n: int) -> list[list[int]]:
-    return [[*s, x] for s in _shifts(n - 1) for x in (-1, 0, 1)] if n else [[]]
+    ship(vectors.sparkSession)
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    n = max(1, -(-rows.count() // block))
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
+    meets = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda o: F.struct(F.least(F.col("own"), o).alias("i"), F.greatest(F.col("own"), o).alias("j")))
+    paired = dealt.withColumn("m", F.explode(meets)).select("id", "v", "own", "m.i", "m.j")
+
+    def run(df: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(df["i"].iloc[0]), int(df["j"].iloc[0])
+        unit = {}
+        for k in {i, j}:
+            part = df[df["own"] == k]
+            x = np.array(part["v"].tolist(), dtype=np.float64).reshape(len(part), -1)
+            size = np.linalg.norm(x, axis=1)
+            unit[k] = part["id"].to_numpy()[size > 0], x[size > 0] / size[size > 0, None]
+        (ids_a, a), (ids_b, b) = unit[i], unit[j]
+        if not len(a) or not len(b):
+            return pd.DataFrame({"id_a": [], "id_b": [], "similarity": []}).astype({"id_a": "int64", "id_b": "int64"})
+        s = a @ b.T
+        p, q = np.nonzero(s >= threshold)
+        one, other = ids_a[p], ids_b[q]
+        keep = one < other if i == j else np.ones(len(p), bool)
+        return pd.DataFrame({"id_a": np.minimum(one, other)[keep], "id_b": np.maximum(one, other)[keep], "similarity": s[p, q][keep]})
+
+    found = paired.groupBy("i", "j").applyInPandas(run, "id_a long, id_b long, similarity double")
+    return found.select("id_a", "id_b", F.round("similarity", 6).alias("similarity"))
 
 
 def by_embedding(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id") -> DataFrame:

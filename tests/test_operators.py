@@ -63,7 +63,9 @@ def test_greedy_embedding_dedup(spark):
     got = sorted(r["vec_id"] for r in dedup.by_embedding(df, 0.95).collect())
     assert got == sorted([i for i, _ in kept] + [1000, 1001])
     pairs = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and cos(a[1], b[1]) >= 0.95}
-    assert {(r["id_a"], r["id_b"]) for r in dedup.similar_pairs(df, 0.95).collect()} == pairs
+    for block in (2048, 40):
+        found = [(r["id_a"], r["id_b"]) for r in dedup.similar_pairs(df, 0.95, block=block).collect()]
+        assert set(found) == pairs and len(found) == len(pairs)
 
 
 def test_cleaning(spark):
