@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -24,10 +25,22 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # noqa: BLE001  the session has ended: whoever owns the folder clears it
+        pass
+
+
 def save(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there."""
+    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there.
+
+    The table is deleted when the Python process ends.
+    """
     path = f"{shared_dir(df.sparkSession)}/loomquery-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    atexit.register(_delete, df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
