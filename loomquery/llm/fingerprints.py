@@ -3,7 +3,7 @@
 Terms are lower-cased words; a word of n characters weighs max(1, min(n, 12) - 2) squared, so that the
 short common words of a language hardly count. Every term's 64-bit hash votes with its weight for or
 against each bit; a bit is set if the votes for it outweigh those against. Votes are summed two bits to a
-long (32 bits each, enough for texts of 250 MB), so 32 sums of a hash aggregate hold all of them.
+long (32 bits each, enough for texts of 250 MB), sixteen bits to a row of the hash aggregate.
 
 Fingerprints within ``RADIUS`` bits are found by permuted block tables: one table for each choice of
 blocks, keyed by the chosen blocks' bits and joined on the key, then verified (neardup.links, which has the
@@ -32,26 +32,35 @@ from loomquery.llm.neardup import links
 RADIUS = 4
 
 
+GROUPS, LANES = 4, 8
+
+
 def _votes() -> list[Column]:
-    """32 sums: bit j in the low half, bit j + 32 in the high half; and the sum of weights."""
-    lanes = F.lit(0x0000000100000001)
-    sums = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(lanes) * F.col("weight")).alias(f"v{j}") for j in range(32)]
-    return [*sums, F.sum("weight").alias("all")]
+    """Of a group of bits: 8 sums, each of bit j in its low half and bit j + 32 in its high half; and the weights."""
+    pair = F.lit(0x0000000100000001)
+    return [*(F.sum(F.shiftrightunsigned("h", j).bitwiseAND(pair) * F.col("weight")).alias(f"v{j}") for j in range(LANES)), F.sum("weight").alias("all")]
 
 
 def _bits() -> Column:
     half = F.lit(0xFFFFFFFF)
-    low = [F.shiftleft((2 * F.col(f"v{j}").bitwiseAND(half) > F.col("all")).cast("long"), j) for j in range(32)]
-    high = [F.shiftleft((2 * F.shiftrightunsigned(f"v{j}", 32) > F.col("all")).cast("long"), j + 32) for j in range(32)]
+    low = [F.shiftleft((F.col(f"v{j}").bitwiseAND(half) > F.col("all") / 2).cast("long"), j) for j in range(LANES)]
+    high = [F.shiftleft((F.shiftrightunsigned(f"v{j}", 32) > F.col("all") / 2).cast("long"), j + 32) for j in range(LANES)]
     return F.coalesce(reduce(lambda a, b: a.bitwiseOR(b), [*low, *high]), F.lit(0).cast("long"))
 
 
 def simhash(texts: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
-    """(keys, fp): the fingerprint of the texts that share ``keys``. Rows dealt by keys aren't dealt again."""
+    """(keys, fp): the fingerprint of the texts that share ``keys``. Rows dealt by keys aren't dealt again.
+
+    Each term votes on four groups of bits, a row each: 33 sums in one aggregate make code so large that
+    compiling it takes more memory than the sums.
+    """
     terms = texts.select(*keys, F.explode_outer(C.words(F.lower(F.col(text_col)))).alias("term"))
     size = F.greatest(F.least(F.length("term"), F.lit(12)) - 2, F.lit(1)).cast("long")
-    weighed = terms.select(*keys, F.when(F.col("term").isNotNull(), F.xxhash64("term")).alias("h"), (size * size).alias("weight"))
-    return weighed.groupBy(*keys).agg(*_votes()).select(*keys, _bits().alias("fp"))
+    weighed = terms.select(*keys, F.when(F.col("term").isNotNull(), F.xxhash64("term")).alias("hash"), (size * size).alias("weight"))
+    group = F.explode(F.array(*[F.struct(F.lit(g * LANES).alias("shift"), F.shiftrightunsigned("hash", g * LANES).alias("h")) for g in range(GROUPS)]))
+    split = weighed.select(*keys, "weight", group.alias("g")).select(*keys, "weight", "g.shift", "g.h")
+    parts = split.groupBy(*keys, "shift").agg(*_votes()).select(*keys, F.expr("shift").alias("shift"), _bits().alias("bits"))
+    return parts.groupBy(*keys).agg(F.bit_or(F.call_function("shiftleft", F.col("bits"), F.col("shift"))).alias("fp"))
 
 
 def _hex(c: str) -> Column:
