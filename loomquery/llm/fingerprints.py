@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomquery.llm import common as C
-from loomquery.llm.graph import components
+from loomquery.llm.graph import contracted_components
 from loomquery.llm.neardup import links
 
 RADIUS = 4
@@ -74,7 +74,7 @@ def _alike(a: str, b: str) -> Column:
 def near_groups(fps: DataFrame, id_col: str = "doc_id", fp_col: str = "fp") -> DataFrame:
     """(fp, near_group) of each distinct fingerprint of saved rows (id, fp)."""
     distinct = C.save(fps.groupBy(F.col(fp_col).alias("fp")).agg(F.min(id_col).alias("least")), "distinct")
-    roots = components(C.save(links(distinct.select("fp"), distinct.count(), RADIUS), "links"))
+    roots = contracted_components(C.save(links(distinct.select("fp"), distinct.count(), RADIUS), "links"))
     named = distinct.join(roots.withColumnRenamed("v", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("least").alias("near_group"))
     return C.save(named.join(least, "root").select("fp", "near_group"), "groups")

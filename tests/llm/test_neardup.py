@@ -81,8 +81,20 @@ def test_more_blocks_for_more_fingerprints():
 
 def test_chain_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
-    got = {r["v"]: r["root"] for r in graph.components(edges).collect()}
-    assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
+    for find in (graph.components, graph.contracted_components):
+        got = {r["v"]: r["root"] for r in find(edges).collect()}
+        assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
+        assert find(edges.limit(0)).count() == 0
+
+
+def test_dense_components(spark):
+    rng = random.Random(9)
+    pairs = sorted({tuple(rng.sample(range(g * 100, g * 100 + 40), 2)) for g in range(5) for _ in range(120)})
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    a, b = ({(r["v"], r["root"]) for r in f(edges).collect()} for f in (graph.components, graph.contracted_components))
+    linked = {frozenset(p) for p in pairs}
+    want = roots(sorted({x for p in pairs for x in p}), lambda x, y: frozenset((x, y)) in linked)
+    assert a == b == set(want.items())
 
 
 def test_one_of_each_group_stays(spark, trouble, empty):
