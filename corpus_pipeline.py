@@ -19,7 +19,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages go; n_chars follows."""
-    return linededup.apply_line_dedup(docs, length_col="n_chars" if "n_chars" in docs.columns else None)
+    return linededup.apply_line_dedup(docs, length_col="n_chars" if "n_chars" in docs.columns else None, runs=True)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,13 @@ lines around them only, so they fall alike wherever a passage stands. Chunks hav
 except at the ends of a text. A chunk with at least two lines that hold a word is removed wherever its text
 was already seen: the first occurrence by (doc_id with nulls last, text hash, line) stays.
 
+A chunk is matched only if both its ends lie inside a shared passage, so chunks alone miss most passages of
+2 to 5 lines and the edges of longer ones. With ``runs`` there is a second, finest scale: each two
+consecutive lines that hold a word, with the blank lines between them, are a chunk too. These overlap, so
+together they cover every repeated run of two or more worded lines, to its first and last worded line,
+wherever it stands. (Of the coarse chunks only those with a blank first or last line then add anything.) A
+repeat that overlaps its own first occurrence stays. The first place of each line is never removed.
+
 Chunks are matched by a pair of 64-bit hashes, one over line hashes and one over bytes; then the texts of
 all chunks that share a pair are compared by their bytes, and a pair that stands for two texts is left
 alone. Hashes are counted with map-side sums, so a chunk that a third of all documents hold moves once per
@@ -32,18 +39,22 @@ filter(sequence(1, size(_lq_r)), i -> case when i = size(_lq_r) then true when i
 _CHUNKS = """
 transform(_lq_e, (e, k) -> named_struct('s', case when k = 0 then 1 else _lq_e[k - 1] + 1 end, 'e', e))
 """
+#: Chunks that may be removed.
+_WORDED = r"filter(_lq_c, c -> c.e > c.s and size(filter(slice(_lq_l, c.s, c.e - c.s + 1), x -> x rlike '[^ \\t\\n\\x0B\\f\\r]')) > 1)"
+#: Numbers of the lines that hold a word; with ``runs``, each two in a row, and the chunks they don't cover.
+_WORDS_AT = r"filter(sequence(1, size(_lq_l)), i -> _lq_l[i - 1] rlike '[^ \\t\\n\\x0B\\f\\r]')"
+_PAIRS = """
+case when size(_lq_w) < 2 then cast(array() as array<struct<s: int, e: int>>)
+  else transform(sequence(1, size(_lq_w) - 1), k -> named_struct('s', _lq_w[k - 1], 'e', _lq_w[k])) end
+"""
+_BLANK_ENDS = r"filter(_lq_c, c -> not (_lq_l[c.s - 1] rlike '[^ \\t\\n\\x0B\\f\\r]' and _lq_l[c.e - 1] rlike '[^ \\t\\n\\x0B\\f\\r]'))"
 #: Of a chunk c: its hash over line hashes, its hash over bytes.
 _CLASSES = r"""
-transform(
-  filter(_lq_c, c -> c.e > c.s and size(filter(slice(_lq_l, c.s, c.e - c.s + 1), x -> x rlike '[^ \\t\\n\\x0B\\f\\r]')) > 1),
-  c -> named_struct('s', c.s, 'e', c.e, 'h1', xxhash64(slice(_lq_h, c.s, c.e - c.s + 1)), 'h2', xxhash64(array_join(slice(_lq_l, c.s, c.e - c.s + 1), '\n'))))
-"""
-#: The lines outside the sorted ranges ``_lq_x``.
-_REST = """
-flatten(transform(sequence(0, size(_lq_x)), j -> slice(_lq_l,
-  case when j = 0 then 1 else _lq_x[j - 1].e + 1 end,
-  case when j = size(_lq_x) then size(_lq_l) + 1 else _lq_x[j].s end - case when j = 0 then 1 else _lq_x[j - 1].e + 1 end)))
+transform(_lq_c, c -> named_struct('s', c.s, 'e', c.e, 'h1', xxhash64(slice(_lq_h, c.s, c.e - c.s + 1)), 'h2', xxhash64(array_join(slice(_lq_l, c.s, c.e - c.s + 1), '\n'))))
 """
+#: The line numbers in the ranges ``_lq_x``, which may overlap; the lines outside them.
+_GONE = "array_distinct(flatten(transform(_lq_x, x -> sequence(x.s, x.e))))"
+_REST = "transform(array_except(sequence(1, size(_lq_l)), _lq_g), i -> _lq_l[i - 1])"
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -54,51 +65,55 @@ def _lines(text_col: str):
     return F.split(C.text_of(text_col), "\n", -1)
 
 
-def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: bool = False) -> DataFrame:
     """(_lq_id, _lq_t, at, s, e, h1, h2): removable chunks by line range, with their hashes and place ``at``."""
     df = _keyed(docs.select(id_col, text_col), id_col, text_col).withColumn("_lq_l", _lines(text_col)).withColumn("_lq_h", F.expr("transform(_lq_l, x -> xxhash64(x))"))
-    df = df.withColumn("_lq_r", F.expr(_ROLLING)).withColumn("_lq_e", F.expr(_ENDS)).withColumn("_lq_c", F.expr(_CHUNKS))
+    df = df.withColumn("_lq_r", F.expr(_ROLLING)).withColumn("_lq_e", F.expr(_ENDS)).withColumn("_lq_c", F.expr(_CHUNKS)).withColumn("_lq_c", F.expr(_WORDED))
+    if runs:
+        df = df.withColumn("_lq_w", F.expr(_WORDS_AT)).withColumn("_lq_c", F.concat(F.expr(_BLANK_ENDS), F.expr(_PAIRS)))
     df = df.select(id_col, "_lq_id", "_lq_t", F.explode(F.expr(_CLASSES)).alias("c"))
-    place = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_lq_t").alias("t"), F.col("c.s").alias("s"))
+    doc = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_lq_t").alias("t"))
+    place = F.struct(doc.alias("doc"), F.col("c.s").alias("s"), F.col("c.e").alias("e"))
     return df.select("_lq_id", "_lq_t", place.alias("at"), "c.*")
 
 
-def _removals(docs: DataFrame, keyed: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(_lq_id, _lq_t, _lq_x): for each document with some, its ranges of lines to remove, sorted.
+def _removals(docs: DataFrame, keyed: DataFrame, id_col: str, text_col: str, runs: bool) -> DataFrame:
+    """(_lq_id, _lq_t, _lq_x): for each document with some, its ranges of lines to remove.
 
     ``keyed`` is joined with all its columns, and the result isn't written, so that the rebuild uses the
     same exchange of texts again.
     """
-    all_chunks = C.save(chunks(docs, id_col, text_col), "chunks")
+    all_chunks = C.save(chunks(docs, id_col, text_col, runs), "chunks")
     again = all_chunks.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("at").alias("first")).filter("n > 1").select("h1", "h2", "first")
-    seen = C.save(all_chunks.join(again, ["h1", "h2"]).withColumn("later", F.col("at") != F.col("first")).drop("at", "first"), "repeats")
+    later = (F.col("at.doc") != F.col("first.doc")) | (F.col("at.s") > F.col("first.e"))
+    seen = C.save(all_chunks.join(again, ["h1", "h2"]).withColumn("later", later).drop("at", "first"), "repeats")
     wanted = seen.groupBy("_lq_id", "_lq_t").agg(F.collect_set(F.struct("s", "e", "h1", "h2")).alias("w"))
     texts = keyed.join(wanted, ["_lq_id", "_lq_t"]).select("w", F.xxhash64(*docs.columns).alias("row"), _lines(text_col).alias("l"))
     texts = texts.select("row", F.explode(F.expr(r"transform(w, c -> named_struct('h1', c.h1, 'h2', c.h2, 'x', array_join(slice(l, c.s, c.e - c.s + 1), '\n')))")).alias("c"))
     same = texts.groupBy("c.h1", "c.h2").agg((F.min("c.x") == F.max("c.x")).alias("same"), F.max("row").alias("row")).filter("same and row is not null").select("h1", "h2")
     gone = seen.filter("later").join(same, ["h1", "h2"], "left_semi")
-    return gone.groupBy("_lq_id", "_lq_t").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("_lq_x"))
+    return gone.groupBy("_lq_id", "_lq_t").agg(F.collect_set(F.struct("s", "e")).alias("_lq_x"))
 
 
-def _deduped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _deduped(docs: DataFrame, id_col: str, text_col: str, runs: bool) -> DataFrame:
     """``docs`` with text_col rewritten and _lq_lines, _lq_gone (lines before, lines removed)."""
     keyed = _keyed(docs, id_col, text_col)
-    found = keyed.join(_removals(docs, keyed, id_col, text_col), ["_lq_id", "_lq_t"], "left").withColumn("_lq_l", _lines(text_col))
+    found = keyed.join(_removals(docs, keyed, id_col, text_col, runs), ["_lq_id", "_lq_t"], "left").withColumn("_lq_l", _lines(text_col)).withColumn("_lq_g", F.expr(_GONE))
     rest = F.when(F.col("_lq_x").isNull(), F.col(text_col)).otherwise(F.array_join(F.expr(_REST), "\n"))
-    gone = F.coalesce(F.aggregate("_lq_x", F.lit(0), lambda a, x: a + x["e"] - x["s"] + 1), F.lit(0))
+    gone = F.when(F.col("_lq_x").isNull(), 0).otherwise(F.size("_lq_g"))
     done = found.withColumn("_lq_lines", F.size("_lq_l")).withColumn("_lq_gone", gone).withColumn(text_col, rest)
-    return C.fence(done.drop("_lq_l", "_lq_x"), text_col, "_lq_lines", "_lq_gone")
+    return C.fence(done.drop("_lq_l", "_lq_x", "_lq_g"), text_col, "_lq_lines", "_lq_gone")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, n_lines, n_removed (lines), text (what stays)."""
-    out = _deduped(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text")
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: bool = False) -> DataFrame:
+    """One row per input row: id, n_lines, n_removed (lines), text (what stays). ``runs``: every repeated run, not only whole chunks."""
+    out = _deduped(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text", runs)
     return out.select(F.col("doc_id").alias(id_col), F.col("_lq_lines").cast("long").alias("n_lines"), F.col("_lq_gone").cast("long").alias("n_removed"), F.col("text").alias(text_col))
 
 
-def apply_line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
-    """``docs`` with repeated chunks removed. Documents that lose their last word by that go; ``length_col`` follows the text."""
-    out = _deduped(docs, id_col, text_col).filter((F.col("_lq_gone") == 0) | F.col(text_col).rlike(r"[^ \t\n\x0B\f\r]"))
+def apply_line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, runs: bool = False) -> DataFrame:
+    """``docs`` with repeated chunks (``runs``: every repeated run) removed. Documents that lose their last word by that go; ``length_col`` follows the text."""
+    out = _deduped(docs, id_col, text_col, runs).filter((F.col("_lq_gone") == 0) | F.col(text_col).rlike(r"[^ \t\n\x0B\f\r]"))
     if length_col:
         out = out.withColumn(length_col, F.when(F.col("_lq_gone") > 0, F.length(text_col).cast("long")).otherwise(F.col(length_col)))
     return out.select(*docs.columns)

@@ -46,7 +46,7 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.dedup_lines(table(spark, sf_dir, "documents"))
+    return linededup.dedup_lines(table(spark, sf_dir, "documents"), runs=True)
 
 
 @query

@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -5,6 +6,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from loomquery.llm import linededup
+from loomquery.llm.queries import QUERIES
 
 M = 2**64 - 1
 HAS_WORD = re.compile(r"[^ \t\n\x0b\f\r]")
@@ -58,3 +60,49 @@ def test_apply(spark, trouble, empty):
     ids = Counter(r["doc_id"] for r in out.collect())
     assert ids[11] == 1 and ids[12] == 0 and ids[1] == 3 and ids[2] == ids[3] == ids[4] == 1
     assert linededup.dedup_lines(empty).count() == 0 and linededup.apply_line_dedup(empty).count() == 0
+
+
+def repeated_runs(texts):
+    """The lines of each text (from 0) in a run of two or more worded lines that stands at an earlier place, from one worded line to another: all pairs of places are compared."""
+    places = [(d, i) for d, lines in enumerate(texts) for i in range(len(lines))]
+    gone = [set() for _ in texts]
+    for q, (d, j) in enumerate(places):
+        for c, i in places[:q]:
+            n = 0
+            while i + n < len(texts[c]) and j + n < len(texts[d]) and (c < d or i + n < j) and texts[c][i + n] == texts[d][j + n]:
+                n += 1
+            worded = [j + k for k in range(n) if HAS_WORD.search(texts[d][j + k])]
+            if len(worded) > 1:
+                gone[d] |= set(range(worded[0], worded[-1] + 1))
+    return gone
+
+
+def test_short_passages_go_whole(spark):
+    rng = random.Random(9)
+    line = lambda n: " ".join("".join(rng.choices("abcdefghij", k=7)) for _ in range(n))
+    texts, own = [], []
+    for n in (2, 3, 4, 5, 6) * 8:
+        passage = [line(rng.randint(26, 40)) for _ in range(n)]
+        if n > 2 and rng.random() < 0.5:
+            passage[1:1] = [""] * rng.randint(1, 3)
+        for _ in range(2):
+            before, after = ([line(8) for _ in range(rng.randint(3, 9))] for _ in range(2))
+            texts.append([*before, *passage, *after])
+            own.append([*before, *after])
+    texts += [["one a", "two b", "one a", "two b", "one a", "two b"], ["x x"] * 3, ["x x"] * 2 + ["y"], ["y y", "", "z z"], ["q", "y y", "", "z z", "", "r"], ["y y", "z z"]]
+    docs = spark.createDataFrame([(i, "\n".join(x)) for i, x in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in linededup.dedup_lines(docs, runs=True).collect()}
+    for i, (lines, gone) in enumerate(zip(texts, repeated_runs(texts), strict=True)):
+        assert got[i]["text"] == "\n".join(x for j, x in enumerate(lines) if j not in gone) and got[i]["n_removed"] == len(gone)
+    assert all(got[i]["text"] == "\n".join(own[i]) for i in range(1, 80, 2)) and all(got[i]["n_removed"] == 0 for i in range(0, 80, 2))
+
+
+def test_runs_remove_what_chunks_remove(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    both = linededup.dedup_lines(docs).join(linededup.dedup_lines(docs, runs=True).select("doc_id", F.col("n_removed").alias("more")), "doc_id")
+    assert both.filter("more < n_removed").count() == 0 and both.filter("more > n_removed").count() > 0
+
+
+def test_registered_query_removes_runs(spark, sf):
+    want = Counter(tuple(r) for r in linededup.dedup_lines(spark.read.parquet(f"{sf}/documents.parquet"), runs=True).collect())
+    assert Counter(tuple(r) for r in QUERIES["op9_line_dedup"](spark, sf).collect()) == want
