@@ -12,8 +12,8 @@ the URLs are read. No Python, no vectors.
 
 Defined results: a null URL and one without ``://`` have empty host and path, no rule, and are scored like
 any other (null as empty). Without labelled URLs of both verdicts, URLs without a rule get the only known
-verdict, or ``allow``. Repeated rows are judged alike. At most TRAIN_ROWS labelled URLs, chosen by hash,
-are learned from; suffix rates are taken over all labelled URLs.
+verdict, or ``allow``. Repeated rows are judged alike. At most TRAIN_ROWS distinct labelled URLs, chosen by
+hash, are learned from, each with the number of its rows; suffix rates are taken over all labelled URLs.
 """
 
 from __future__ import annotations
@@ -173,8 +173,9 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
         df = C.lookup(df, rates, key, F.xxhash64("url", "page_id")).withColumn(f"{key}_rate", F.coalesce(f"{key}_rate", F.lit(prior)))
     df = df.withColumns({f"b_{k}": _bin(F.col(k), cuts) for k, cuts in CUTS.items()})
     bins = [f"b_{k}" for k in NAMES]
-    sample = df.filter("label is not null").select(F.xxhash64("url").alias("order"), "label", *bins).orderBy("order").limit(TRAIN_ROWS)
-    odds = boost(C.save(sample.groupBy(*bins, "label").agg(F.count("*").alias("n")), "bins")) if n else None
+    distinct = df.filter("label is not null").groupBy("url", "label", *bins).agg(F.count("*").alias("n"))
+    sample = distinct.orderBy(F.xxhash64("url"), "url").limit(TRAIN_ROWS)
+    odds = boost(C.save(sample.groupBy(*bins, "label").agg(F.sum("n").alias("n")), "bins")) if n else None
     score = 1 / (1 + F.exp(-odds)) if odds is not None else F.lit(prior)
     out = df.withColumn("block_score", F.when(F.col("hit").isNull(), score))
     verdict = F.coalesce(F.col("hit.verdict"), F.when(F.col("block_score") > 0.5, F.lit("block")).otherwise(F.lit("allow")))

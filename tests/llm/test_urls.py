@@ -1,6 +1,8 @@
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from loomquery.llm import urls
 
 URLS = [
@@ -43,3 +45,20 @@ def test_edge_cases(spark):
     assert urls.judge(spark.createDataFrame([], schema)).count() == 0
     alone = urls.judge(spark.createDataFrame([(1, None, None), (2, "http://z.fr/x", "")], schema)).collect()
     assert [r["verdict"] for r in alone] == ["allow", "allow"]
+
+
+def test_a_hot_url_does_not_fill_the_sample(spark, monkeypatch):
+    """The bound is on distinct URLs: one of the smallest hash with most rows leaves room for the others."""
+    monkeypatch.setattr(urls, "TRAIN_ROWS", 100)
+    rules = [("block", "bad.test/"), ("allow", "good.test/")]
+    bad = [f"http://a{i}9{i}7.bad.test/p?x={i}&y={i}&z=aaaaaaaaaaaaaaaa" for i in range(60)]
+    good = [f"https://news.good.test/story/{i}" for i in range(60)]
+    new = ["http://a33977.else.where/p?x=3&y=3&z=aaaaaaaaaaaaaaaa", "https://news.else.where/story/b"]
+    both = spark.createDataFrame([(u,) for u in [*bad, *good]], "url string")
+    low = both.filter(F.col("url").startswith("https")).orderBy(F.xxhash64("url")).first()["url"]
+    tries = [f"https://news.good.test/story/{i}" for i in range(60, 5000)]
+    least = both.agg(F.min(F.xxhash64("url"))).first()[0]
+    hot = next((r["url"] for r in spark.createDataFrame([(u,) for u in tries], "url string").filter(F.xxhash64("url") < least).collect()), low)
+    rows = [*bad, *good, *[hot] * 150]
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(spark.createDataFrame(list(enumerate(rows + new)), "page_id long, url string"), rules=rules).collect()}
+    assert got[270] == "block" and got[271] == "allow"
