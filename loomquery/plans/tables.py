@@ -5,17 +5,25 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-#: Rows up to which a side is broadcast; larger sides are left to the shuffle joins that Spark picks.
-BROADCAST_ROWS = 100_000
+#: Rows and bytes up to which a side is broadcast; larger sides are left to the shuffle joins that Spark picks.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32 << 20
+
+_registered: set[str] = set()
+_paths: WeakKeyDictionary = WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a local-mode session without it gets a temporary one."""
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
+
+    Only a local-mode session without that setting (tests) gets a folder of its own.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
         return found.rstrip("/")
@@ -25,7 +33,16 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def own_dir(spark: SparkSession) -> str:
+    """This application's folder in ``shared_dir``: one to delete, should the driver be killed before it does."""
+    path = f"{shared_dir(spark)}/loomquery-{spark.sparkContext.applicationId}"
+    if path not in _registered:
+        _registered.add(path)
+        atexit.register(delete, spark, path)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
     try:
         target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
@@ -33,20 +50,44 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
-def save(df: DataFrame, name: str = "table") -> DataFrame:
+def save(df: DataFrame, name: str = "table", replaces: DataFrame | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there.
 
-    The table is deleted when the Python process ends.
+    The table outlives lost executors. It is deleted when the Python process ends, or once a later one that
+    ``replaces`` it is written.
     """
-    path = f"{shared_dir(df.sparkSession)}/loomquery-{name}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_delete, df.sparkSession, path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if replaces is not None:
+        delete(spark, _paths.pop(replaces))
+    fields = [T.StructField(f.name, f.dataType, True) for f in df.schema.fields]
+    out = spark.read.schema(T.StructType(fields)).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes: its strings, binaries and collections by length, other columns 8 each."""
+    parts: list[Column] = [F.lit(16 + 8 * len(df.columns))]
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            parts.append(F.coalesce(F.octet_length(c), F.lit(0)))
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            parts.append(F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)))
+    return sum(parts[1:], parts[0]).cast("long")
+
+
+def fits(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most so many rows and bytes; stops at the first row beyond the bound."""
+    found = df.select(row_bytes(df).alias("b")).limit(rows + 1).agg(F.count("*").alias("n"), F.sum("b").alias("b")).first()
+    return found["n"] <= rows and (found["b"] or 0) <= size
 
 
 def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``limit`` rows."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    """``df`` marked for broadcast if it has at most ``limit`` rows and BROADCAST_BYTES bytes."""
+    return F.broadcast(df) if fits(df, limit) else df
 
 
 def top(df: DataFrame, k: int, by: list[str], *order: Column, rank: str = "rank") -> DataFrame:
