@@ -2,23 +2,24 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from loomquery.plans.tables import fits, save
+
+__all__ = ["WHITE", "WHITE_RE", "text_of", "words", "n_words", "key_of", "save", "fence", "lookup", "global_scan", "table"]
+
 #: The ASCII white space of every word rule, as characters and as a regex class.
 WHITE = " \t\n\x0b\f\r"
 WHITE_RE = r"[ \t\n\x0B\f\r]+"
 
 #: A looked-up table of at most so many rows is broadcast; a larger one is joined by salted keys.
 BROADCAST_ROWS = 50_000
-#: Salts of a lookup that is too large to broadcast.
+#: Salts of a lookup that is too large to broadcast, and of a hot key.
 SALTS = 32
+#: A key is hot if it has over 1 / HOT_SHARE of all rows (so there are fewer hot keys than that) and over HOT_ROWS.
+HOT_SHARE, HOT_ROWS = 1000, 64
 
 
 def text_of(col: str | Column) -> Column:
@@ -42,42 +43,6 @@ def key_of(col: str | Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("null"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Only a local-mode session without that setting (tests) gets a folder of its own.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="loomquery-")
-    spark.sparkContext.setCheckpointDir(made)
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session has ended: whoever owns the shared folder clears it
-        pass
-
-
-def save(df: DataFrame, name: str = "t") -> DataFrame:
-    """Cut lineage: write ``df`` as Parquet to the shared folder and read it back.
-
-    The table outlives lost executors and is deleted when the Python process ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/loomquery-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_delete, spark, path)
-    return spark.read.schema(T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields])).parquet(path)
-
-
 def fence(df: DataFrame, *cols: str) -> DataFrame:
     """The same rows, with ``cols`` computed once: no later filter is pushed below and evaluates them again.
 
@@ -91,16 +56,33 @@ def fence(df: DataFrame, *cols: str) -> DataFrame:
 def lookup(big: DataFrame, small: DataFrame, key: str, salt_by: Column, how: str = "left") -> DataFrame:
     """Join ``small`` (unique, non-null ``key``, already saved) to ``big`` on ``key``.
 
-    ``small`` is counted: up to BROADCAST_ROWS rows it is broadcast, so a hot key never moves. Beyond
-    that both sides are dealt by (key, salt), which spreads a key with a third of all rows over SALTS tasks.
+    ``small`` is measured: up to BROADCAST_ROWS rows (and the library's bound of bytes) it is broadcast, so a
+    hot key never moves. Beyond that both sides are dealt by (key, salt), which spreads a key with a third of
+    all rows over SALTS tasks.
     """
-    if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if fits(small, BROADCAST_ROWS):
         return big.join(F.broadcast(small), key, how)
     salted = big.withColumn("_lq_salt", F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).cast("int"))
     each = small.withColumn("_lq_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return salted.join(each, [key, "_lq_salt"], how).drop("_lq_salt")
 
 
+def spread_join(big: DataFrame, small: DataFrame, keys: list[str], salt_by: Column, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """Join ``small`` (unique, non-null ``keys``) to ``big`` (saved), with the rows of hot keys dealt over SALTS tasks.
+
+    Hot keys are counted with map-side sums (or taken from ``counts``: keys and n). There are fewer than
+    HOT_SHARE of them, so they are broadcast to both sides; only their rows of ``small`` are repeated.
+    """
+    counts = big.groupBy(*keys).agg(F.count("*").alias("n")) if counts is None else counts
+    hot = save(counts.filter(F.col("n") > max(HOT_ROWS, big.count() // HOT_SHARE)).select(*keys, F.lit(True).alias("_lq_hot")), "hot")
+    if hot.isEmpty():
+        return big.join(small, keys, how)
+    salted = big.join(F.broadcast(hot), keys, "left").withColumn("_lq_salt", F.when(F.col("_lq_hot"), F.pmod(F.xxhash64(salt_by), F.lit(SALTS))).otherwise(0).cast("int"))
+    salts = F.when(F.col("_lq_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    each = small.join(F.broadcast(hot), keys, "left").withColumn("_lq_salt", F.explode(salts)).drop("_lq_hot")
+    return salted.drop("_lq_hot").join(each, [*keys, "_lq_salt"], how).drop("_lq_salt")
+
+
 def global_scan(df: DataFrame, order: list[Column], sums: dict[str, str] | None = None, rank: str = "_lq_rank") -> DataFrame:
     """Row numbers and running totals over one global order, without one task that holds all rows.
 

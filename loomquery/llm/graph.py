@@ -13,21 +13,22 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round every node hooks its parent, and itself, to the smallest parent among its neighbours, and
     then takes its grandparent for parent. Paths halve, so rounds grow with the logarithm of a component's
-    width. A round moves edges and one row per node, pre-aggregated by node, and ends in a written table.
-    No edges: no rows.
+    width. A round moves edges and one row per node, pre-aggregated by node, and ends in a written table that
+    replaces the last round's. No edges: no rows.
     """
     both = C.save(edges.select(F.col("a").alias("v"), F.col("b").alias("u")).union(edges.select("b", "a")).filter("v <> u").distinct(), "edges")
     state = C.save(both.groupBy("v").agg(F.least(F.col("v"), F.min("u")).alias("p")), "parents")
     while True:
+        state_of = state.select("v", "p")
         near = both.join(state.select(F.col("v").alias("u"), F.col("p").alias("q")), "u").groupBy("v").agg(F.min("q").alias("m"))
-        seen = state.join(near, "v")
+        seen = state_of.join(near, "v")
         hooks = seen.select("v", F.least("p", "m").alias("p")).union(seen.select(F.col("p").alias("v"), F.col("m").alias("p")))
         hooked = hooks.groupBy("v").agg(F.min("p").alias("p"))
         after = hooked.join(hooked.select(F.col("v").alias("p"), F.col("p").alias("pp")), "p").select("v", F.least("p", "pp").alias("p"))
-        new = C.save(after.join(state.withColumnRenamed("p", "old"), "v").select("v", "p", (F.col("p") != F.col("old")).alias("moved")), "parents")
-        state = new.select("v", "p")
-        if new.filter("moved").isEmpty():
-            return state.withColumnRenamed("p", "root")
+        told = after.join(state.withColumnRenamed("p", "old").select("v", "old"), "v").select("v", "p", (F.col("p") != F.col("old")).alias("moved"))
+        state = C.save(told, "parents", replaces=state)
+        if state.filter("moved").isEmpty():
+            return state.select("v", F.col("p").alias("root"))
 
 
 def contracted_components(edges: DataFrame) -> DataFrame:

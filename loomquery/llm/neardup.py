@@ -34,37 +34,37 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from loomquery.llm import common as C
-from loomquery.llm.graph import components
+from loomquery.llm.graph import contracted_components
 from loomquery.plans.ship import ship
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: A bucket of more members is split by the linear way.
 HOT = 1024
-
-SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text_hash", T.LongType()), T.StructField("fp", T.LongType())])
+#: Shingles whose hashes are held at a time.
+VOTED = 16_384
 
 
 def simhash(raw: bytes) -> int:
     """The fingerprint of a UTF-8 text as an unsigned integer."""
     from xxhash import xxh64_intdigest
 
-    words = raw.lower().split()  # of bytes: A-Z, and exactly the ASCII white space
-    if not words:
+    joined = b" ".join(raw.lower().split())  # of bytes: A-Z, and exactly the ASCII white space
+    if not joined:
         return 0
-    joined, k = b" ".join(words), min(SHINGLE, len(words))
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    n, counts = len(words) - k + 1, np.zeros(64, dtype=np.int64)
-    spans = list(zip(starts[:n].tolist(), ends[k - 1 :].tolist(), strict=True))
-    for at in range(0, n, 65536):
-        part = spans[at : at + 65536]
-        h = np.fromiter((xxh64_intdigest(joined[a:b], SEED) for a, b in part), dtype="<u8", count=len(part))
+    # places before each word and after the last; numbers only, so that a very long text takes a few times its own size
+    edges = np.concatenate(([-1], np.flatnonzero(np.frombuffer(joined, np.uint8) == 32), [len(joined)]))
+    k = min(SHINGLE, len(edges) - 1)
+    n, counts = len(edges) - k, np.zeros(64, dtype=np.int64)
+    for at in range(0, n, VOTED):
+        part = zip((edges[at : min(at + VOTED, n)] + 1).tolist(), edges[at + k : min(at + VOTED, n) + k].tolist(), strict=True)
+        h = np.fromiter((xxh64_intdigest(joined[a:b], SEED) for a, b in part), dtype="<u8", count=min(VOTED, n - at))
         counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_hash, fp) of every row, fp as a signed long."""
+    """(doc_id, text_hash, fp) of every row, fp as a signed long. Ids keep their type."""
+    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("text_hash", T.LongType()), T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -72,11 +72,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             values = [simhash(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in batch.column(2)]
             fp = pa.array(np.array(values, dtype="<u8").view("<i8"), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fp], names=SCHEMA.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fp], names=schema.names)
 
     ship(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(C.text_of(text_col)).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, SCHEMA)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(C.text_of(text_col)).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, schema)
 
 
 def _signed(x: int) -> int:
@@ -133,7 +133,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
     """Saved (doc_id, text_hash, fp) rows, and (fp, root) of each distinct fingerprint."""
     rows = C.save(fingerprints(docs, id_col, text_col), "fingerprints")
     distinct = C.save(rows.select("fp").distinct(), "distinct")
-    roots = components(C.save(links(distinct, distinct.count()), "links"))
+    roots = contracted_components(C.save(links(distinct, distinct.count()), "links"))
     named = distinct.join(roots.withColumnRenamed("v", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
     return rows, C.save(named, "roots")
 
@@ -142,18 +142,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per input row: id, fingerprint (16 hex digits), component_id."""
     rows, roots = _grouped(docs, id_col, text_col)
     least = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    of_root = roots.join(least, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = C.save(roots.join(of_root, "root").select("fp", "component_id"), "groups")
-    return rows.join(of_fp, "fp").select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = C.save(roots.join(least, "fp"), "named")
+    of_root = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    of_fp = C.save(C.spread_join(named, of_root, ["root"], F.col("fp")).select("fp", "component_id"), "groups")
+    out = C.spread_join(rows, of_fp, ["fp"], F.struct("doc_id", "text_hash"))
+    return out.select(F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _key(doc_id, text_hash):
+    return F.concat_ws("|", text_hash.cast("string"), C.key_of(doc_id))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component: the smallest doc_id (nulls last), then the smallest text hash."""
+    """``docs`` with one row of each component: the smallest doc_id (nulls last), then the smallest text hash.
+
+    Only keys are sorted out: the rows that go, and those that stay once of several equal ones, are looked up
+    where texts are read. Texts move only if these are too many to broadcast, and then in one exchange.
+    """
     rows, roots = _grouped(docs, id_col, text_col)
-    named = rows.join(roots, "fp")
-    best = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("x"))
-    keep = C.save(best.select(C.key_of("x.doc_id").alias("_lq_id"), F.col("x.text_hash").alias("_lq_hash")), "kept")
-    marked = docs.withColumn("_lq_id", C.key_of(F.col(id_col).cast("long"))).withColumn("_lq_hash", F.xxhash64(C.text_of(text_col)))
-    stays = marked.join(keep, ["_lq_id", "_lq_hash"], "left_semi")
-    once = stays.withColumn("_lq_n", F.row_number().over(Window.partitionBy("_lq_id", "_lq_hash").orderBy("_lq_id")))
-    return once.filter("_lq_n = 1").select(*docs.columns)
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    named = C.save(C.spread_join(rows, roots, ["fp"], F.struct("doc_id", "text_hash")).groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n")), "named")
+    best = named.groupBy("root").agg(F.min(place).alias("best"))
+    judged = C.spread_join(named, best, ["root"], F.struct("doc_id", "text_hash")).withColumn("goes", ~place.eqNullSafe(F.col("best")))
+    marks = C.save(judged.filter("goes or n > 1").select(_key(F.col("doc_id"), F.col("text_hash")).alias("_lq_key"), F.col("goes").alias("_lq_goes")), "marks")
+    keyed = docs.withColumn("_lq_key", _key(F.col(id_col), F.xxhash64(C.text_of(text_col))))
+    found = C.lookup(keyed, marks, "_lq_key", F.monotonically_increasing_id())
+    alone = found.filter("_lq_goes is null").select(*docs.columns)
+    several = marks.filter("not _lq_goes")
+    if several.isEmpty():
+        return alone
+    # rows that share id and text: one of them stays
+    equal = C.lookup(keyed, several, "_lq_key", F.monotonically_increasing_id(), "inner").withColumn("_lq_n", F.row_number().over(Window.partitionBy("_lq_key").orderBy("_lq_key")))
+    return alone.unionByName(equal.filter("_lq_n = 1").select(*docs.columns))
