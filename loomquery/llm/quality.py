@@ -4,14 +4,26 @@ Each document gets base counts and a severity level from 0 to LEVELS: the highes
 its signals (symbols, repeated words, repeated lines, word length, capitals) reaches. Labelled good
 documents that pass the base rules are the holdout. For each stratum the levels are tested from the most
 extreme one down (a fixed sequence, so levels need no correction; strata share ``delta`` by Bonferroni):
-level L is certified while the exact binomial lower tail P(Bin(n, alpha) <= k) is at most delta / strata,
+level L is certified while the exact binomial lower tail P(Bin(n, alpha) <= k) is at most delta / tests,
 where k of the stratum's n good holdout documents reach L. Documents at or above the lowest certified
-level are rejected, so with confidence 1 - delta no stratum loses more than ``alpha`` of its good documents.
+level are rejected.
+
+A stratum is small if even no false rejection among its n documents would pass its test. All small strata
+together make one pooled stratum, which counts as a test of its own; its cut applies to each of them. (Which
+strata are small depends on their numbers only, not on levels.)
+
+What the bound covers: with confidence 1 - delta, in no stratum (and not in the pool as a whole) do the
+levels reject more than ``alpha`` of the good documents that pass the base rules. The base rules are given,
+not chosen, and what they reject is not in the bound. A stratum without any holdout document is neither
+tested nor pooled: only the base rules reject there.
+
+The grid is fixed and even, from where a signal is unusual in prose to where it is absurd; it isn't fitted.
 
 Defined results: null text counts as empty (no words, base_failed). A null stratum is a stratum of its
 own. A stratum with no certified level rejects by base rules only. Repeated rows each get a row; in the
 holdout all rows of one doc_id count once, by their highest level. Labels that contradict each other or
-are null are not used. Empty tables give empty results.
+are null are not used. Very long texts are taken whole. Other columns of the documents, whatever their
+names (but for the prefix ``_lq_``), are not touched. Empty tables give empty results.
 
 Repeated windows are found by 64-bit hashes of three words within one text (two different windows of a
 text share a hash with a chance under 1e-10 even for 20,000 words).
@@ -25,18 +37,26 @@ from pyspark.sql.window import Window
 
 from loomquery.llm import common as C
 
-ALPHA, DELTA, LEVELS = 0.005, 0.05, 10
+ALPHA, DELTA, LEVELS = 0.05, 0.05, 10
+#: The stratum that holds all strata too small for a test.
+POOL = "small strata"
 
 #: The characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
-#: Cutoffs of levels 1 to LEVELS. A signal reaches a level if it is over ("<": under) its cutoff.
+
+
+def _even(first: float, step: float) -> list[float]:
+    return [round(first + step * i, 2) for i in range(LEVELS)]
+
+
+#: Cutoffs of levels 1 to LEVELS, in even steps. A signal reaches a level if it is over ("<": under) its cutoff.
 GRID = {
-    "symbols": (">", [0.04, 0.05, 0.06, 0.07, 0.08, 0.10, 0.12, 0.15, 0.20, 0.30]),
-    "repeats": (">", [0.36, 0.37, 0.38, 0.40, 0.42, 0.43, 0.44, 0.46, 0.48, 0.49]),
-    "lines": (">", [0.50, 0.55, 0.60, 0.65, 0.70, 0.75, 0.80, 0.85, 0.90, 0.95]),
-    "long_words": (">", [10.0, 11.0, 12.0, 13.0, 14.0, 16.0, 18.0, 20.0, 25.0, 30.0]),
-    "short_words": ("<", [3.0, 2.9, 2.8, 2.7, 2.6, 2.4, 2.2, 2.0, 1.8, 1.5]),
-    "capitals": (">", [0.40, 0.45, 0.50, 0.55, 0.60, 0.65, 0.70, 0.75, 0.80, 0.90]),
+    "symbols": (">", _even(0.05, 0.05)),
+    "repeats": (">", _even(0.30, 0.02)),
+    "lines": (">", _even(0.50, 0.05)),
+    "long_words": (">", _even(10.0, 2.0)),
+    "short_words": ("<", _even(3.0, -0.2)),
+    "capitals": (">", _even(0.40, 0.05)),
 }
 METRICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -111,26 +131,32 @@ def lower_tail(n: Column, k: Column, p: float) -> Column:
 
 
 def thresholds(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """(stratum, min_level, n_good, false_rejects, p_value): the lowest certified level of each stratum that has one.
+    """(stratum, tested, min_level, n_good, false_rejects, p_value): the lowest certified level of each stratum that has one.
 
-    ``measured`` has id_col, _lq_stratum, _lq_level and _lq_base_failed; ``labels`` has id_col and quality.
+    ``tested`` is the stratum itself or POOL. ``measured`` has id_col, _lq_stratum, _lq_level and
+    _lq_base_failed; ``labels`` has id_col and quality.
     """
     good = labels.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min("quality").alias("a"), F.max("quality").alias("b")).filter("a = 1 and b = 1").select(id_col)
     held = measured.filter(~F.col("_lq_base_failed") & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min("_lq_stratum").alias("stratum"), F.max("_lq_level").alias("level"))
     counts = C.save(held.join(good, id_col, "left_semi").groupBy("stratum", "level").agg(F.count("*").alias("n")), "holdout")
-    strata = max(1, counts.select("stratum").distinct().count())
-    by = Window.partitionBy("stratum")
+    sizes = counts.groupBy("stratum").agg(F.sum("n").alias("size"))
+    tests = sizes.count() + 1
+    small = F.pow(F.lit(1 - alpha), F.col("size")) > delta / tests
+    groups = C.save(sizes.select("stratum", F.when(small, POOL).otherwise(F.col("stratum")).alias("tested")), "strata")
+    levels = counts.join(groups, "stratum").groupBy("tested", "level").agg(F.sum("n").alias("n"))
+    by = Window.partitionBy("tested")
     down = by.orderBy(F.col("level").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    every = counts.unionByName(counts.select("stratum").distinct().select("stratum", F.explode(F.sequence(F.lit(0), F.lit(LEVELS))).alias("level"), F.lit(0).cast("long").alias("n")))
-    cum = every.groupBy("stratum", "level").agg(F.sum("n").alias("n")).select("stratum", "level", F.sum("n").over(by).alias("n_good"), F.sum("n").over(down).alias("false_rejects"))
-    tested = cum.filter("level > 0").withColumn("p_value", lower_tail(F.col("n_good"), F.col("false_rejects"), alpha))
-    passed = tested.withColumn("ok", F.min((F.col("p_value") <= delta / strata).cast("int")).over(down)).filter("ok = 1")
-    return passed.groupBy("stratum").agg(F.min_by(F.struct(F.col("level").alias("min_level"), "n_good", "false_rejects", "p_value"), "level").alias("x")).select("stratum", "x.*")
+    every = levels.unionByName(groups.select("tested").distinct().select("tested", F.explode(F.sequence(F.lit(0), F.lit(LEVELS))).alias("level"), F.lit(0).cast("long").alias("n")))
+    cum = every.groupBy("tested", "level").agg(F.sum("n").alias("n")).select("tested", "level", F.sum("n").over(by).alias("n_good"), F.sum("n").over(down).alias("false_rejects"))
+    tails = cum.filter("level > 0").withColumn("p_value", lower_tail(F.col("n_good"), F.col("false_rejects"), alpha))
+    passed = tails.withColumn("ok", F.min((F.col("p_value") <= delta / tests).cast("int")).over(down)).filter("ok = 1")
+    lowest = passed.groupBy("tested").agg(F.min_by(F.struct(F.col("level").alias("min_level"), "n_good", "false_rejects", "p_value"), "level").alias("x"))
+    return groups.join(lowest, "tested").select("stratum", "tested", "x.*")
 
 
-def _judged(measured: DataFrame, certified: DataFrame, id_col: str) -> DataFrame:
+def _judged(measured: DataFrame, certified: DataFrame, salt_by: Column) -> DataFrame:
     cut = C.save(certified.select(F.col("stratum").alias("_lq_stratum"), F.col("min_level").alias("_lq_min")), "cuts")
-    found = C.lookup(measured, cut, "_lq_stratum", F.col(id_col))
+    found = C.lookup(measured, cut, "_lq_stratum", salt_by)
     return found.withColumn("_lq_kept", ~F.col("_lq_base_failed") & F.coalesce(F.col("_lq_level") < F.col("_lq_min"), F.lit(True)))
 
 
@@ -139,15 +165,18 @@ def assess(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     small = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(stratum_col).alias("lang"))
     measured = C.save(with_metrics(small).drop("text", "lang"), "metrics")
     cut = thresholds(measured, labels.select(F.col(id_col).alias("doc_id"), "quality"), "doc_id", alpha, delta)
-    out = _judged(measured, cut, "doc_id")
+    out = _judged(measured, cut, F.col("doc_id"))
     return out.select(F.col("doc_id").alias(id_col), *[F.col(f"_lq_{m}").alias(m) for m in METRICS], F.col("_lq_base_failed").alias("base_failed"), F.col("_lq_level").alias("level"), F.col("_lq_min").alias("min_level"), F.col("_lq_kept").alias("kept"))
 
 
 def filter_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """``docs`` without the rejected rows; texts are not shuffled: counts are taken again where the verdict applies."""
-    labels = labels.select(id_col, "quality")
-    measured = with_metrics(docs.select(id_col, text_col, stratum_col), text_col, stratum_col).select(id_col, "_lq_stratum", "_lq_level", "_lq_base_failed")
-    measured = C.save(measured, "metrics")
-    cut = thresholds(measured, labels, id_col, alpha, delta)
-    again = with_metrics(docs, text_col, stratum_col).select(*docs.columns, "_lq_stratum", "_lq_level", "_lq_base_failed")
-    return _judged(C.fence(again, "_lq_stratum", "_lq_level", "_lq_base_failed"), cut, id_col).filter("_lq_kept").select(*docs.columns)
+    """``docs`` without the rejected rows.
+
+    Documents are measured once: those that pass the base rules are written with their level, and the
+    verdict is a filter on that table. Texts are not shuffled.
+    """
+    marks = ["_lq_stratum", "_lq_level", "_lq_base_failed"]
+    measured = with_metrics(docs, text_col, stratum_col).select(*docs.columns, *marks)
+    passing = C.save(C.fence(measured, *marks).filter(~F.col("_lq_base_failed")), "passing")
+    cut = thresholds(passing.select(id_col, *marks), labels.select(id_col, "quality"), id_col, alpha, delta)
+    return _judged(passing, cut, F.col(id_col)).filter("_lq_kept").select(*docs.columns)

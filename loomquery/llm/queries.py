@@ -100,10 +100,12 @@ def _op1_sql() -> str:
     x as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words base_failed, {level} level from m),
     good as (select doc_id from labels group by doc_id having min(quality) = 1 and max(quality) = 1),
     h as (select stratum, level from x semi join good using (doc_id) where not base_failed),
-    c as (select stratum, v.level, count(*) n_good, count(*) filter (h.level >= v.level) false_rejects from h, (select unnest(range(1, {quality.LEVELS + 1})) level) v group by all),
+    k as (select {quality.DELTA}::double / (count(distinct stratum) + 1) each from h),
+    s as (select stratum, case when pow(1 - {a}, count(*)) > (select each from k) then '{quality.POOL}' else stratum end tested from h group by stratum),
+    c as (select tested, v.level, count(*) n_good, count(*) filter (h.level >= v.level) false_rejects from h join s using (stratum), (select unnest(range(1, {quality.LEVELS + 1})) level) v group by all),
     p as (select *, case when false_rejects > n_good * {a} then 1.0 else least(1.0, {tail}) end p_value from c),
-    f as (select *, min((p_value <= {quality.DELTA}::double / greatest(1, (select count(distinct stratum) from h)))::int) over (partition by stratum order by level desc) ok from p),
-    t as (select stratum, min(level)::int min_level from f where ok = 1 group by stratum)
+    f as (select *, min((p_value <= (select each from k))::int) over (partition by tested order by level desc) ok from p),
+    t as (select stratum, min(level)::int min_level from f join s using (tested) where ok = 1 group by stratum)
     select doc_id, n_words::bigint n_words, word_chars::bigint word_chars, n_symbols::bigint n_symbols, n_dup_lines::bigint n_dup_lines, n_repeat_words::bigint n_repeat_words, base_failed, level::int level, min_level,
       not base_failed and coalesce(level < min_level, true) kept from x left join t using (stratum)"""
 
