@@ -59,8 +59,8 @@ def save(df: DataFrame, name: str = "table", replaces: DataFrame | None = None)
     spark = df.sparkSession
     path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if replaces is not None:
-        delete(spark, _paths.pop(replaces))
+    if replaces is not None and (old := _paths.pop(replaces, None)):
+        delete(spark, old)
     fields = [T.StructField(f.name, f.dataType, True) for f in df.schema.fields]
     out = spark.read.schema(T.StructType(fields)).parquet(path)
     _paths[out] = path
