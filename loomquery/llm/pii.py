@@ -3,23 +3,36 @@
 Validated numbers and dates are permuted within their format by a keyed Feistel network, so equal values
 get equal pseudonyms in every document and different values different ones:
 
-* digits of phone, account and social numbers: a Feistel network on the digit string, separators kept;
-  of card numbers (13 to 19 digits with a right Luhn digit) all but the last, which is computed anew;
-* dates (a real calendar day of 1900 to 2099): the day's number is permuted among all those days and
-  written in the same format, so one day stays one day in every format;
-* IPv4 addresses (four numbers up to 255): permuted among 32-bit addresses.
-
-E-mail addresses and hexadecimal secrets have no number to permute: their characters are replaced by a
-keyed digest (same length for secrets; addresses keep the shape name@host). Strings that only look like a
-date or an address (month 13, 300.1.1.1) stay.
+* card numbers (13 to 19 digits with a right Luhn digit): all but the last digit, which is computed anew;
+* bank accounts (IBAN, right by mod 97): the digits of the account, the check digits anew;
+* social numbers (area, group and serial in their ranges): within those ranges;
+* phone numbers: the digits, separators kept;
+* dates (a real calendar day of 1900 to 2099, also before a time): one permutation of days for all formats,
+  so one day stays one day in every format. Days up to the 12th and later days are permuted apart: a day
+  written month first is known by a day over 12, and its pseudonym must be too;
+* IPv4 addresses (four numbers up to 255): permuted among 32-bit addresses;
+* hexadecimal secrets (24 digits or more): a Feistel network on the halves of the whole string, of any length.
+
+E-mail addresses have no number to permute: the name becomes a keyed digest of 128 bits, the host is fixed.
+What only looks like one of these stays: a wrong Luhn or mod-97 check, bare digits of other lengths, month 13,
+300.1.1.1, area 000.
+
+Networks on ranges have no cycle walk but for the later days, where some places are no day (30 February): a
+walk goes on until it finds one, at most as many steps as the key's longest walk, which is computed exactly.
 
 Everything is an expression on the row: no shuffle, no Python. A text without a digit or ``@`` is passed on.
 
-Defined results: null text stays null with no replacement. Repeated rows give equal results.
+Defined results: null text stays null with no replacement; empty and blank texts stay as they are. Very long
+texts are taken whole. Repeated rows give equal results. Only id and text are read, whatever other columns
+there are. Empty tables give no rows.
 """
 
 from __future__ import annotations
 
+from datetime import date
+from functools import cache
+from hashlib import sha256
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,20 +43,24 @@ _B, _E = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 KINDS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
     "secret": _B + r"(?=[0-9A-Fa-f]*[0-9])(?=[0-9A-Fa-f]*[A-Fa-f])[0-9A-Fa-f]{24,}" + _E,
+    "iban": _B + r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _E,
     "ip": r"(?<![\p{L}\p{N}.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\p{L}\p{N}]|\.\d)",
-    "date": _B + r"(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4}|\d{2}-\d{2}-\d{4})" + _E,
+    "date": _B + r"(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4}|\d{2}-\d{2}-\d{4})(?=T\d\d:|[^\p{L}\p{N}]|$)",
     "phone": r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}" + _E + r"|(?<![\p{L}\p{N}+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}" + _E + "|" + _B + r"\d{3}[.-]\d{3}[.-]\d{4}" + _E,
     "social": _B + r"\d{3}-\d{2}-\d{4}" + _E,
-    "number": _B + r"\d(?:[ -]?\d){11,18}" + _E,
+    "card": _B + r"\d(?:[ -]?\d){12,18}" + _E,
 }
 ANY = "|".join(KINDS.values())
 
-_DAYS = 73049  # from 1900-01-01 to 2099-12-31
+#: Years of dates; days of a month up to the 12th, and places for the later ones (13 to 31).
+FIRST_YEAR, YEARS, EARLY, LATE = 1900, 200, 12, 19
+#: The two ranges of days as rectangles: 200 * 12 * 12 places, all of them days, and 200 * 12 * 19.
+_EARLY_SIDES, _LATE_SIDES = (160, 180), (200, 228)
 
 
-def _round(key: str, tag: str, r: Column, half: Column) -> Column:
+def _mix(key: str, tag: Column, r: Column, half: Column) -> Column:
     """A keyed number below 2^60."""
-    return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit(tag), r.cast("string"), half.cast("string")), 256), 1, 15), 16, 10).cast("long")
+    return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), tag, r.cast("string"), half.cast("string")), 256), 1, 15), 16, 10).cast("long")
 
 
 def _feistel(key: str, tag: Column | str, a: Column, b: Column, size_a: Column, size_b: Column) -> Column:
@@ -51,95 +68,181 @@ def _feistel(key: str, tag: Column | str, a: Column, b: Column, size_a: Column,
     tag = F.lit(tag) if isinstance(tag, str) else tag
 
     def step(s: Column, r: Column) -> Column:
-        mix = lambda half: F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), tag, r.cast("string"), half.cast("string")), 256), 1, 15), 16, 10).cast("long")
         even = r % 2 == 0
         return F.struct(
-            F.when(even, F.pmod(s["a"] + F.pmod(mix(s["b"]), size_a), size_a)).otherwise(s["a"]).alias("a"),
-            F.when(even, s["b"]).otherwise(F.pmod(s["b"] + F.pmod(mix(s["a"]), size_b), size_b)).alias("b"),
+            F.when(even, F.pmod(s["a"] + F.pmod(_mix(key, tag, r, s["b"]), size_a), size_a)).otherwise(s["a"]).alias("a"),
+            F.when(even, s["b"]).otherwise(F.pmod(s["b"] + F.pmod(_mix(key, tag, r, s["a"]), size_b), size_b)).alias("b"),
         )
 
     start = F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"))
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step)
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _power(n: Column) -> Column:
     return F.pow(F.lit(10.0), n).cast("long")
 
 
-def permuted_digits(digits: Column, key: str) -> Column:
-    """A string of 2 to 19 digits permuted among the strings of its length."""
+def permuted_digits(digits: Column, key: str, tag: str = "digits") -> Column:
+    """A string of 2 to 30 digits permuted among the strings of its length; others stay."""
     n = F.length(digits)
     left = F.floor(n / 2).cast("int")
-    a, b = F.substring(digits, F.lit(1), left).cast("long"), F.substring(digits, left + 1, n).cast("long")
-    out = F.transform(F.array(_feistel(key, F.concat(F.lit("digits"), n.cast("string")), a, b, _power(left), _power(n - left))), lambda p: F.concat(F.lpad(p["a"].cast("string"), left, F.lit("0")), F.lpad(p["b"].cast("string"), n - left, F.lit("0"))))
-    return out[0]
+    a, b = F.substring(digits, F.lit(1), left).try_cast("long"), F.substring(digits, left + 1, n).try_cast("long")
+    out = _let(_feistel(key, F.concat(F.lit(tag), n.cast("string")), a, b, _power(left), _power(n - left)), lambda p: F.concat(F.lpad(p["a"].cast("string"), left, F.lit("0")), F.lpad(p["b"].cast("string"), n - left, F.lit("0"))))
+    return F.when(n.between(2, 30), out).otherwise(digits)
 
 
-def _luhn(digits: Column) -> Column:
+def luhn(digits: Column) -> Column:
     """The Luhn sum of a digit string modulo 10 (0: valid)."""
     places = F.transform(F.split(F.reverse(digits), "", -1), lambda c, i: F.when(i % 2 == 0, c.cast("int")).otherwise(F.floor(c.cast("int") * 2 / 10).cast("int") + c.cast("int") * 2 % 10))
     return F.aggregate(places, F.lit(0), lambda a, d: a + d) % 10
 
 
-def _number(digits: Column, key: str) -> Column:
-    """Permuted digits; of a valid card number all but the check digit, which follows."""
-    n = F.length(digits)
-    body = F.array(permuted_digits(F.substring(digits, F.lit(1), n - 1), key))
-    card = F.transform(body, lambda d: F.concat(d, F.pmod(10 - _luhn(F.concat(d, F.lit("0"))), F.lit(10)).cast("string")))[0]
-    return F.when((n >= 13) & (_luhn(digits) == 0), card).otherwise(permuted_digits(digits, key))
-
-
 def _refill(shape: Column, digits: Column) -> Column:
     """The digits of ``shape`` replaced by ``digits`` in order."""
     gaps = F.split(shape, "[0-9]", -1)
     return F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.substring(digits, i + 1, F.lit(1)))), "")
 
 
+def _card(m: Column, digits: Column, key: str) -> Column:
+    body = permuted_digits(F.substring(digits, F.lit(1), F.length(digits) - 1), key, "card")
+    new = _let(body, lambda d: F.concat(d, F.pmod(10 - luhn(F.concat(d, F.lit("0"))), F.lit(10)).cast("string")))
+    return F.when(F.length(digits).between(13, 19) & (luhn(digits) == 0), _refill(m, new)).otherwise(m)
+
+
+def _mod97(text: Column) -> Column:
+    """A string of capitals and digits as the number that its characters (A: 10 to Z: 35) make, modulo 97."""
+    value = lambda c: F.conv(c, 36, 10).cast("int")
+    return F.aggregate(F.split(text, "", -1), F.lit(0), lambda a, c: (a * F.when(value(c) > 9, 100).otherwise(10) + value(c)) % 97)
+
+
+def _iban(m: Column, key: str) -> Column:
+    plain = F.translate(m, " ", "")
+    head, tail = F.substring(plain, 1, 2), F.substring(plain, F.lit(5), F.length(plain))
+    right = (_mod97(F.concat(tail, F.substring(plain, 1, 4))) == 1) & F.substring(plain, 3, 2).cast("int").between(2, 98)
+    new = _refill(tail, permuted_digits(F.regexp_replace(tail, "[^0-9]", ""), key, "iban"))
+    whole = _let(new, lambda t: F.concat(head, F.lpad((98 - _mod97(F.concat(t, head, F.lit("00")))).cast("string"), 2, "0"), t))
+    # blanks back in their places
+    spaced = _let(whole, lambda w: F.aggregate(F.split(m, "", -1), F.struct(F.lit("").alias("s"), F.lit(1).alias("i")), lambda a, c: F.when(c == " ", F.struct(F.concat(a["s"], c).alias("s"), a["i"].alias("i"))).otherwise(F.struct(F.concat(a["s"], F.substring(w, a["i"], F.lit(1))).alias("s"), (a["i"] + 1).alias("i"))))["s"])
+    return F.when(right, spaced).otherwise(m)
+
+
+def _social(m: Column, digits: Column, key: str) -> Column:
+    """Area 001 to 899 without 666, group 01 to 99, serial 0001 to 9999."""
+    part = lambda at, n: F.substring(digits, at, n).try_cast("long")
+    area, group, serial = part(1, 3), part(4, 2), part(6, 4)
+    p = _feistel(key, "social", area - 1 - (area > 666).cast("long"), (group - 1) * 9999 + serial - 1, F.lit(898).cast("long"), F.lit(99 * 9999).cast("long"))
+    pad = lambda x, n: F.lpad(x.cast("long").cast("string"), n, "0")
+    new = _let(p, lambda s: F.concat_ws("-", pad(s["a"] + 1 + (s["a"] >= 665).cast("long"), 3), pad(F.floor(s["b"] / 9999) + 1, 2), pad(s["b"] % 9999 + 1, 4)))
+    return F.when(area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0), new).otherwise(m)
+
+
+def _place(key: str, tag: str, x: int, sides: tuple[int, int]) -> int:
+    """What _feistel makes of one place of a rectangle."""
+    s = [x // sides[1], x % sides[1]]
+    for r in range(ROUNDS):
+        mixed = int(sha256(f"{key}|{tag}|{r}|{s[1 - r % 2]}".encode()).hexdigest()[:15], 16)
+        s[r % 2] = (s[r % 2] + mixed % sides[r % 2]) % sides[r % 2]
+    return s[0] * sides[1] + s[1]
+
+
+def _is_late_day(x: int) -> bool:
+    try:
+        return bool(date(FIRST_YEAR + x // (12 * LATE), x // LATE % 12 + 1, x % LATE + EARLY + 1))
+    except ValueError:
+        return False
+
+
+@cache
+def _late_walk(key: str) -> int:
+    """The most steps that any later day needs to reach another one: one, and the longest run of places that are no day."""
+    off = {x: _place(key, "late", x, _LATE_SIDES) for x in range(YEARS * 12 * LATE) if not _is_late_day(x)}
+    longest = 0
+    for x in set(off) - set(off.values()):  # runs start behind a day
+        n = 0
+        while x in off:
+            x, n = off[x], n + 1
+        longest = max(longest, n)
+    return longest + 1
+
+
 def _day(m: Column) -> tuple[Column, Column]:
     """Format and calendar day of a date-like string; null if it isn't a day."""
-    form = F.when(m.rlike(r"^\d{4}-"), "yyyy-MM-dd").when(m.rlike(r"^\d{4}/"), "yyyy/MM/dd").when(F.contains(m, F.lit(".")), "dd.MM.yyyy").when(F.contains(m, F.lit("/")), F.when(F.substring(m, 4, 2).cast("int") > 12, "MM/dd/yyyy").otherwise("dd/MM/yyyy")).otherwise("dd-MM-yyyy")
+    form = F.when(m.rlike(r"^\d{4}-"), "yyyy-MM-dd").when(m.rlike(r"^\d{4}/"), "yyyy/MM/dd").when(F.contains(m, F.lit(".")), "dd.MM.yyyy").when(F.contains(m, F.lit("/")), F.when(F.substring(m, 4, 2).try_cast("int") > 12, "MM/dd/yyyy").otherwise("dd/MM/yyyy")).otherwise("dd-MM-yyyy")
     part = lambda name, width: F.substring(m, F.instr(form, F.lit(name)), F.lit(width))
-    text = F.concat_ws("-", part("yyyy", 4), part("MM", 2), part("dd", 2))
-    return form, F.try_to_date(text, "yyyy-MM-dd")
+    return form, F.try_to_date(F.concat_ws("-", part("yyyy", 4), part("MM", 2), part("dd", 2)), "yyyy-MM-dd")
 
 
 def _date(m: Column, key: str) -> Column:
     form, day = _day(m)
-    at = F.datediff(day, F.lit("1900-01-01").cast("date"))
-    rows, columns = 271, 270  # 73,170 places: some lie past the last day and are permuted again
+    month = (F.year(day) - FIRST_YEAR) * 12 + F.month(day) - 1
 
-    def once(x: Column) -> Column:
-        p = _feistel(key, "date", F.floor(x / columns), x % columns, F.lit(rows).cast("long"), F.lit(columns).cast("long"))
-        return F.transform(F.array(p), lambda s: s["a"] * columns + s["b"])[0]
+    def permuted(tag: str, x: Column, sides: tuple[int, int]) -> Column:
+        return _let(_feistel(key, tag, F.floor(x / sides[1]), x % sides[1], F.lit(sides[0]).cast("long"), F.lit(sides[1]).cast("long")), lambda s: s["a"] * sides[1] + s["b"])
 
-    # a walk of k steps all past the end has chance (121 / 73170)^k: 4 steps suffice for all 73,049 days in practice, else the date stays a place in 1900
-    walked = F.aggregate(F.sequence(F.lit(0), F.lit(5)), F.struct(once(at.cast("long")).alias("x")), lambda s, _: F.struct(F.when(s["x"] < _DAYS, s["x"]).otherwise(once(s["x"])).alias("x")))["x"]
-    new = F.date_add(F.lit("1900-01-01").cast("date"), walked.cast("int"))
-    part = {"yyyy": F.date_format(new, "yyyy"), "MM": F.date_format(new, "MM"), "dd": F.date_format(new, "dd")}
-    digits = F.when(form.startswith("yyyy"), F.concat(part["yyyy"], part["MM"], part["dd"])).when(form.startswith("MM"), F.concat(part["MM"], part["dd"], part["yyyy"])).otherwise(F.concat(part["dd"], part["MM"], part["yyyy"]))
-    return F.when(at.between(0, _DAYS - 1), _refill(m, digits)).otherwise(m)
+    def day_at(x: Column, width: int, first: int) -> Column:
+        """The day at a place, null if there is none."""
+        month_at = F.floor(x / width)
+        return F.try_to_date(F.concat_ws("-", (F.floor(month_at / 12) + FIRST_YEAR).cast("string"), F.lpad((month_at % 12 + 1).cast("string"), 2, "0"), F.lpad((x % width + first).cast("string"), 2, "0")), "yyyy-MM-dd")
+
+    early = day_at(permuted("early", month * EARLY + F.dayofmonth(day) - 1, _EARLY_SIDES), EARLY, 1)
+    start = F.struct((month * LATE + F.dayofmonth(day) - EARLY - 1).cast("long").alias("x"), F.lit(None).cast("date").alias("d"))
+    step = lambda s, _: F.when(s["d"].isNotNull(), s).otherwise(_let(permuted("late", s["x"], _LATE_SIDES), lambda y: F.struct(y.alias("x"), day_at(y, LATE, EARLY + 1).alias("d"))))
+    late = F.aggregate(F.sequence(F.lit(1), F.lit(_late_walk(key))), start, step)["d"]
+    digits = lambda new: F.when(form.startswith("yyyy"), F.date_format(new, "yyyyMMdd")).when(form.startswith("MM"), F.date_format(new, "MMddyyyy")).otherwise(F.date_format(new, "ddMMyyyy"))
+    inside = F.year(day).between(FIRST_YEAR, FIRST_YEAR + YEARS - 1)
+    return F.when(inside, _let(F.when(F.dayofmonth(day) <= EARLY, early).otherwise(late), lambda new: _refill(m, digits(new)))).otherwise(m)
 
 
 def _ip(m: Column, key: str) -> Column:
-    q = F.transform(F.split(m, r"\.", -1), lambda x: x.cast("int"))
+    q = F.transform(F.split(m, r"\.", -1), lambda x: x.try_cast("int"))
     p = _feistel(key, "ip", q[0] * 256 + q[1], q[2] * 256 + q[3], F.lit(65536).cast("long"), F.lit(65536).cast("long"))
-    out = F.transform(F.array(p), lambda s: F.concat_ws(".", F.floor(s["a"] / 256), s["a"] % 256, F.floor(s["b"] / 256), s["b"] % 256))[0]
+    out = _let(p, lambda s: F.concat_ws(".", F.floor(s["a"] / 256), s["a"] % 256, F.floor(s["b"] / 256), s["b"] % 256))
     return F.when(F.forall(q, lambda x: x < 256), out).otherwise(m)
 
 
+def _secret(m: Column, key: str) -> Column:
+    """Hexadecimal digits of any number: each half in turn is added to a keyed stream of the other. Case counts as style, not value."""
+    n = F.length(m)
+    low = F.lower(m)
+    halves = F.struct(F.substring(low, F.lit(1), F.floor(n / 2).cast("int")).alias("a"), F.substring(low, F.floor(n / 2).cast("int") + 1, n).alias("b"))
+
+    def stream(other: Column, r: Column, length: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.floor(length / 64).cast("int"))
+        return F.array_join(F.transform(blocks, lambda i: F.sha2(F.concat_ws("|", F.lit(key), F.lit("secret"), r.cast("string"), i.cast("string"), other), 256)), "")
+
+    def added(half: Column, other: Column, r: Column) -> Column:
+        number = lambda c: F.conv(c, 16, 10).cast("int")
+        digits, keyed = F.split(half, "", -1), F.split(F.substring(stream(other, r, F.length(half)), F.lit(1), F.length(half)), "", -1)
+        return F.array_join(F.zip_with(digits, keyed, lambda x, y: F.lower(F.hex((number(x) + number(y)) % 16))), "")
+
+    def step(s: Column, r: Column) -> Column:
+        even = r % 2 == 0
+        return F.struct(F.when(even, added(s["a"], s["b"], r)).otherwise(s["a"]).alias("a"), F.when(even, s["b"]).otherwise(added(s["b"], s["a"], r)).alias("b"))
+
+    out = _let(F.aggregate(F.sequence(F.lit(0), F.lit(3)), halves, step), lambda s: F.concat(s["a"], s["b"]))
+    return F.when(m == F.upper(m), F.upper(out)).otherwise(out)
+
+
 def pseudonym(m: Column, key: str = KEY) -> Column:
-    """The pseudonym of one match of ANY."""
+    """The pseudonym of one match of ANY; the match itself if it isn't valid."""
     full = lambda k: m.rlike("^(?:" + KINDS[k] + ")$")
-    digest = lambda tag, text: F.sha2(F.concat_ws("|", F.lit(key), F.lit(tag), text), 256)
     digits = F.regexp_replace(m, "[^0-9]", "")
-    address = F.concat(F.lit("u"), F.substring(digest("email", F.lower(m)), 1, 12), F.lit("@mail.invalid"))
-    secret = F.substring(F.concat(*[digest(f"secret{i}", m) for i in range(4)]), F.lit(1), F.least(F.length(m), F.lit(256)))
+    address = F.concat(F.lit("u"), F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), F.lower(m)), 256), 1, 32), F.lit("@mail.invalid"))
     return (
         F.when(full("email"), address)
-        .when(full("secret"), F.when(m == F.upper(m), F.upper(secret)).otherwise(secret))
+        .when(full("secret"), _secret(m, key))
+        .when(full("iban"), _iban(m, key))
         .when(full("ip"), _ip(m, key))
         .when(full("date"), _date(m, key))
-        .otherwise(_refill(m, F.when(full("number"), _number(digits, key)).otherwise(permuted_digits(digits, key))))
+        .when(full("social"), _social(m, digits, key))
+        .when(full("card"), _card(m, digits, key))
+        .when(full("phone"), _refill(m, permuted_digits(digits, key, "phone")))
+        .otherwise(m)
     )
 
 
