@@ -16,11 +16,13 @@ repeat that overlaps its own first occurrence stays. The first place of each lin
 Chunks are matched by a pair of 64-bit hashes, one over line hashes and one over bytes; then the texts of
 all chunks that share a pair are compared by their bytes, and a pair that stands for two texts is left
 alone. Hashes are counted with map-side sums, so a chunk that a third of all documents hold moves once per
-task; texts are dealt by document, never by chunk, before the comparison.
+task; where its places meet what is known of it, such a hot chunk's rows are salted. Texts are dealt by
+document, never by chunk, before the comparison.
 
 Defined results: null text stays null, empty text stays empty, neither has chunks to remove. Rows with the
 same doc_id and text are treated alike: their chunks count as one occurrence. Repeats within a text go
-too. Lines that stay keep their order. Empty tables give no rows.
+too. Lines that stay keep their order. Very long texts are taken whole. Other columns pass through, whatever
+their names (but for the prefix ``_lq_``). Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -84,14 +86,15 @@ def _removals(docs: DataFrame, keyed: DataFrame, id_col: str, text_col: str, run
     same exchange of texts again.
     """
     all_chunks = C.save(chunks(docs, id_col, text_col, runs), "chunks")
-    again = all_chunks.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("at").alias("first")).filter("n > 1").select("h1", "h2", "first")
+    again = C.save(all_chunks.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("at").alias("first")).filter("n > 1"), "again")
     later = (F.col("at.doc") != F.col("first.doc")) | (F.col("at.s") > F.col("first.e"))
-    seen = C.save(all_chunks.join(again, ["h1", "h2"]).withColumn("later", later).drop("at", "first"), "repeats")
+    place, counts = F.struct("_lq_id", "_lq_t", "s"), again.select("h1", "h2", "n")
+    seen = C.save(C.spread_join(all_chunks, again.drop("n"), ["h1", "h2"], place, counts=counts).withColumn("later", later).drop("at", "first"), "repeats")
     wanted = seen.groupBy("_lq_id", "_lq_t").agg(F.collect_set(F.struct("s", "e", "h1", "h2")).alias("w"))
     texts = keyed.join(wanted, ["_lq_id", "_lq_t"]).select("w", F.xxhash64(*docs.columns).alias("row"), _lines(text_col).alias("l"))
     texts = texts.select("row", F.explode(F.expr(r"transform(w, c -> named_struct('h1', c.h1, 'h2', c.h2, 'x', array_join(slice(l, c.s, c.e - c.s + 1), '\n')))")).alias("c"))
     same = texts.groupBy("c.h1", "c.h2").agg((F.min("c.x") == F.max("c.x")).alias("same"), F.max("row").alias("row")).filter("same and row is not null").select("h1", "h2")
-    gone = seen.filter("later").join(same, ["h1", "h2"], "left_semi")
+    gone = C.spread_join(seen.filter("later"), same, ["h1", "h2"], place, "left_semi", counts)
     return gone.groupBy("_lq_id", "_lq_t").agg(F.collect_set(F.struct("s", "e")).alias("_lq_x"))
 
 

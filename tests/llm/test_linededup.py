@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import xxhash
 from pyspark.sql import functions as F
 
-from loomquery.llm import linededup
+from loomquery.llm import common, linededup
 from loomquery.llm.queries import QUERIES
 
 M = 2**64 - 1
@@ -106,3 +106,13 @@ def test_runs_remove_what_chunks_remove(spark, sf):
 def test_registered_query_removes_runs(spark, sf):
     want = Counter(tuple(r) for r in linededup.dedup_lines(spark.read.parquet(f"{sf}/documents.parquet"), runs=True).collect())
     assert Counter(tuple(r) for r in QUERIES["op9_line_dedup"](spark, sf).collect()) == want
+
+
+def test_salted_hot_chunks(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    passage = "\n".join(f"shared line number {i} of a passage with words" for i in range(4))
+    docs = docs.select("doc_id", "text").unionByName(spark.range(5000, 5300).select(F.col("id").alias("doc_id"), F.concat(F.lit("own "), F.col("id"), F.lit("\n" + passage + "\nend of "), F.col("id")).alias("text")))
+    plain = sorted(tuple(r) for r in linededup.dedup_lines(docs, runs=True).collect())
+    assert sum(r[2] == 4 for r in plain if r[0] >= 5000) == 299
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    assert plain == sorted(tuple(r) for r in linededup.dedup_lines(docs, runs=True).collect())
