@@ -15,7 +15,8 @@ key is used twice, and the votes are summed where that join leaves the rows, wit
 
 Defined results: null text is the empty text, with n_chars 0 and fingerprint zero. Order is by doc_id, nulls
 last, then by text hash. Rows with the same doc_id and text are one document in that order and get equal
-rows. A single document is its own successor. Empty tables give no rows.
+rows. A single document is its own successor. A text is at most 250 MB long. Only id and text are read,
+whatever other columns there are. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -75,9 +76,9 @@ def near_groups(fps: DataFrame, id_col: str = "doc_id", fp_col: str = "fp") -> D
     """(fp, near_group) of each distinct fingerprint of saved rows (id, fp)."""
     distinct = C.save(fps.groupBy(F.col(fp_col).alias("fp")).agg(F.min(id_col).alias("least")), "distinct")
     roots = contracted_components(C.save(links(distinct.select("fp"), distinct.count(), RADIUS), "links"))
-    named = distinct.join(roots.withColumnRenamed("v", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = C.save(distinct.join(roots.withColumnRenamed("v", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "named")
     least = named.groupBy("root").agg(F.min("least").alias("near_group"))
-    return C.save(named.join(least, "root").select("fp", "near_group"), "groups")
+    return C.save(C.spread_join(named.select("fp", "root"), least, ["root"], F.col("fp")).select("fp", "near_group"), "groups")
 
 
 def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -106,7 +107,7 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     of_next = pairs.select(*keys, F.col("nk"), F.col("nt")).join(made.select(F.col("k").alias("nk"), F.col("t").alias("nt"), F.col("fp").alias("next_fp")), ["nk", "nt"]).select(*keys, "next_fp")
     full = C.save(digest.join(made, keys).join(of_next, keys).drop(*keys), "joined")
-    out = full.join(near_groups(full), "fp")
+    out = C.spread_join(full, near_groups(full), ["fp"], F.struct("doc_id", "sha"))
     return out.select(
         F.col("doc_id").alias(id_col), "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), _hex("fp").alias("fingerprint"), _hex("edited_fp").alias("edited_fingerprint"),
         _alike("fp", "edited_fp").alias("near_edited"), _alike("fp", "next_fp").alias("near_next"), "near_group",
