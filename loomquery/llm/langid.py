@@ -6,17 +6,22 @@ language whose codeword has the least loss: the sum over bits of log(1 + exp(-bi
 weighted by how well its classifier did on that language in a validation fifth of the sample. Up to seven
 languages get the exhaustive code (all two-way splits), more get a seeded random code of wide distance.
 
-The model is fit on a bounded sample: at most SAMPLE_ROWS labelled rows, shared equally by the languages
-and chosen by a hash of doc_id, from documents whose crc32(doc_id as text) mod 4 is not 2. Only text is an
-input of a prediction. Rows are predicted where they are read; nothing is shuffled.
+The model is fit on a bounded sample: SAMPLE_ROWS labelled rows shared equally by the languages, but at least
+one of each, however many there are, from documents whose crc32(doc_id as text) mod 4 is not 2. Rows are
+chosen by a hash of doc_id below a threshold for each language, set by its number of rows, so that no task
+ranks all rows of a language; texts are read of the chosen rows only, and one without a letter teaches
+nothing. Only text is an input of a prediction. Rows are predicted where they are read; nothing is shuffled.
 
 Defined results: null text and text without a letter are ``und`` with score 0 and not ambiguous; with no
 labelled row everything is. One learned language is predicted for all with score 1. Rows with a null doc_id
-or null lang are never learned from; a null doc_id is not held out. Repeated rows are predicted alike.
+or null lang are never learned from; a null doc_id is not held out. Repeated rows are predicted alike, and
+learned from once. Very long texts are taken whole. Ids keep their type. Only id, text and (to learn) lang
+are read, whatever other columns there are. Empty tables give no rows.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from loomquery.llm import common as C
 from loomquery.plans.ship import ship
 
 SAMPLE_ROWS, FEATURES = 4000, 4096
@@ -34,7 +40,7 @@ MARGIN = 0.25
 
 _state: dict[str, np.ndarray] = {}
 
-OUT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("held_out", T.BooleanType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])
+OUT = [T.StructField("held_out", T.BooleanType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())]
 
 
 def _is_letter() -> np.ndarray:
@@ -69,7 +75,7 @@ def codewords(k: int) -> np.ndarray:
         bits = [[1 if j >> i & 1 else -1 for i in range(k)] for j in range(1, 2 ** (k - 1))]
         return np.array(bits, dtype=np.float32).T.reshape(k, -1)
     rng, best, far = np.random.default_rng(7), None, -1.0
-    for _ in range(200):
+    for _ in range(200 if k <= 1000 else 1):
         code = rng.choice(np.array([-1, 1], dtype=np.float32), size=(k, int(np.ceil(10 * np.log2(k)))))
         gram = code @ code.T
         np.fill_diagonal(gram, -np.inf)
@@ -127,31 +133,44 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
+def sample(known: DataFrame, rows: int) -> DataFrame:
+    """(doc_id, lang) of the rows to learn from: of each language those of the least hashes of doc_id.
+
+    A language of n rows keeps hashes below a threshold that about 2 * each + 64 rows pass, where ``each`` is
+    its share; of these few the first ``each`` are taken.
+    """
+    counts = C.save(known.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    each = max(1, rows // max(1, counts.count()))
+    small = counts.select("lang", (F.lit(2.0 * each + 64) / F.col("n")).alias("_lq_share"))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 52)) / float(1 << 52)
+    few = C.lookup(known.select("doc_id", "lang"), small, "lang", F.col("doc_id"), "inner").filter(place < F.col("_lq_share")).select("doc_id", "lang").distinct()
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    return few.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= each).select("doc_id", "lang")
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS) -> Model:
     """A model from the bounded sample; only its feature vectors (FEATURES numbers a row) come to the driver."""
     ship(docs.sparkSession)
-    known = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    known = known.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out("doc_id"))
-    langs = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(max(1, rows // 8)).collect()]
-    each = rows // max(1, len(langs))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.filter(F.col("lang").isin(langs)).select("doc_id", "lang").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= each)
-    chosen = known.join(F.broadcast(ids.select("doc_id", "lang").distinct()), ["doc_id", "lang"], "left_semi").select("doc_id", "text", "lang")
+    known = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    known = known.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out("doc_id"))
+    chosen = known.join(F.broadcast(C.save(sample(known, rows), "sample")), ["doc_id", "lang"], "left_semi").select("doc_id", "text", "lang")
 
     def vectors(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
             found = [(i, w, v) for i, w, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(1), strict=True) if (v := features(t.as_py())) is not None]
-            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.string()), pa.array([f[2].tobytes() for f in found], pa.binary())], names=["doc_id", "lang", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.string()), pa.array([f[2].tobytes() for f in found], pa.binary())], names=["doc_id", "lang", "v"])
 
-    # rows that repeat a doc_id count once
-    got = chosen.mapInArrow(vectors, "doc_id long, lang string, v binary").groupBy("doc_id", "lang").agg(F.min("v").alias("v")).toArrow()
-    order = np.argsort(np.array(got.column("doc_id").to_pylist(), dtype=np.int64), kind="stable")
-    names = sorted(set(got.column("lang").to_pylist()))
-    y = np.array([names.index(x) for x in got.column("lang").to_pylist()], dtype=np.int64)
-    x = np.array([np.frombuffer(v, np.float32) for v in got.column("v").to_pylist()], dtype=np.float32).reshape(-1, FEATURES)
-    return Model(names, x[order], y[order])
+    # rows that repeat a doc_id count once; the order of rows decides which fifth validates, so it is fixed
+    told = chosen.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "lang").mapInArrow(vectors, "doc_id string, lang string, v binary")
+    got = told.groupBy("doc_id", "lang").agg(F.min("v").alias("v")).toArrow().to_pylist()
+    got.sort(key=lambda r: (zlib.crc32(r["doc_id"].encode()), r["doc_id"], r["lang"]))
+    names = sorted({r["lang"] for r in got})
+    number = {name: i for i, name in enumerate(names)}
+    y = np.array([number[r["lang"]] for r in got], dtype=np.int64)
+    x = np.array([np.frombuffer(r["v"], np.float32) for r in got], dtype=np.float32).reshape(-1, FEATURES)
+    return Model(names, x, y)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -166,7 +185,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         for batch in batches:
             found = [m.predict(t.as_py()) for t in batch.column(2)]
             columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=OUT.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=schema.names)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, OUT).withColumnRenamed("doc_id", id_col)
+    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *OUT])
+    rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, schema).withColumnRenamed("doc_id", id_col)

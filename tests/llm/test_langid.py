@@ -42,3 +42,49 @@ def test_codes():
         np.fill_diagonal(gram, -np.inf)
         assert code.shape[0] == k and len({tuple(r) for r in code.tolist()}) == k and gram.max() < code.shape[1]
     assert langid.codewords(4).shape[1] == 7
+
+
+def test_every_language_is_learned(spark):
+    """More languages than the sample has rows, one of them with most rows: each still gets one."""
+    rows = [(f"d{i}", chr(0x4E00 + 40 * n) * 5 + " " + chr(0x4E01 + 40 * n) * 7, f"l{n:03}") for n in range(60) for i in range(8 * n, 8 * n + 8)]
+    rows += [(f"h{i}", "word of the hot one", "hot") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, lang string")
+    model = langid.train(docs, rows=30)
+    assert model.langs == sorted({r[2] for r in rows})
+    known = docs.filter(~langid.held_out("doc_id")).select("doc_id", "lang")
+    for bound, each in ((30, 1), (61 * 4, 4), (61 * 500, 500)):
+        got = {r["lang"]: r["n"] for r in langid.sample(known, bound).groupBy("lang").agg(F.count("*").alias("n")).collect()}
+        of = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+        assert got == {x: min(each, n) for x, n in of.items()}
+
+
+def test_repeated_rows_teach_once(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    once, often = (langid.train(d) for d in (docs, docs.unionByName(docs.filter("doc_id % 3 = 0"))))
+    assert once.langs == often.langs and np.array_equal(once.w, often.w)
+
+
+def test_features_and_decoding_match_brute_force(spark, sf):
+    """The vector of a text, gram by gram, and the least weighted loss, bit by bit."""
+    def vector(text):
+        s = "\0" + "".join(c if c.isalpha() else "\0" for c in text.lower()) + "\0"
+        s = "".join(c for i, c in enumerate(s) if i == 0 or c != "\0" or s[i - 1] != "\0")
+        m, found = 2**32, np.zeros(langid.FEATURES)
+        one = lambda c: ord(c) * 2654435761 % m
+        two = lambda g: (one(g[0]) * 31 + ord(g[1]) * 2246822519 + 1) % m
+        three = lambda g: (two(g) * 31 + ord(g[2]) * 3266489917 + 2) % m
+        for n, h in ((1, one), (2, two), (3, three)):
+            for i in range(len(s) - n + 1):
+                x = h(s[i : i + n])
+                found[((x ^ x >> 15) * 2654435761 % m) >> 20] += 1
+        return np.sqrt(found) / np.sqrt(found.sum())
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.train(docs)
+    for r in docs.filter("text is not null").limit(40).collect():
+        if not any(c.isalpha() for c in r["text"]):
+            continue
+        v = vector(r["text"])
+        assert np.allclose(v, langid.features(r["text"]), atol=1e-5)
+        losses = [sum(model.weight[k][j] * np.log1p(np.exp(-model.code[k][j] * (v @ model.w[:, j] + model.b[j]))) for j in range(model.code.shape[1])) for k in range(len(model.langs))]
+        assert model.predict(r["text"])[0] == model.langs[int(np.argmin(losses))]
