@@ -47,18 +47,38 @@ def test_edge_cases(spark):
     assert [r["verdict"] for r in alone] == ["allow", "allow"]
 
 
-def test_a_hot_url_does_not_fill_the_sample(spark, monkeypatch):
-    """The bound is on distinct URLs: one of the smallest hash with most rows leaves room for the others."""
+def test_repeated_rows_do_not_change_the_model(spark, sf, monkeypatch):
+    """A labelled URL repeated a thousand times, under a bound that it would fill alone, changes no verdict and no score."""
     monkeypatch.setattr(urls, "TRAIN_ROWS", 100)
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url")
+    ruled = urls.judge(pages).filter("rule is not null").select("page_id").first()[0]
+    hot = pages.filter(F.col("page_id") == ruled).select((F.col("page_id") + F.lit(10_000_000)).alias("page_id"), F.explode(F.array_repeat("url", 1000)).alias("url"))
+    before, after = ({(r["page_id"], r["verdict"], r["block_score"]) for r in urls.judge(p).filter("page_id < 10000000").collect()} for p in (pages, pages.unionByName(hot)))
+    assert before == after and len({v for _, v, _ in before}) == 2
+
+
+def test_held_out_auc(spark, sf):
     rules = [("block", "bad.test/"), ("allow", "good.test/")]
-    bad = [f"http://a{i}9{i}7.bad.test/p?x={i}&y={i}&z=aaaaaaaaaaaaaaaa" for i in range(60)]
-    good = [f"https://news.good.test/story/{i}" for i in range(60)]
-    new = ["http://a33977.else.where/p?x=3&y=3&z=aaaaaaaaaaaaaaaa", "https://news.else.where/story/b"]
-    both = spark.createDataFrame([(u,) for u in [*bad, *good]], "url string")
-    low = both.filter(F.col("url").startswith("https")).orderBy(F.xxhash64("url")).first()["url"]
-    tries = [f"https://news.good.test/story/{i}" for i in range(60, 5000)]
-    least = both.agg(F.min(F.xxhash64("url"))).first()[0]
-    hot = next((r["url"] for r in spark.createDataFrame([(u,) for u in tries], "url string").filter(F.xxhash64("url") < least).collect()), low)
-    rows = [*bad, *good, *[hot] * 150]
-    got = {r["page_id"]: r["verdict"] for r in urls.judge(spark.createDataFrame(list(enumerate(rows + new)), "page_id long, url string"), rules=rules).collect()}
-    assert got[270] == "block" and got[271] == "allow"
+    rows = [f"http://a{i}9{i}7.x{i}.bad.test/p?x={i}&y={i}&z=aaaaaaaaaaaaaaaa" for i in range(100)] + [f"https://news.y{i}.good.test/story/{i}" for i in range(100)]
+    assert urls.held_out_auc(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string"), rules=rules) > 0.95
+    assert urls.held_out_auc(spark.read.parquet(f"{sf.replace('0.001', '0.01')}/pages.parquet")) > 0.7
+    assert urls.held_out_auc(spark.createDataFrame([(1, "http://a.com/en/")], "page_id long, url string")) is None
+
+
+def test_rates_leave_out_the_own_fold(spark):
+    """A domain that one learned URL alone has tells nothing of it; two of different folds tell of each other."""
+    rules = [("block", "bad.test/"), ("allow", "good.test/")]
+    rows = [f"http://h{i}.bad.test/" for i in range(40)] + [f"http://h{i}.good.test/" for i in range(40)]
+    _, learned = urls._parsed(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string"), "page_id", "url", rules)
+    model = urls.Trees(learned)
+    got = urls._binned(learned, model.rates, model.prior, own_fold=True).select("url", "label", "fold", "domain", "domain_rate").collect()
+    for r in got:
+        others = [x["label"] for x in got if x["domain"] == r["domain"] and x["fold"] != r["fold"]]
+        assert abs(r["domain_rate"] - (sum(others) + urls.PRIOR * 0.5) / (len(others) + urls.PRIOR)) < 1e-12
+
+
+def test_very_long_urls_and_other_columns(spark):
+    long = "http://example.com/en/7" + "x" * 200_000 + "?" + "a=1&" * 50_000
+    pages = spark.createDataFrame([("p", long, "h", 1), ("q", long.replace("example.com", "else.where"), "h", 2)], "page_id string, url string, host string, block_score int")
+    got = {r["page_id"]: r for r in urls.judge(pages).collect()}
+    assert got["p"]["rule"] == "example.com/en/7" and got["p"]["verdict"] == "allow" and got["q"]["verdict"] == "allow" and len(got["q"]["path"]) == len("/en/7") + 200_000
