@@ -5,13 +5,17 @@ documents; what is left of each document (under one sequence) is gathered block
 many sequences as its tokens fill: full ones, and for the last part sequences whose lengths are powers of
 two, which need no padding. Documents go in descending length to the sequence of lowest attention cost
 (linear + quadratic in each piece's length) that still has room for them; one that fits nowhere whole is
-cut at the sequence with most room. So every sequence is filled exactly and padding is zero.
+cut at the sequence with most room. So every sequence is filled exactly and padding is zero. Costs are
+balanced among the sequences of a block; whole sequences of long documents are one piece each, the dearest
+there is, and take no part. A block leaves at most eleven sequences under full length, one for each power of
+two. BLOCK_TOKENS and BLOCK_DOCS bound a task's memory and so what is balanced together.
 
 Packing runs where the text is read: no shuffle, and a task holds one block at a time. A lost task is run
 again on the same input split and gives the same pieces; sequence ids hold the partition number.
 
 Defined results: null text is empty and gives the end id alone. Repeated rows are packed each on its own.
-Empty tables give no rows.
+Very long texts are taken whole. Ids keep their type. Only id and text are read, whatever other columns there
+are. Empty tables give no rows.
 
 Ids equal those of ``tokenizers``; texts of common scripts are encoded by ``tiktoken`` with ranks read
 from the same vocabulary file (about four times as fast), all others by ``tokenizers`` itself.
@@ -38,7 +42,7 @@ BLOCK_TOKENS, BLOCK_DOCS = 2_000_000, 4_096
 #: Attention cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n.
 LINEAR, QUADRATIC = 1.0, 1.0 / 512
 
-SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), *[T.StructField(c, T.LongType(), False) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]])
+PIECE = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 #: The vocabulary's split pattern where white space never repeats, and where it may.
 _SINGLE = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s"
@@ -118,7 +122,7 @@ class _Packer:
     def __init__(self, base: int, length: int):
         self.next, self.length, self.rows, self.block, self.tokens = base, length, [], [], 0
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+    def add(self, doc_id, ids: np.ndarray) -> None:
         n = len(ids)
         whole = n - n % self.length
         for at in range(0, whole, self.length):
@@ -142,12 +146,12 @@ class _Packer:
     def _piece(self, doc_id, ids, start, n, sequence, offset) -> None:
         self.rows.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes()), n, sequence, offset))
 
-    def taken(self):
+    def taken(self, id_type):
         import pyarrow as pa
 
         rows, self.rows = self.rows, []
-        columns = list(zip(*rows, strict=True)) if rows else [[] for _ in SCHEMA.names]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=SCHEMA.names)
+        columns = list(zip(*rows, strict=True)) if rows else [[] for _ in range(1 + len(PIECE))]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i else id_type) for i, c in enumerate(columns)], names=["doc_id", *PIECE])
 
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
@@ -159,12 +163,16 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator) -> Iterator:
         encode = encoder(tokenizer)
         packer = _Packer(TaskContext.get().partitionId() << 40, length)
+        id_type = None
         for batch in batches:
+            id_type = batch.column(0).type
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 packer.add(doc_id, np.append(encode(text.as_py() or ""), np.uint32(end_id)).astype("<u4"))
-            yield packer.taken()
+            yield packer.taken(id_type)
         packer.flush()
-        yield packer.taken()
+        if id_type:
+            yield packer.taken(id_type)
 
     ship(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
+    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *[T.StructField(c, T.LongType(), False) for c in PIECE]])
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)

@@ -64,3 +64,42 @@ def test_round_trip(spark, trouble, empty, slow):
             at += n
         assert at <= 2048 and (at == 2048 or at & (at - 1) == 0)
     assert packing.pack(empty, tokenizer_path()).count() == 0
+
+
+def test_whole_table_equals_tokenizers(spark, sf, slow):
+    """Every document of the table, and a few very long ones."""
+    encode = packing.Encoder(tokenizer_path())
+    texts = [r["text"] or "" for r in spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet").select("text").collect()]
+    for t in [*texts, " ".join(texts)[:300_000], "a" * 100_000, " " * 50_000, "é中\n\n" * 20_000]:
+        assert encode(t).tolist() == slow.encode(t, add_special_tokens=False).ids
+
+
+def test_assignment_matches_brute_force():
+    """Each document in descending length to the cheapest sequence with room, else cut at the roomiest."""
+    rng = random.Random(2)
+    for _ in range(30):
+        lengths = [rng.randint(1, 63) for _ in range(rng.randint(1, 40))]
+        room = {s: 64 for s in range(sum(lengths) // 64)}
+        rest = sum(lengths) % 64
+        for b in (32, 16, 8, 4, 2, 1):
+            if rest & b:
+                room[len(room)] = b
+        cost, want = dict.fromkeys(room, 0.0), []
+        for d in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+            at = 0
+            while at < lengths[d]:
+                n = lengths[d] - at
+                fits = [s for s in room if room[s] >= n]
+                s = min(fits, key=lambda s: (cost[s], s)) if fits else max(room, key=lambda s: (room[s], -s))
+                k = min(n, room[s])
+                want.append((d, at, k, s))
+                room[s] -= k
+                cost[s] += packing.LINEAR * k + packing.QUADRATIC * k * k
+                at += k
+        assert packing.balance(lengths, 64) == want
+
+
+def test_text_ids_stay(spark):
+    docs = spark.createDataFrame([("a", "one two"), (None, None)], "doc_id string, text string")
+    got = packing.pack(docs, tokenizer_path())
+    assert got.schema["doc_id"].dataType.simpleString() == "string" and {r["doc_id"] for r in got.collect()} == {"a", None}
