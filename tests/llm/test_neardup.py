@@ -105,3 +105,22 @@ def test_one_of_each_group_stays(spark, trouble, empty):
     assert len(ids) == len({c for c in groups.values()}) and len(set(ids)) == len(ids)
     assert 6 in ids and 7 not in ids and 2 in ids and 3 not in ids
     assert neardup.near_duplicates(empty).count() == 0 and neardup.drop_near_duplicates(empty).count() == 0
+
+
+def test_text_ids_and_equal_rows(spark):
+    body = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([("b", body), ("a", body), ("a", body), ("c", "other words here now")], "doc_id string, text string")
+    groups = {(r["doc_id"], r["component_id"]) for r in neardup.near_duplicates(docs).collect()}
+    assert groups == {("a", "a"), ("b", "a"), ("c", "c")}
+    assert sorted(r["doc_id"] for r in neardup.drop_near_duplicates(docs).collect()) == ["a", "c"]
+
+
+def test_salted_ways_agree(spark, sf, monkeypatch):
+    """Hot groups dealt by salts, and marks too many to broadcast, change no row."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = docs.unionByName(docs.filter("doc_id = 3").withColumn("doc_id", F.explode(F.sequence(F.lit(10_000), F.lit(10_400)))))
+    plain = [sorted(map(str, f(docs).collect())) for f in (neardup.near_duplicates, neardup.drop_near_duplicates)]
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    monkeypatch.setattr(common, "HOT_SHARE", 10_000)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 2)
+    assert plain == [sorted(map(str, f(docs).collect())) for f in (neardup.near_duplicates, neardup.drop_near_duplicates)]
