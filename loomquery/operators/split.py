@@ -66,18 +66,21 @@ def split_recursively(text: str, size: int = SIZE, overlap: int = OVERLAP, separ
 
 
 def split_markdown_by_size(text: str, size: int = SIZE) -> list[str]:
-    """Lines gathered until the next would come at ``size``, or at twice that once a header was seen."""
-    chunks, lines, length, header = [], [], 0, False
+    """Lines gathered until, before a line that isn't blank, they have ``size`` characters (line ends included).
+
+    From the first header of the text on, twice that. Chunks are as they stand, blank lines included.
+    """
+    chunks, lines, length, limit = [], [], -1, size
     for line in text.split("\n"):
         if line.strip():
-            header = header or re.match(r"#{1,6}\s", line) is not None
-            if lines and length >= (2 * size if header else size):
+            if re.match(r"#{1,6}\s+.", line.strip()):
+                limit = 2 * size
+            if lines and length >= limit:
                 chunks.append("\n".join(lines))
-                lines, length, header = [], 0, re.match(r"#{1,6}\s", line) is not None
+                lines, length = [], -1
         lines.append(line)
-        length += len(line)
-    chunks.append("\n".join(lines))
-    return [c.strip() for c in chunks if c.strip()]
+        length += len(line) + 1
+    return [*chunks, "\n".join(lines)]
 
 
 def chunker(split: Callable[[str], list[str]]):

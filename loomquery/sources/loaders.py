@@ -16,15 +16,19 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from loomquery.plans.ship import ship
+from loomquery.plans.tables import sized
 
-#: Languages by suffix; other suffixes are text.
+#: Languages by suffix; other suffixes are text. The last is an addition.
 LANGUAGES = {
-    ".py": "python", ".js": "javascript", ".ts": "typescript", ".jsx": "javascript", ".tsx": "typescript", ".java": "java", ".c": "c", ".h": "c", ".cpp": "cpp",
-    ".hpp": "cpp", ".cs": "csharp", ".go": "go", ".rs": "rust", ".rb": "ruby", ".php": "php", ".swift": "swift", ".kt": "kotlin", ".scala": "scala", ".r": "r",
-    ".sql": "sql", ".sh": "bash", ".html": "html", ".css": "css", ".xml": "xml", ".json": "json", ".yaml": "yaml", ".yml": "yaml", ".txt": "text",
+    ".py": "python", ".js": "javascript", ".ts": "typescript", ".jsx": "javascript", ".tsx": "typescript", ".java": "java", ".cpp": "cpp", ".c": "c", ".h": "c", ".hpp": "cpp",
+    ".cs": "csharp", ".go": "go", ".rs": "rust", ".rb": "ruby", ".php": "php", ".swift": "swift", ".kt": "kotlin", ".scala": "scala", ".html": "html", ".css": "css",
+    ".scss": "scss", ".json": "json", ".xml": "xml", ".yaml": "yaml", ".yml": "yaml", ".md": "markdown", ".sql": "sql", ".sh": "bash", ".bash": "bash", ".zsh": "bash",
+    ".ps1": "powershell", ".bat": "batch", ".txt": "text",
+    ".r": "r",
 }
 DOCUMENT = "source string, file_name string, file_type string, text string, metadata map<string,string>"
 
@@ -66,11 +70,18 @@ def code(spark: SparkSession, path, language: str | None = None, **options) -> D
     return _done(df, language=lang, line_count=F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1)
 
 
-def csv(spark: SparkSession, path, columns: list[str] | None = None, source_column: str | None = None, metadata_columns: list[str] | None = None, encoding: str = "utf-8", **options) -> DataFrame:
-    """A document for each row with some value: lines ``column: value``. ``row`` counts from 0 in each file."""
-    read = spark.read.options(header=True, multiLine=True, encoding=encoding, quote='"', escape='"', **options).csv(path)
-    at = F.row_number().over(Window.partitionBy("source").orderBy("_order")) - 1
-    df = _named(read, "csv").withColumn("_order", F.monotonically_increasing_id()).withColumn("row", at)
+def csv(spark: SparkSession, path, columns: list[str] | None = None, source_column: str | None = None, metadata_columns: list[str] | None = None, encoding: str | None = "utf-8", multiline: bool = True, **options) -> DataFrame:
+    """A document for each row with some value: lines ``column: value``. ``row`` counts from 0 in each file.
+
+    ``encoding`` None tries ENCODINGS on the files' bytes and takes the first that fits all. ``multiline``
+    False lets a file of one row a line be split over tasks; rows are numbered by the totals of the parts
+    before them, so no file is gathered in one task.
+    """
+    encoding = encoding or detect_encoding(spark, path, **options)
+    if encoding.lower() not in SPARK_ENCODINGS:  # Spark's readers know Java's other charsets only by this setting
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    read = spark.read.options(header=True, multiLine=multiline, encoding=encoding, quote='"', escape='"', **options).csv(path)
+    df = _numbered(_named(read, "csv"))
     cells = F.array(*[F.when(F.coalesce(F.col(f"`{c}`"), F.lit("")) != "", F.concat(F.lit(f"{c}: "), F.col(f"`{c}`"))) for c in columns or read.columns])
     df = df.withColumn("text", F.array_join(F.array_compact(cells), "\n")).filter("text <> ''")
     if source_column:
@@ -78,6 +89,50 @@ def csv(spark: SparkSession, path, columns: list[str] | None = None, source_colu
     return _done(df, row=F.col("row"), **{c: F.col(f"`{c}`") for c in metadata_columns or []})
 
 
+def _numbered(df: DataFrame) -> DataFrame:
+    """``df`` (rows as read, with ``source``) with ``row``: the place in the file, from 0.
+
+    A row's id holds its partition and its place there. The partitions' counts and first ids for each file,
+    a table of a row for each part of a file, turn it into the place in the file.
+    """
+    df = df.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.spark_partition_id())
+    parts = df.groupBy("source", "_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("source").orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = parts.select("source", "_part", (before - F.col("_first")).alias("_shift"))
+    return df.join(sized(starts), ["source", "_part"]).withColumn("row", F.col("_at") + F.col("_shift")).drop("_at", "_part", "_shift")
+
+
+#: Encodings that Spark's readers take without a setting.
+SPARK_ENCODINGS = ("iso-8859-1", "us-ascii", "utf-8", "utf-16", "utf-16be", "utf-16le", "utf-32")
+#: Encodings that are tried in turn; UTF-16 counts only with its mark, and the last fits any bytes.
+ENCODINGS = ("utf-8", "utf-16", "gb18030", "iso-8859-1")
+
+
+@F.pandas_udf(T.IntegerType())
+def _encoding(contents: pd.Series) -> pd.Series:
+    """The place in ENCODINGS of the first that fits."""
+
+    def first(content: bytes) -> int:
+        for i, name in enumerate(ENCODINGS[:-1]):
+            if name == "utf-16" and content[:2] not in (b"\xff\xfe", b"\xfe\xff"):
+                continue
+            try:
+                content.decode(name)
+                return i
+            except UnicodeDecodeError:
+                continue
+        return len(ENCODINGS) - 1
+
+    return contents.map(first)
+
+
+def detect_encoding(spark: SparkSession, path, **options) -> str:
+    """The first of ENCODINGS in which the files can be read; of several files the last in that order."""
+    ship(spark)
+    found = spark.read.format("binaryFile").options(**options).load(path).select(F.max(_encoding("content")).alias("i")).first()["i"]
+    return ENCODINGS[found or 0]
+
+
 def required_csv(spark: SparkSession, path, columns: list[str], **options) -> DataFrame:
     if not columns:
         raise ValueError("name the columns to read")
@@ -186,8 +241,7 @@ def pptx(spark: SparkSession, path, **options) -> DataFrame:
 
 #: Reader by suffix; ``register`` adds to it.
 READERS: dict[str, Callable[..., DataFrame]] = {
-    ".md": markdown, ".markdown": markdown, ".csv": csv, ".docx": docx, ".pptx": pptx, ".txt": text,
-    **{s: code for s in LANGUAGES if s != ".txt"},
+    **dict.fromkeys(LANGUAGES, code), ".md": markdown, ".markdown": markdown, ".csv": csv, ".docx": docx, ".pptx": pptx, ".txt": text,
 }
 
 
@@ -210,27 +264,44 @@ def load(spark: SparkSession, path: str, **options) -> DataFrame:
     return READERS[_suffix(path)](spark, path, **options)
 
 
-def load_all(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Files of any kinds in one plan: a read for each suffix."""
+def load_all(spark: SparkSession, paths: list[str], on_error: Callable[[str, Exception], None] | None = None) -> DataFrame:
+    """Files of any kinds in one plan: a read for each suffix.
+
+    A file that isn't there, or has no reader, raises; with ``on_error`` it is told of and left out.
+    """
     by: dict[Callable[..., DataFrame], list[str]] = {}
     for p in paths:
-        if not supported(p):
-            raise ValueError(f"no reader for {p!r}; known: {sorted(READERS)}")
-        by.setdefault(READERS[_suffix(p)], []).append(p)
-    return reduce(DataFrame.unionByName, [f(spark, ps) for f, ps in by.items()])
+        try:
+            if not supported(p):
+                raise ValueError(f"no reader for {p!r}; known: {sorted(READERS)}")
+            if on_error and not _exists(spark, p):
+                raise FileNotFoundError(p)
+            by.setdefault(READERS[_suffix(p)], []).append(p)
+        except (ValueError, FileNotFoundError) as e:
+            if on_error is None:
+                raise
+            on_error(p, e)
+    return reduce(DataFrame.unionByName, [f(spark, ps) for f, ps in by.items()]) if by else spark.createDataFrame([], DOCUMENT)
 
 
 def files(spark: SparkSession, directory: str, suffixes: list[str] | None = None, recursive: bool = False) -> DataFrame:
-    """(path, length, modified) of a directory's files; contents aren't read."""
+    """(path, length, modified) of a directory's files; contents aren't read. A directory that isn't there has none."""
+    if not _exists(spark, directory):
+        return spark.createDataFrame([], "path string, length long, modified timestamp")
     df = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(directory).select("path", "length", F.col("modificationTime").alias("modified"))
     return df.filter(F.lower(F.regexp_extract("path", r"\.[^./]+$", 0)).isin([s.lower() for s in suffixes])) if suffixes else df
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def directory(spark: SparkSession, path: str, suffixes: list[str] | None = None, recursive: bool = True) -> DataFrame:
-    """All supported files of a directory as documents: a filtered read for each kind of file."""
+    """All supported files of a directory as documents: a filtered read for each kind of file, in any case of its suffix."""
     wanted = [s for s in (suffixes or list(READERS)) if s.lower() in READERS]
-    present = {r["s"] for r in files(spark, path, wanted, recursive).select(F.lower(F.regexp_extract("path", r"\.[^./]+$", 0)).alias("s")).distinct().collect()}
-    parts = [READERS[s](spark, path, recursiveFileLookup=recursive, pathGlobFilter=f"*{s}") for s in wanted if s.lower() in present]
+    present = [r["s"] for r in files(spark, path, wanted, recursive).select(F.regexp_extract("path", r"\.[^./]+$", 0).alias("s")).distinct().collect()]
+    parts = [READERS[s.lower()](spark, path, recursiveFileLookup=recursive, pathGlobFilter=f"*{s}") for s in sorted(present)]
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], DOCUMENT)
 
 
@@ -240,6 +311,16 @@ def file_hash(spark: SparkSession, path: str, algorithm: str = "md5") -> DataFra
 
 
 def testset(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of samples; missing keys get defaults."""
-    df = spark.read.schema("question string, answer string, ground_truth_context string, metadata map<string,string>").json(path, multiLine=True)
-    return df.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("question", "answer", "ground_truth_context")], F.coalesce("metadata", F.create_map().cast("map<string,string>")).alias("metadata"))
+    """Samples from JSON, a sample a line or an array a file; missing keys get defaults.
+
+    A file that starts with ``[`` is read whole, others by line.
+    """
+    sample = T.StructType([*[T.StructField(c, T.StringType()) for c in ("question", "answer", "ground_truth_context")], T.StructField("metadata", T.MapType(T.StringType(), T.StringType()))])
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    arrays = {r["file"] for r in lines.filter(F.ltrim("value").startswith("[")).select("file").distinct().collect()}
+    others = lines.filter(~F.col("file").isin(list(arrays))) if arrays else lines
+    df = others.select(F.from_json("value", sample).alias("x")).filter("x is not null")
+    if arrays:
+        whole = spark.read.text(sorted(arrays), wholetext=True)
+        df = df.unionByName(whole.select(F.explode(F.from_json("value", T.ArrayType(sample))).alias("x")))
+    return df.select(*[F.coalesce(f"x.{c}", F.lit("")).alias(c) for c in ("question", "answer", "ground_truth_context")], F.coalesce("x.metadata", F.create_map().cast("map<string,string>")).alias("metadata"))

@@ -9,9 +9,17 @@ from pyspark.sql import functions as F
 
 
 def testset(samples: DataFrame, path: str) -> None:
+    """Files of JSON lines, a sample each, written by every task."""
     samples.write.mode("overwrite").json(path)
 
 
+def testset_file(samples: DataFrame, path: str) -> None:
+    """One JSON array in one file. For test sets: their size is a parameter of the generation."""
+    row = F.to_json(F.struct(*samples.columns), {"ignoreNullFields": "false"})
+    body = samples.agg(F.concat(F.lit("["), F.array_join(F.collect_list(row), ",\n"), F.lit("]")).alias("value"))
+    body.coalesce(1).write.mode("overwrite").text(path)
+
+
 def csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
