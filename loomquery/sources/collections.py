@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import json
 import re
+import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomquery.functions.vector import score
 from loomquery.operators.knn import search
+from loomquery.plans.tables import save, sized
 
 RECORD = "id string, document string, embedding array<float>, metadata map<string,string>"
 #: Metadata keys that are never stored.
@@ -52,56 +57,105 @@ def stored(records: DataFrame) -> DataFrame:
 
 
 class Collection:
-    """Each change writes a new version folder and then moves a pointer, so readers never see half a write."""
+    """A log of versions over appended Parquet folders.
 
-    def __init__(self, spark: SparkSession, root: str, name: str, metric: str = "cosine"):
-        self.spark, self.name, self.metric, self.path = spark, name, metric, f"{root.rstrip('/')}/{name}"
+    A change writes only what it changes: new records to a folder of ``data``, the ids that it takes away
+    from earlier folders to one of ``gone``. Folders are named by version and a random part, so writers never
+    share one. Then one small file in ``log`` names all folders of the version: readers never see half a
+    write, and of two writers of one version the second fails. ``compact`` folds the folders into one.
+    """
 
-    def _fs(self):
+    def __init__(self, spark: SparkSession, root: str, name: str, metric: str = "cosine", embed: Callable[[Column], Column] | None = None):
+        self.spark, self.root, self.name, self.metric, self.embed = spark, root.rstrip("/"), name, metric, embed
+        self.path = f"{self.root}/{name}"
+
+    def _fs(self, path: str = ""):
         jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path)
-        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm
+        p = jvm.org.apache.hadoop.fs.Path(self.path + path)
+        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def versions(self) -> list[int]:
-        p, fs, _ = self._fs()
+        p, fs = self._fs("/log")
         if not fs.exists(p):
             return []
-        found = [re.fullmatch(r"v(\d+)", s.getPath().getName()) for s in fs.listStatus(p)]
-        done = [int(m[1]) for m in found if m]
-        return sorted(v for v in done if fs.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{v}/_SUCCESS")))
+        found = [re.fullmatch(r"(\d+)\.json", s.getPath().getName()) for s in fs.listStatus(p)]
+        return sorted(int(m[1]) for m in found if m)
 
-    def read(self, version: int | None = None) -> DataFrame:
+    def exists(self) -> bool:
+        return bool(self.versions())
+
+    def _folders(self, version: int | None = None) -> dict[str, list[str]]:
         have = self.versions()
         if not have:
-            return self.spark.createDataFrame([], RECORD)
-        return self.spark.read.schema(RECORD).parquet(f"{self.path}/v{have[-1] if version is None else version}")
+            return {"data": [], "gone": []}
+        p, fs = self._fs(f"/log/{have[-1] if version is None else version}.json")
+        opened = fs.open(p)
+        try:
+            return json.loads(bytes(opened.readAllBytes()).decode())
+        finally:
+            opened.close()
 
-    def _write(self, df: DataFrame) -> None:
-        have = self.versions()
-        df.select("id", "document", "embedding", "metadata").write.parquet(f"{self.path}/v{have[-1] + 1 if have else 0}")
+    def read(self, version: int | None = None) -> DataFrame:
+        folders = self._folders(version)
+        if not folders["data"]:
+            return self.spark.createDataFrame([], RECORD)
+        kind = lambda name, schema: self.spark.read.option("basePath", f"{self.path}/{name}").schema(f"{schema}, seq string").parquet(*[f"{self.path}/{name}/seq={n}" for n in folders[name]])
+        rows = kind("data", RECORD)
+        if folders["gone"]:
+            last = kind("gone", "id string").groupBy("id").agg(F.max("seq").alias("until")).withColumnRenamed("id", "gone_id")
+            rows = rows.join(last, (F.col("id") == F.col("gone_id")) & (F.col("seq") < F.col("until")), "left_anti")
+        return rows.drop("seq")
+
+    def _commit(self, data: DataFrame | None = None, gone: DataFrame | None = None, alone: bool = False) -> DataFrame | None:
+        """Write a version; what was added, read back."""
+        have, folders = self.versions(), self._folders()
+        n = have[-1] + 1 if have else 0
+        folder = f"{n:010d}-{uuid.uuid4().hex}"
+        if alone:
+            folders = {"data": [], "gone": []}
+        for name, df, columns in (("data", data, ["id", "document", "embedding", "metadata"]), ("gone", gone, ["id"])):
+            if df is not None:
+                df.select(*columns).write.parquet(f"{self.path}/{name}/seq={folder}")
+                folders[name] = [*folders[name], folder]
+        p, fs = self._fs(f"/log/{n}.json")
+        out = fs.create(p, False)
+        out.write(bytearray(json.dumps(folders).encode()))
+        out.close()
+        return self.spark.read.schema(RECORD).parquet(f"{self.path}/data/seq={folder}") if data is not None else None
 
     def add(self, records: DataFrame) -> int:
-        """Append records whose ids are new; the number added."""
-        old = self.read()
-        new = stored(records).dropDuplicates(["id"]).join(old.select("id"), "id", "left_anti")
-        n = old.count()
-        self._write(old.unionByName(new.select(*old.columns)))
-        return self.read().count() - n
+        """Append records whose ids are new; the number added. A missing id is drawn, a missing embedding computed."""
+        new = stored(self._complete(records)).dropDuplicates(["id"]).join(self.read().select("id"), "id", "left_anti")
+        return self._commit(new).count()
+
+    def _complete(self, records: DataFrame) -> DataFrame:
+        have = set(records.columns)
+        drawn = F.expr("uuid()")
+        out = records.withColumn("id", F.coalesce(F.col("id").cast("string"), drawn) if "id" in have else drawn)
+        if self.embed:
+            made = self.embed(F.col("document"))
+            out = out.withColumn("embedding", F.coalesce("embedding", made) if "embedding" in have else made)
+        return out if "metadata" in have else out.withColumn("metadata", F.create_map().cast("map<string,string>"))
 
     def upsert(self, records: DataFrame) -> None:
-        self._write(upsert(self.read(), records.select("id", "document", "embedding", "metadata")))
+        self._commit(records, records.select("id").distinct())
 
     def update(self, records: DataFrame) -> None:
         """Replace records that exist; others are ignored."""
-        old = self.read()
-        self._write(upsert(old, records.select(*old.columns).join(old.select("id"), "id", "left_semi")))
+        there = save(records.select("id", "document", "embedding", "metadata").join(self.read().select("id"), "id", "left_semi"), "update")
+        self._commit(there, there.select("id"))
 
     def delete(self, ids: list[str] | None = None, filters: dict | None = None) -> bool:
         if not ids and not filters:
             return False
-        self._write(delete(self.read(), F.col("id").isin(ids) if ids else where(filters)))
+        chosen = F.col("id").isin(ids) if ids else F.coalesce(where(filters), F.lit(False))
+        self._commit(gone=self.read().filter(chosen).select("id"))
         return True
 
+    def compact(self) -> None:
+        """All records in one folder, as a new version; older versions stay readable."""
+        self._commit(self.read(), alone=True)
+
     def scan(self, limit: int | None = 1000, filters: dict | None = None) -> DataFrame:
         df = self.read().filter(where(filters or {})).withColumn("score", F.lit(1.0))
         return df.orderBy("id").limit(limit) if limit else df
@@ -109,38 +163,92 @@ class Collection:
     def count(self) -> int:
         return self.read().count()
 
-    def search(self, queries: DataFrame, k: int = 5, filters: dict | None = None) -> DataFrame:
-        return search(self.read(), queries, k, self.metric, where(filters) if filters else None, "id")
+    def search(self, queries: DataFrame, k: int = 5, filters: dict | None = None, threshold: float | None = None) -> DataFrame:
+        """(query_id, id, distance, score, rank) for queries with a vector (``query``) or, if the collection embeds, a text (``text``).
+
+        Results under ``threshold`` go: scores are similarities, so higher is nearer for every metric.
+        """
+        if "query" not in queries.columns:
+            if not self.embed:
+                raise ValueError("a collection without an embedder needs query vectors")
+            queries = save(queries.select("query_id", self.embed(F.col("text")).alias("query")), "queries")
+        found = search(self.read(), queries.select("query_id", "query"), k, self.metric, where(filters) if filters else None, "id")
+        scored = found.withColumn("score", F.round(score(F.col("distance"), self.metric), 6))
+        return scored if threshold is None else scored.filter(F.col("score") >= threshold)
 
     def reset(self, confirm: bool = False) -> bool:
         if not confirm:
             return False
-        p, fs, _ = self._fs()
+        p, fs = self._fs()
         return fs.delete(p, True)
 
+    @staticmethod
+    def names(spark: SparkSession, root: str) -> list[str]:
+        """The collections under a folder."""
+        base = Collection(spark, root, "")
+        p, fs = base._fs()
+        return sorted(s.getPath().getName() for s in fs.listStatus(p) if Collection(spark, root, s.getPath().getName()).exists()) if fs.exists(p) else []
+
 
 class KnowledgeBase:
     """Documents with source, added_at and doc_id on a collection."""
 
-    def __init__(self, collection: Collection, embed):
-        self.collection, self.embed = collection, embed
+    def __init__(self, collection: Collection, embed: Callable[[Column], Column] | None = None):
+        self.collection, self.embed = collection, embed or collection.embed
+        collection.embed = collection.embed or self.embed
+
+    @classmethod
+    def open(cls, spark: SparkSession, root: str, name: str = "documents", embed: Callable[[Column], Column] | None = None, metric: str = "cosine") -> KnowledgeBase:
+        """The knowledge base of that name, with the offline encoder if no other is given."""
+        if embed is None:
+            from loomquery.plans.pipeline import EMBEDDERS
+
+            embed = EMBEDDERS["hashing"]()
+        return cls(Collection(spark, root, name, metric, embed))
+
+    def _stamped(self, docs: DataFrame, stamp: str) -> DataFrame:
+        index = F.col("chunk_index") if "chunk_index" in docs.columns else F.lit(0)
+        rows = docs if "id" in docs.columns else docs.withColumn("id", record_id(F.col("source"), index, F.col("text")))
+        meta = F.create_map(F.lit("source"), F.col("source"), F.lit("doc_id"), F.col("id"), F.lit(stamp), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss"))
+        return rows.select("id", F.col("text").alias("document"), self.embed(F.col("text")).alias("embedding"), meta.alias("metadata"))
 
     def add_documents(self, docs: DataFrame) -> int:
         """Chunks (source, text[, chunk_index]) embedded and added."""
-        index = F.col("chunk_index") if "chunk_index" in docs.columns else F.lit(0)
-        stamped = docs.withColumn("id", record_id(F.col("source"), index, F.col("text")))
-        meta = F.create_map(F.lit("source"), F.col("source"), F.lit("doc_id"), F.col("id"), F.lit("added_at"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss"))
-        return self.collection.add(stamped.select("id", F.col("text").alias("document"), self.embed(F.col("text")).alias("embedding"), meta.alias("metadata")))
+        return self.collection.add(self._stamped(docs, "added_at"))
+
+    def add_files(self, paths: list[str], step: Callable[[DataFrame], DataFrame]) -> int:
+        """Files loaded, processed (cleaned and split) and added; a file that can't be read is left out."""
+        from loomquery.sources.loaders import load_all
+
+        return self.add_documents(step(load_all(self.collection.spark, paths, lambda path, error: None)))
+
+    def update_document(self, docs: DataFrame) -> None:
+        """Records (id, source, text) that exist get new text, vector and metadata, with ``updated_at``."""
+        self.collection.update(self._stamped(docs, "updated_at"))
+
+    def search(self, queries: DataFrame, k: int = 5, filters: dict | None = None, threshold: float | None = None) -> DataFrame:
+        """(query_id, id, content, source, distance, score, rank) for queries (query_id, text)."""
+        found = self.collection.search(queries, k, filters, threshold)
+        texts = self.collection.read().select("id", F.col("document").alias("content"), F.try_element_at("metadata", F.lit("source")).alias("source"))
+        return texts.join(sized(found), "id").select("query_id", "id", "content", "source", "distance", "score", "rank")
+
+    def delete(self, ids: list[str]) -> bool:
+        return self.collection.delete(ids)
 
     def delete_by_source(self, source: str) -> bool:
         return self.collection.delete(filters={"source": source})
 
+    def exists(self) -> bool:
+        return self.collection.exists()
+
+    def reset(self, confirm: bool = False) -> bool:
+        return self.collection.reset(confirm)
+
     def stats(self) -> DataFrame:
         return stats(self.collection.read().select(F.try_element_at("metadata", F.lit("doc_id")).alias("doc_id"), F.try_element_at("metadata", F.lit("source")).alias("source")))
 
 
 def stats(records: DataFrame) -> DataFrame:
     """One row: documents, chunks, distinct sources and their sorted names."""
-    by = records.groupBy("source").agg(F.count("*").alias("n"))
-    names = by.agg(F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"), F.sum("n").alias("total_chunks"), F.count("source").alias("source_count"))
-    return names.join(records.agg(F.countDistinct("doc_id").alias("document_count")))
+    named = F.array_sort(F.collect_set("source"))
+    return records.agg(F.array_join(named, ",").alias("sources"), F.count("*").alias("total_chunks"), F.size(named).cast("long").alias("source_count"), F.countDistinct("doc_id").alias("document_count"))
