@@ -9,18 +9,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomquery.plans.tables import sized, top
+from loomquery.plans.tables import save, sized, top
 
 K1, B = 1.5, 0.75
+#: Stopwords that a keyword search may leave out.
+STOPWORDS = [
+    "的", "了", "在", "是", "我", "有", "和", "就", "不", "人", "都", "一", "一个", "上", "也", "很", "到", "说", "要", "去", "你", "会", "着", "没有", "看", "好",
+    "自己", "这", "那", "里", "为", "什么", "他", "来", "用", "能", "而", "把", "被", "从", "以", "可以", "这个", "那个", "如果", "因为", "所以", "但是", "虽然",
+    "以及", "对于", "关于", "而且", "或者", "还是", "只是", "可能", "应该", "已经", "之后", "之前", "然后", "最后", "现在", "当时", "以后", "以前", "其中", "之间",
+]
 
 
 def tokenize(c: str | Column, kind: str | Callable[[Column], Column] = "words", stopwords: Iterable[str] = ()) -> Column:
-    """Tokens of a text: ``words`` (lower-cased runs of letters and digits), ``chars``, or a function of your own."""
+    """Tokens of a text: ``words`` (lower-cased runs of letters and digits), ``words_as_written``, ``chars``, or a function of your own."""
     c = F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
     if callable(kind):
         parts = kind(c)
-    elif kind == "words":
-        parts = F.split(F.lower(c), r"[^\p{L}\p{N}]+")
+    elif kind in ("words", "words_as_written"):
+        parts = F.split(F.lower(c) if kind == "words" else c, r"[^\p{L}\p{N}]+")
     elif kind == "chars":
         parts = F.split(c, "")
     else:
@@ -65,6 +71,12 @@ class Index:
         postings, lengths, lexicon = (spark.read.parquet(f"{path}/{t}") for t in ("postings", "lengths", "lexicon"))
         return cls(postings, lengths, lexicon, *_totals(lengths))
 
+    @staticmethod
+    def clear(spark: SparkSession, path: str) -> bool:
+        """Delete a stored index; whether there was one."""
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
     def add(self, other: Index) -> Index:
         """With another index of new documents: postings append, document frequencies add up."""
         lexicon = self.lexicon.unionByName(other.lexicon).groupBy("token").agg(F.sum("df").alias("df"))
@@ -107,17 +119,22 @@ def _ranked(hits: DataFrame, q: DataFrame, lexicon: DataFrame, n: int, avgdl: fl
 def search(docs: DataFrame, queries: DataFrame, k: int = 10, where: Column | None = None, tokenizer="words", stopwords: Iterable[str] = (), **options) -> DataFrame:
     """Top ``k`` of each query (query_id, query) without a stored index: (query_id, doc_id, score, score_raw, rank).
 
-    One pass explodes the texts and keeps the queries' tokens only, before anything is shuffled; corpus
-    totals count every document. ``where`` restricts the results, not the statistics.
+    One pass explodes the texts and keeps, before anything is shuffled, the queries' tokens and one row a
+    document (without a token). That table is written; totals, document frequencies and scores come from it,
+    so texts are read and cut once. ``where`` restricts the results, not the statistics.
     """
     keep = where if where is not None else F.lit(True)
-    toks = docs.select("doc_id", tokenize("text", tokenizer, stopwords).alias("tokens"), keep.alias("keep")).withColumn("dl", F.size("tokens").cast("long"))
-    n, avgdl = _totals(toks)
+    toks = docs.select("doc_id", tokenize("text", tokenizer, stopwords).alias("tokens"), F.coalesce(keep, F.lit(False)).alias("keep")).withColumn("dl", F.size("tokens").cast("long"))
     q = query_tokens(queries, tokenizer)
-    hits = toks.select("doc_id", "dl", "keep", F.explode("tokens").alias("token")).join(sized(q.select("token").distinct()), "token", "left_semi")
-    hits = hits.groupBy("doc_id", "dl", "keep", "token").agg(F.count("*").alias("tf"))
-    lexicon = hits.groupBy("token").agg(F.count("*").alias("df"))
-    return _ranked(hits.filter("keep"), q, lexicon, n, avgdl, k, **options)
+    each = toks.select("doc_id", "dl", "keep", F.explode(F.concat(F.array(F.lit(None).cast("string")), "tokens")).alias("token"))
+    wanted = sized(q.select("token").distinct().withColumn("wanted", F.lit(True)))
+    seen = each.join(wanted, "token", "left").filter("wanted or token is null")
+    hits = save(seen.groupBy("doc_id", "dl", "keep", "token").agg(F.count("*").alias("tf")), "hits")
+    totals = hits.filter("token is null").agg(F.sum("tf").alias("n"), F.sum(F.col("tf") * F.col("dl")).alias("s")).first()
+    n, avgdl = totals["n"] or 0, (totals["s"] or 0) / max(totals["n"] or 0, 1)
+    found = hits.filter("token is not null")
+    lexicon = found.groupBy("token").agg(F.count("*").alias("df"))
+    return _ranked(found.filter("keep"), q, lexicon, n, avgdl, k, **options)
 
 
 def relevant_terms(index: Index, query: str, spark: SparkSession, top_n: int = 10) -> DataFrame:

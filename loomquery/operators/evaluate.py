@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomquery.functions.metrics import REGISTRY, metric
-from loomquery.plans.tables import row_numbers, sized, top
+from loomquery.plans.tables import global_scan, save, sized, top
 
 #: Weights of the overall score.
 WEIGHTS = {"faithfulness": 0.30, "answer_relevancy": 0.30, "context_recall": 0.25, "context_precision": 0.15}
@@ -29,8 +29,10 @@ def wide_form(long: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame
     return long.groupBy(*keys).pivot("metric_name", metrics).agg(F.first("score"))
 
 
-def distribution(long: DataFrame, by: tuple[str, ...] = ("metric_name",)) -> DataFrame:
-    q = F.percentile("score", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+def distribution(long: DataFrame, by: tuple[str, ...] = ("metric_name",), accuracy: int | None = None) -> DataFrame:
+    """Mean, spread and quartiles of each group. Exact quartiles hold a group's distinct scores; ``accuracy`` bounds that by a sketch."""
+    cuts = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    q = F.percentile_approx("score", cuts, accuracy) if accuracy else F.percentile("score", cuts)
     out = long.groupBy(*by).agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"), F.min("score").alias("min"), F.max("score").alias("max"), q.alias("q"), F.count("*").alias("n"))
     return out.select(*by, *[F.round(c, 6).alias(c) for c in ("mean", "std", "min", "max")], *[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("p25", "p50", "p75"))], "n")
 
@@ -52,16 +54,20 @@ def compare(results: DataFrame, configs: DataFrame, long: Callable[[DataFrame],
 
 
 def testset_buckets(chunks: DataFrame, pairs: int, most: int = 8000) -> DataFrame:
-    """(bucket, context, n_chunks): all chunks, in order of doc_id, dealt into ``pairs`` contexts of equal count.
+    """(bucket, context, n_chunks): chunks, in order of doc_id, dealt into ``pairs`` contexts of equal count.
 
-    Ids alone are numbered; the texts are dealt by bucket.
+    The last rows beyond pairs * (n // pairs) are in no context. Ids and lengths alone are ordered, by a
+    global scan; of the texts only those move that begin within a context's first ``most`` characters.
     """
     n = chunks.count()
     size = max(1, n // max(1, pairs))
-    numbered = row_numbers(chunks.select("doc_id"), F.col("doc_id"))
-    buckets = numbered.withColumn("bucket", F.floor((F.col("rn") - 1) / size)).filter(F.col("bucket") < pairs).drop("rn")
-    rows = chunks.join(buckets, "doc_id").groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("x"))
-    return rows.select("bucket", F.substring(F.array_join(F.transform("x", lambda r: r["text"]), "\n\n"), 1, most).alias("context"), F.size("x").alias("n_chunks"))
+    lengths = chunks.select("doc_id", (F.coalesce(F.length("text"), F.lit(0)) + 1).cast("long").alias("n_chars"))
+    placed = global_scan(lengths, [F.col("doc_id")], {"upto": "n_chars"}).withColumn("bucket", F.floor((F.col("rn") - 1) / size)).filter(F.col("bucket") < pairs)
+    placed = save(placed.withColumn("start", F.col("upto") - F.col("n_chars")), "placed")
+    whole = save(placed.groupBy("bucket").agg(F.min("start").alias("first"), F.count("*").cast("int").alias("n_chunks")), "buckets")
+    used = save(placed.join(sized(whole), "bucket").filter(F.col("start") - F.col("first") < most).select("doc_id", "bucket", "n_chunks"), "used")
+    rows = chunks.select("doc_id", "text").join(sized(used), "doc_id").groupBy("bucket", "n_chunks").agg(F.array_sort(F.collect_list(F.struct("doc_id", F.coalesce(F.substring("text", 1, most), F.lit("")).alias("text")))).alias("x"))
+    return rows.select("bucket", F.substring(F.array_join(F.transform("x", lambda r: r["text"]), "\n"), 1, most).alias("context"), "n_chunks")
 
 
 def conversation_samples(conversations: DataFrame) -> DataFrame:

@@ -96,15 +96,32 @@ def top(df: DataFrame, k: int, by: list[str], *order: Column, rank: str = "rank"
     return ranked.filter(F.col(rank) <= k)
 
 
-def row_numbers(df: DataFrame, *order: Column, name: str = "rn") -> DataFrame:
-    """Row numbers from 1 over one global order, without one task for all rows.
+def global_scan(df: DataFrame, order: list[Column], sums: dict[str, str] | None = None, rank: str = "rn") -> DataFrame:
+    """Row numbers from 1 and running totals over one global order, without one task for all rows.
 
-    Rows are dealt by range; each range is numbered on its own and shifted by the rows of the ranges before
-    it (a table of one row per partition).
+    Rows are dealt by range; each range numbers its own rows; the totals of the ranges before it (a table of
+    one row per partition) give each range its offset. ``sums`` names a column for each running total (the
+    row itself included). Ties get any order among themselves.
     """
+    sums = sums or {}
     ranged = save(df.repartitionByRange(*order).withColumn("_pid", F.spark_partition_id()), "ranged")
-    sizes = ranged.groupBy("_pid").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    own = F.row_number().over(Window.partitionBy("_pid").orderBy(*order))
-    shifted = ranged.withColumn("_own", own).join(F.broadcast(sizes.select("_pid", before.alias("_o"))), "_pid")
-    return shifted.select(*df.columns, (F.col("_own") + F.col("_o")).alias(name))
+    totals = ranged.groupBy("_pid").agg(F.count("*").alias("_n"), *[F.sum(c).alias(f"_t_{out}") for out, c in sums.items()])
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offset = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    offsets = totals.select("_pid", offset("_n").alias("_o"), *[offset(f"_t_{out}").alias(f"_o_{out}") for out in sums])
+    own = Window.partitionBy("_pid").orderBy(*order)
+    upto = own.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    numbered = ranged.withColumns({"_own": F.row_number().over(own)} | {f"_s_{out}": F.sum(c).over(upto) for out, c in sums.items()})
+    joined = numbered.join(F.broadcast(offsets), "_pid")
+    return joined.select(*df.columns, (F.col("_own") + F.col("_o")).alias(rank), *[(F.col(f"_s_{out}") + F.col(f"_o_{out}")).alias(out) for out in sums])
+
+
+def row_numbers(df: DataFrame, *order: Column, name: str = "rn") -> DataFrame:
+    """Row numbers from 1 over one global order."""
+    return global_scan(df, list(order), rank=name)
+
+
+def with_group_size(df: DataFrame, by: str, name: str) -> DataFrame:
+    """``df`` with the number of rows of its group (null is one): counted with map-side sums and joined, so that a large group stays spread."""
+    counts = save(df.groupBy(F.col(by).alias("_by")).agg(F.count("*").alias(name)), "sizes")
+    return df.join(sized(counts), F.col(by).eqNullSafe(F.col("_by"))).drop("_by")
