@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable, Iterable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,6 +18,10 @@ CJK_QUOTES = {"「": '"', "」": '"', "『": "'", "』": "'"}
 CURLY_QUOTES = {"“": '"', "”": '"', "‘": "'", "’": "'"}
 CJK_PUNCT = {"（": "(", "）": ")", "【": "[", "】": "]", "《": "<", "》": ">"}
 CJK_PUNCT_LONG = {"——": "--", "…": "..."}
+#: Labels of questions and answers in replies that aren't JSON.
+QUESTION_LABELS = ("问题:", "Q:")
+ANSWER_LABELS = ("答案:", "A:")
+#: Fixed value: what follows a context that was cut.
 TRUNCATED_CONTEXT = "\n\n[上下文已被截断...]"
 
 
@@ -151,11 +156,17 @@ def parse_lines(c: str | Column) -> Column:
 
 
 def parse_answer(c: str | Column) -> Column:
-    """Struct (question, answer) of a reply: JSON in or out of a code fence, else cut at the first question mark."""
+    """Struct (question, answer) of a reply: JSON in or out of a code fence, else what stands before and after the first question mark, labels cut off."""
     c = strip(c)
     bare = strip(F.regexp_replace(c, r"^```[a-zA-Z]*\s*|\s*```$", ""))
     parsed = F.from_json(bare, "question string, answer string", {"mode": "PERMISSIVE"})
-    at = F.instr(bare, "?")
-    question = F.when(at > 0, F.substring(bare, F.lit(1), at))
-    answer = F.when(at > 0, strip(F.substring(bare, at + 1, F.length(bare))))
-    return F.struct(F.coalesce(parsed["question"], question).alias("question"), F.coalesce(parsed["answer"], answer).alias("answer"))
+    valid = bare.startswith("{") & F.try_parse_json(bare).isNotNull()
+    parts = F.split(bare, r"\?", -1)
+    without = lambda x, labels: reduce(lambda s, w: F.replace(s, F.lit(w), F.lit("")), labels, x)
+    question = F.concat(strip(without(F.get(parts, F.lit(0)), QUESTION_LABELS)), F.lit("?"))
+    answer = strip(without(F.element_at(F.split(F.get(parts, F.lit(1)), ANSWER_LABELS[0], -1), -1), ANSWER_LABELS[1:]))
+    cut = F.size(parts) > 1
+    return F.struct(
+        F.when(valid, F.coalesce(parsed["question"], F.lit(""))).when(cut, question).alias("question"),
+        F.when(valid, F.coalesce(parsed["answer"], F.lit(""))).when(cut, answer).alias("answer"),
+    )

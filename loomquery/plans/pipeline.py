@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 import numpy as np
@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from loomquery.functions.text import clean_documents
 from loomquery.operators import split
+from loomquery.plans.llm import HttpEmbedder
 from loomquery.plans.tables import save
 
 Step = Callable[[DataFrame], DataFrame]
@@ -51,6 +52,40 @@ def hashing_encoder(dim: int = 64):
     return encode
 
 
+def encoder(load: Callable[[], Callable[[list[str]], Sequence]], batch: int = 32, instruction: str = "", most: int | None = None):
+    """A pandas UDF from texts to vectors by a model: ``load`` makes, once a Python worker, a function of texts to vectors.
+
+    Texts go in batches, each after ``instruction`` (queries and passages may have different ones) and cut to
+    ``most`` words.
+    """
+    made: list = []
+
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def encode(s: pd.Series) -> pd.Series:
+        if not made:
+            made.append(load())
+        texts = [instruction + (" ".join((t or "").split()[:most]) if most else t or "") for t in s]
+        out: list = []
+        for i in range(0, len(texts), batch):
+            out += [[float(x) for x in v] for v in made[0](texts[i : i + batch])]
+        return pd.Series(out, dtype=object)
+
+    return encode
+
+
+def remote_encoder(url: str, model: str, batch: int = 32, **options):
+    """Vectors from an embeddings service."""
+    return encoder(lambda: HttpEmbedder(url, model, batch=batch, **options).embed, batch)
+
+
+#: Embedders by name: functions that make a pandas UDF.
+EMBEDDERS: dict[str, Callable] = {"hashing": hashing_encoder, "model": encoder, "remote": remote_encoder}
+
+
+def register_embedder(name: str, factory: Callable) -> None:
+    EMBEDDERS[name] = factory
+
+
 def counts(chunks: DataFrame) -> DataFrame:
     """One row: distinct sources (null is one) and chunks."""
     return chunks.agg(F.countDistinct(F.coalesce("source", F.lit("\u0000"))).alias("documents"), F.count("*").alias("chunks"))

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import asyncio
 from collections.abc import Callable
+from dataclasses import dataclass
+from typing import Protocol
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomquery.functions.text import truncate_context
 from loomquery.plans.llm import Client, Extractive, complete
+from loomquery.plans.tables import save
 
+#: What stands between contexts, and what for none.
 SEPARATOR = "\n\n---\n\n"
-NO_CONTEXT = "没有找到相关的文档内容。"
+NO_CONTEXT = "没有找到相关的文档信息。"
 SYSTEM = "You answer from the given documents only. Say so if they don't hold the answer."
 
 
@@ -67,3 +72,45 @@ def answer(queries: DataFrame, results: DataFrame, factory: Callable[[], Client]
 def stream(question: str, context: str, client: Extractive | None = None):
     """Pieces of one answer, on the driver."""
     yield from (client or Extractive()).stream(f"{SYSTEM}\n{context}\n{question}")
+
+
+class Store(Protocol):
+    """What a chain needs of a store; ``sources.collections.KnowledgeBase`` is one."""
+
+    def add_documents(self, docs: DataFrame) -> int: ...
+
+    def search(self, queries: DataFrame, k: int = 5, filters: dict | None = None, threshold: float | None = None) -> DataFrame: ...
+
+    def delete(self, ids: list[str]) -> bool: ...
+
+
+@dataclass
+class Chain:
+    """Retrieve, prompt and complete for a batch of queries (query_id, query).
+
+    ``retrieve`` is a function of (queries, k) to results (query_id, rank, score, source, content).
+    """
+
+    retrieve: Callable[[DataFrame, int], DataFrame]
+    factory: Callable[[], Client] = Extractive
+    k: int = 5
+    threshold: float = 0.5
+
+    @classmethod
+    def of_store(cls, store: Store, **options) -> Chain:
+        return cls(lambda queries, k: store.search(queries.select("query_id", F.col("query").alias("text")), k), **options)
+
+    def invoke(self, queries: DataFrame, k: int | None = None) -> DataFrame:
+        found = save(self.retrieve(queries, k or self.k), "retrieved")
+        return answer(queries, found, self.factory, self.threshold)
+
+    async def ainvoke(self, queries: DataFrame, k: int | None = None) -> DataFrame:
+        """The same from a thread of its own: Spark runs jobs of several threads side by side."""
+        return await asyncio.to_thread(lambda: save(self.invoke(queries, k), "answers"))
+
+    def stream(self, spark: SparkSession, question: str):
+        """Pieces of the answer to one question."""
+        q = spark.createDataFrame([(0, question)], "query_id long, query string")
+        kept = self.retrieve(q, self.k).filter(F.col("score") >= self.threshold)
+        row = format_contexts(kept).first()
+        yield from self.factory().stream(f"{SYSTEM}\n{row['context'] if row else NO_CONTEXT}\n{question}")
