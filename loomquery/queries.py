@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +14,9 @@ from loomquery.functions import text as X
 from loomquery.functions import vector as V
 from loomquery.operators import bm25, dedup, evaluate, fusion, knn, rewrite, split
 from loomquery.plans import rag
-from loomquery.plans.tables import top
+from loomquery.plans.tables import own_dir, top, with_group_size
 from loomquery.sources import collections as K
+from loomquery.sources import loaders
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -51,7 +53,7 @@ def _set(c: str) -> str:
     return rf"list_distinct(list_filter(string_split_regex(lower({c}), '[ \t\n\x0B\f\r]+'), lambda x: x <> ''))"
 
 
-_BENCH = "select item_id query_id, array_to_string(string_split(text, ' ')[1:3], ' ') query from benchmark"
+_BENCH = "select item_id query_id, text query from benchmark"
 _ONE = "select 0::bigint query_id, 'the and thble heit mente the' query"
 
 
@@ -77,7 +79,7 @@ def _one(spark: SparkSession) -> DataFrame:
 
 
 def _bench(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("query"))
+    return t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 # Keyword search --------------------------------------------------------------------------------------------
@@ -114,6 +116,15 @@ def bm25_index_search(spark, sf_dir):
     return bm25.Index.build(t(spark, sf_dir, "documents")).search(_bench(spark, sf_dir), 5)
 
 
+_STOP = [*bm25.STOPWORDS, "the", "and", "la", "die"]
+
+
+@query(_bm25_sql().replace(_tok("text"), f"list_filter({_tok('text')}, lambda x: x not in {tuple(_STOP)!r})"))
+def bm25_stopwords(spark, sf_dir):
+    """Stopwords count neither as terms nor in lengths."""
+    return bm25.search(t(spark, sf_dir, "documents"), _one(spark), 10, stopwords=_STOP)
+
+
 @query(f"""
     with p as (select doc_id, token, count(*) tf from (select doc_id, unnest({_tok("text")}) token from documents) group by all),
     n as (select count(*) n from documents)
@@ -236,21 +247,32 @@ def mean_pooling(spark, sf_dir):
 # Fusion, hybrid, rerank ------------------------------------------------------------------------------------
 
 # a query is a benchmark item; its vector is that of the document with its number
-_SEM = """select query_id, vec_id doc_id, 1 - distance score, rank from ({})""".format(_knn_sql(queries="vec_id in (select item_id from benchmark)"))
-_KEY = f"select query_id, doc_id, score, rank from ({_bm25_sql(_BENCH)})"
+def _sem(k: int = 10) -> str:
+    return f"select query_id, vec_id doc_id, 1 - distance score, rank from ({_knn_sql(k=k, queries='vec_id in (select item_id from benchmark)')})"
+
+
+def _key(k: int = 10) -> str:
+    return f"select query_id, doc_id, score, rank from ({_bm25_sql(_BENCH, k=k)})"
+
+
+_SEM, _KEY = _sem(), _key()
 
 
-def _legs(spark, sf_dir):
+def _keywords(spark, sf_dir, k: int = 10):
+    return bm25.search(t(spark, sf_dir, "documents"), _bench(spark, sf_dir), k).select("query_id", "doc_id", "score", "rank")
+
+
+def _legs(spark, sf_dir, k: int = 10):
     items = t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id"))
     e = t(spark, sf_dir, "embeddings")
     q = e.join(items, "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    sem = knn.search(e, q).select("query_id", F.col("vec_id").alias("doc_id"), (1 - F.col("distance")).alias("score"), "rank")
-    return sem, bm25.search(t(spark, sf_dir, "documents"), _bench(spark, sf_dir), 10).select("query_id", "doc_id", "score", "rank")
+    sem = knn.search(e, q, k).select("query_id", F.col("vec_id").alias("doc_id"), (1 - F.col("distance")).alias("score"), "rank")
+    return sem, _keywords(spark, sf_dir, k)
 
 
-def _rrf_sql(ws: float, wk: float, k: int) -> str:
+def _rrf_sql(ws: float, wk: float, k: int, fetch: int = 10) -> str:
     return f"""
-    with a as ({_SEM}), b as ({_KEY}), u as (select query_id, doc_id, {ws}::double w, rank from a union all select query_id, doc_id, {wk}::double, rank from b),
+    with a as ({_sem(fetch)}), b as ({_key(fetch)}), u as (select query_id, doc_id, {ws}::double w, rank from a union all select query_id, doc_id, {wk}::double, rank from b),
     f as (select query_id, doc_id, round(sum(w / (60 + rank)), 8) score from u group by all)
     select query_id, doc_id, score, rank::int rank from (select *, row_number() over (partition by query_id order by score desc, doc_id) rank from f) where rank <= {k}"""
 
@@ -268,17 +290,17 @@ def rrf_fusion(spark, sf_dir):
     s as (select query_id, doc_id, case when legs = 1 then own else score end score from f join l using (query_id) join own using (query_id, doc_id))
     select query_id, doc_id, score, rank::int rank from (select *, row_number() over (partition by query_id order by score desc, doc_id) rank from s) where rank <= 5""")
 def hybrid_search(spark, sf_dir):
-    return fusion.hybrid(*_legs(spark, sf_dir), k=5)
+    return fusion.hybrid(*_legs(spark, sf_dir, fusion.over_fetch(5)), k=5)
 
 
 @query(f"select query_id, doc_id, score, rank from ({_KEY}) where rank <= 5")
 def hybrid_single_leg(spark, sf_dir):
-    return fusion.hybrid(None, _legs(spark, sf_dir)[1], k=5)
+    return fusion.hybrid(None, _keywords(spark, sf_dir), k=5)
 
 
-@query(_rrf_sql(0.25, 0.75, 7))
+@query(_rrf_sql(0.25, 0.75, 7, fusion.over_fetch(7)))
 def hybrid_weighted(spark, sf_dir):
-    sem, key = _legs(spark, sf_dir)
+    sem, key = _legs(spark, sf_dir, fusion.over_fetch(7))
     ws, wk = fusion.normal_weights(1, 3)
     return fusion.rrf({"semantic": sem, "keyword": key}, {"semantic": ws, "keyword": wk}, limit=7)
 
@@ -288,7 +310,7 @@ def hybrid_weighted(spark, sf_dir):
     s as (select query_id, doc_id, round(case when hi > lo then (score - lo) / (hi - lo) else score end, 6) score from w)
     select query_id, doc_id, score, rank::int rank from (select *, row_number() over (partition by query_id order by score desc, doc_id) rank from s) where rank <= 5""")
 def simple_rerank(spark, sf_dir):
-    return fusion.simple_rerank(_legs(spark, sf_dir)[1], 5)
+    return fusion.simple_rerank(_keywords(spark, sf_dir), 5)
 
 
 @query(f"""
@@ -297,7 +319,7 @@ def simple_rerank(spark, sf_dir):
     select query_id, doc_id, score, (row_number() over (partition by query_id order by score desc, doc_id))::int rank from s""")
 def lexical_rerank(spark, sf_dir):
     """Pair scores by the share of the query's words."""
-    key = _legs(spark, sf_dir)[1].drop("score")
+    key = _keywords(spark, sf_dir).drop("score")
     q = t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     pairs = key.join(q, "query_id").join(t(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content")), "doc_id")
     return fusion.rerank(pairs).select("query_id", "doc_id", "score", "rank")
@@ -305,12 +327,12 @@ def lexical_rerank(spark, sf_dir):
 
 @query(f"select query_id, doc_id, score, rank from ({_KEY}) where score >= 0.3 and score <= 0.9")
 def filter_results(spark, sf_dir):
-    return fusion.filter_results(_legs(spark, sf_dir)[1], 0.3, 0.9)
+    return fusion.filter_results(_keywords(spark, sf_dir), 0.3, 0.9)
 
 
 @query(f"select query_id, string_agg(text, chr(10) || chr(10) order by rank) context from ({_KEY}) join documents using (doc_id) where rank <= 3 group by query_id")
 def context_concat(spark, sf_dir):
-    best = fusion.top_k(_legs(spark, sf_dir)[1], 3).join(t(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    best = fusion.top_k(_keywords(spark, sf_dir), 3).join(t(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     return fusion.context(best, F.col("text"))
 
 
@@ -318,7 +340,7 @@ def context_concat(spark, sf_dir):
     select query_id, string_agg('[文档 ' || rank || '] 来源: ' || source || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by rank) context
     from ({_KEY}) join documents using (doc_id) where rank <= 3 group by query_id""")
 def format_context(spark, sf_dir):
-    best = fusion.top_k(_legs(spark, sf_dir)[1], 3).join(t(spark, sf_dir, "documents").select("doc_id", "source", F.col("text").alias("content")), "doc_id")
+    best = fusion.top_k(_keywords(spark, sf_dir), 3).join(t(spark, sf_dir, "documents").select("doc_id", "source", F.col("text").alias("content")), "doc_id")
     return rag.format_contexts(best)
 
 
@@ -346,8 +368,8 @@ def special_chars(spark, sf_dir):
 
 @query(f"select page_id, {_whitespace_sql("regexp_replace(html, '<[^>]+>', ' ', 'g')")} text from pages")
 def clean_pages(spark, sf_dir):
-    """The cleaner without normalisation, which is the identity on these pages' characters."""
-    return t(spark, sf_dir, "pages").select("page_id", X.clean("html", normalize=False).alias("text"))
+    """The cleaner with its defaults. The SQL has no NFKC, so equality also shows that these pages are normal."""
+    return t(spark, sf_dir, "pages").select("page_id", X.clean("html").alias("text"))
 
 
 @query()
@@ -360,29 +382,31 @@ def lowercase(spark, sf_dir):
     return t(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("text"))
 
 
-_CJK = [(1, "「你好」『世界』（测试）【一】《书》——好…"), (2, "ＡＢＣ１２３！？　ｘｙｚ"), (3, "plain"), (4, "“引”‘号’")]
-_CJK_VALUES = "(values " + ", ".join(f"({i}::bigint, '{s}')" for i, s in _CJK) + ") v(id, s)"
 _FULL = "".join(chr(i) for i in range(0xFF01, 0xFF5F)) + "　"
 _HALF = "".join(chr(i) for i in range(0x21, 0x7F)) + " "
+# whole documents with CJK marks around and full-width letters, commas and stops inside
+_CJK = "select doc_id, '「' || coalesce(source, '') || '」『' || lang || '』“x”‘y’（z）【1】《b》——' || translate(text, 'aeiou,.! ', 'ａｅｉｏｕ，．！　') || '…' s from documents"
 
 
-def _cjk(spark):
-    return spark.createDataFrame(_CJK, "id long, s string")
+def _cjk(spark, sf_dir):
+    wide = F.translate("text", "aeiou,.! ", "ａｅｉｏｕ，．！　")
+    marked = F.concat(F.lit("「"), F.coalesce("source", F.lit("")), F.lit("」『"), "lang", F.lit("』“x”‘y’（z）【1】《b》——"), wide, F.lit("…"))
+    return t(spark, sf_dir, "documents").select("doc_id", marked.alias("s"))
 
 
-@query(f"select id, translate(s, '{_FULL}', '{_HALF.replace(chr(39), chr(39) * 2)}') text from {_CJK_VALUES}")
+@query(f"select doc_id, translate(s, '{_FULL}', '{_HALF.replace(chr(39), chr(39) * 2)}') text from ({_CJK})")
 def fullwidth(spark, sf_dir):
-    return _cjk(spark).select("id", X.half_width("s").alias("text"))
+    return _cjk(spark, sf_dir).select("doc_id", X.half_width("s").alias("text"))
 
 
-@query(f"select id, replace(replace(translate(s, '（）【】《》', '()[]<>'), '——', '--'), '…', '...') text from {_CJK_VALUES}")
+@query(f"select doc_id, replace(replace(translate(s, '（）【】《》', '()[]<>'), '——', '--'), '…', '...') text from ({_CJK})")
 def cjk_punct(spark, sf_dir):
-    return _cjk(spark).select("id", X.cjk_punct("s").alias("text"))
+    return _cjk(spark, sf_dir).select("doc_id", X.cjk_punct("s").alias("text"))
 
 
-@query(f"select id, translate(s, '「」『』“”‘’', '\"\"''''\"\"''''') text from {_CJK_VALUES}")
+@query(f"select doc_id, translate(s, '「」『』“”‘’', '\"\"\'\'\'\'\"\"\'\'\'\'') text from ({_CJK})")
 def cjk_quotes(spark, sf_dir):
-    return _cjk(spark).select("id", X.cjk_quotes("s").alias("text"))
+    return _cjk(spark, sf_dir).select("doc_id", X.cjk_quotes("s").alias("text"))
 
 
 @query("select doc_id, case when length(text) > 200 then substring(text, 1, 197) || '...' else text end text from documents")
@@ -402,9 +426,11 @@ def text_hash(spark, sf_dir):
 
 @query(r"""
     select doc_id, floor(1.5 * (length(text) - length(o)) + 0.25 * length(o))::int tokens, (length(text) // 4)::int plain
-    from (select doc_id, text, regexp_replace(text, '[\x{4e00}-\x{9fff}]', '', 'g') o from documents)""")
+    from (select doc_id, text, regexp_replace(text, '[\x{4e00}-\x{9fff}]', '', 'g') o from (select doc_id, text || repeat('汉字', doc_id % 7) text from documents))""")
 def token_estimate(spark, sf_dir):
-    return t(spark, sf_dir, "documents").select("doc_id", X.token_estimate("text").alias("tokens"), X.token_estimate_plain("text").alias("plain"))
+    """Over texts that end in some CJK characters."""
+    docs = t(spark, sf_dir, "documents").withColumn("text", F.concat("text", F.repeat(F.lit("汉字"), (F.col("doc_id") % 7).cast("int"))))
+    return docs.select("doc_id", X.token_estimate("text").alias("tokens"), X.token_estimate_plain("text").alias("plain"))
 
 
 @query("""
@@ -444,17 +470,34 @@ def dedup_counts(spark, sf_dir):
 _SIM = "list_inner_product(a.e, b.e) / (sqrt(list_inner_product(a.e, a.e)) * sqrt(list_inner_product(b.e, b.e)))"
 
 
-@query(f"""
-    with v as (select vec_id, embedding::double[] e from embeddings)
-    select a.vec_id id_a, b.vec_id id_b, round({_SIM}, 6) similarity from v a join v b on a.vec_id < b.vec_id where {_SIM} >= 0.8""")
+# the vectors, and for each hundredth one three that stray from it step by step
+_PLANTED = """select vec_id, label, embedding::double[] e from embeddings
+    union all select vec_id + 1000000 * s, label, list_transform(embedding::double[], lambda x, i: case when i = s + 1 then x + 0.9 * s else x end) from embeddings, (values (1), (2), (3)) v(s) where vec_id % 100 = 0"""
+_NEAR = f"with v as ({_PLANTED}), p as (select a.vec_id id_a, b.vec_id id_b, {_SIM} similarity from v a join v b on a.vec_id < b.vec_id where {_SIM} >= 0.8)"
+
+
+def _planted(spark, sf_dir):
+    e = t(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"))
+    moved = lambda s: F.transform("embedding", lambda x, i: F.when(i == s, x + 0.9 * s).otherwise(x)).alias("embedding")
+    out = e
+    for s in (1, 2, 3):
+        out = out.unionByName(e.filter("vec_id % 100 = 0").select((F.col("vec_id") + 1_000_000 * s).alias("vec_id"), "label", moved(s)))
+    return out
+
+
+@query(f"{_NEAR} select id_a, id_b, round(similarity, 6) similarity from p")
 def dedup_embedding_pairs(spark, sf_dir):
-    return dedup.similar_pairs(t(spark, sf_dir, "embeddings"), 0.8)
+    return dedup.similar_pairs(_planted(spark, sf_dir), 0.8)
 
 
-@query()
+@query(f"""
+    {_NEAR.replace("with v", "with recursive v")}, n as (select id_b id, list(id_a) earlier, row_number() over (order by id_b) i from p group by id_b),
+    g(i, gone) as (select 0::bigint, []::bigint[] union all
+      select n.i, case when len(list_filter(earlier, lambda x: not list_contains(gone, x))) > 0 then list_append(gone, id) else gone end from g join n on n.i = g.i + 1)
+    select vec_id, label from v where not list_contains((select gone from g order by i desc limit 1), vec_id)""")
 def dedup_embedding(spark, sf_dir):
-    """Greedy: tested against a sequential pass."""
-    return dedup.by_embedding(t(spark, sf_dir, "embeddings"), 0.8).select("vec_id", "label")
+    """Greedy: each vector against the earlier ones that are kept."""
+    return dedup.by_embedding(_planted(spark, sf_dir), 0.8).select("vec_id", "label")
 
 
 # Splitters -------------------------------------------------------------------------------------------------
@@ -475,11 +518,12 @@ def split_sentences(spark, sf_dir):
 
 
 @query(f"""
-    select id doc_id, (i - 1)::int sentence_index, l[i] sentence from
-    (select id, list_filter(list_transform(string_split_regex(s, '[。！？；]'), lambda x: {_strip("x")}), lambda x: x <> '') l from (values (1::bigint, '你好。世界！ 好吗？是；的'), (2, '。。'), (3, 'abc')) v(id, s)),
+    select doc_id, (i - 1)::int sentence_index, l[i] sentence from
+    (select doc_id, list_filter(list_transform(string_split_regex(translate(text, '.!?;', '。！？；'), '[。！？；]'), lambda x: {_strip("x")}), lambda x: x <> '') l from documents),
     lateral (select unnest(generate_series(1, len(l))) i)""")
 def split_cjk_sentences(spark, sf_dir):
-    return split.cjk_sentences(spark.createDataFrame([(1, "你好。世界！ 好吗？是；的"), (2, "。。"), (3, "abc")], "doc_id long, text string"))
+    """Over documents with CJK marks."""
+    return split.cjk_sentences(t(spark, sf_dir, "documents").select("doc_id", F.translate("text", ".!?;", "。！？；").alias("text")))
 
 
 @query(f"""
@@ -572,15 +616,23 @@ def rag_answer(spark, sf_dir):
 
 
 # Evaluation ------------------------------------------------------------------------------------------------
-# a sample is a user turn and its answer; ground truth is the answer, contexts are the answer and the question
+# a sample is a user turn and its answer, which is the ground truth too; contexts are the turns before and after them,
+# in some conversations with most of the question or of the answer
 
 
 def _samples(spark, sf_dir):
-    s = evaluate.conversation_samples(t(spark, sf_dir, "conversations"))
-    return s.withColumn("ground_truth", F.col("answer")).withColumn("contexts", F.array("question", "answer"))
+    by = Window.partitionBy("conv_id").orderBy("turn")
+    turns = t(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce(F.lag("text").over(by), F.lit("")).alias("before"), F.coalesce(F.lead("text", 2).over(by), F.lit("")).alias("after"))
+    pairs = evaluate.conversation_samples(t(spark, sf_dir, "conversations"))
+    part = lambda c, n, num, den, rest: F.when(F.col("conv_id") % n == rest, F.substring(c, F.lit(1), F.floor(F.length(c) * num / den).cast("int"))).otherwise("")
+    first, second = F.concat("before", F.lit(" "), part("question", 3, 4, 5, 0)), F.concat("after", F.lit(" "), part("answer", 4, 2, 3, 1))
+    return pairs.join(turns, ["conv_id", "turn"]).withColumn("ground_truth", F.col("answer")).withColumn("contexts", F.array(first, second)).drop("before", "after")
 
 
-_S = f"with p as ({_PAIRS}), s as (select conv_id, turn, {_set('question')} q, {_set('answer')} a, {_set("question || ' ' || answer")} c, answer, question from p)"
+_S = f"""with t as (select conv_id, turn, role, text, coalesce(lag(text) over o, '') b, lead(role) over o nr, lead(text) over o nt, coalesce(lead(text, 2) over o, '') n2 from conversations window o as (partition by conv_id order by turn)),
+    p as (select conv_id, turn, role, text, nr, nt, b || ' ' || case when conv_id % 3 = 0 then substring(text, 1, length(text) * 4 // 5) else '' end b,
+      n2 || ' ' || case when conv_id % 4 = 1 then substring(nt, 1, length(nt) * 2 // 3) else '' end n2 from t),
+    s as (select conv_id, turn, {_set("text")} q, {_set("nt")} a, {_set("b")} c1, {_set("n2")} c2, {_set("b || ' ' || n2")} c, nt answer, text question from p where role = 'user' and nr = 'assistant')"""
 
 
 def _ratio(a: str, b: str, factor: str = "1.0") -> str:
@@ -600,10 +652,10 @@ _METRICS = {
     "faithfulness": _ratio("a", "c", "1.5"),
     "answer_relevancy": _ratio("q", "a", "2.0"),
     "context_recall": _ratio("a", "c"),
-    "context_precision": "(case when len(q) = 0 then 0.0 else (select case when count(*) = 0 then 0.0 else least(1.0, sum(r / (i + 1)) / count(*)) end from (select 0 i, least(1.0, len(list_intersect(q, q)) / greatest(len(q), 1)) r union all select 1, least(1.0, len(list_intersect(q, a)) / greatest(len(q), 1))) where r > 0.5) end)",
-    "hit_rate": "(len(list_intersect(a, q)) >= 0.5 * len(a) or true)::int",
+    "context_precision": "(case when len(q) = 0 then 0.0 else (select case when count(*) = 0 then 0.0 else least(1.0, sum(r / (i + 1)) / count(*)) end from (select 0 i, least(1.0, len(list_intersect(q, c1)) / greatest(len(q), 1)) r union all select 1, least(1.0, len(list_intersect(q, c2)) / greatest(len(q), 1))) where r > 0.5) end)",
+    "hit_rate": "(len(list_intersect(a, c1)) >= 0.5 * len(a) or len(list_intersect(a, c2)) >= 0.5 * len(a))::int",
     "sentence_faithfulness": f"(select case when len(l) = 0 then 0.0 else len(list_filter(l, lambda x: len(list_intersect({_set('x')}, c)) / greatest(len({_set('x')}), 1) > 0.3)) / len(l) end from (select {_SENTS} l))",
-    "rank_precision": "(case when len(q) = 0 and len(a) = 0 then 0.0 else (select case when count(*) = 0 then 0.0 else least(1.0, sum(1.0 / (i + 1)) / count(*) * 2) end from (select 0 i, len(q) n union all select 1, len(list_intersect(q, a))) where n > 0) end)",
+    "rank_precision": "(select case when count(*) = 0 then 0.0 else least(1.0, sum(1.0 / (i + 1)) / count(*) * 2) end from (select 0 i, len(list_intersect(q, c1)) n union all select 1, len(list_intersect(q, c2))) where n > 0)",
 }
 for _name, _sql in _METRICS.items():
     _metric_query(_name, _sql)
@@ -648,7 +700,7 @@ _CONFIGS = [("narrow", 3, 0.5), ("wide", 10, 0.0), ("strict", 5, 0.9)]
 def eval_compare_configs(spark, sf_dir):
     configs = spark.createDataFrame(_CONFIGS, "config string, top_k int, threshold double")
     long = lambda df: df.select("config", F.lit("score").alias("metric_name"), "score")
-    return evaluate.compare(_legs(spark, sf_dir)[1], configs, long).select("config", "mean", "n")
+    return evaluate.compare(_keywords(spark, sf_dir), configs, long).select("config", "mean", "n")
 
 
 @query(f"pivot (select conv_id, turn, metric_name, score from ({_LONG})) on metric_name in ({', '.join(repr(m) for m in _METRICS)}) using first(score) group by conv_id, turn")
@@ -658,7 +710,7 @@ def eval_pivot(spark, sf_dir):
 
 @query("""
     with b as (select (row_number() over (order by doc_id) - 1) // greatest(1, (select count(*) from documents) // 7) bucket, doc_id, text from documents)
-    select bucket::bigint bucket, md5(substring(string_agg(text, chr(10) || chr(10) order by doc_id), 1, 8000)) context, count(*)::int n_chunks from b where bucket < 7 group by bucket""")
+    select bucket::bigint bucket, md5(substring(string_agg(text, chr(10) order by doc_id), 1, 8000)) context, count(*)::int n_chunks from b where bucket < 7 group by bucket""")
 def testset_buckets(spark, sf_dir):
     return evaluate.testset_buckets(t(spark, sf_dir, "documents"), 7).withColumn("context", F.md5("context"))
 
@@ -716,48 +768,84 @@ def ingest_counts(spark, sf_dir):
 
 # Query rewriting -------------------------------------------------------------------------------------------
 
-_REPLIES = [(1, "1. first query\n2、second query\n- third one\nab\n"), (2, ""), (3, "* bullet query\n\n3) other query")]
-_JSON = [(1, '{"question": "Q one?", "answer": "A one"}'), (2, '```json\n{"question": "Q two", "answer": "A two"}\n```'), (3, "What is it? It is that."), (4, "nothing")]
+# benchmark texts as statements, short ones, questions and alternatives
+_ASKED = "select item_id query_id, case item_id % 5 when 0 then text when 1 then substring(text, 1, 12) || '?' when 2 then text || '吗' when 3 then substring(text, 1, 9) || '呢或' else substring(text, 1, 30) end query from benchmark"
 
 
-@query("""
-    select item_id query_id, case when regexp_matches(text, '[?？]|什么|怎么|如何|为什么|哪|谁|吗|呢|多少|是否') then case when length(text) > 20 or contains(text, '或') then 'decomposition' else 'expansion' end
-    when length(text) > 30 then 'specific' else 'expansion' end strategy from benchmark""")
+def _asked(spark, sf_dir):
+    kind, text = F.col("item_id") % 5, F.col("text")
+    query = F.when(kind == 0, text).when(kind == 1, F.concat(F.substring(text, 1, 12), F.lit("?"))).when(kind == 2, F.concat(text, F.lit("吗"))).when(kind == 3, F.concat(F.substring(text, 1, 9), F.lit("呢或"))).otherwise(F.substring(text, 1, 30))
+    return t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), query.alias("query"))
+
+
+@query(f"""
+    select query_id, case when regexp_matches(query, '[?？]|吗|呢|怎么|如何|为什么|什么|哪|是不是|谁|多少|是否') then case when length(query) > 20 or contains(query, '或') then 'decomposition' else 'expansion' end
+    when length(query) > 30 then 'specific' else 'expansion' end strategy from ({_ASKED})""")
 def rewrite_strategy(spark, sf_dir):
-    return t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), rewrite.strategy(F.col("text")).alias("strategy"))
+    return _asked(spark, sf_dir).select("query_id", rewrite.strategy(F.col("query")).alias("strategy"))
 
 
-@query("select * from (values (1::bigint, 'first query|second query|third one'), (2, ''), (3, 'bullet query|other query')) v(id, queries)")
+_LINE = _strip(r"regexp_replace(" + _strip("x") + r", '^[0-9.\-*、。,)）]+', '')")
+
+
+@query(rf"select doc_id, array_to_string(list_filter(list_transform(string_split({_strip("'12. ' || replace(text, '. ', chr(10) || '- ')")}, chr(10)), lambda x: {_LINE}), lambda x: length(x) > 2), '|') queries from documents")
 def parse_queries(spark, sf_dir):
-    return spark.createDataFrame(_REPLIES, "id long, s string").select("id", F.array_join(X.parse_lines("s"), "|").alias("queries"))
+    """Documents as numbered and bulleted replies."""
+    reply = F.concat(F.lit("12. "), F.replace(F.col("text"), F.lit(". "), F.lit("\n- ")))
+    return t(spark, sf_dir, "documents").select("doc_id", F.array_join(X.parse_lines(reply), "|").alias("queries"))
 
 
-@query("select * from (values (1::bigint, 'Q one?', 'A one'), (2, 'Q two', 'A two'), (3, 'What is it?', 'It is that.'), (4, null, null)) v(id, question, answer)")
+@query(f"""
+    with p as (select doc_id, doc_id % 5 kind, lang || ' asks' question, text answer from documents),
+    r as (select *, string_split(text, '?') l from (select doc_id, kind, question, answer, {_strip("answer")} text from p))
+    select doc_id, case when kind < 2 then question when kind = 2 then question || '?' when kind = 3 then '' when len(l) > 1 then {_strip("replace(replace(l[1], '问题:', ''), 'Q:', '')")} || '?' end question,
+      case when kind < 2 then answer when kind = 2 then {_strip("replace(string_split(string_split(' A: ' || answer, '?')[1], '答案:')[-1], 'A:', '')")} when kind = 3 then answer
+        when len(l) > 1 then {_strip("replace(string_split(l[2], '答案:')[-1], 'A:', '')")} end answer from r""")
 def parse_llm_json(spark, sf_dir):
-    return spark.createDataFrame(_JSON, "id long, s string").select("id", X.parse_answer("s").alias("x")).select("id", "x.question", "x.answer")
+    """Documents as replies: JSON, JSON in a fence, a labelled question, JSON without a question, plain text."""
+    kind, asks = F.col("doc_id") % 5, F.concat("lang", F.lit(" asks"))
+    whole = F.to_json(F.struct(asks.alias("question"), F.col("text").alias("answer")))
+    reply = F.when(kind == 0, whole).when(kind == 1, F.concat(F.lit("```json\n"), whole, F.lit("\n```"))).when(kind == 2, F.concat(F.lit("Q: "), asks, F.lit("? A: "), "text"))
+    reply = reply.when(kind == 3, F.to_json(F.struct(F.col("text").alias("answer")))).otherwise(F.col("text"))
+    return t(spark, sf_dir, "documents").select("doc_id", X.parse_answer(reply).alias("x")).select("doc_id", "x.question", "x.answer")
 
 
 @query(r"""
-    with p as (select item_id query_id, text, list_filter(string_split_regex(text, '[^\p{L}\p{N}]+'), lambda x: length(x) > 1 and lower(x) not in ('的','了','是','在','和','与','the','a','an','is','are','of','to','in','and','or')) k from benchmark)
+    with p as (select item_id query_id, text, list_filter(string_split_regex(text, '[^\p{L}\p{N}]+'), lambda x: length(x) > 1 and lower(x) not in ('一个','没有','自己','the','a','an','is','are','of','to','in','and','or')) k from benchmark)
     select query_id, case when len(k) > 0 then array_to_string(k, ' ') else text end keywords from p""")
 def keyword_fallback(spark, sf_dir):
     return t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(rewrite.keywords(F.col("text")), " ").alias("keywords"))
 
 
-@query(f"select distinct query_id, query variant from ({_BENCH})")
+class Parrot:
+    """A client that repeats the query after the first word of its task."""
+
+    def invoke(self, prompt: str) -> str:
+        task, _, query = prompt.partition("\n\n")
+        return f"1. {task.split()[0]} {' '.join(query.split(chr(10)))}"
+
+
+@query(f"""
+    select distinct query_id, {_strip("v || replace(query, chr(10), ' ')")} variant from ({_ASKED}), (values ('Write '), ('Split ')) w(v)
+    union select query_id, query from ({_ASKED})""")
 def query_variants(spark, sf_dir):
-    """Without a client each query falls back on itself."""
-    return rewrite.variants(rewrite.rewrite(_bench(spark, sf_dir)))
+    """Every query by three strategies and a client; equal variants count once."""
+    return rewrite.variants(rewrite.multi_strategy(_asked(spark, sf_dir), Parrot))
 
 
 # Tables as documents, events -------------------------------------------------------------------------------
 
 
 @query("""
-    select n_nationkey id, array_to_string(list_filter([case when n_name <> '' then 'n_name: ' || n_name end, 'n_regionkey: ' || n_regionkey], lambda x: x is not null), chr(10)) text from nation""")
+    select c_custkey::varchar id, array_to_string(list_filter([case when c_name <> '' then 'c_name: ' || c_name end, case when note <> '' then 'note: ' || note end], lambda x: x is not null), chr(10)) text
+    from (select c_custkey, c_name, case when c_custkey % 3 = 0 then '' else c_mktsegment || ', "' || chr(10) || c_nationkey || '"' end note from customer)""")
 def csv_documents(spark, sf_dir):
-    cells = F.array(F.when(F.col("n_name") != "", F.concat(F.lit("n_name: "), F.col("n_name"))), F.concat(F.lit("n_regionkey: "), F.col("n_regionkey").cast("string")))
-    return t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.array_join(F.array_compact(cells), "\n").alias("text"))
+    """Customers written as CSV, with quotes, line ends and empty cells, and read by the loader."""
+    note = F.when(F.col("c_custkey") % 3 == 0, "").otherwise(F.concat("c_mktsegment", F.lit(', "\n'), "c_nationkey", F.lit('"')))
+    path = f"{own_dir(spark)}/customers-{uuid.uuid4().hex}"
+    t(spark, sf_dir, "customer").select("c_custkey", "c_name", note.alias("note")).write.options(header=True, quote='"', escape='"', quoteAll=True).csv(path)
+    read = loaders.csv(spark, path, ["c_name", "note"], metadata_columns=["c_custkey"])
+    return read.select(F.col("metadata")["c_custkey"].alias("id"), "text")
 
 
 @query("select doc_id, length(text) - length(replace(text, chr(10), '')) + 1 line_count from documents")
@@ -780,4 +868,4 @@ def top_by_source(spark, sf_dir):
 
 @query("select doc_id, count(*) over (partition by source) source_size from documents")
 def chunk_totals(spark, sf_dir):
-    return t(spark, sf_dir, "documents").select("doc_id", F.count("*").over(Window.partitionBy("source")).alias("source_size"))
+    return with_group_size(t(spark, sf_dir, "documents").select("doc_id", "source"), "source", "source_size").select("doc_id", "source_size")

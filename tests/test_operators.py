@@ -1,7 +1,13 @@
 """Splitters, greedy dedup, cleaning, retrieval contracts and rewriting."""
 
+import asyncio
+import json
 import random
+import re
+import threading
+import time
 import unicodedata
+from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,8 +15,9 @@ from pyspark.sql import functions as F
 from loomquery.functions import text as X
 from loomquery.functions import vector as V
 from loomquery.operators import bm25, dedup, fusion, knn, rewrite, split
-from loomquery.plans import llm, rag
-from loomquery.plans.tables import row_numbers
+from loomquery.plans import llm, pipeline, rag, testsets
+from loomquery.plans.tables import global_scan, row_numbers, with_group_size
+from loomquery.queries import QUERIES
 
 
 def test_recursive_split():
@@ -28,11 +35,29 @@ def test_recursive_split():
     assert split.split_recursively("ab\ncd\nef\ngh", 7, 3) == ["ab\ncd", "cd\nef", "ef\ngh"]
 
 
+def markdown_by_size(text, size):
+    """A literal pass: the held lines are joined and measured before each line that isn't blank."""
+    chunks, held, header = [], [], False
+    for line in text.split("\n"):
+        if line.strip() == "":
+            held.append(line)
+            continue
+        header |= re.fullmatch(r"(#|##|###|####|#####|######)\s+.+", line.strip()) is not None
+        if held and len("\n".join(held)) >= size * (1 + header):
+            chunks.append("\n".join(held))
+            held = []
+        held.append(line)
+    return chunks + (["\n".join(held)] if held else [])
+
+
 def test_markdown_split():
+    rng = random.Random(7)
     text = "# Head\n" + "\n".join("line %02d of text" % i for i in range(20))
-    chunks = split.split_markdown_by_size(text, 60)
-    assert len(chunks) > 2 and "\n".join(chunks) == text
-    assert split.split_markdown_by_size("", 10) == []
+    assert "\n".join(split.split_markdown_by_size(text, 60)) == text
+    for _ in range(300):
+        lines = [rng.choice(["", "  ", "# H", "####### seven", "#none", "## ", "word " * rng.randint(1, 9), "x"]) for _ in range(rng.randint(0, 40))]
+        text, size = "\n".join(lines), rng.choice([1, 5, 20, 60])
+        assert split.split_markdown_by_size(text, size) == markdown_by_size(text, size)
 
 
 def test_parent_child(spark):
@@ -162,3 +187,177 @@ def test_rag_answers_every_query(spark):
 def test_row_numbers(spark):
     got = row_numbers(spark.range(500).select((F.col("id") * 37 % 501).alias("x")), F.col("x")).orderBy("x").collect()
     assert [r["rn"] for r in got] == list(range(1, 501))
+
+
+def test_global_scan_and_group_sizes(spark):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("x"), F.when(F.col("id") % 3 > 0, "hot").when(F.col("id") % 2 == 0, F.col("id").cast("string")).alias("k"))
+    cum = 0
+    for i, r in enumerate(global_scan(df.select("x"), [F.col("x")], {"cum": "x"}).orderBy("x").collect(), 1):
+        cum += r["x"]
+        assert r["rn"] == i and r["cum"] == cum
+    got = {(r["k"], r["n"]) for r in with_group_size(df, "k", "n").collect()}
+    assert got == {(r["k"], r["count"]) for r in df.groupBy("k").count().collect()}
+
+
+def test_hybrid_search_of_texts(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").filter("doc_id < 60")
+    embed = pipeline.hashing_encoder(32)
+    vectors = docs.select("doc_id", embed("text").alias("embedding"))
+    queries = docs.filter("doc_id in (3, 4)").select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 200).alias("query"))
+    h = fusion.Hybrid(fusion.semantic_leg(vectors, embed), fusion.keyword_leg(docs))
+    found = {(r["query_id"], r["rank"]): r["doc_id"] for r in h.search(queries, 3).collect()}
+    assert len(found) == 6 and 3 in (found[3, 1], found[3, 2]) and found[4, 1] == 4
+    h.set_weights(1, 3)
+    h.reranker = lambda df: df.withColumn("score", -F.col("score"))
+    assert h.weights == (0.25, 0.75) and h.stats()["rerank"]
+    turned = h.search(queries, 6).collect()
+    h.rerank = False
+    assert not h.stats()["rerank"] and {r["doc_id"] for r in h.search(queries, 6).collect()} and turned
+    lone = fusion.Hybrid(None, fusion.keyword_leg(docs)).search(queries, 2)
+    assert lone.count() == 4 and fusion.over_fetch(3) == 10 and fusion.over_fetch(9) == 18
+
+
+def test_cross_encoder(spark):
+    pairs = spark.createDataFrame([(1, 10, "cat", "cat cat"), (1, 11, "cat", "dog"), (1, 12, "cat", None), (2, 10, "dog", "dog")], "query_id long, doc_id long, query string, content string")
+
+    def one_logit():
+        return lambda q, t: [[float(b.split().count(a))] for a, b in zip(q, t, strict=True)]
+
+    def two_logits():
+        return lambda q, t: [[0.0, float(b.split().count(a))] for a, b in zip(q, t, strict=True)]
+
+    for load in (one_logit, two_logits):
+        got = {(r["query_id"], r["doc_id"]): (r["score"], r["rank"]) for r in fusion.rerank(pairs, fusion.cross_encoder(load, batch=2)).collect()}
+        assert got[1, 10] == (round(1 / (1 + 2.718281828459045**-2), 6), 1) and got[1, 11] == (0.5, 2) and got[1, 12] == (0.5, 3) and got[2, 10][1] == 1
+    some = fusion.as_results(spark.createDataFrame([(5, "a", 0.2), (6, "b", 0.7)], "doc_id long, text string, score double"))
+    assert [(r["doc_id"], r["content"], r["rank"], r["source"]) for r in some.orderBy("rank").collect()] == [(6, "b", 1, None), (5, "a", 2, None)]
+
+
+def test_rewrite_cache_timeout_and_strategies(spark):
+    class Slow:
+        def invoke(self, prompt):
+            time.sleep(2 if "slow" in prompt else 0)
+            return "a reply of " + prompt.split()[1]
+
+    q = spark.createDataFrame([(1, "slow one"), (2, "quick one")], "query_id long, query string")
+    got = {r["query_id"]: r for r in rewrite.rewrite(q, Slow, "expansion", timeout=0.5).collect()}
+    assert got[1]["fallback"] and got[1]["rewritten"] == ["slow one"] and got[2]["rewritten"] == ["a reply of three"]
+    cache = spark.createDataFrame([(7, "slow one", "expansion", ["held"], False), (8, "quick one", "expansion", ["quick one"], True)], "query_id long, query string, strategy string, rewritten array<string>, fallback boolean")
+    again = {r["query_id"]: r for r in rewrite.rewrite(q, Slow, "expansion", timeout=0.5, cache=cache).collect()}
+    assert again[1]["rewritten"] == ["held"] and not again[1]["fallback"] and again[2]["rewritten"] == ["a reply of three"]
+    every = rewrite.multi_strategy(q.filter("query_id = 2"), Slow)
+    assert {r["strategy"] for r in every.collect()} == set(rewrite.STRATEGIES)
+    assert {r["variant"] for r in rewrite.variants(every).collect()} == {"quick one", "a reply of three", "a reply of this", "a reply of a"}
+
+
+class Service(BaseHTTPRequestHandler):
+    """Chat completions, whole or as events, and embeddings; the first request fails."""
+
+    failed = False
+
+    def log_message(self, *_):
+        pass
+
+    def do_POST(self):
+        body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+        if not Service.failed:
+            Service.failed = True
+            return self.send_error(503)
+        if self.path.endswith("embeddings"):
+            reply = json.dumps({"data": [{"index": i, "embedding": [float(len(t)), 1.0]} for i, t in reversed(list(enumerate(body["input"])))]})
+        elif body.get("stream"):
+            pieces = [{"choices": [{"delta": {"content": x}}]} for x in ("one ", "two")] + [{"choices": [{"delta": {}}]}]
+            reply = "".join(f"data: {json.dumps(p)}\n\n" for p in pieces) + ": note\n\ndata: [DONE]\n\n"
+        else:
+            reply = json.dumps({"model": "m", "usage": {"total_tokens": 3}, "choices": [{"message": {"content": "said " + body["messages"][0]["content"]}, "finish_reason": "stop"}]})
+        self.send_response(200)
+        self.end_headers()
+        self.wfile.write(reply.encode())
+
+
+def test_clients(spark):
+    server = HTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}"
+    try:
+        client = llm.create("http", url=url, model="m")
+        assert client.invoke("hello") == "said hello" and client.respond("x").usage == {"total_tokens": 3}
+        assert list(client.stream("x")) == ["one ", "two"]
+
+        async def gather():
+            return [x async for x in client.astream("x")], await client.abatch(["a", "b"])
+
+        assert asyncio.run(gather()) == (["one ", "two"], ["said a", "said b"]) and client.batch(["c"]) == ["said c"]
+        encode = pipeline.EMBEDDERS["remote"](url, "m", batch=2)
+        rows = spark.createDataFrame([("a",), ("bbb",), (None,), ("cc",), ("dddd",)], "t string").coalesce(1)
+        assert [r[0] for r in rows.select(encode("t")).collect()] == [[float(n), 1.0] for n in (1, 3, 0, 2, 4)]
+    finally:
+        server.shutdown()
+    assert llm.Extractive().n_tokens("汉字 abcd") == int(3 + 0.25 * 5)
+    model = pipeline.encoder(lambda: lambda texts: [[float(len(t))] for t in texts], batch=2, instruction="q: ", most=1)
+    assert [r[0] for r in rows.select(model("t")).collect()] == [[4.0], [6.0], [3.0], [5.0], [7.0]]
+    pipeline.register_embedder("mine", lambda: model)
+    assert pipeline.EMBEDDERS["mine"]() is model
+
+
+def test_testsets_and_chain(spark):
+    facts = ["The cat sleeps on the warm windowsill.", "Dogs bark at passing cars every morning.", "Rivers carry sediment toward the distant ocean.", "Bread rises because yeast makes carbon dioxide."]
+    chunks = spark.createDataFrame([(i, f) for i, f in enumerate(facts)], "doc_id long, text string")
+    samples = testsets.from_documents(chunks, pairs=4)
+    got = samples.orderBy("ground_truth_context").collect()
+    assert len(got) == 4 and all(r["answer"] == r["ground_truth_context"] and "____" in r["question"] for r in got)
+    assert testsets.from_documents(chunks, pairs=2).count() == 2
+    assert testsets.from_contexts(spark.createDataFrame([(0, ""), (1, "One sentence here.")], "bucket long, context string"), pairs=1).count() == 1
+    assert "## Known answer\ntruth" in spark.createDataFrame([("c", "truth")], "c string, t string").select(testsets.generation_prompt(F.col("c"), F.col("t"), ["factual"])).first()[0]
+    content = chunks.select("doc_id", F.col("text").alias("content"), F.concat(F.lit("s"), "doc_id").alias("source"))
+    leg = fusion.keyword_leg(chunks)
+    chain = rag.Chain(lambda q, k: leg(q, k).join(content, "doc_id"), k=2, threshold=0.1)
+    done = testsets.evaluate_documents(chunks, chain, pairs=4, metrics=["faithfulness", "context_recall", "hit_rate"])
+    means = {m["metric_name"]: m["mean"] for m in done["metrics"]}
+    assert done["scores"].count() == 4 and means["hit_rate"] == 1.0 and means["context_recall"] > 0.9 and done["seconds"] > 0
+    assert "The cat sleeps" in "".join(chain.stream(spark, "What sleeps on the windowsill?"))
+    assert asyncio.run(chain.ainvoke(spark.createDataFrame([(1, "Who barks?")], "query_id long, query string"))).count() == 1
+
+
+def test_buckets_match_a_sequential_pass(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    from loomquery.operators.evaluate import testset_buckets
+
+    rows = sorted((r["doc_id"], r["text"] or "") for r in docs.collect())
+    for pairs, most in ((3, 100), (7, 8000), (500, 50)):
+        size = max(1, len(rows) // pairs)
+        want = {b: ("\n".join(x for _, x in rows[b * size : (b + 1) * size])[:most], len(rows[b * size : (b + 1) * size])) for b in range(min(pairs, -(-len(rows) // size)))}
+        assert {r["bucket"]: (r["context"], r["n_chunks"]) for r in testset_buckets(docs, pairs, most).collect()} == want
+
+
+def test_queries_without_sql(spark, sf):
+    """Against plain Python over every document."""
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+
+    def squeezed(t):
+        t = re.sub("<[^>]+>", " ", unicodedata.normalize("NFKC", t or ""))
+        for a, b in zip("「」『』“”‘’（）【】《》", "\"\"''\"\"''()[]<>", strict=True):
+            t = t.replace(a, b)
+        t = "".join(chr(ord(c) - 0xFEE0) if 0xFF01 <= ord(c) < 0xFF5F else c for c in t.replace("\u3000", " ")).replace("——", "--").replace("…", "...")
+        return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", t.replace("\r\n", "\n"))).strip(" \t\n\x0b\f\r")
+
+    assert {r["doc_id"]: r["text"] for r in QUERIES["clean_full"](spark, sf).collect()} == {i: squeezed(t) for i, t in texts.items()}
+    chunks = lambda name: sorted((r["doc_id"], r["chunk_index"], r["total_chunks"], r["text"]) for r in QUERIES[name](spark, sf).collect())
+    every = lambda f: sorted((i, n, len(c), x) for i, t in texts.items() for c in [f(t) if t else []] for n, x in enumerate(c))
+    assert chunks("split_markdown") == every(lambda t: markdown_by_size(t, 500))
+    assert chunks("split_recursive") == every(split.split_recursively)
+    assert all(len(x) <= 600 or not re.search(r"[,.;!?\n]\s", x) for _, _, _, x in chunks("split_recursive"))
+    kids = sorted((r["doc_id"], r["parent_index"], r["child_index"], r["text"]) for r in QUERIES["split_parent_child"](spark, sf).collect())
+    want = [(i, p, c, x) for i, t in texts.items() if t for p, parent in enumerate(split.split_recursively(t, 1500, 150)) for c, x in enumerate(split.split_recursively(parent, 200, 20))]
+    assert kids == sorted(want)
+    found = {(r["doc_id"], r["parent_index"]): r["child_count"] for r in QUERIES["parent_recovery"](spark, sf).collect()}
+    assert found == {k: sum(x[:2] == k for x in want) for k in {x[:2] for x in want}}
+    answers = QUERIES["rag_answer"](spark, sf).collect()
+    items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    assert {r["query_id"]: r["question"] for r in answers} == items
+    top = {}
+    for r in bm25.search(spark.read.parquet(f"{sf}/documents.parquet"), spark.createDataFrame(list(items.items()), "query_id long, query string"), 5).collect():
+        top.setdefault(r["query_id"], []).append((r["rank"], r["score"]))
+    for r in answers:
+        scores = [s for _, s in sorted(top.get(r["query_id"], [])) if s >= 0.5]
+        assert r["retrieval_scores"] == scores and r["num_retrieved"] == len(scores) and r["answer"]

@@ -1,5 +1,10 @@
 """Every catalogue query that has SQL equals DuckDB; the others are tested beside."""
 
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
 import duckdb
 import pytest
 
@@ -45,3 +50,22 @@ def test_plans(spark, sf):
     assert "PushedFilters: [Or(Not(EqualTo(source" in plan(QUERIES["kb_delete_by_source"](spark, sf)) or "PushedFilters: [" in plan(QUERIES["kb_filter"](spark, sf))
     assert "ReadSchema: struct<doc_id:bigint,source:string>" in plan(QUERIES["kb_stats"](spark, sf))
     assert "text:" not in plan(QUERIES["top_by_source"](spark, sf)).split("ReadSchema")[1]
+    search = plan(QUERIES["hybrid_search"](spark, sf))
+    assert search.count("Scan parquet") <= 8 and search.count("documents.parquet") == 0
+
+
+def test_stands_without_the_training_data_operators(tmp_path):
+    """A copy without llm, its tests and the pipeline, and one that still has corpus_pipeline.py."""
+    root = Path(__file__).resolve().parents[1]
+    for keep in (False, True):
+        to = tmp_path / str(keep)
+        shutil.copytree(root, to, ignore=shutil.ignore_patterns(".git", "__pycache__", "spark-warehouse"))
+        shutil.rmtree(to / "loomquery" / "llm", ignore_errors=True)
+        shutil.rmtree(to / "tests" / "llm", ignore_errors=True)
+        if not keep:
+            (to / "corpus_pipeline.py").unlink(missing_ok=True)
+        code = "import __spark_entry__ as e; q = e.queries(); assert not [n for n in q if n.startswith('op') or n == 'pipeline']; assert set(e.oracle_sql()) <= set(q); print(len(q))"
+        said = subprocess.run([sys.executable, "-c", code], cwd=to, capture_output=True, text=True, check=False)
+        assert said.returncode == 0 and int(said.stdout) == len(QUERIES), said.stderr
+        names = subprocess.run(["grep", "-rlE", "loomquery.llm|from loomquery import llm", "--include=*.py", "loomquery", "tests"], cwd=to, capture_output=True, text=True, check=False).stdout.split()
+        assert names in ([], ["tests/test_queries.py"])

@@ -70,6 +70,31 @@ def test_loaders(spark, folder):
     assert loaders.load_all(spark, [f"{folder}/a.md", f"{folder}/b.md", f"{folder}/c.py"]).count() == 3
     assert loaders.files(spark, str(folder), [".py"]).count() == 1
     assert len(loaders.file_hash(spark, f"{folder}/c.py").first()["hash"]) == 32
+    assert loaders.files(spark, f"{folder}/nowhere").count() == 0
+    missed = []
+    assert loaders.load_all(spark, [f"{folder}/a.md", f"{folder}/gone.md", f"{folder}/h.unknown"], lambda p, e: missed.append(p)).count() == 1 and len(missed) == 2
+
+
+def test_suffixes_of_any_case(spark, folder):
+    (folder / "D2.CSV").write_text("name\ncarl\n")
+    (folder / "J.Md").write_text("# Upper\n")
+    (folder / "k.scss").write_text("a { b: c }\n")
+    got = sorted(r["text"] for r in loaders.directory(spark, str(folder), [".csv", ".md", ".scss"]).collect())
+    assert len(got) == 7 and "name: carl" in got and "# Upper\n" in got and "a { b: c }\n" in got
+    assert loaders.load(spark, f"{folder}/k.scss").first()["metadata"]["language"] == "scss"
+
+
+def test_csv_rows_and_encodings(spark, tmp_path):
+    for n in range(3):
+        (tmp_path / f"{n}.csv").write_text("a,b\n" + "".join(f"v{n}x{i},{i}\n" for i in range(4000)))
+    whole, lines = (loaders.csv(spark, str(tmp_path), multiline=m).collect() for m in (True, False))
+    for rows in (whole, lines):
+        assert sorted((r["file_name"], int(r["metadata"]["row"]), r["text"]) for r in rows) == sorted((f"{n}.csv", i, f"a: v{n}x{i}\nb: {i}") for n in range(3) for i in range(4000))
+    for code, text in (("utf-8", "名,b\n值é,1\n"), ("gb18030", "名,b\n值,1\n"), ("iso-8859-1", "n,b\n\xe9\xff,1\n")):
+        (tmp_path / "e").mkdir(exist_ok=True)
+        (tmp_path / "e" / "x.csv").write_bytes(text.encode(code))
+        assert loaders.detect_encoding(spark, f"{tmp_path}/e/x.csv") == code
+        assert loaders.csv(spark, f"{tmp_path}/e/x.csv", encoding=None).first()["text"] == "\n".join(f"{k}: {v}" for k, v in zip(*[x.split(",") for x in text.split()], strict=True))
 
 
 def _records(spark, rows):
@@ -89,6 +114,21 @@ def test_collection(spark, tmp_path):
     q = spark.createDataFrame([(1, [5.0, 1.0])], "query_id long, query array<float>")
     assert c.search(q, 1).first()["id"] == "5" and c.search(q, 1, {"n": {"$lt": 4}}).first()["id"] != "5"
     assert c.scan(2).count() == 2 and c.read(0).count() == 6 and len(c.versions()) == 6
+    # of two writers of one version the second fails and leaves no trace
+    late = K.Collection(spark, str(tmp_path), "col")
+    late.versions = lambda: c.versions()[:-1]
+    before = sorted(c.read().collect())
+    with pytest.raises(Exception, match="(?i)exist"):
+        late.upsert(_records(spark, [("1", "late", [0.0, 1.0], {})]))
+    assert sorted(c.read().collect()) == before
+    c.compact()
+    assert sorted(c.read().collect()) == before and len(c._folders()["data"]) == 1 and not c._folders()["gone"]
+    c.upsert(_records(spark, [("1", "once more", [0.0, 1.0], {"source": "s1"})]))
+    assert {r["id"]: r["document"] for r in c.read().collect()}["1"] == "once more" and c.count() == 4
+    far = c.search(q, 4).orderBy("rank").collect()
+    assert [r["score"] for r in far] == sorted((r["score"] for r in far), reverse=True)
+    assert c.search(q, 4, threshold=far[1]["score"]).count() == 2
+    assert K.Collection.names(spark, str(tmp_path)) == ["col"] and c.exists()
     assert not c.reset() and c.reset(confirm=True) and c.count() == 0
 
 
@@ -100,7 +140,21 @@ def test_knowledge_base(spark, tmp_path):
     assert kb.add_documents(spark.createDataFrame([("b", "x")], "source string, text string")) == 1
     s = kb.stats().first()
     assert s["sources"] == "a,b" and s["source_count"] == 2
-    assert kb.delete_by_source("a") and kb.stats().first()["sources"] == "b"
+    asked = spark.createDataFrame([(1, "other words"), (2, "some text here")], "query_id long, text string")
+    found = {r["query_id"]: r for r in kb.search(asked, 1).collect()}
+    assert found[1]["source"] == "b" and found[2]["source"] == "a" and "some text" in found[2]["content"]
+    assert kb.search(asked, 50, threshold=0.99).count() < kb.search(asked, 50).count()
+    changed = kb.collection.read().filter("document = 'x'").select("id", F.lit("b").alias("source"), F.lit("y").alias("text"))
+    kb.update_document(changed)
+    new = kb.collection.read().filter("document in ('x', 'y')").collect()
+    assert [r["document"] for r in new] == ["y"] and "updated_at" in new[0]["metadata"] and "added_at" not in new[0]["metadata"]
+    again = K.KnowledgeBase.open(spark, str(tmp_path), "kb")
+    assert again.exists() and not K.KnowledgeBase.open(spark, str(tmp_path), "none").exists()
+    (tmp_path / "new.txt").write_text("fresh file text")
+    assert again.add_files([str(tmp_path / "new.txt"), str(tmp_path / "gone.txt")], lambda df: df.withColumn("chunk_index", F.lit(0))) == 1
+    kb.collection.embed = kb.embed
+    assert kb.delete(ids=[new[0]["id"]])
+    assert kb.delete_by_source("a") and "a" not in kb.stats().first()["sources"].split(",")
     with pytest.raises(ValueError):
         pipeline.build("other")
     for kind in ("markdown", "parent_child"):
@@ -124,7 +178,15 @@ def test_reports_and_sinks(spark, tmp_path):
     (tmp_path / "t.json").write_text(json.dumps([{"question": "问"}, {"question": "b", "answer": "c"}], ensure_ascii=False))
     got = loaders.testset(spark, str(tmp_path / "t.json")).orderBy("question").collect()
     assert [(r["question"], r["answer"]) for r in got] == [("b", "c"), ("问", "")]
-    sinks.testset(loaders.testset(spark, str(tmp_path / "t.json")), str(tmp_path / "ts"))
+    many = spark.range(50).select(F.concat(F.lit("q\n["), "id").alias("question"), F.when(F.col("id") % 2 == 0, "a").alias("answer"), F.lit("c").alias("ground_truth_context"), F.create_map(F.lit("n"), F.col("id").cast("string")).alias("metadata"))
+    want = sorted((f"q\n[{i}", "" if i % 2 else "a", str(i)) for i in range(50))
+    for write in (sinks.testset, sinks.testset_file):
+        write(many, str(tmp_path / write.__name__))
+        back = loaders.testset(spark, str(tmp_path / write.__name__)).collect()
+        assert sorted((r["question"], r["answer"], r["metadata"]["n"]) for r in back) == want
+    assert len(json.loads(next((tmp_path / "testset_file").glob("part-*")).read_text())) == 50
+    paths = report.save(s, long, str(tmp_path / "reports"))
+    assert len(paths) == 4 and spark.read.json(paths["details"]).count() == long.count()
 
 
 def test_streaming_ingest(spark, tmp_path):
