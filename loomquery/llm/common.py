@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from loomquery.plans import tables
 from loomquery.plans.tables import fits, save
 
-__all__ = ["WHITE", "WHITE_RE", "text_of", "words", "n_words", "key_of", "save", "fence", "lookup", "global_scan", "table"]
+__all__ = ["WHITE", "WHITE_RE", "text_of", "words", "n_words", "key_of", "save", "fence", "lookup", "spread_join", "global_scan", "table"]
 
 #: The ASCII white space of every word rule, as characters and as a regex class.
 WHITE = " \t\n\x0b\f\r"
@@ -83,32 +83,9 @@ def spread_join(big: DataFrame, small: DataFrame, keys: list[str], salt_by: Colu
     return salted.drop("_lq_hot").join(each, [*keys, "_lq_salt"], how).drop("_lq_salt")
 
 
-def global_scan(df: DataFrame, order: list[Column], sums: dict[str, str] | None = None, rank: str = "_lq_rank") -> DataFrame:
-    """Row numbers and running totals over one global order, without one task that holds all rows.
-
-    Rows are dealt by range; each range numbers its own rows; the totals of the ranges (one row per
-    partition, so bounded by the partition count) give each range its offset. ``sums`` names a column for
-    each running total (the row itself included). Ties get any order among themselves.
-    """
-    sums = sums or {}
-    ranged = save(df.repartitionByRange(*order).withColumn("_lq_pid", F.spark_partition_id()), "scan")
-    own = Window.partitionBy("_lq_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    totals = ranged.groupBy("_lq_pid").agg(F.count("*").alias("_lq_n"), *[F.sum(c).alias(f"_lq_t_{out}") for out, c in sums.items()])
-    before = Window.orderBy("_lq_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        "_lq_pid",
-        F.coalesce(F.sum("_lq_n").over(before), F.lit(0)).alias("_lq_o"),
-        *[F.coalesce(F.sum(f"_lq_t_{out}").over(before), F.lit(0)).alias(f"_lq_o_{out}") for out in sums],
-    )
-    numbered = ranged.withColumn("_lq_own", F.row_number().over(Window.partitionBy("_lq_pid").orderBy(*order)))
-    for out, c in sums.items():
-        numbered = numbered.withColumn(f"_lq_s_{out}", F.sum(c).over(own))
-    joined = numbered.join(F.broadcast(offsets), "_lq_pid")
-    return joined.select(
-        *df.columns,
-        (F.col("_lq_own") + F.col("_lq_o")).alias(rank),
-        *[(F.col(f"_lq_s_{out}") + F.col(f"_lq_o_{out}")).alias(out) for out in sums],
-    )
+def global_scan(df: DataFrame, order: list[Column], sums: dict[str, str] | None = None) -> DataFrame:
+    """Row numbers (_lq_rank, from 1) and running totals over one global order (``plans.tables``)."""
+    return tables.global_scan(df, order, sums, "_lq_rank")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

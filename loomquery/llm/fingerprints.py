@@ -7,7 +7,9 @@ long (32 bits each, enough for texts of 250 MB), sixteen bits to a row of the ha
 
 Fingerprints within ``RADIUS`` bits are found by permuted block tables: one table for each choice of
 blocks, keyed by the chosen blocks' bits and joined on the key, then verified (neardup.links, which has the
-linear way for clouds of near copies). ``near_group`` is the smallest doc_id of the component.
+linear way for clouds of near copies). ``near_group`` is the smallest doc_id of the component; ``n_links``
+counts the other rows within the radius, exactly: pairs of the block tables by a sum, those inside a cloud
+without telling any pair (neardup._cloud_counts).
 
 The edited text of a document takes the first characters of its successor. Successors are found on ids
 alone; then only the needed prefix of each text moves to its predecessor. The exchange of whole texts by
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from loomquery.llm import common as C
 from loomquery.llm.graph import contracted_components
-from loomquery.llm.neardup import links
+from loomquery.llm.neardup import HOT, linked
 
 RADIUS = 4
 
@@ -72,17 +74,22 @@ def _alike(a: str, b: str) -> Column:
     return 1 - F.bit_count(F.col(a).bitwiseXOR(F.col(b))) / 64
 
 
-def near_groups(fps: DataFrame, id_col: str = "doc_id", fp_col: str = "fp") -> DataFrame:
-    """(fp, near_group) of each distinct fingerprint of saved rows (id, fp)."""
-    distinct = C.save(fps.groupBy(F.col(fp_col).alias("fp")).agg(F.min(id_col).alias("least")), "distinct")
-    roots = contracted_components(C.save(links(distinct.select("fp"), distinct.count(), RADIUS), "links"))
-    named = C.save(distinct.join(roots.withColumnRenamed("v", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "named")
+def near_groups(fps: DataFrame, id_col: str = "doc_id", fp_col: str = "fp", hot: int = HOT) -> DataFrame:
+    """(fp, near_group, n_links) of each distinct fingerprint of saved rows (id, fp).
+
+    ``n_links``: how many other rows have a fingerprint within RADIUS bits, equal ones included.
+    """
+    distinct = C.save(fps.groupBy(F.col(fp_col).alias("fp")).agg(F.min(id_col).alias("least"), F.count("*").alias("w")), "distinct")
+    edges, counts = linked(distinct.select("fp", "w"), distinct.count(), RADIUS, hot, count=True)
+    roots = contracted_components(C.save(edges, "links"))
+    named = distinct.join(roots.withColumnRenamed("v", "fp"), "fp", "left").join(counts, "fp", "left")
+    named = C.save(named.select("fp", "least", F.coalesce("root", "fp").alias("root"), (F.coalesce("n_links", F.lit(0)) + F.col("w") - 1).alias("n_links")), "named")
     least = named.groupBy("root").agg(F.min("least").alias("near_group"))
-    return C.save(C.spread_join(named.select("fp", "root"), least, ["root"], F.col("fp")).select("fp", "near_group"), "groups")
+    return C.save(C.spread_join(named.select("fp", "root", "n_links"), least, ["root"], F.col("fp")).select("fp", "near_group", "n_links"), "groups")
 
 
 def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, near_group."""
+    """One row per input row: id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, near_group, n_links."""
     keys = ["k", "t"]
     rows = docs.select(F.col(id_col).alias("doc_id"), C.key_of(id_col).alias("k"), F.xxhash64(C.text_of(text_col)).alias("t"), C.text_of(text_col).alias("text"))
     digest = C.save(rows.select("doc_id", "k", "t", F.length("text").cast("long").alias("n_chars")), "digest")
@@ -110,5 +117,5 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     out = C.spread_join(full, near_groups(full), ["fp"], F.struct("doc_id", "sha"))
     return out.select(
         F.col("doc_id").alias(id_col), "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), _hex("fp").alias("fingerprint"), _hex("edited_fp").alias("edited_fingerprint"),
-        _alike("fp", "edited_fp").alias("near_edited"), _alike("fp", "next_fp").alias("near_next"), "near_group",
+        _alike("fp", "edited_fp").alias("near_edited"), _alike("fp", "next_fp").alias("near_next"), "near_group", "n_links",
     )

@@ -98,37 +98,82 @@ def blocks_for(n: int, radius: int = RADIUS) -> int:
     return m
 
 
-def links(fps: DataFrame, n: int, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
-    """Edges (a, b) that join exactly the pairs-reachable fingerprints of ``fps`` (distinct, saved column fp)."""
+def linked(fps: DataFrame, n: int, radius: int = RADIUS, hot: int = HOT, count: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """Edges (a, b) that join exactly the pairs-reachable fingerprints of ``fps`` (distinct, saved; column fp).
+
+    With ``count`` (``fps`` has a weight w, a number of rows, beside fp) also (fp, n_links): for each fingerprint
+    with some, the sum of the weights of all others within the radius.
+    """
     masks = [_signed(x) for x in block_masks(blocks_for(n, radius), radius)]
     choices = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(x).alias("mask")) for c, x in enumerate(masks)])
-    rows = fps.select("fp", F.explode(choices).alias("x")).select("fp", F.col("x.c").alias("c"), F.col("fp").bitwiseAND(F.col("x.mask")).alias("key"))
+    rows = fps.select(*fps.columns, F.explode(choices).alias("x")).select(*fps.columns, F.col("x.c").alias("c"), F.col("fp").bitwiseAND(F.col("x.mask")).alias("key"))
     full = C.save(rows.groupBy("c", "key").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("c", "key"), "hot")
     some = not full.isEmpty()
     cold = rows.join(full, ["c", "key"], "left_anti") if some else rows
-    other = cold.select(F.col("fp").alias("b"), "c", "key")
+    cloud = C.save(rows.join(full, ["c", "key"], "left_semi").select(*fps.columns).distinct(), "cloud") if some else None
+    if count:
+        inside = cloud.select("fp", F.lit(True).alias("inside")) if some else None
+        cold = cold.join(inside, "fp", "left") if some else cold.withColumn("inside", F.lit(None).cast("boolean"))
+    other = cold.withColumnsRenamed({"fp": "b", "w": "wb", "inside": "inside_b"})
     apart = F.col("fp").bitwiseXOR(F.col("b"))
     # a pair is told once, by the first choice of blocks that it agrees on
     first = F.forall(F.slice(F.array(*[F.lit(x) for x in masks]), F.lit(1), F.col("c")), lambda x: apart.bitwiseAND(x) != 0)
-    pairs = cold.join(other, ["c", "key"]).filter((F.col("fp") < F.col("b")) & (F.bit_count(apart) <= radius) & first).select(F.col("fp").alias("a"), "b")
-    return pairs.unionByName(_cloud(rows.join(full, ["c", "key"], "left_semi").select("fp").distinct())) if some else pairs
+    pairs = cold.join(other, ["c", "key"]).filter((F.col("fp") < F.col("b")) & (F.bit_count(apart) <= radius) & first)
+    if not count:
+        pairs = pairs.select(F.col("fp").alias("a"), "b")
+        return (pairs.unionByName(_cloud(cloud)) if some else pairs), None
+    pairs = C.save(pairs.select(F.col("fp").alias("a"), "b", "w", "wb", F.coalesce(F.col("inside") & F.col("inside_b"), F.lit(False)).alias("inside")), "pairs")
+    # pairs inside the cloud are counted there, all of them
+    told = pairs.filter(~F.col("inside"))
+    parts = told.groupBy(F.col("a").alias("fp")).agg(F.sum("wb").alias("n")).unionByName(told.groupBy(F.col("b").alias("fp")).agg(F.sum("w").alias("n")))
+    parts = parts.unionByName(_cloud_counts(cloud)) if some else parts
+    counts = parts.groupBy("fp").agg(F.sum("n").alias("n_links"))
+    edges = pairs.select("a", "b")
+    return (edges.unionByName(_cloud(cloud.select("fp"))) if some else edges), counts
 
 
-def _cloud(fps: DataFrame) -> DataFrame:
-    """Edges among fingerprints by shared values within half the radius; linear in their number."""
+def links(fps: DataFrame, n: int, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
+    """The edges of ``linked``."""
+    return linked(fps.select("fp"), n, radius, hot)[0]
+
+
+def _around(fps: DataFrame) -> DataFrame:
+    """``fps`` with the 2081 values within two bits of each fp, and their distance."""
     one = [_signed(1 << i) for i in range(64)]
     bits = F.array(*[F.lit(x) for x in one])
     upper = F.array(*[F.lit(x) for x in [0, *one]])
     lower = F.explode(F.transform(F.sequence(F.lit(0), F.lit(64)), lambda i: F.struct(i.alias("i"), F.element_at(upper, i + 1).alias("x"))))
-    single = fps.repartition("fp").select("fp", lower.alias("p"))
+    single = fps.repartition("fp").select(*fps.columns, lower.alias("p"))
     # bits above the first one flipped: the second flip, or none
-    both = single.select("fp", F.explode(F.concat(F.array(F.lit(0).cast("long")), F.slice(bits, F.col("p.i") + 1, F.when(F.col("p.i") > 0, 64 - F.col("p.i")).otherwise(0)))).alias("y"), F.col("p.x").alias("x"))
-    near = both.select("fp", F.col("fp").bitwiseXOR(F.col("x")).bitwiseXOR(F.col("y")).alias("value"))
+    second = F.explode(F.concat(F.array(F.lit(0).cast("long")), F.slice(bits, F.col("p.i") + 1, F.when(F.col("p.i") > 0, 64 - F.col("p.i")).otherwise(0))))
+    both = single.select(*fps.columns, second.alias("y"), F.col("p.x").alias("x"))
+    off = (F.col("x") != 0).cast("int") + (F.col("y") != 0).cast("int")
+    return both.select(*fps.columns, F.col("fp").bitwiseXOR(F.col("x")).bitwiseXOR(F.col("y")).alias("value"), off.alias("off"))
+
+
+def _cloud(fps: DataFrame) -> DataFrame:
+    """Edges among fingerprints by shared values within half the radius; linear in their number."""
     # a value is named by the 2081 fingerprints around it at most, so no window is larger
-    least = near.withColumn("a", F.min("fp").over(Window.partitionBy("value")))
+    least = _around(fps.select("fp")).withColumn("a", F.min("fp").over(Window.partitionBy("value")))
     return least.filter("fp <> a").select("a", F.col("fp").alias("b")).distinct()
 
 
+def _cloud_counts(fps: DataFrame) -> DataFrame:
+    """(fp, n): the weights of the others within four bits, without a pair of them; linear in their number.
+
+    Every value sums the weights of the fingerprints 0, 1 and 2 bits away (s0, s1, s2). A fingerprint reads
+    the weight at 1 and 2 bits off its own value. One at 3 bits shares 3 of the values that are 1 bit off
+    here and 2 there, one at 1 bit shares 63 of them; one at 4 bits shares 6 of the values that are 2 bits
+    off both, one at 2 bits 124 of them, the fingerprint itself all 2016. So the sums over those values give
+    the weights at 3 and at 4 bits.
+    """
+    by = Window.partitionBy("value")
+    near = _around(fps).withColumns({f"s{d}": F.sum(F.when(F.col("off") == d, F.col("w")).otherwise(0)).over(by) for d in range(3)})
+    at = lambda d, s: F.sum(F.when(F.col("off") == d, F.col(s)).otherwise(0))
+    sums = near.groupBy("fp").agg(at(0, "s0").alias("d0"), at(0, "s1").alias("d1"), at(0, "s2").alias("d2"), at(1, "s2").alias("t3"), at(2, "s2").alias("t4"))
+    return sums.select("fp", F.expr("d1 + d2 + (t3 - 63 * d1) div 3 + (t4 - 2016 * d0 - 124 * d2) div 6").alias("n"))
+
+
 def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """Saved (doc_id, text_hash, fp) rows, and (fp, root) of each distinct fingerprint."""
     rows = C.save(fingerprints(docs, id_col, text_col), "fingerprints")

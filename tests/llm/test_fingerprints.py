@@ -1,10 +1,11 @@
 import hashlib
+import random
 from collections import Counter
 
 import xxhash
 from pyspark.sql import functions as F
 
-from loomquery.llm import fingerprints
+from loomquery.llm import common, fingerprints
 
 SPACE = " \t\n\x0b\f\r"
 
@@ -40,13 +41,14 @@ def test_matches_brute_force(spark, trouble, sf):
                 edge += new
             least = min((i for (i, _), fp in fps.items() if fp in reached and i is not None), default=None)
             group |= dict.fromkeys(reached, (least,))
+    n_links = {fp: sum(bin(fp ^ fps[r]).count("1") <= fingerprints.RADIUS for r in rows) - 1 for fp in group}
     want = Counter()
     for i, t in rows:
         nxt, k = follows[(i, t)][1], len(t) // 2
         edited = t[: len(t) - k] + nxt[:k]
         a, b, c = brute(t), brute(edited), brute(nxt)
         alike = lambda x, y: 1 - bin(x ^ y).count("1") / 64
-        want[(i, len(t), hashlib.sha256(edited.encode()).hexdigest(), f"{a:016x}", f"{b:016x}", alike(a, b), alike(a, c), group[a][0])] += 1
+        want[(i, len(t), hashlib.sha256(edited.encode()).hexdigest(), f"{a:016x}", f"{b:016x}", alike(a, b), alike(a, c), group[a][0], n_links[a])] += 1
     assert Counter(tuple(r) for r in fingerprints.fingerprint(docs).collect()) == want
 
 
@@ -60,3 +62,19 @@ def test_edge_cases(spark, trouble, empty):
     assert fingerprints.fingerprint(empty).count() == 0
     one = fingerprints.fingerprint(trouble.filter("doc_id = 6")).collect()[0]
     assert one["near_next"] == 1.0 and one["n_chars"] == 13
+
+
+def test_links_of_a_cloud_are_counted(spark):
+    """Fingerprints around one centre and far ones, with weights: by pairs and by the linear way."""
+    rng = random.Random(6)
+    centre, rows = rng.getrandbits(64), []
+    for i in range(400):
+        x = centre if i < 330 else rng.getrandbits(64)
+        for b in rng.sample(range(64), rng.randint(0, 5)):
+            x ^= 1 << b
+        rows += [(i, x - (1 << 64) if x >> 63 else x)] * rng.choice([1, 1, 3])
+    fps = common.save(spark.createDataFrame(rows, "doc_id long, fp long"))
+    near = lambda a, b: bin((a ^ b) & (2**64 - 1)).count("1") <= 4
+    want = {fp: sum(near(fp, other) for _, other in rows) - 1 for _, fp in rows}
+    for hot in (fingerprints.HOT, 100, 8):
+        assert {r["fp"]: r["n_links"] for r in fingerprints.near_groups(fps, hot=hot).collect()} == want
