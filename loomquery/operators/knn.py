@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from loomquery.functions import vector as V
+from loomquery.plans.ship import ship
 from loomquery.plans.tables import top
 
-#: Queries that are broadcast at a time.
-BLOCK = 4096
+#: Queries of a block, which is sent to all tasks; distances that a task holds at a time.
+BLOCK, CELLS = 4096, 1 << 22
 
 
 def _blocks(queries: DataFrame, block: int = BLOCK) -> list[DataFrame]:
@@ -19,21 +24,60 @@ def _blocks(queries: DataFrame, block: int = BLOCK) -> list[DataFrame]:
     return [queries] if n <= 1 else [queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(2 * n)) == i) for i in range(2 * n)]
 
 
+def _distances(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
+    """(queries, rows) distances; the formulas of ``functions.vector``."""
+    if metric == "cosine":
+        return 1 - (q @ x.T) / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :] + V.EPSILON)
+    if metric == "manhattan":
+        return np.stack([np.abs(x - v).sum(axis=1) for v in q])
+    return np.stack([np.sqrt(((x - v) ** 2).sum(axis=1)) for v in q])
+
+
+def _nearest(rows: DataFrame, id_col: str, block: DataFrame, k: int, metric: str, exclude_self: bool) -> DataFrame:
+    """(query_id, id, distance): of each Arrow batch the ``k`` nearest of each query, and what ties with the last."""
+    spark, kind = rows.sparkSession, V.metric_name(metric)
+    ship(spark)
+    asked = block.select("query_id", F.col("query").cast("array<double>").alias("query")).filter("query is not null").toArrow()
+    ids = asked.column("query_id").to_pylist()
+    matrix = np.array(asked.column("query").to_pylist(), dtype=np.float64).reshape(len(ids), -1) if ids else np.zeros((0, 1))
+    shared = spark.sparkContext.broadcast((ids, matrix))
+    schema = T.StructType([T.StructField("query_id", block.schema["query_id"].dataType), T.StructField(id_col, rows.schema[id_col].dataType), T.StructField("distance", T.DoubleType())])
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        own, q = shared.value
+        own_ids = pa.array(own)
+        for batch in batches:
+            step = max(1, CELLS // max(1, len(own)))
+            for at in range(0, batch.num_rows if own else 0, step):
+                part = batch.slice(at, step)
+                x = np.asarray(part.column(1).flatten(), dtype=np.float64).reshape(part.num_rows, -1)
+                d = _distances(q, x, kind).round(6)
+                if exclude_self:
+                    there = {v: j for j, v in enumerate(part.column(0).to_pylist())}
+                    for i, v in enumerate(own):
+                        if v in there:
+                            d[i, there[v]] = np.inf
+                last = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
+                i, j = np.nonzero((d <= last[:, None]) & np.isfinite(d))
+                yield pa.RecordBatch.from_arrays([own_ids.take(pa.array(i)), part.column(0).take(pa.array(j)), pa.array(d[i, j])], names=schema.names)
+
+    return rows.select(id_col, F.col("embedding").cast("array<double>").alias("embedding")).filter("embedding is not null").mapInArrow(run, schema)
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", where: Column | None = None, id_col: str = "vec_id", exclude_self: bool = False) -> DataFrame:
     """(query_id, id, distance, rank): the ``k`` nearest of each query (query_id, query).
 
-    ``where`` filters before the search. Each block of queries is broadcast (its size is bounded) against
-    all vectors; a group limit keeps ``k`` of a query in each task before anything is shuffled.
+    ``where`` filters before the search. Each block of queries (its size is bounded) is sent to all tasks and
+    multiplied with their vectors batch by batch; a group limit keeps ``k`` of a query in each task before
+    anything is shuffled. Vectors and queries that are null are left out.
     """
     rows = vectors.filter(where) if where is not None else vectors
-    parts = []
+    out = None
     for block in _blocks(queries):
-        pairs = rows.select(id_col, "embedding").join(F.broadcast(block), F.lit(True) if not exclude_self else F.col("query_id") != F.col(id_col))
-        scored = pairs.select("query_id", id_col, F.round(V.distance("embedding", "query", metric), 6).alias("distance"))
-        parts.append(top(scored, k, ["query_id"], F.col("distance"), F.col(id_col)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        part = top(_nearest(rows, id_col, block, k, metric, exclude_self), k, ["query_id"], F.col("distance"), F.col(id_col))
+        out = part if out is None else out.unionByName(part)
     return out
 
 

@@ -151,15 +151,38 @@ def groups_of_sentences(docs: DataFrame, buffer: int = 1) -> DataFrame:
 
 
 def headers(docs: DataFrame) -> DataFrame:
-    """Sections at Markdown headers: section (0 before the first), header, text. Inside the row, no shuffle."""
+    """Sections at Markdown headers: section (0 before the first), header, path, text. Inside the row, no shuffle.
+
+    ``path`` is the array of the headers that a section stands under, its own included: a header closes those
+    of its level and below. Sections without text count in no path only if they have no header either.
+    """
     rows = docs.select("doc_id", F.split("text", "\n").alias("l"))
     at = F.filter(F.sequence(F.lit(1), F.size("l")), lambda i: F.element_at("l", i).rlike(r"^#{1,6}[ \t]"))
     rows = rows.withColumn("h", at).withColumn("starts", F.when(F.get("h", F.lit(0)) == 1, F.col("h")).otherwise(F.concat(F.array(F.lit(1)), "h")))
     part = lambda s, i: F.slice("l", s, F.coalesce(F.get("starts", i + 1), F.size("l") + 1) - s)
-    sections = F.transform("starts", lambda s, i: F.struct(s.alias("s"), strip(F.array_join(part(s, i), "\n")).alias("text")))
-    kept = F.filter(sections, lambda x: x["text"] != "")
+    first = lambda s: F.element_at("l", s)
+    named = lambda s: F.regexp_extract(first(s), r"^#{1,6}[ \t]+([^\n]*)", 1)
+    rank = lambda s: F.length(F.regexp_extract(first(s), r"^(#{1,6})[ \t]", 1))
+    sections = F.transform("starts", lambda s, i: F.struct(s.alias("s"), strip(F.array_join(part(s, i), "\n")).alias("text"), named(s).alias("header"), rank(s).alias("rank")))
+    rows = rows.withColumn("x", sections)
+    # under: for each section, those before it of lower rank with none of lower or equal rank between
+    marked = F.transform("x", lambda x, i: F.struct(i.alias("i"), x["rank"].alias("rank"), x["header"].alias("header")))
+    grown = F.aggregate(
+        marked,
+        F.struct(F.array().cast("array<struct<rank:int,header:string>>").alias("open"), F.array().cast("array<array<string>>").alias("paths")),
+        lambda a, x: _opened(a, x),
+    )
+    rows = rows.withColumn("paths", grown["paths"])
+    kept = F.filter(F.transform("x", lambda x, i: F.struct(x["header"].alias("header"), F.get("paths", i).alias("path"), x["text"].alias("text"))), lambda x: x["text"] != "")
     out = rows.select("doc_id", F.posexplode(kept).alias("section", "x"))
-    return out.select("doc_id", "section", F.regexp_extract("x.text", r"^#{1,6}[ \t]+([^\n]*)", 1).alias("header"), F.col("x.text").alias("text"))
+    return out.select("doc_id", "section", "x.header", "x.path", "x.text")
+
+
+def _opened(a: Column, x: Column) -> Column:
+    """The open headers after one more, and the paths so far."""
+    above = F.filter(a["open"], lambda o: o["rank"] < x["rank"])
+    now = F.when(x["rank"] > 0, F.array_append(above, F.struct(x["rank"].alias("rank"), x["header"].alias("header")))).otherwise(a["open"])
+    return F.struct(now.alias("open"), F.array_append(a["paths"], F.transform(now, lambda o: o["header"])).alias("paths"))
 
 
 def threshold(d: Column, kind: str = "percentile", amount: float = 95.0) -> Column:

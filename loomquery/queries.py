@@ -540,10 +540,11 @@ _MD = "select doc_id, '# T' || doc_id || chr(10) || replace(text, '. ', '.' || c
     with l as (select doc_id, i, l[i] line from (select doc_id, string_split(text, chr(10)) l from ({_MD})), lateral (select unnest(generate_series(1, len(l))) i)),
     s as (select *, greatest(sum(regexp_matches(line, '^#{{1,6}}[ \\t]')::int) over (partition by doc_id order by i), 1) - 1 section from l),
     j as (select doc_id, section, {_strip("string_agg(line, chr(10) order by i)")} text from s group by doc_id, section)
-    select doc_id, section::int section, regexp_extract(text, '^#{{1,6}}[ \\t]+([^\\n]*)', 1) header, text from j where text <> ''""")
+    select doc_id, section::int section, regexp_extract(text, '^#{{1,6}}[ \\t]+([^\\n]*)', 1) header, text,
+      'T' || doc_id || case when section = 0 then '' else ' > S' end path from j where text <> ''""")
 def split_headers(spark, sf_dir):
     md = F.concat(F.lit("# T"), F.col("doc_id").cast("string"), F.lit("\n"), F.replace(F.col("text"), F.lit(". "), F.lit(".\n## S\n")))
-    return split.headers(t(spark, sf_dir, "documents").select("doc_id", md.alias("text")))
+    return split.headers(t(spark, sf_dir, "documents").select("doc_id", md.alias("text"))).withColumn("path", F.array_join("path", " > "))
 
 
 @query()

@@ -93,6 +93,39 @@ def test_greedy_embedding_dedup(spark):
         assert set(found) == pairs and len(found) == len(pairs)
 
 
+def test_sketched_pairs_recall(spark):
+    rng = random.Random(11)
+    centres = [[rng.gauss(0, 1) for _ in range(24)] for _ in range(60)]
+    rows = [(i, [x + rng.gauss(0, 0.12) for x in centres[i % 60 if i % 3 else 0]]) for i in range(900)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    exact = {(r["id_a"], r["id_b"]): r["similarity"] for r in dedup.similar_pairs(df, 0.95).collect()}
+    for block in (2048, 100):
+        found = {(r["id_a"], r["id_b"]): r["similarity"] for r in dedup.sketched_pairs(df, 0.95, block=block).collect()}
+        assert set(found) <= set(exact) and all(exact[p] == s for p, s in found.items()) and len(found) >= 0.99 * len(exact) > 1000
+    kept = dedup.by_embedding(df, 0.95, pairs=dedup.sketched_pairs).count()
+    assert abs(kept - dedup.by_embedding(df, 0.95).count()) <= 3
+
+
+def test_header_paths(spark):
+    text = "intro\n# A\n## B\n#### C\nx\n## D\n### E\n# F\n#none\nend"
+    got = split.headers(spark.createDataFrame([(1, text), (2, "no header"), (3, "")], "doc_id long, text string")).orderBy("doc_id", "section").collect()
+    assert [(r["doc_id"], r["header"], r["path"]) for r in got] == [
+        (1, "", []), (1, "A", ["A"]), (1, "B", ["A", "B"]), (1, "C", ["A", "B", "C"]), (1, "D", ["A", "D"]), (1, "E", ["A", "D", "E"]), (1, "F", ["F"]), (2, "", []),
+    ]
+
+
+def test_knn_matches_numpy(spark):
+    rng = random.Random(3)
+    rows = [(f"v{i:03}", [rng.randint(-2, 2) * 1.0 for _ in range(4)]) for i in range(200)] + [("null", None)]
+    queries = [(f"v{i:03}", rows[i][1]) for i in range(0, 200, 20)] + [("none", None)]
+    df, q = spark.createDataFrame(rows, "vec_id string, embedding array<double>").repartition(5), spark.createDataFrame(queries, "query_id string, query array<double>")
+    far = {"cosine": lambda a, b: 1 - sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) ** 0.5 * sum(x * x for x in b) ** 0.5 + 1e-8), "l2": lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b, strict=True)) ** 0.5, "l1": lambda a, b: sum(abs(x - y) for x, y in zip(a, b, strict=True))}
+    for metric, f in far.items():
+        for alone in (False, True):
+            want = {(i, r + 1): n for i, v in queries if v for r, (_, n) in enumerate(sorted((round(f(v, e), 6), n) for n, e in rows if e and not (alone and n == i))[:7])}
+            assert {(r["query_id"], r["rank"]): r["vec_id"] for r in knn.search(df, q, 7, metric, exclude_self=alone).collect()} == want
+
+
 def test_cleaning(spark):
     raw = "ｆｕｌｌ　ｗｉｄｔｈ ①  <b>x</b>\r\n\r\n\r\n\r\nend ​"
     df = spark.createDataFrame([(raw,), (None,), ("plain",)], "t string")
