@@ -89,7 +89,9 @@ def clean(c: str | Column, *, normalize: bool = True, html: bool = True, special
     return c
 
 
-def clean_cjk(c: str | Column, *, normalize: bool = True, html: bool = True, special: bool = False, blanks: bool = True, lower: bool = False, custom: Iterable[Callable[[Column], Column]] = ()) -> Column:
+def clean_cjk(
+    c: str | Column, *, normalize: bool = True, html: bool = True, special: bool = False, blanks: bool = True, lower: bool = False, custom: Iterable[Callable[[Column], Column]] = ()
+) -> Column:
     """The cleaner for Chinese text: quotes, width and punctuation come after tags."""
     c = F.coalesce(_c(c), F.lit(""))
     steps = ((normalize, nfkc), (html, strip_html), (True, cjk_quotes), (True, half_width), (True, cjk_punct), (special, special_chars), (blanks, whitespace), (lower, F.lower))

@@ -49,6 +49,16 @@ def normalize(a) -> Column:
     return F.when(n == 0, _c(a)).otherwise(F.transform(_c(a), lambda x: x / n))
 
 
+def mean_pool(states: str | Column, mask: str | Column) -> Column:
+    """The mean of a text's token vectors (array of arrays) where the mask is 1; a zero vector where it never is."""
+    states, mask = (F.col(c) if isinstance(c, str) else c for c in (states, mask))
+    rows = F.zip_with(states, mask, lambda v, m: F.transform(v, lambda x: x.cast("double") * m))
+    zero = F.transform(states[0], lambda _: F.lit(0.0))
+    total = F.aggregate(rows, zero, lambda a, v: F.zip_with(a, v, lambda x, y: x + y))
+    n = F.greatest(F.aggregate(mask, F.lit(0.0), lambda a, m: a + m), F.lit(1e-9))
+    return F.transform(total, lambda x: x / n)
+
+
 def metric_name(name: str | None) -> str:
     return METRICS.get((name or "").lower(), "cosine")
 

@@ -12,11 +12,14 @@ from pyspark.sql.window import Window
 from loomquery.plans.tables import save, sized, top
 
 K1, B = 1.5, 0.75
+#: Results of a query where none or zero is asked for.
+TOP_K = 10
 #: Stopwords that a keyword search may leave out.
 STOPWORDS = [
     "的", "了", "在", "是", "我", "有", "和", "就", "不", "人", "都", "一", "一个", "上", "也", "很", "到", "说", "要", "去", "你", "会", "着", "没有", "看", "好",
     "自己", "这", "那", "里", "为", "什么", "他", "来", "用", "能", "而", "把", "被", "从", "以", "可以", "这个", "那个", "如果", "因为", "所以", "但是", "虽然",
-    "以及", "对于", "关于", "而且", "或者", "还是", "只是", "可能", "应该", "已经", "之后", "之前", "然后", "最后", "现在", "当时", "以后", "以前", "其中", "之间",
+    "以及", "对于", "关于", "而且", "或者", "还是", "只是", "可能", "应该", "已经",
+    "之后", "之前", "然后", "最后", "现在", "当时", "以后", "以前", "其中", "之间",
 ]
 
 
@@ -87,12 +90,12 @@ class Index:
     def terms(self, kind: str = "ratio") -> DataFrame:
         return self.lexicon.withColumn("idf", idf(self.n, F.col("df"), kind))
 
-    def search(self, queries: DataFrame, k: int = 10, **options) -> DataFrame:
+    def search(self, queries: DataFrame, k: int | None = None, **options) -> DataFrame:
         kind = options.pop("tokenizer", "words")
         q = query_tokens(queries, kind)
         wanted = sized(q.select("token").distinct())
         hits = self.postings.join(wanted, "token", "left_semi").join(self.lengths, "doc_id")
-        return _ranked(hits, q, self.lexicon.join(wanted, "token", "left_semi"), self.n, self.avgdl, k, **options)
+        return _ranked(hits, q, self.lexicon.join(wanted, "token", "left_semi"), self.n, self.avgdl, k or TOP_K, **options)
 
 
 def _totals(lengths: DataFrame) -> tuple[int, float]:
@@ -116,14 +119,14 @@ def _ranked(hits: DataFrame, q: DataFrame, lexicon: DataFrame, n: int, avgdl: fl
     return best.select("query_id", "doc_id", F.round(F.col("score_raw") / most, 6).alias("score"), "score_raw", "rank")
 
 
-def search(docs: DataFrame, queries: DataFrame, k: int = 10, where: Column | None = None, tokenizer="words", stopwords: Iterable[str] = (), **options) -> DataFrame:
+def search(docs: DataFrame, queries: DataFrame, k: int | None = None, where: Column | None = None, tokenizer="words", stopwords: Iterable[str] = (), **options) -> DataFrame:
     """Top ``k`` of each query (query_id, query) without a stored index: (query_id, doc_id, score, score_raw, rank).
 
     One pass explodes the texts and keeps, before anything is shuffled, the queries' tokens and one row a
     document (without a token). That table is written; totals, document frequencies and scores come from it,
     so texts are read and cut once. ``where`` restricts the results, not the statistics.
     """
-    keep = where if where is not None else F.lit(True)
+    k, keep = k or TOP_K, where if where is not None else F.lit(True)
     toks = docs.select("doc_id", tokenize("text", tokenizer, stopwords).alias("tokens"), F.coalesce(keep, F.lit(False)).alias("keep")).withColumn("dl", F.size("tokens").cast("long"))
     q = query_tokens(queries, tokenizer)
     each = toks.select("doc_id", "dl", "keep", F.explode(F.concat(F.array(F.lit(None).cast("string")), "tokens")).alias("token"))

@@ -105,7 +105,8 @@ def by_embedding(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
     state = save(edges.select("id").distinct().withColumn("kept", F.lit(None).cast("boolean")), "greedy")
     while True:
         # an earlier vector without earlier neighbours of its own is kept from the start
-        of_early = edges.join(state.select(F.col("id").alias("early"), F.lit(True).alias("listed"), "kept"), "early", "left").select("id", F.when(F.col("listed").isNull(), True).otherwise(F.col("kept")).alias("kept"))
+        listed = state.select(F.col("id").alias("early"), F.lit(True).alias("listed"), "kept")
+        of_early = edges.join(listed, "early", "left").select("id", F.when(F.col("listed").isNull(), True).otherwise(F.col("kept")).alias("kept"))
         seen = of_early.groupBy("id").agg(F.max(F.col("kept").cast("int")).alias("any"), F.sum(F.col("kept").isNull().cast("int")).alias("open"))
         new = save(seen.select("id", F.when(F.col("any") == 1, False).when(F.col("open") == 0, True).alias("kept")), "greedy", replaces=state)
         if new.filter("kept is null").isEmpty():

@@ -66,7 +66,8 @@ def testset_buckets(chunks: DataFrame, pairs: int, most: int = 8000) -> DataFram
     placed = save(placed.withColumn("start", F.col("upto") - F.col("n_chars")), "placed")
     whole = save(placed.groupBy("bucket").agg(F.min("start").alias("first"), F.count("*").cast("int").alias("n_chunks")), "buckets")
     used = save(placed.join(sized(whole), "bucket").filter(F.col("start") - F.col("first") < most).select("doc_id", "bucket", "n_chunks"), "used")
-    rows = chunks.select("doc_id", "text").join(sized(used), "doc_id").groupBy("bucket", "n_chunks").agg(F.array_sort(F.collect_list(F.struct("doc_id", F.coalesce(F.substring("text", 1, most), F.lit("")).alias("text")))).alias("x"))
+    part = F.struct("doc_id", F.coalesce(F.substring("text", 1, most), F.lit("")).alias("text"))
+    rows = chunks.select("doc_id", "text").join(sized(used), "doc_id").groupBy("bucket", "n_chunks").agg(F.array_sort(F.collect_list(part)).alias("x"))
     return rows.select("bucket", F.substring(F.array_join(F.transform("x", lambda r: r["text"]), "\n"), 1, most).alias("context"), "n_chunks")
 
 

@@ -16,6 +16,8 @@ from loomquery.plans.tables import top
 
 #: Queries of a block, which is sent to all tasks; distances that a task holds at a time.
 BLOCK, CELLS = 4096, 1 << 22
+#: Results of a query where none or zero is asked for.
+TOP_K = 10
 
 
 def _blocks(queries: DataFrame, block: int = BLOCK) -> list[DataFrame]:
@@ -66,15 +68,14 @@ def _nearest(rows: DataFrame, id_col: str, block: DataFrame, k: int, metric: str
     return rows.select(id_col, F.col("embedding").cast("array<double>").alias("embedding")).filter("embedding is not null").mapInArrow(run, schema)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", where: Column | None = None, id_col: str = "vec_id", exclude_self: bool = False) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int | None = None, metric: str = "cosine", where: Column | None = None, id_col: str = "vec_id", exclude_self: bool = False) -> DataFrame:
     """(query_id, id, distance, rank): the ``k`` nearest of each query (query_id, query).
 
     ``where`` filters before the search. Each block of queries (its size is bounded) is sent to all tasks and
     multiplied with their vectors batch by batch; a group limit keeps ``k`` of a query in each task before
     anything is shuffled. Vectors and queries that are null are left out.
     """
-    rows = vectors.filter(where) if where is not None else vectors
-    out = None
+    rows, k, out = vectors.filter(where) if where is not None else vectors, k or TOP_K, None
     for block in _blocks(queries):
         part = top(_nearest(rows, id_col, block, k, metric, exclude_self), k, ["query_id"], F.col("distance"), F.col(id_col))
         out = part if out is None else out.unionByName(part)

@@ -23,6 +23,8 @@ from loomquery.plans.ship import ship
 #: Separators of the recursive splitter, in the order in which they are tried.
 SEPARATORS = (r"\n\n", r"\n", r"。|！|？", r"\.\s|\!\s|\?\s", r"；|;\s", r"，|,\s")
 SIZE, OVERLAP = 500, 50
+#: What may stand before a full stop that ends no sentence: an initial or an abbreviation.
+ABBREVIATIONS = r"(?<!\b\p{Lu})(?<!\b(?:Mr|Ms|Dr|St|vs|No))(?<!\b(?:Mrs|etc|cf|Inc|Ltd))(?<!\b(?:e\.g|i\.e|Prof))"
 
 
 def _pieces(text: str, separator: str) -> list[str]:
@@ -142,6 +144,16 @@ def cjk_sentences(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(parts).alias("sentence_index", "sentence"))
 
 
+def english_sentences(docs: DataFrame) -> DataFrame:
+    """Cut after a full stop, question or exclamation mark (closing quotes included) before white space and a capital, digit or quote.
+
+    Initials and common abbreviations don't end a sentence.
+    """
+    marked = F.regexp_replace("text", ABBREVIATIONS + r"([.!?]+[\"'”’)\]]*)[ \t\n\x0B\f\r]+(?=[\p{Lu}\p{N}\"'“‘(\[])", "$1\u0001")
+    parts = F.filter(F.transform(F.split(marked, "\u0001"), strip), lambda x: x != "")
+    return docs.select("doc_id", F.posexplode(parts).alias("sentence_index", "sentence"))
+
+
 def groups_of_sentences(docs: DataFrame, buffer: int = 1) -> DataFrame:
     """Chunks of 2 * buffer sentences."""
     n = 2 * buffer

@@ -78,6 +78,13 @@ def remote_encoder(url: str, model: str, batch: int = 32, **options):
     return encoder(lambda: HttpEmbedder(url, model, batch=batch, **options).embed, batch)
 
 
+def encode_groups(groups: DataFrame, embed, key: str, texts: str = "texts") -> DataFrame:
+    """(key, embeddings): the vectors of each group's texts (an array column), in order. Texts of all groups share batches."""
+    each = groups.select(key, F.posexplode_outer(texts).alias("_i", "_t")).withColumn("_v", F.when(F.col("_i").isNotNull(), embed(F.coalesce("_t", F.lit("")))))
+    rows = F.array_sort(F.collect_list(F.when(F.col("_i").isNotNull(), F.struct("_i", "_v"))))
+    return each.groupBy(key).agg(F.transform(rows, lambda x: x["_v"]).alias("embeddings"))
+
+
 #: Embedders by name: functions that make a pandas UDF.
 EMBEDDERS: dict[str, Callable] = {"hashing": hashing_encoder, "model": encoder, "remote": remote_encoder}
 

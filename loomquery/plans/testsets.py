@@ -43,7 +43,8 @@ def generation_prompt(context: Column, truth: Column | None = None, types: list[
     """The request for one question and its answer from a passage."""
     wanted = "\n".join(f"- {t}: {TYPES.get(t, '')}" for t in types or list(TYPES))
     given = F.when(F.coalesce(truth, F.lit("")) != "", F.concat(F.lit("\n## Known answer\n"), truth)).otherwise("") if truth is not None else F.lit("")
-    rules = f"\n## Rules\nWrite one question that the passage answers, clear and specific, with a full and correct answer.\n## Types (take the fittest)\n{wanted}\n## Output\nJSON only, with the keys question and answer."
+    task = "Write one question that the passage answers, clear and specific, with a full and correct answer."
+    rules = f"\n## Rules\n{task}\n## Types (take the fittest)\n{wanted}\n## Output\nJSON only, with the keys question and answer."
     return F.concat(F.lit("Write a test question.\n## Passage\n"), F.substring(context, 1, CONTEXT_CHARACTERS), given, F.lit(rules))
 
 
@@ -59,7 +60,8 @@ def from_contexts(contexts: DataFrame, factory: Callable[[], Client] = Quizzer,
     good = told.filter(F.col("x.question").isNotNull() & (F.col("x.question") != "")).withColumn("one", F.lit(0))
     metadata = F.create_map(F.lit(order), F.col(order).cast("string"))
     first = top(good, pairs, ["one"], F.col(order), rank="place")
-    return first.select(F.col("x.question").alias("question"), F.coalesce(answer, F.lit("")).alias("answer"), F.substring("context", 1, CONTEXT_CHARACTERS).alias("ground_truth_context"), metadata.alias("metadata"))
+    context = F.substring("context", 1, CONTEXT_CHARACTERS).alias("ground_truth_context")
+    return first.select(F.col("x.question").alias("question"), F.coalesce(answer, F.lit("")).alias("answer"), context, metadata.alias("metadata"))
 
 
 def from_documents(chunks: DataFrame, factory: Callable[[], Client] = Quizzer, pairs: int = PAIRS, types: list[str] | None = None) -> DataFrame:

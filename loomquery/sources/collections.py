@@ -27,7 +27,10 @@ def record_id(source: Column, index: Column, text: Column) -> Column:
 
 def where(filters: dict, column=lambda k: F.try_element_at(F.col("metadata"), F.lit(k))) -> Column:
     """A predicate from a filter: scalars are equalities, lists memberships, dicts operators; $and and $or nest."""
-    ops = {"$eq": lambda c, v: c == v, "$ne": lambda c, v: c != v, "$gt": lambda c, v: c > v, "$gte": lambda c, v: c >= v, "$lt": lambda c, v: c < v, "$lte": lambda c, v: c <= v, "$in": lambda c, v: c.isin(v), "$nin": lambda c, v: ~c.isin(v)}
+    ops = {
+        "$eq": lambda c, v: c == v, "$ne": lambda c, v: c != v, "$gt": lambda c, v: c > v, "$gte": lambda c, v: c >= v,
+        "$lt": lambda c, v: c < v, "$lte": lambda c, v: c <= v, "$in": lambda c, v: c.isin(v), "$nin": lambda c, v: ~c.isin(v),
+    }
     parts = []
     for k, v in filters.items():
         if k in ("$and", "$or"):
@@ -99,7 +102,11 @@ class Collection:
         folders = self._folders(version)
         if not folders["data"]:
             return self.spark.createDataFrame([], RECORD)
-        kind = lambda name, schema: self.spark.read.option("basePath", f"{self.path}/{name}").schema(f"{schema}, seq string").parquet(*[f"{self.path}/{name}/seq={n}" for n in folders[name]])
+
+        def kind(name: str, schema: str) -> DataFrame:
+            reader = self.spark.read.option("basePath", f"{self.path}/{name}").schema(f"{schema}, seq string")
+            return reader.parquet(*[f"{self.path}/{name}/seq={n}" for n in folders[name]])
+
         rows = kind("data", RECORD)
         if folders["gone"]:
             last = kind("gone", "id string").groupBy("id").agg(F.max("seq").alias("until")).withColumnRenamed("id", "gone_id")
@@ -251,4 +258,5 @@ class KnowledgeBase:
 def stats(records: DataFrame) -> DataFrame:
     """One row: documents, chunks, distinct sources and their sorted names."""
     named = F.array_sort(F.collect_set("source"))
-    return records.agg(F.array_join(named, ",").alias("sources"), F.count("*").alias("total_chunks"), F.size(named).cast("long").alias("source_count"), F.countDistinct("doc_id").alias("document_count"))
+    names, count = F.array_join(named, ",").alias("sources"), F.size(named).cast("long").alias("source_count")
+    return records.agg(names, F.count("*").alias("total_chunks"), count, F.countDistinct("doc_id").alias("document_count"))

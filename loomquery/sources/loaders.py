@@ -10,7 +10,7 @@ import io
 import re
 import zipfile
 from collections.abc import Callable, Iterator
-from functools import reduce
+from functools import cache, reduce
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -54,7 +54,9 @@ def markdown(spark: SparkSession, path, **options) -> DataFrame:
     """Front matter goes to the metadata; the title is its own, the first header or the file's stem."""
     df = _whole(spark, path, "markdown", **options).withColumnRenamed("value", "whole")
     front = F.regexp_extract("whole", r"(?s)\A---[ \t]*\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|\z)", 1)
-    pairs = F.filter(F.transform(F.split(front, r"\r?\n"), lambda x: F.struct(F.trim(F.split(x, ":", 2)[0]).alias("key"), F.trim(F.get(F.split(x, ":", 2), F.lit(1))).alias("value"))), lambda p: p["value"].isNotNull() & (p["key"] != "") & ~p["key"].startswith("#"))
+    cut = lambda x: F.split(x, ":", 2)
+    lines = F.transform(F.split(front, r"\r?\n"), lambda x: F.struct(F.trim(cut(x)[0]).alias("key"), F.trim(F.get(cut(x), F.lit(1))).alias("value")))
+    pairs = F.filter(lines, lambda p: p["value"].isNotNull() & (p["key"] != "") & ~p["key"].startswith("#"))
     df = df.withColumns({"front": F.map_from_entries(pairs), "text": F.regexp_replace("whole", r"(?s)\A---[ \t]*\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|\z)", "")})
     header = F.nullif(F.trim(F.regexp_extract("text", r"(?m)^#[ \t]+(.+)$", 1)), F.lit(""))
     title = F.coalesce(F.try_element_at("front", F.lit("title")), header, F.regexp_replace("file_name", r"\.[^.]*$", ""))
@@ -70,7 +72,10 @@ def code(spark: SparkSession, path, language: str | None = None, **options) -> D
     return _done(df, language=lang, line_count=F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1)
 
 
-def csv(spark: SparkSession, path, columns: list[str] | None = None, source_column: str | None = None, metadata_columns: list[str] | None = None, encoding: str | None = "utf-8", multiline: bool = True, **options) -> DataFrame:
+def csv(
+    spark: SparkSession, path, columns: list[str] | None = None, source_column: str | None = None, metadata_columns: list[str] | None = None,
+    encoding: str | None = "utf-8", multiline: bool = True, **options,
+) -> DataFrame:
     """A document for each row with some value: lines ``column: value``. ``row`` counts from 0 in each file.
 
     ``encoding`` None tries ENCODINGS on the files' bytes and takes the first that fits all. ``multiline``
@@ -239,9 +244,39 @@ def pptx(spark: SparkSession, path, **options) -> DataFrame:
     return binary(spark, path, parse_pptx, "pptx", **options)
 
 
+def _pdf_pages(content: bytes) -> list[str]:
+    from pypdf import PdfReader  # an optional library of the executors
+
+    return [p.extract_text() or "" for p in PdfReader(io.BytesIO(content)).pages]
+
+
+@cache
+def _ocr_engine():
+    """One engine a Python worker, made when first needed."""
+    from rapidocr_onnxruntime import RapidOCR  # an optional library of the executors
+
+    return RapidOCR()
+
+
+def _image_lines(content: bytes) -> list[str]:
+    found, _ = _ocr_engine()(content)
+    return [line[1] for line in found or []]
+
+
+def pdf(spark: SparkSession, path, pages: Callable[[bytes], list[str]] = _pdf_pages, **options) -> DataFrame:
+    """Pages by a function of the file; the default needs pypdf where executors run, else documents say what is missing."""
+    return binary(spark, path, pages_parser(pages), "pdf", **options)
+
+
+def image(spark: SparkSession, path, lines: Callable[[bytes], list[str]] = _image_lines, **options) -> DataFrame:
+    """Lines of a picture; the default needs rapidocr_onnxruntime where executors run."""
+    return binary(spark, path, image_parser(lines), "image", **options)
+
+
 #: Reader by suffix; ``register`` adds to it.
 READERS: dict[str, Callable[..., DataFrame]] = {
     **dict.fromkeys(LANGUAGES, code), ".md": markdown, ".markdown": markdown, ".csv": csv, ".docx": docx, ".pptx": pptx, ".txt": text,
+    ".pdf": pdf, ".png": image, ".jpg": image, ".jpeg": image,
 }
 
 
@@ -323,4 +358,5 @@ def testset(spark: SparkSession, path: str) -> DataFrame:
     if arrays:
         whole = spark.read.text(sorted(arrays), wholetext=True)
         df = df.unionByName(whole.select(F.explode(F.from_json("value", T.ArrayType(sample))).alias("x")))
-    return df.select(*[F.coalesce(f"x.{c}", F.lit("")).alias(c) for c in ("question", "answer", "ground_truth_context")], F.coalesce("x.metadata", F.create_map().cast("map<string,string>")).alias("metadata"))
+    metadata = F.coalesce("x.metadata", F.create_map().cast("map<string,string>")).alias("metadata")
+    return df.select(*[F.coalesce(f"x.{c}", F.lit("")).alias(c) for c in ("question", "answer", "ground_truth_context")], metadata)

@@ -147,6 +147,20 @@ def test_vectors(spark):
     assert V.metric_name("L1") == "manhattan" and V.metric_name("other") == "cosine"
 
 
+def test_pooling_and_groups(spark):
+    df = spark.createDataFrame([(1, [[1.0, 2.0], [3.0, 4.0], [9.0, 9.0]], [1, 1, 0]), (2, [[5.0, 5.0]], [0])], "id long, s array<array<float>>, m array<int>")
+    assert [r[0] for r in df.orderBy("id").select(V.mean_pool("s", "m")).collect()] == [[2.0, 3.0], [0.0, 0.0]]
+    groups = spark.createDataFrame([(1, ["b a", "c", None]), (2, []), (3, None), (4, ["c"])], "g long, texts array<string>")
+    got = {r["g"]: r["embeddings"] for r in pipeline.encode_groups(groups, pipeline.hashing_encoder(8), "g").collect()}
+    assert [len(got[i]) for i in (1, 2, 3, 4)] == [3, 0, 0, 1] and got[1][1] == got[4][0] and got[1][2] == [0.0] * 8
+
+
+def test_english_sentences(spark):
+    text = 'Dr. J. Smith came. "Who is it?" asked Mrs. Lee, e.g. 3. Nobody said: stop! (Why not?) Version 2.0 works. end. of it'
+    got = [r["sentence"] for r in split.english_sentences(spark.createDataFrame([(1, text)], "doc_id long, text string")).orderBy("sentence_index").collect()]
+    assert got == ["Dr. J. Smith came.", '"Who is it?" asked Mrs. Lee, e.g. 3.', "Nobody said: stop!", "(Why not?)", "Version 2.0 works. end. of it"]
+
+
 def test_knn_blocks_agree(spark, sf, monkeypatch):
     e = spark.read.parquet(f"{sf}/embeddings.parquet")
     q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))

@@ -75,6 +75,17 @@ def test_loaders(spark, folder):
     assert loaders.load_all(spark, [f"{folder}/a.md", f"{folder}/gone.md", f"{folder}/h.unknown"], lambda p, e: missed.append(p)).count() == 1 and len(missed) == 2
 
 
+def test_pdf_and_images(spark, folder):
+    (folder / "p.pdf").write_bytes(b"one|two")
+    (folder / "q.png").write_bytes(b"line")
+    got = loaders.pdf(spark, f"{folder}/p.pdf", lambda b: b.decode().split("|")).first()
+    assert got["text"] == "[Page 1]\none\n\n[Page 2]\ntwo" and got["file_type"] == "pdf"
+    assert loaders.image(spark, f"{folder}/q.png", lambda b: [b.decode()]).first()["metadata"] == {"ocr_detected": "true", "detected_lines": "1"}
+    for name in ("p.pdf", "q.png"):  # broken files, or no library: an empty document that says so
+        row = loaders.load(spark, f"{folder}/{name}").first()
+        assert row["text"] == "" and row["metadata"]["error"]
+
+
 def test_suffixes_of_any_case(spark, folder):
     (folder / "D2.CSV").write_text("name\ncarl\n")
     (folder / "J.Md").write_text("# Upper\n")
