@@ -160,7 +160,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
         for batch in batches:
             found = [(i, w, v) for i, w, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(1), strict=True) if (v := features(t.as_py())) is not None]
-            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.string()), pa.array([f[2].tobytes() for f in found], pa.binary())], names=["doc_id", "lang", "v"])
+            columns = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.string()), pa.array([f[2].tobytes() for f in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang", "v"])
 
     # rows that repeat a doc_id count once; the order of rows decides which fifth validates, so it is fixed
     told = chosen.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "lang").mapInArrow(vectors, "doc_id string, lang string, v binary")

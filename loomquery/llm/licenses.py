@@ -105,7 +105,8 @@ RULES = [
     ("GPL-3.0", ["gpl-3-line"]), ("GPL-3.0", ["gpl-3-line-2"]), ("GPL-3.0-only", ["gpl-3-only"]), ("GPL-3.0-or-later", ["gpl-under", "gpl-3-later"]),
     ("ISC", ["isc-grant"]),
     ("LGPL-2.0-or-later", ["lgpl-2-under", "gpl-2-later"]), ("LGPL-2.1-or-later", ["lgpl-under", "lgpl-21-later"]), ("LGPL-3.0-or-later", ["lgpl-under", "gpl-3-later"]),
-    ("MIT", ["mit-line"]), ("MIT", ["mit-line-2"]), ("MIT", ["mit-grant"]), ("MIT", ["mit-grant", "mit-notice"]), ("MIT", ["mit-name", "mit-grant", "mit-notice"]), ("MIT", ["mit-name-2", "mit-grant", "mit-notice"]),
+    ("MIT", ["mit-line"]), ("MIT", ["mit-line-2"]), ("MIT", ["mit-grant"]), ("MIT", ["mit-grant", "mit-notice"]),
+    ("MIT", ["mit-name", "mit-grant", "mit-notice"]), ("MIT", ["mit-name-2", "mit-grant", "mit-notice"]),
     ("MPL-1.1", ["mpl-1"]), ("MPL-2.0", ["mpl-2"]),
     ("Unlicense", ["unlicense-free"]), ("Unlicense", ["unlicense-free", "unlicense-grant"]),
     ("WTFPL", ["wtfpl"]), ("Zlib", ["zlib-grant"]),

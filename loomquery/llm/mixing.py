@@ -13,7 +13,9 @@ in part (``whole=False``), or wholly if that comes nearer to the target (``whole
 
 Defined results: null text has size 0, takes 0 and still gets a row. Null and empty sources are two
 sources. Rows with one doc_id share a hash: they are taken alike, and at the threshold share what is left.
-Sources without words have target 0. Reruns agree: the hash depends on doc_id and ``seed`` only.
+Sources without words have target 0. Reruns agree: the hash depends on doc_id and ``seed`` only. Very long
+texts are taken whole. Other columns pass through, whatever their names (but for the prefix ``_lq_``). Empty
+tables give no rows.
 """
 
 from __future__ import annotations
@@ -85,7 +87,9 @@ def _taken(docs: DataFrame, id_col: str, text_col: str, source_col: str, whole:
     small = C.save(rows.select(F.col(source_col).alias("source"), "_lq_key", "_lq_size", "_lq_hash"), "sizes") if digest is None else digest.withColumnRenamed(source_col, "source")
     sizes = small.groupBy("_lq_key").agg(F.first("source").alias("source"), F.sum("_lq_size").alias("source_size"))
     aims = C.save(targets(sizes), "targets")
-    plan = C.save(aims.join(cuts(small.select("_lq_key", "_lq_size", "_lq_hash"), aims), "_lq_key", "left").withColumnsRenamed({c: f"_lq_{c}" for c in ("source_size", "target", "copies", "cut", "left", "edge")}), "plan")
+    cut = cuts(small.select("_lq_key", "_lq_size", "_lq_hash"), aims)
+    named = {c: f"_lq_{c}" for c in ("source_size", "target", "copies", "cut", "left", "edge")}
+    plan = C.save(aims.join(cut, "_lq_key", "left").withColumnsRenamed(named), "plan")
     found = C.lookup(rows, plan, "_lq_key", F.col("_lq_hash"))
     size = F.col("_lq_size")
     at_cut = (size * (2 * F.col("_lq_left") >= F.col("_lq_edge")).cast("int")) if whole else F.floor(F.col("_lq_left") * (size / F.greatest(F.col("_lq_edge"), F.lit(1))))
@@ -99,7 +103,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     small = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
     digest = C.save(_digest(small, "doc_id", "text", "source", seed).drop("text"), "sizes")
     out = _taken(digest, "doc_id", "text", "source", whole, seed, digest)
-    return out.select(F.col("doc_id").alias(id_col), F.col("_lq_size").alias("size"), F.col("_lq_source_size").alias("source_size"), F.col("_lq_target").alias("target"), F.col("_lq_taken").alias("taken"))
+    return out.select(F.col("doc_id").alias(id_col), *[F.col(f"_lq_{c}").alias(c) for c in ("size", "source_size", "target", "taken")])
 
 
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "") -> DataFrame:

@@ -17,7 +17,9 @@ fingerprint outside that set lie in small buckets. So no link is lost and no gro
 
 Defined results: null, empty and blank texts have fingerprint zero, linked like any other. Texts under four
 words hash their whole word sequence. component_id is the smallest non-null doc_id of the component, null
-if there is none. Repeated rows get a row each and share a component. Empty tables give no rows.
+if there is none. Ids keep their type. Repeated rows get a row each and share a component. Very long texts are
+taken whole, in memory a few times their size. Other columns pass through ``drop_near_duplicates``, whatever
+their names (but for the prefix ``_lq_``). Empty tables give no rows.
 """
 
 from __future__ import annotations

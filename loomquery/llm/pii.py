@@ -92,7 +92,8 @@ def permuted_digits(digits: Column, key: str, tag: str = "digits") -> Column:
     n = F.length(digits)
     left = F.floor(n / 2).cast("int")
     a, b = F.substring(digits, F.lit(1), left).try_cast("long"), F.substring(digits, left + 1, n).try_cast("long")
-    out = _let(_feistel(key, F.concat(F.lit(tag), n.cast("string")), a, b, _power(left), _power(n - left)), lambda p: F.concat(F.lpad(p["a"].cast("string"), left, F.lit("0")), F.lpad(p["b"].cast("string"), n - left, F.lit("0"))))
+    permuted = _feistel(key, F.concat(F.lit(tag), n.cast("string")), a, b, _power(left), _power(n - left))
+    out = _let(permuted, lambda p: F.concat(F.lpad(p["a"].cast("string"), left, F.lit("0")), F.lpad(p["b"].cast("string"), n - left, F.lit("0"))))
     return F.when(n.between(2, 30), out).otherwise(digits)
 
 
@@ -126,9 +127,15 @@ def _iban(m: Column, key: str) -> Column:
     right = (_mod97(F.concat(tail, F.substring(plain, 1, 4))) == 1) & F.substring(plain, 3, 2).cast("int").between(2, 98)
     new = _refill(tail, permuted_digits(F.regexp_replace(tail, "[^0-9]", ""), key, "iban"))
     whole = _let(new, lambda t: F.concat(head, F.lpad((98 - _mod97(F.concat(t, head, F.lit("00")))).cast("string"), 2, "0"), t))
-    # blanks back in their places
-    spaced = _let(whole, lambda w: F.aggregate(F.split(m, "", -1), F.struct(F.lit("").alias("s"), F.lit(1).alias("i")), lambda a, c: F.when(c == " ", F.struct(F.concat(a["s"], c).alias("s"), a["i"].alias("i"))).otherwise(F.struct(F.concat(a["s"], F.substring(w, a["i"], F.lit(1))).alias("s"), (a["i"] + 1).alias("i"))))["s"])
-    return F.when(right, spaced).otherwise(m)
+
+    def spaced(w: Column) -> Column:
+        """The characters of ``w`` with the blanks of the match back in their places."""
+        kept = lambda a, c: F.struct(F.concat(a["s"], c).alias("s"), a["i"].alias("i"))
+        taken = lambda a: F.struct(F.concat(a["s"], F.substring(w, a["i"], F.lit(1))).alias("s"), (a["i"] + 1).alias("i"))
+        start = F.struct(F.lit("").alias("s"), F.lit(1).alias("i"))
+        return F.aggregate(F.split(m, "", -1), start, lambda a, c: F.when(c == " ", kept(a, c)).otherwise(taken(a)))["s"]
+
+    return F.when(right, _let(whole, spaced)).otherwise(m)
 
 
 def _social(m: Column, digits: Column, key: str) -> Column:
@@ -172,7 +179,9 @@ def _late_walk(key: str) -> int:
 
 def _day(m: Column) -> tuple[Column, Column]:
     """Format and calendar day of a date-like string; null if it isn't a day."""
-    form = F.when(m.rlike(r"^\d{4}-"), "yyyy-MM-dd").when(m.rlike(r"^\d{4}/"), "yyyy/MM/dd").when(F.contains(m, F.lit(".")), "dd.MM.yyyy").when(F.contains(m, F.lit("/")), F.when(F.substring(m, 4, 2).try_cast("int") > 12, "MM/dd/yyyy").otherwise("dd/MM/yyyy")).otherwise("dd-MM-yyyy")
+    slashed = F.when(F.substring(m, 4, 2).try_cast("int") > 12, "MM/dd/yyyy").otherwise("dd/MM/yyyy")
+    year_first = F.when(m.rlike(r"^\d{4}-"), "yyyy-MM-dd").when(m.rlike(r"^\d{4}/"), "yyyy/MM/dd")
+    form = year_first.when(F.contains(m, F.lit(".")), "dd.MM.yyyy").when(F.contains(m, F.lit("/")), slashed).otherwise("dd-MM-yyyy")
     part = lambda name, width: F.substring(m, F.instr(form, F.lit(name)), F.lit(width))
     return form, F.try_to_date(F.concat_ws("-", part("yyyy", 4), part("MM", 2), part("dd", 2)), "yyyy-MM-dd")
 
@@ -187,13 +196,18 @@ def _date(m: Column, key: str) -> Column:
     def day_at(x: Column, width: int, first: int) -> Column:
         """The day at a place, null if there is none."""
         month_at = F.floor(x / width)
-        return F.try_to_date(F.concat_ws("-", (F.floor(month_at / 12) + FIRST_YEAR).cast("string"), F.lpad((month_at % 12 + 1).cast("string"), 2, "0"), F.lpad((x % width + first).cast("string"), 2, "0")), "yyyy-MM-dd")
+        two = lambda n: F.lpad(n.cast("string"), 2, "0")
+        return F.try_to_date(F.concat_ws("-", (F.floor(month_at / 12) + FIRST_YEAR).cast("string"), two(month_at % 12 + 1), two(x % width + first)), "yyyy-MM-dd")
 
     early = day_at(permuted("early", month * EARLY + F.dayofmonth(day) - 1, _EARLY_SIDES), EARLY, 1)
     start = F.struct((month * LATE + F.dayofmonth(day) - EARLY - 1).cast("long").alias("x"), F.lit(None).cast("date").alias("d"))
     step = lambda s, _: F.when(s["d"].isNotNull(), s).otherwise(_let(permuted("late", s["x"], _LATE_SIDES), lambda y: F.struct(y.alias("x"), day_at(y, LATE, EARLY + 1).alias("d"))))
     late = F.aggregate(F.sequence(F.lit(1), F.lit(_late_walk(key))), start, step)["d"]
-    digits = lambda new: F.when(form.startswith("yyyy"), F.date_format(new, "yyyyMMdd")).when(form.startswith("MM"), F.date_format(new, "MMddyyyy")).otherwise(F.date_format(new, "ddMMyyyy"))
+
+    def digits(new: Column) -> Column:
+        later = F.when(form.startswith("MM"), F.date_format(new, "MMddyyyy")).otherwise(F.date_format(new, "ddMMyyyy"))
+        return F.when(form.startswith("yyyy"), F.date_format(new, "yyyyMMdd")).otherwise(later)
+
     inside = F.year(day).between(FIRST_YEAR, FIRST_YEAR + YEARS - 1)
     return F.when(inside, _let(F.when(F.dayofmonth(day) <= EARLY, early).otherwise(late), lambda new: _refill(m, digits(new)))).otherwise(m)
 

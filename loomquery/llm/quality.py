@@ -166,7 +166,8 @@ def assess(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     measured = C.save(with_metrics(small).drop("text", "lang"), "metrics")
     cut = thresholds(measured, labels.select(F.col(id_col).alias("doc_id"), "quality"), "doc_id", alpha, delta)
     out = _judged(measured, cut, F.col("doc_id"))
-    return out.select(F.col("doc_id").alias(id_col), *[F.col(f"_lq_{m}").alias(m) for m in METRICS], F.col("_lq_base_failed").alias("base_failed"), F.col("_lq_level").alias("level"), F.col("_lq_min").alias("min_level"), F.col("_lq_kept").alias("kept"))
+    named = {**{m: m for m in METRICS}, "base_failed": "base_failed", "level": "level", "min": "min_level", "kept": "kept"}
+    return out.select(F.col("doc_id").alias(id_col), *[F.col(f"_lq_{c}").alias(name) for c, name in named.items()])
 
 
 def filter_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
