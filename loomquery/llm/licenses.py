@@ -147,16 +147,16 @@ def _sequence(text: Column, forms: dict[str, str]) -> Column:
     most = max(len(x.split()) for x in forms)
     look = lambda s: F.try_element_at(pairs, F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
 
-    def of_unit(unit: Column) -> Column:
-        lines = F.split(unit, _LINES, -1)
-
-        def at(i: Column) -> Column:
+    def of_lines(lines: Column) -> Column:
+        def at(line: Column, i: Column) -> Column:
             rest = F.when((F.size(lines) - i > 1) & (F.size(lines) - i <= most), look(F.array_join(F.slice(lines, i + 1, F.size(lines)), " ")))
-            return F.coalesce(look(F.get(lines, i)), rest)
+            return F.coalesce(look(line), rest)
 
-        return F.transform(F.sequence(F.lit(0), F.size(lines) - 1), at)
+        return F.transform(lines, at)
 
-    return F.array_compact(F.flatten(F.transform(F.split(F.lower(text), _UNITS, -1), of_unit)))
+    # units are cut into lines first: an expression inside the inner function would be evaluated again for each line
+    units = F.transform(F.split(F.lower(text), _UNITS, -1), lambda unit: F.split(unit, _LINES, -1))
+    return F.array_compact(F.flatten(F.transform(units, of_lines)))
 
 
 def _fits(ids: Column, rules: list[tuple[str, list[str]]]) -> Column:

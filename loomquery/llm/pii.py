@@ -106,7 +106,7 @@ def luhn(digits: Column) -> Column:
 def _refill(shape: Column, digits: Column) -> Column:
     """The digits of ``shape`` replaced by ``digits`` in order."""
     gaps = F.split(shape, "[0-9]", -1)
-    return F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.substring(digits, i + 1, F.lit(1)))), "")
+    return _let(digits, lambda d: F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.substring(d, i + 1, F.lit(1)))), ""))
 
 
 def _card(m: Column, digits: Column, key: str) -> Column:
