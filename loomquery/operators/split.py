@@ -166,7 +166,7 @@ def headers(docs: DataFrame) -> DataFrame:
     """Sections at Markdown headers: section (0 before the first), header, path, text. Inside the row, no shuffle.
 
     ``path`` is the array of the headers that a section stands under, its own included: a header closes those
-    of its level and below. Sections without text count in no path only if they have no header either.
+    of its level and below. Only levels and headers go to Python, where a stack is kept.
     """
     rows = docs.select("doc_id", F.split("text", "\n").alias("l"))
     at = F.filter(F.sequence(F.lit(1), F.size("l")), lambda i: F.element_at("l", i).rlike(r"^#{1,6}[ \t]"))
@@ -177,24 +177,29 @@ def headers(docs: DataFrame) -> DataFrame:
     rank = lambda s: F.length(F.regexp_extract(first(s), r"^(#{1,6})[ \t]", 1))
     sections = F.transform("starts", lambda s, i: F.struct(s.alias("s"), strip(F.array_join(part(s, i), "\n")).alias("text"), named(s).alias("header"), rank(s).alias("rank")))
     rows = rows.withColumn("x", sections)
-    # under: for each section, those before it of lower rank with none of lower or equal rank between
-    marked = F.transform("x", lambda x, i: F.struct(i.alias("i"), x["rank"].alias("rank"), x["header"].alias("header")))
-    grown = F.aggregate(
-        marked,
-        F.struct(F.array().cast("array<struct<rank:int,header:string>>").alias("open"), F.array().cast("array<array<string>>").alias("paths")),
-        lambda a, x: _opened(a, x),
-    )
-    rows = rows.withColumn("paths", grown["paths"])
-    kept = F.filter(F.transform("x", lambda x, i: F.struct(x["header"].alias("header"), F.get("paths", i).alias("path"), x["text"].alias("text"))), lambda x: x["text"] != "")
-    out = rows.select("doc_id", F.posexplode(kept).alias("section", "x"))
+    ship(docs.sparkSession)
+    rows = rows.withColumn("paths", _paths(F.transform("x", lambda x: x["rank"]), F.transform("x", lambda x: x["header"])))
+    named = F.zip_with("x", "paths", lambda x, p: F.struct(x["header"].alias("header"), p.alias("path"), x["text"].alias("text")))
+    out = rows.select("doc_id", F.posexplode(F.filter(named, lambda x: x["text"] != "")).alias("section", "x"))
     return out.select("doc_id", "section", "x.header", "x.path", "x.text")
 
 
-def _opened(a: Column, x: Column) -> Column:
-    """The open headers after one more, and the paths so far."""
-    above = F.filter(a["open"], lambda o: o["rank"] < x["rank"])
-    now = F.when(x["rank"] > 0, F.array_append(above, F.struct(x["rank"].alias("rank"), x["header"].alias("header")))).otherwise(a["open"])
-    return F.struct(now.alias("open"), F.array_append(a["paths"], F.transform(now, lambda o: o["header"])).alias("paths"))
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
+def _paths(ranks: pd.Series, names: pd.Series) -> pd.Series:
+    """The open headers at each section, from the sections' ranks (0: no header) and headers."""
+
+    def walk(rank: Sequence[int], name: Sequence[str]) -> list[list[str]]:
+        held: list[tuple[int, str]] = []
+        out = []
+        for r, n in zip(rank, name, strict=True):
+            if r:
+                while held and held[-1][0] >= r:
+                    held.pop()
+                held.append((r, n))
+            out.append([x for _, x in held])
+        return out
+
+    return pd.Series([None if r is None else walk(r, n) for r, n in zip(ranks, names, strict=True)], dtype=object)
 
 
 def threshold(d: Column, kind: str = "percentile", amount: float = 95.0) -> Column:
