@@ -60,8 +60,9 @@ class Index:
     def build(cls, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kind="words", stopwords: Iterable[str] = ()) -> Index:
         toks = docs.select(F.col(id_col).alias("doc_id"), tokenize(text_col, kind, stopwords).alias("tokens"))
         lengths = toks.select("doc_id", F.size("tokens").cast("long").alias("dl"))
-        postings = toks.select("doc_id", F.explode("tokens").alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("tf"))
-        return cls(postings, lengths, postings.groupBy("token").agg(F.count("*").alias("df")), *_totals(lengths))
+        postings = _counted(toks).select("doc_id", F.explode_outer("counts").alias("x")).select("doc_id", "x.token", "x.tf").filter("token is not null")
+        lexicon = toks.select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+        return cls(postings, lengths, lexicon, *_totals(lengths))
 
     def write(self, path: str) -> None:
         """Postings range-partitioned by token, so that a query's tokens prune row groups."""
@@ -98,6 +99,17 @@ class Index:
         return _ranked(hits, q, self.lexicon.join(wanted, "token", "left_semi"), self.n, self.avgdl, k or TOP_K, **options)
 
 
+def _counted(df: DataFrame) -> DataFrame:
+    """``df`` with counts, an array of (token, tf): the runs of its sorted tokens. A document's terms are counted in its row, without an exchange.
+
+    Take the array apart by ``explode_outer``: ``explode`` adds a filter on it, which is pushed down with all
+    these expressions written into each other and evaluated for every element.
+    """
+    runs = "transform(_at, (p, j) -> named_struct('token', _s[p], 'tf', cast(coalesce(get(_at, j + 1), size(_s)) - p as bigint)))"
+    starts = "case when size(_s) = 0 then cast(array() as array<int>) else filter(sequence(0, size(_s) - 1), i -> i = 0 or _s[i] <> _s[i - 1]) end"
+    return df.withColumn("_s", F.sort_array("tokens")).withColumn("_at", F.expr(starts)).withColumn("counts", F.expr(runs)).drop("_s", "_at")
+
+
 def _totals(lengths: DataFrame) -> tuple[int, float]:
     r = lengths.agg(F.count("*").alias("n"), F.sum("dl").alias("s")).first()
     return r["n"], (r["s"] or 0) / max(r["n"], 1)
@@ -122,18 +134,18 @@ def _ranked(hits: DataFrame, q: DataFrame, lexicon: DataFrame, n: int, avgdl: fl
 def search(docs: DataFrame, queries: DataFrame, k: int | None = None, where: Column | None = None, tokenizer="words", stopwords: Iterable[str] = (), **options) -> DataFrame:
     """Top ``k`` of each query (query_id, query) without a stored index: (query_id, doc_id, score, score_raw, rank).
 
-    One pass explodes the texts and keeps, before anything is shuffled, the queries' tokens and one row a
-    document (without a token). That table is written; totals, document frequencies and scores come from it,
+    One pass counts each text's terms in its row and keeps the queries' terms and one row a document (without
+    a term). That table is written, before any shuffle; totals, document frequencies and scores come from it,
     so texts are read and cut once. ``where`` restricts the results, not the statistics.
     """
     k, keep = k or TOP_K, where if where is not None else F.lit(True)
     toks = docs.select("doc_id", tokenize("text", tokenizer, stopwords).alias("tokens"), F.coalesce(keep, F.lit(False)).alias("keep")).withColumn("dl", F.size("tokens").cast("long"))
     q = query_tokens(queries, tokenizer)
-    each = toks.select("doc_id", "dl", "keep", F.explode(F.concat(F.array(F.lit(None).cast("string")), "tokens")).alias("token"))
+    one = F.array(F.struct(F.lit(None).cast("string").alias("token"), F.lit(1).cast("long").alias("tf")))
+    each = _counted(toks).select("doc_id", "dl", "keep", F.explode_outer(F.concat(one, "counts")).alias("x")).select("doc_id", "dl", "keep", "x.token", "x.tf")
     wanted = sized(q.select("token").distinct().withColumn("wanted", F.lit(True)))
-    seen = each.join(wanted, "token", "left").filter("wanted or token is null")
-    hits = save(seen.groupBy("doc_id", "dl", "keep", "token").agg(F.count("*").alias("tf")), "hits")
-    totals = hits.filter("token is null").agg(F.sum("tf").alias("n"), F.sum(F.col("tf") * F.col("dl")).alias("s")).first()
+    hits = save(each.join(wanted, "token", "left").filter("wanted or token is null").drop("wanted"), "hits")
+    totals = hits.filter("token is null").agg(F.count("*").alias("n"), F.sum("dl").alias("s")).first()
     n, avgdl = totals["n"] or 0, (totals["s"] or 0) / max(totals["n"] or 0, 1)
     found = hits.filter("token is not null")
     lexicon = found.groupBy("token").agg(F.count("*").alias("df"))
