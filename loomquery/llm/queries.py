@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomquery.llm import fingerprints, langid, licenses, linededup, mixing, neardup, packing, pii, quality, urls
+from loomquery.llm import fingerprints, impacts, infill, langid, licenses, linededup, mixing, neardup, packing, phrases, pii, quality, urls
 from loomquery.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,6 +76,24 @@ def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = phrases.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", phrases.digest().alias("items_sha256"), "contaminated")
+
+
+@query
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, n_docs = impacts.build(table(spark, sf_dir, "documents"))
+    return impacts.search(index, n_docs, table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256")
+    return infill.infill(table(spark, sf_dir, "documents")).select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output"), digest("restored"))
+
+
 # SQL -------------------------------------------------------------------------------------------------------
 
 _WORDS = r"list_filter(string_split_regex(coalesce({c}, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '')"
@@ -128,5 +147,51 @@ def _op7_sql() -> str:
     from d join p using (k)"""
 
 
+_TERMS = r"regexp_extract_all(translate(coalesce({c}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+def _op11_sql() -> str:
+    k = phrases.WINDOW
+    return rf"""
+    with d as (select row_number() over () r, doc_id, {_TERMS.format(c="text")} w from documents),
+    b as (select distinct coalesce(item_id::varchar, 'null') item, {_TERMS.format(c="text")} w from benchmark),
+    v as (select distinct item, least(len(w), {k}) n, array_to_string(w[i : i + least(len(w), {k}) - 1], ' ') x from b, lateral (select unnest(range(1, greatest(len(w) - {k - 2}, 2))) i) where len(w) > 0),
+    g as (select r, i, n, array_to_string(w[i : i + n - 1], ' ') x from d, (select distinct n from v), lateral (select unnest(range(1, len(w) - n + 2)) i)),
+    f as (select r, i, n, item from g join v using (n, x)),
+    h as (select r, count(distinct i + j) n_hit from (select distinct r, i, n from f), lateral (select unnest(range(0, n)) j) group by r),
+    t as (select r, count(*) n_items, string_agg(item, ',' order by item) items from (select distinct r, item from f) group by r)
+    select doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items, sha256(coalesce(items, '')) items_sha256, n_hit is not null contaminated
+    from d left join h using (r) left join t using (r)"""
+
+
+def _op12_sql(k: int = 20) -> str:
+    return rf"""
+    with d as (select row_number() over () r, doc_id, {_TERMS.format(c="text")} w from documents),
+    z as (select count(*)::bigint big_n, sum(len(w))::bigint big_l from d where len(w) > 0),
+    t as (select r, doc_id, term, n, count(*) tf from (select r, doc_id, len(w)::bigint n, unnest(w) term from d) group by all),
+    q as (select item_id, term, count(*) times from (select item_id, unnest({_TERMS.format(c="text")}) term from (select distinct item_id, text from benchmark)) group by all),
+    f as (select term, floor(1000 * ln((2 * big_n + 2)::double / (2 * count(*) + 1)::double))::bigint w from t, z group by term, big_n),
+    s as (select item_id, r, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * big_n) // big_l))))::bigint score from q join f using (term) join t using (term), z group by all having score > 0)
+    select item_id, (row_number() over (partition by item_id order by score desc, doc_id nulls last))::int rank, doc_id, score from s qualify rank <= {k}"""
+
+
+def _op13_sql() -> str:
+    white = r"\x20\x09-\x0D"
+    tokens = f"regexp_extract_all(text, '[{white}]*[^{white}]+|[{white}]+')"
+    h = lambda i: f"('0x' || substr(sha256('{infill.SEED}:' || coalesce(doc_id::varchar, '')), {8 * i + 1}, 8))::bigint"
+    part = lambda a, b: f"array_to_string(w[{a} + 1 : {b}], '')"
+    return rf"""
+    with d as (select doc_id, text, {tokens} w, {h(0)} h1, {h(1)} h2, {h(2)} h3, {h(3)} h4 from (select doc_id, coalesce(text, '') text from documents)),
+    c as (select *, len(w)::bigint n, least(h1 % (len(w) + 1), h2 % (len(w) + 1)) a, greatest(h1 % (len(w) + 1), h2 % (len(w) + 1)) b from d),
+    p as (select doc_id, text, n, {part(0, "a")} pre, {part("a", "b")} mid, {part("b", "n")} suf,
+      case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= {infill.RATE} then 'plain' when h4 % 100 < {infill.SPM_RATE} then 'spm' else 'psm' end form from c)
+    select doc_id, n, form, case when form <> 'plain' then length(pre) end prefix_chars, case when form <> 'plain' then length(mid) end middle_chars,
+      sha256(case form when 'plain' then text when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid else '<S>' || suf || '<P>' || pre || '<M>' || mid end) output_sha256, sha256(pre || mid || suf) restored_sha256
+    from p"""
+
+
+ORACLES["op11_decontamination"] = _op11_sql()
+ORACLES["op12_ranked_search"] = _op12_sql()
+ORACLES["op13_fill_in_middle"] = _op13_sql()
 ORACLES["op1_quality_rules"] = _op1_sql()
 ORACLES["op7_mixing"] = _op7_sql()
