@@ -1,17 +1,15 @@
 """9. Line dedup by content-defined chunks of lines.
 
-A text's lines are hashed; a rolling hash covers each line and the one before it, and a chunk ends after
-each line whose rolling hash is a local minimum (and after the last line). The boundaries depend on four
-lines around them only, so they fall alike wherever a passage stands. Chunks have two lines or more,
-except at the ends of a text. A chunk with at least two lines that hold a word is removed wherever its text
-was already seen: the first occurrence by (doc_id with nulls last, text hash, line) stays.
-
-A chunk is matched only if both its ends lie inside a shared passage, so chunks alone miss most passages of
-2 to 5 lines and the edges of longer ones. With ``runs`` there is a second, finest scale: each two
-consecutive lines that hold a word, with the blank lines between them, are a chunk too. These overlap, so
-together they cover every repeated run of two or more worded lines, to its first and last worded line,
-wherever it stands. (Of the coarse chunks only those with a blank first or last line then add anything.) A
-repeat that overlaps its own first occurrence stays. The first place of each line is never removed.
+Lines that hold a word are hashed, and a rolling hash covers each two of them in a row. Its bits choose the boundaries, at
+SCALES scales: at scale k a line opens a chunk if bit k of the rolling hash of it and the next one is set, and a line closes
+one if bit 32 + k of the rolling hash of it and the one before is set. A chunk runs from an opening line to the
+next closing one (and from the last opening line before it), blank lines between included, so each has two worded
+lines or more. Boundaries depend on no line outside the chunk: wherever a passage stands, the same chunks are cut
+from it. Chunks of one scale don't cover a passage to its edges; those of all scales overlap and do (shares by
+length in the README). A chunk that smaller ones cover line by line is left out, as it could remove nothing more.
+
+A chunk is removed wherever its text was already seen: the first occurrence by (doc_id with nulls last, text hash,
+line) stays. A repeat that overlaps its own first occurrence stays. The first place of each line is never removed.
 
 Chunks are matched by a pair of 64-bit hashes, one over line hashes and one over bytes; then the texts of
 all chunks that share a pair are compared by their bytes, and a pair that stands for two texts is left
@@ -32,24 +30,22 @@ from pyspark.sql import functions as F
 
 from loomquery.llm import common as C
 
-#: Chunk ends (line numbers from 1) from line hashes ``_lq_h``: local minima of the rolling hash ``_lq_r``.
-_ROLLING = "transform(_lq_h, (x, i) -> x ^ case when i > 0 then shiftleft(_lq_h[i - 1], 13) | shiftrightunsigned(_lq_h[i - 1], 51) else 0L end)"
-_ENDS = """
-filter(sequence(1, size(_lq_r)), i -> case when i = size(_lq_r) then true when i = 1 then false
-  else _lq_r[i - 1] < _lq_r[i - 2] and _lq_r[i - 1] <= _lq_r[i] end)
+#: Scales of boundaries: a passage of two lines is cut out whole with a chance of 1 - 0.75 ** SCALES.
+SCALES = 16
+#: Numbers (from 1) of the lines that hold a word, ``_lq_w``; the rolling hash of each two of them, ``_lq_r``.
+_WORDED = r"filter(sequence(1, size(_lq_l)), i -> _lq_l[i - 1] rlike '[^ \t\n\x0B\f\r]')"
+_ROLLING = "case when size(_lq_w) < 2 then cast(array() as array<long>) else transform(sequence(1, size(_lq_w) - 1), k -> xxhash64(_lq_h[_lq_w[k - 1] - 1], _lq_h[_lq_w[k] - 1])) end"
+#: By scale, the places of rolling hashes that open or close; of these, (first, last) of each chunk.
+_MARKS = "transform(sequence(0, {scales} - 1), f -> filter(transform(_lq_r, (r, k) -> struct(k, shiftrightunsigned(r, f) & 1 as o, shiftrightunsigned(r, 32 + f) & 1 as c)), x -> x.o + x.c > 0))"
+_CUTS = """
+array_distinct(flatten(transform(_lq_m, m -> filter(transform(m, (x, i) -> struct(x.k as a, case when x.o = 1 and x.c = 1 then x.k
+  when x.o = 1 and get(m, i + 1).o = 0 then get(m, i + 1).k end as b)), x -> x.b is not null))))
 """
+#: Chunks by line range, without those that chunks of two lines cover.
 _CHUNKS = """
-transform(_lq_e, (e, k) -> named_struct('s', case when k = 0 then 1 else _lq_e[k - 1] + 1 end, 'e', e))
-"""
-#: Chunks that may be removed.
-_WORDED = r"filter(_lq_c, c -> c.e > c.s and size(filter(slice(_lq_l, c.s, c.e - c.s + 1), x -> x rlike '[^ \\t\\n\\x0B\\f\\r]')) > 1)"
-#: Numbers of the lines that hold a word; with ``runs``, each two in a row, and the chunks they don't cover.
-_WORDS_AT = r"filter(sequence(1, size(_lq_l)), i -> _lq_l[i - 1] rlike '[^ \\t\\n\\x0B\\f\\r]')"
-_PAIRS = """
-case when size(_lq_w) < 2 then cast(array() as array<struct<s: int, e: int>>)
-  else transform(sequence(1, size(_lq_w) - 1), k -> named_struct('s', _lq_w[k - 1], 'e', _lq_w[k])) end
+transform(filter(_lq_c, c -> c.a = c.b or exists(slice(_lq_r, c.a + 1, c.b - c.a + 1), r -> (r & shiftrightunsigned(r, 32) & {mask}L) = 0)),
+  c -> named_struct('s', _lq_w[c.a], 'e', _lq_w[c.b + 1]))
 """
-_BLANK_ENDS = r"filter(_lq_c, c -> not (_lq_l[c.s - 1] rlike '[^ \\t\\n\\x0B\\f\\r]' and _lq_l[c.e - 1] rlike '[^ \\t\\n\\x0B\\f\\r]'))"
 #: Of a chunk c: its hash over line hashes, its hash over bytes.
 _CLASSES = r"""
 transform(_lq_c, c -> named_struct('s', c.s, 'e', c.e, 'h1', xxhash64(slice(_lq_h, c.s, c.e - c.s + 1)), 'h2', xxhash64(array_join(slice(_lq_l, c.s, c.e - c.s + 1), '\n'))))
@@ -67,25 +63,24 @@ def _lines(text_col: str):
     return F.split(C.text_of(text_col), "\n", -1)
 
 
-def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: bool = False) -> DataFrame:
-    """(_lq_id, _lq_t, at, s, e, h1, h2): removable chunks by line range, with their hashes and place ``at``."""
+def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scales: int = SCALES) -> DataFrame:
+    """(_lq_id, _lq_t, at, s, e, h1, h2): chunks by line range, with their hashes and place ``at``."""
     df = _keyed(docs.select(id_col, text_col), id_col, text_col).withColumn("_lq_l", _lines(text_col)).withColumn("_lq_h", F.expr("transform(_lq_l, x -> xxhash64(x))"))
-    df = df.withColumn("_lq_r", F.expr(_ROLLING)).withColumn("_lq_e", F.expr(_ENDS)).withColumn("_lq_c", F.expr(_CHUNKS)).withColumn("_lq_c", F.expr(_WORDED))
-    if runs:
-        df = df.withColumn("_lq_w", F.expr(_WORDS_AT)).withColumn("_lq_c", F.concat(F.expr(_BLANK_ENDS), F.expr(_PAIRS)))
+    df = df.withColumn("_lq_w", F.expr(_WORDED)).withColumn("_lq_r", F.expr(_ROLLING)).withColumn("_lq_m", F.expr(_MARKS.format(scales=scales)))
+    df = df.withColumn("_lq_c", F.expr(_CUTS)).withColumn("_lq_c", F.expr(_CHUNKS.format(mask=(1 << scales) - 1)))
     df = df.select(id_col, "_lq_id", "_lq_t", F.explode(F.expr(_CLASSES)).alias("c"))
     doc = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_lq_t").alias("t"))
     place = F.struct(doc.alias("doc"), F.col("c.s").alias("s"), F.col("c.e").alias("e"))
     return df.select("_lq_id", "_lq_t", place.alias("at"), "c.*")
 
 
-def _removals(docs: DataFrame, keyed: DataFrame, id_col: str, text_col: str, runs: bool) -> DataFrame:
+def _removals(docs: DataFrame, keyed: DataFrame, id_col: str, text_col: str, scales: int) -> DataFrame:
     """(_lq_id, _lq_t, _lq_x): for each document with some, its ranges of lines to remove.
 
     ``keyed`` is joined with all its columns, and the result isn't written, so that the rebuild uses the
     same exchange of texts again.
     """
-    all_chunks = C.save(chunks(docs, id_col, text_col, runs), "chunks")
+    all_chunks = C.save(chunks(docs, id_col, text_col, scales), "chunks")
     again = C.save(all_chunks.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("at").alias("first")).filter("n > 1"), "again")
     later = (F.col("at.doc") != F.col("first.doc")) | (F.col("at.s") > F.col("first.e"))
     place, counts = F.struct("_lq_id", "_lq_t", "s"), again.select("h1", "h2", "n")
@@ -98,25 +93,25 @@ def _removals(docs: DataFrame, keyed: DataFrame, id_col: str, text_col: str, run
     return gone.groupBy("_lq_id", "_lq_t").agg(F.collect_set(F.struct("s", "e")).alias("_lq_x"))
 
 
-def _deduped(docs: DataFrame, id_col: str, text_col: str, runs: bool) -> DataFrame:
+def _deduped(docs: DataFrame, id_col: str, text_col: str, scales: int) -> DataFrame:
     """``docs`` with text_col rewritten and _lq_lines, _lq_gone (lines before, lines removed)."""
     keyed = _keyed(docs, id_col, text_col)
-    found = keyed.join(_removals(docs, keyed, id_col, text_col, runs), ["_lq_id", "_lq_t"], "left").withColumn("_lq_l", _lines(text_col)).withColumn("_lq_g", F.expr(_GONE))
+    found = keyed.join(_removals(docs, keyed, id_col, text_col, scales), ["_lq_id", "_lq_t"], "left").withColumn("_lq_l", _lines(text_col)).withColumn("_lq_g", F.expr(_GONE))
     rest = F.when(F.col("_lq_x").isNull(), F.col(text_col)).otherwise(F.array_join(F.expr(_REST), "\n"))
     gone = F.when(F.col("_lq_x").isNull(), 0).otherwise(F.size("_lq_g"))
     done = found.withColumn("_lq_lines", F.size("_lq_l")).withColumn("_lq_gone", gone).withColumn(text_col, rest)
     return C.fence(done.drop("_lq_l", "_lq_x", "_lq_g"), text_col, "_lq_lines", "_lq_gone")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: bool = False) -> DataFrame:
-    """One row per input row: id, n_lines, n_removed (lines), text (what stays). ``runs``: every repeated run, not only whole chunks."""
-    out = _deduped(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text", runs)
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scales: int = SCALES) -> DataFrame:
+    """One row per input row: id, n_lines, n_removed (lines), text (what stays)."""
+    out = _deduped(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text", scales)
     return out.select(F.col("doc_id").alias(id_col), F.col("_lq_lines").cast("long").alias("n_lines"), F.col("_lq_gone").cast("long").alias("n_removed"), F.col("text").alias(text_col))
 
 
-def apply_line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, runs: bool = False) -> DataFrame:
-    """``docs`` with repeated chunks (``runs``: every repeated run) removed. Documents that lose their last word by that go; ``length_col`` follows the text."""
-    out = _deduped(docs, id_col, text_col, runs).filter((F.col("_lq_gone") == 0) | F.col(text_col).rlike(r"[^ \t\n\x0B\f\r]"))
+def apply_line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, scales: int = SCALES) -> DataFrame:
+    """``docs`` with repeated chunks removed. Documents that lose their last word by that go; ``length_col`` follows the text."""
+    out = _deduped(docs, id_col, text_col, scales).filter((F.col("_lq_gone") == 0) | F.col(text_col).rlike(r"[^ \t\n\x0B\f\r]"))
     if length_col:
         out = out.withColumn(length_col, F.when(F.col("_lq_gone") > 0, F.length(text_col).cast("long")).otherwise(F.col(length_col)))
     return out.select(*docs.columns)

@@ -14,7 +14,7 @@ from loomquery.llm import common, quality
 from loomquery.llm.queries import ORACLES, QUERIES, tokenizer_path
 
 sys.path.insert(0, str(Path(__file__).parent))
-from test_linededup import repeated_runs  # noqa: E402
+from test_linededup import removed  # noqa: E402
 from test_neardup import brute_fp, near, roots  # noqa: E402
 from test_quality import WORD, base  # noqa: E402
 
@@ -40,7 +40,7 @@ def test_stages(spark, sf):
 
 
 def test_queries_are_registered():
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert set(ORACLES) <= set(QUERIES)
 
 
@@ -142,8 +142,8 @@ def test_run_matches_brute_force(spark, tmp_path):
     assert told(stage["quality_rules"](spark, docs, str(tmp_path))) == Counter(kept) and any(r[0] % 10 == 0 for at, r in enumerate(rows) if at in gone and r[0] and base(r[1])[0] >= 50)
 
     kept.sort(key=lambda r: (r[0] is None, r[0] or 0))
-    lines = [r[1].split("\n") for r in kept]
-    texts = ["\n".join(x for i, x in enumerate(ls) if i not in out) for ls, out in zip(lines, repeated_runs(lines), strict=True)]
+    found = removed([r[:2] for r in kept])
+    texts = ["\n".join(x for i, x in enumerate(ls) if i not in out) for ls, out in (found[r[:2]] for r in kept)]
     deduped = [(r[0], t, r[2], r[3], len(t) if t != r[1] else r[4]) for r, t in zip(kept, texts, strict=True) if WORD.search(t)]
     assert told(stage["line_dedup"](spark, frame(kept), str(tmp_path))) == Counter(deduped) and len(deduped) < len(kept)
 
