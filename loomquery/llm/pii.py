@@ -6,7 +6,11 @@ get equal pseudonyms in every document and different values different ones:
 * card numbers (13 to 19 digits with a right Luhn digit): all but the last digit, which is computed anew;
 * bank accounts (IBAN, right by mod 97): the digits of the account, the check digits anew;
 * social numbers (area, group and serial in their ranges): within those ranges;
-* phone numbers: the digits, separators kept;
+* phone numbers: the national digits; separators and country code are kept. A number with ``+`` needs a country code by
+  the numbering plan and as many digits as its country has, its groups joined by one kind of separator, so that a number
+  ends where its plan says, whatever number follows; without ``+`` three groups of fixed sizes or an area in parentheses.
+  (A country with several lengths takes the longest that fits: only there, and only where the same separator
+  stands between, may a following number be taken for a last group.)
 * dates (a real calendar day of 1900 to 2099, also before a time): one permutation of days for all formats,
   so one day stays one day in every format. Days up to the 12th and later days are permuted apart: a day
   written month first is known by a day over 12, and its pseudonym must be too;
@@ -20,6 +24,8 @@ What only looks like one of these stays: a wrong Luhn or mod-97 check, bare digi
 Networks on ranges have no cycle walk but for the later days, where some places are no day (30 February): a
 walk goes on until it finds one, at most as many steps as the key's longest walk, which is computed exactly.
 
+The key is the caller's secret: who has it can undo what the networks do.
+
 Everything is an expression on the row: no shuffle, no Python. A text without a digit or ``@`` is passed on.
 
 Defined results: null text stays null with no replacement; empty and blank texts stay as they are. Very long
@@ -36,9 +42,29 @@ from hashlib import sha256
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ROUNDS, KEY = 10, "loomquery-demo-key"
+ROUNDS = 10
 
 _B, _E = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
+#: Country codes of the numbering plan with one and with two digits (all others have three); national digits of some countries.
+_CODE = r"(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|(?:2[1-689]|3[578]|42|5[09]|6[7-9]|8[0578]|9[679])\d)"
+_NATIONAL = {"1": (10, 10), "7": (10, 10), "31|33|34|41|48|61|66|84": (9, 9), "30|52|57|86|90|91|92": (10, 10), "45|47": (8, 8), "351|380|420|421|966": (9, 9), "44|81": (9, 10), "55": (10, 11)}
+#: National digits elsewhere, for codes of two and of three digits: at most 15 with the code.
+_ELSEWHERE = {2: (6, 13), 3: (5, 12)}
+
+
+def _national(apart: str, least: int, most: int) -> str:
+    return rf"\d(?:{apart}?\d){{{least - 1},{most - 1}}}"
+
+
+def _phones() -> str:
+    """How phone numbers look: with country code, with an area in parentheses, or as three, three and four digits."""
+    known = "|".join(_NATIONAL)
+    codes = [(f"(?:{c})", *n) for c, n in _NATIONAL.items()] + [(rf"(?!{known}){_CODE}(?<=\+\d{{{k}}})", *n) for k, n in _ELSEWHERE.items()]
+    whole = [rf"\+{code}[ .-]?{_national(apart, *n)}" for apart in ("-", r"\.", " ") for code, *n in codes]
+    area = rf"(?:\+{_CODE}[ .-]?)?\(\d{{2,4}}\)[ .-]?\d{{3,4}}[ .-]?\d{{3,4}}"
+    return rf"(?<![\p{{L}}\p{{N}}+])(?:{'|'.join([*whole, area])}){_E}|{_B}\d{{3}}[.-]\d{{3}}[.-]\d{{4}}{_E}"
+
+
 #: How each kind looks, in the order in which they are tried.
 KINDS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
@@ -46,7 +72,7 @@ KINDS = {
     "iban": _B + r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _E,
     "ip": r"(?<![\p{L}\p{N}.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\p{L}\p{N}]|\.\d)",
     "date": _B + r"(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4}|\d{2}-\d{2}-\d{4})(?=T\d\d:|[^\p{L}\p{N}]|$)",
-    "phone": r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}" + _E + r"|(?<![\p{L}\p{N}+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}" + _E + "|" + _B + r"\d{3}[.-]\d{3}[.-]\d{4}" + _E,
+    "phone": _phones(),
     "social": _B + r"\d{3}-\d{2}-\d{4}" + _E,
     "card": _B + r"\d(?:[ -]?\d){12,18}" + _E,
 }
@@ -242,7 +268,18 @@ def _secret(m: Column, key: str) -> Column:
     return F.when(m == F.upper(m), F.upper(out)).otherwise(out)
 
 
-def pseudonym(m: Column, key: str = KEY) -> Column:
+def _phone(m: Column, digits: Column, key: str) -> Column:
+    """The national digits permuted alike with and without a country code."""
+    code = F.regexp_extract(m, rf"^\+({_CODE})", 1)
+    own = F.substring(digits, F.length(code) + 1, F.length(digits))
+    bounds = [(F.regexp_like(code, F.lit(f"^(?:{c})$")), n) for c, n in _NATIONAL.items()] + [(F.length(code) == k, n) for k, n in _ELSEWHERE.items()]
+    fits = F.lit(True)
+    for of, (least, most) in reversed(bounds):
+        fits = F.when(of, F.length(own).between(least, most)).otherwise(fits)
+    return F.when(fits, _refill(m, F.concat(code, permuted_digits(own, key, "phone")))).otherwise(m)
+
+
+def pseudonym(m: Column, key: str) -> Column:
     """The pseudonym of one match of ANY; the match itself if it isn't valid."""
     full = lambda k: m.rlike("^(?:" + KINDS[k] + ")$")
     digits = F.regexp_replace(m, "[^0-9]", "")
@@ -255,12 +292,12 @@ def pseudonym(m: Column, key: str = KEY) -> Column:
         .when(full("date"), _date(m, key))
         .when(full("social"), _social(m, digits, key))
         .when(full("card"), _card(m, digits, key))
-        .when(full("phone"), _refill(m, permuted_digits(digits, key, "phone")))
+        .when(full("phone"), _phone(m, digits, key))
         .otherwise(m)
     )
 
 
-def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_replaced, text."""
     df = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     some = F.col("text").rlike("[0-9@]")
