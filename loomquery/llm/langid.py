@@ -6,12 +6,15 @@ language whose codeword has the least loss: the sum over bits of log(1 + exp(-bi
 weighted by how well its classifier did on that language in a validation fifth of the sample. Up to seven
 languages get the exhaustive code (all two-way splits), more get a seeded random code of wide distance.
 
-The model is fit on a bounded sample: SAMPLE_ROWS labelled rows shared equally by the languages, but at least
-one of each, however many there are, from documents whose crc32(doc_id as text) mod 4 is not 2. Rows are
+The model is fit on a bounded sample: SAMPLE_ROWS labelled rows at most, shared equally by the languages; if there are more
+values than that (dirty labels), one row of each of the most frequent ones, ties by name. They come from documents whose crc32(doc_id as text) mod 4 is not 2. Rows are
 chosen by a hash of doc_id below a threshold for each language, set by its number of rows, so that no task
 ranks all rows of a language; texts are read of the chosen rows only, and one without a letter teaches
 nothing. Only text is an input of a prediction. Rows are predicted where they are read; nothing is shuffled.
 
+Of two languages with equal loss the first by name is predicted. A sample of up to SAMPLE_ROWS languages bounds what the driver
+holds: SAMPLE_ROWS vectors, and codewords and classifiers that grow with the logarithm of their number.
+
 Defined results: null text and text without a letter are ``und`` with score 0 and not ambiguous; with no
 labelled row everything is. One learned language is predicted for all with score 1. Rows with a null doc_id
 or null lang are never learned from; a null doc_id is not held out. Repeated rows are predicted alike, and
@@ -32,8 +35,11 @@ from pyspark.sql.window import Window
 
 from loomquery.llm import common as C
 from loomquery.plans.ship import ship
+from loomquery.plans.tables import sized
 
 SAMPLE_ROWS, FEATURES = 4000, 4096
+#: Languages up to which all pairs of codewords are compared to find a wide code.
+PAIRED = 256
 STEPS, RATE, DECAY = 150, 4.0, 1e-4
 #: The two least losses nearer than this: ambiguous.
 MARGIN = 0.25
@@ -75,8 +81,11 @@ def codewords(k: int) -> np.ndarray:
         bits = [[1 if j >> i & 1 else -1 for i in range(k)] for j in range(1, 2 ** (k - 1))]
         return np.array(bits, dtype=np.float32).T.reshape(k, -1)
     rng, best, far = np.random.default_rng(7), None, -1.0
-    for _ in range(200 if k <= 1000 else 1):
-        code = rng.choice(np.array([-1, 1], dtype=np.float32), size=(k, int(np.ceil(10 * np.log2(k)))))
+    draw = lambda: rng.choice(np.array([-1, 1], dtype=np.float32), size=(k, int(np.ceil(10 * np.log2(k)))))
+    if k > PAIRED:  # drawn words of this length are far apart but for one chance in k ** 8; they are not compared
+        return draw()
+    for _ in range(200):
+        code = draw()
         gram = code @ code.T
         np.fill_diagonal(gram, -np.inf)
         if -gram.max() > far or best is None:
@@ -137,9 +146,9 @@ def sample(known: DataFrame, rows: int) -> DataFrame:
     """(doc_id, lang) of the rows to learn from: of each language those of the least hashes of doc_id.
 
     A language of n rows keeps hashes below a threshold that about 2 * each + 64 rows pass, where ``each`` is
-    its share; of these few the first ``each`` are taken.
+    its share; of these few the first ``each`` are taken. Of over ``rows`` languages the most frequent ones are looked at.
     """
-    counts = C.save(known.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    counts = C.save(known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(rows), "languages")
     each = max(1, rows // max(1, counts.count()))
     small = counts.select("lang", (F.lit(2.0 * each + 64) / F.col("n")).alias("_lq_share"))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 52)) / float(1 << 52)
@@ -153,7 +162,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     ship(docs.sparkSession)
     known = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     known = known.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out("doc_id"))
-    chosen = known.join(F.broadcast(C.save(sample(known, rows), "sample")), ["doc_id", "lang"], "left_semi").select("doc_id", "text", "lang")
+    chosen = known.join(sized(C.save(sample(known, rows), "sample")), ["doc_id", "lang"], "left_semi").select("doc_id", "text", "lang")
 
     def vectors(batches: Iterator) -> Iterator:
         import pyarrow as pa

@@ -45,17 +45,39 @@ def test_codes():
 
 
 def test_every_language_is_learned(spark):
-    """More languages than the sample has rows, one of them with most rows: each still gets one."""
+    """Many languages, one of them with most rows: each gets its share; of more than the sample has rows, the most frequent."""
     rows = [(f"d{i}", chr(0x4E00 + 40 * n) * 5 + " " + chr(0x4E01 + 40 * n) * 7, f"l{n:03}") for n in range(60) for i in range(8 * n, 8 * n + 8)]
     rows += [(f"h{i}", "word of the hot one", "hot") for i in range(2000)]
     docs = spark.createDataFrame(rows, "doc_id string, text string, lang string")
-    model = langid.train(docs, rows=30)
-    assert model.langs == sorted({r[2] for r in rows})
+    assert langid.train(docs, rows=61).langs == sorted({r[2] for r in rows})
     known = docs.filter(~langid.held_out("doc_id")).select("doc_id", "lang")
-    for bound, each in ((30, 1), (61 * 4, 4), (61 * 500, 500)):
+    of = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    for bound, each in ((30, 1), (61, 1), (61 * 4, 4), (61 * 500, 500)):
         got = {r["lang"]: r["n"] for r in langid.sample(known, bound).groupBy("lang").agg(F.count("*").alias("n")).collect()}
-        of = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-        assert got == {x: min(each, n) for x, n in of.items()}
+        asked = sorted(of, key=lambda x: (-of[x], x))[:bound]
+        assert got == {x: min(each, of[x]) for x in asked}
+
+
+def test_very_many_label_values_stay_bounded(spark):
+    """100,000 values of lang: the driver gets as many vectors as the sample has rows, and codewords without all pairs."""
+    import resource
+
+    docs = spark.range(100_000).selectExpr("cast(id as string) as doc_id", "concat('text ', id % 7, ' of a kind ', hex(id)) as text", "concat('tag-', id) as lang")
+    model = langid.train(docs.unionByName(docs.filter("doc_id < 9000").withColumn("lang", F.lit("en"))), rows=300)
+    assert len(model.langs) == 300 and "en" in model.langs and model.w.shape[1] < 100
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    code = langid.codewords(40_000)
+    assert code.shape[0] == 40_000 and code.shape[1] < 200 and len(np.unique(code[:2000], axis=0)) == 2000
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 400_000
+
+
+def test_ties_go_to_the_first_name_and_long_texts(spark):
+    same = [(f"a{i}", "very same words", lang) for i, lang in enumerate(["zz", "yy", "xx"] * 12)]
+    model = langid.train(spark.createDataFrame(same, "doc_id string, text string, lang string"))
+    model.weight[:], model.w[:], model.b[:] = 1 / 3, 0, 0
+    assert model.langs == ["xx", "yy", "zz"] and model.predict("very same words")[0] == "xx"
+    text = "very same words " * 100_000
+    assert model.predict(text)[0] == "xx" and np.allclose(langid.features(text), langid.features("very same words " * 1000), atol=1e-2)
 
 
 def test_repeated_rows_teach_once(spark, sf):
