@@ -201,7 +201,8 @@ def _key(doc_id, text_hash):
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each component: the smallest doc_id (nulls last), then the smallest text hash.
+    """``docs`` with one row of each component: the smallest doc_id (nulls last), then the smallest text hash, then (of rows
+    that share both and differ elsewhere) the smallest digest of all columns, so that reruns keep the same row.
 
     Only keys are sorted out: the rows that go, and those that stay once of several equal ones, are looked up
     where texts are read. Texts move only if these are too many to broadcast, and then in one exchange.
@@ -218,6 +219,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     several = marks.filter("not _lq_goes")
     if several.isEmpty():
         return alone
-    # rows that share id and text: one of them stays
-    equal = C.lookup(keyed, several, "_lq_key", F.monotonically_increasing_id(), "inner").withColumn("_lq_n", F.row_number().over(Window.partitionBy("_lq_key").orderBy("_lq_key")))
+    # rows that share id and text: one of them stays, whatever their order (the rest of a group goes before its exchange)
+    whole = F.sha2(F.to_json(F.struct(*docs.columns), {"ignoreNullFields": "false"}), 256)
+    equal = C.lookup(keyed, several, "_lq_key", F.monotonically_increasing_id(), "inner").withColumn("_lq_n", F.row_number().over(Window.partitionBy("_lq_key").orderBy(whole)))
     return alone.unionByName(equal.filter("_lq_n = 1").select(*docs.columns))

@@ -115,6 +115,17 @@ def test_text_ids_and_equal_rows(spark):
     assert sorted(r["doc_id"] for r in neardup.drop_near_duplicates(docs).collect()) == ["a", "c"]
 
 
+def test_rows_of_one_id_and_text_keep_the_same_one(spark):
+    """Which row stays doesn't depend on the order of rows."""
+    rows = [(1, "one and the same text", lang, source) for lang in ("en", None) for source in ("a", "b", "c", None)] + [(2, "quite another text here", "en", "a")]
+    kept = set()
+    for seed in range(4):
+        some = sorted(rows, key=lambda r: hash((seed, r)))
+        docs = spark.createDataFrame(some, "doc_id long, text string, lang string, source string").repartition(seed + 1)
+        kept.add(tuple(sorted(map(str, neardup.drop_near_duplicates(docs).collect()))))
+    assert len(kept) == 1 and len(next(iter(kept))) == 2
+
+
 def test_salted_ways_agree(spark, sf, monkeypatch):
     """Hot groups dealt by salts, and marks too many to broadcast, change no row."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
