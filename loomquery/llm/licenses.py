@@ -1,16 +1,19 @@
 """8. Licence scans by sentence rules.
 
 A text is cut into units at sentence ends and blank lines, a unit into its lines. Each line, and each run of
-lines up to the unit's end (a sentence that is wrapped, be it below a title or a copyright line), is
-normalised (lower case, runs of other characters than a-z and 0-9 become one space) and looked up among
-known licence sentences. The identifiers found, in order of the text, are matched against ordered licence
+lines up to the unit's end (a sentence that is wrapped, be it below a title or a copyright line), and each
+line up to its first opening parenthesis, is normalised (lower case, runs of other characters than a-z and 0-9
+become one space) and looked up among known licence sentences. What follows "SPDX-License-Identifier:" on a line is an
+expression: each licence in it (joined by AND, OR, WITH an exception, in parentheses, with ``+`` for later versions)
+is an identifier of its own, after those of the sentences; exceptions add none. A blank line starts no sentence. The identifiers found, in order of the text, are matched against ordered licence
 rules: a rule fits where its identifiers follow one another in that sequence. Where a longer rule fits over
 the whole place of a shorter one, only the longer counts (three BSD clauses are not also two). A licence that
 is named twice is told once; licences come in order of name.
 
 Everything happens inside the row: no shuffle, no join. Only texts with one of the anchor words are cut;
 every rule has a sentence that holds one of them (checked when the module loads), so none is missed. A run
-of more lines than the longest known sentence has words can't be one and isn't looked up.
+of more lines than the longest known sentence has words can't be one and isn't looked up, nor a line that doesn't start
+with a known sentence's first word.
 
 Defined results: null, empty and blank texts have no licence. One row per input row, repeated rows alike.
 Very long texts are taken whole. Only id and text are read, whatever other columns there are. Empty tables
@@ -31,6 +34,9 @@ SENTENCES = {
     "gpl-3-later": "either version 3 of the License, or (at your option) any later version",
     "agpl-line": "Licensed under the GNU Affero General Public License v3.0",
     "agpl-under": "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+    "apache-asf": "Licensed to the Apache Software Foundation (ASF) under one or more contributor license agreements",
+    "apache-asf-line": "The ASF licenses this file to You under the Apache License, Version 2.0 (the \"License\")",
+    "apache-asf-notice": "See the NOTICE file distributed with this work for additional information regarding copyright ownership",
     "apache-comply": "you may not use this file except in compliance with the License",
     "apache-copy": "You may obtain a copy of the License at",
     "apache-line": "Licensed under the Apache License, Version 2.0",
@@ -76,19 +82,19 @@ SENTENCES = {
     "mit-notice": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
     "mpl-1": "The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\")",
     "mpl-2": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
-    "spdx": "SPDX-License-Identifier",
     "unlicense-free": "This is free and unencumbered software released into the public domain",
     "unlicense-grant": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means",
     "wtfpl": "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed",
     "zero-bsd": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
     "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
 }
-#: Licences that a line after "SPDX-License-Identifier:" may name.
+#: Licences that an expression after "SPDX-License-Identifier:" may name.
 SPDX = [
     "0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "Artistic-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC0-1.0", "CDDL-1.0", "EPL-1.0", "EPL-2.0",
     "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MPL-2.0", "Unlicense", "WTFPL", "Zlib",
 ]
-SENTENCES |= {f"name-{x}": x for x in SPDX}
+#: How an expression names them: also without "-only", or with "+" for "-or-later"; other licences' "+" adds nothing.
+_NAMES = {n.lower(): f"spdx/{x}" for x in SPDX for n in (x, f"{x}+", x.removesuffix("-only"), x.replace("-or-later", "+"))}
 #: Licences by the identifiers that follow one another.
 RULES = [
     ("0BSD", ["zero-bsd"]),
@@ -111,10 +117,11 @@ RULES = [
     ("Unlicense", ["unlicense-free"]), ("Unlicense", ["unlicense-free", "unlicense-grant"]),
     ("WTFPL", ["wtfpl"]), ("Zlib", ["zlib-grant"]),
 ]
-RULES += [(x, ["spdx", f"name-{x}"]) for x in SPDX]
+RULES += [("Apache-2.0", ["apache-asf"]), ("Apache-2.0", ["apache-asf", "apache-asf-notice", "apache-asf-line"]), ("Apache-2.0", ["apache-asf", "apache-asf-notice", "apache-asf-line", "apache-comply"])]
 #: Words of which every rule holds one.
 ANCHORS = ["licen", "permission", "copyright", "redistribut", "public domain"]
 
+_SPDX = r"spdx-license-identifier:[ \t]*([^\n]*)"
 _UNITS, _LINES = r"[.!?;:]+(?=\s|$)|\n[ \t\r]*\n", r"\n"
 
 
@@ -145,12 +152,14 @@ def _sequence(text: Column, forms: dict[str, str]) -> Column:
     """Identifiers of the known sentences of a text, in order."""
     pairs = F.create_map(*[F.lit(x) for p in forms.items() for x in p])
     most = max(len(x.split()) for x in forms)
+    starts = rf"^[^a-z0-9]*(?:{'|'.join(sorted({x.split()[0] for x in forms}))})(?![a-z0-9])"
     look = lambda s: F.try_element_at(pairs, F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
 
     def of_lines(lines: Column) -> Column:
         def at(line: Column, i: Column) -> Column:
             rest = F.when((F.size(lines) - i > 1) & (F.size(lines) - i <= most), look(F.array_join(F.slice(lines, i + 1, F.size(lines)), " ")))
-            return F.coalesce(look(line), rest)
+            short = F.when(F.contains(line, F.lit("(")), look(F.substring_index(line, "(", 1)))
+            return F.when(line.rlike(starts), F.coalesce(look(line), rest, short))
 
         return F.transform(lines, at)
 
@@ -159,6 +168,13 @@ def _sequence(text: Column, forms: dict[str, str]) -> Column:
     return F.array_compact(F.flatten(F.transform(units, of_lines)))
 
 
+def _expressions(text: Column) -> Column:
+    """Identifiers of the licences in the expressions of a text, in order."""
+    pairs = F.create_map(*[F.lit(x) for p in _NAMES.items() for x in p])
+    words = F.transform(F.regexp_extract_all(F.lower(text), F.lit(_SPDX), F.lit(1)), lambda e: F.split(F.regexp_replace(e, r"\bwith\s+\S+", " "), r"[^a-z0-9.+-]+", -1))
+    return F.array_compact(F.transform(F.flatten(words), lambda w: F.try_element_at(pairs, w)))
+
+
 def _fits(ids: Column, rules: list[tuple[str, list[str]]]) -> Column:
     """Where each rule fits: (first, last, name). ``rules`` give identifiers."""
     starts = F.sequence(F.lit(1), F.greatest(F.size(ids), F.lit(1)))
@@ -176,10 +192,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", senten
     sentences, rules = sentences or SENTENCES, rules or RULES
     _check(sentences, rules)
     forms, parts = known(sentences)
-    wanted = [(name, [i for s in rule for i in parts[s]]) for name, rule in rules]
+    wanted = [(name, [i for s in rule for i in parts[s]]) for name, rule in rules] + [(x, [f"spdx/{x}"]) for x in SPDX]
     df = docs.select(F.col(id_col).alias("doc_id"), C.text_of(text_col).alias("text"))
     none = F.array().cast("array<string>")
-    df = df.withColumn("ids", F.when(F.lower("text").rlike("|".join(ANCHORS)), _sequence(F.col("text"), forms)).otherwise(none)).drop("text")
+    low = F.lower("text")
+    ids = F.concat(_sequence(F.col("text"), forms), F.when(F.contains(low, F.lit("spdx-license-identifier:")), _expressions(F.col("text"))).otherwise(none))
+    df = df.withColumn("ids", F.when(low.rlike("|".join(ANCHORS)), ids).otherwise(none)).drop("text")
     df = df.withColumn("fits", F.when(F.size("ids") > 0, _fits(F.col("ids"), wanted)))
     inside = lambda x, y: (y["a"] <= x["a"]) & (y["z"] >= x["z"]) & (y["z"] - y["a"] > x["z"] - x["a"])
     left = F.filter("fits", lambda x: ~F.exists("fits", lambda y: inside(x, y)))

@@ -16,11 +16,18 @@ def brute(text, sentences=L.SENTENCES, rules=L.RULES):
         names |= dict.fromkeys(parts[n])
     if not re.search("licen|permission|copyright|redistribut|public domain", (text or "").lower()):
         return ""
-    found = []
+    found, named = [], []
+    for expression in re.findall(r"spdx-license-identifier:[ \t]*([^\n]*)", text.lower()):
+        skip = False
+        for w in re.findall(r"[a-z0-9.+-]+", expression):
+            named += [] if skip else [x for x in L.SPDX if w in (x.lower(), f"{x.lower()}+", x.lower().removesuffix("-only"), x.lower().replace("-or-later", "+"))]
+            skip = w == "with"
     for unit in re.split(r"[.!?;:]+(?=\s|$)|\n[ \t\r]*\n", text.lower()):
         lines = unit.split("\n")
         for i, line in enumerate(lines):
-            for s in (cleaned(line), cleaned(" ".join(lines[i:]))):
+            if not cleaned(line):
+                continue
+            for s in (cleaned(line), cleaned(" ".join(lines[i:])), *([cleaned(line.split("(")[0])] if "(" in line else [])):
                 if s in names:
                     found.append(s)
                     break
@@ -29,7 +36,7 @@ def brute(text, sentences=L.SENTENCES, rules=L.RULES):
         want = [p for s in rule for p in parts[s]]
         fits += [(i, i + len(want), name) for i in range(len(found)) if found[i : i + len(want)] == want]
     left = [f for f in fits if not any(g[0] <= f[0] and g[1] >= f[1] and g[1] - g[0] > f[1] - f[0] for g in fits)]
-    return ",".join(sorted({f[2] for f in left}))
+    return ",".join(sorted({f[2] for f in left} | set(named)))
 
 
 def told(spark, texts, **kw):
@@ -74,6 +81,14 @@ def test_scan(spark):
         "This program is free software: " + S["gpl-under"] + "; " + S["gpl-3-later"] + ".": "GPL-3.0-or-later",
         wrapped("This library is free software; " + S["lgpl-under"] + "; " + S["lgpl-21-later"] + ".", 72): "LGPL-2.1-or-later",
         "# SPDX-License-Identifier: AGPL-3.0-or-later\nimport this": "AGPL-3.0-or-later",
+        "// SPDX-License-Identifier: MIT OR Apache-2.0": "Apache-2.0,MIT",
+        "SPDX-License-Identifier: GPL-2.0+": "GPL-2.0-or-later",
+        "SPDX-License-Identifier: (GPL-2.0 WITH Classpath-exception-2.0) AND (mit OR bsd-3-clause)": "BSD-3-Clause,GPL-2.0-only,MIT",
+        "/* SPDX-License-Identifier: LGPL-2.1-or-later */ int main;\nSPDX-License-Identifier: Unknown-1.0\nMIT": "LGPL-2.1-or-later",
+        "SPDX-License-Identifier:\nMIT": "",
+        "Released under the MIT license (see LICENSE).": "MIT",
+        "Licensed to the Apache Software Foundation (ASF) under one or more contributor license agreements": "Apache-2.0",
+        wrapped(S["apache-asf"] + ". " + S["apache-asf-notice"] + ". " + S["apache-asf-line"] + "; " + S["apache-comply"] + ".", 70): "Apache-2.0",
         "MIT\nis a place with a copyright": "",
         S["unlicense-free"] + ".\n\n" + wrapped(S["unlicense-grant"], 65): "Unlicense",
         "": "",
@@ -85,7 +100,7 @@ def test_scan(spark):
 def test_matches_brute_force(spark):
     """Random texts of known sentences, titles and other lines in random order, wrapping and case."""
     rng = random.Random(8)
-    other = ["Copyright (c) 2019 A. Person", "All rights reserved", "some words", "Title", "", "1", "see https://example.com/a.b?c"]
+    other = ["SPDX-License-Identifier: MIT AND (GPL-3.0+ OR Zlib WITH x-1.0)", "spdx-license-identifier: Apache-2.0+ or 0bsd", "Licensed under the MIT License (the file)", "Copyright (c) 2019 A. Person", "All rights reserved", "some words", "Title", "", "1", "see https://example.com/a.b?c"]
     texts = []
     for _ in range(250):
         rows = []
