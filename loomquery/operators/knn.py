@@ -1,4 +1,4 @@
-"""Exact vector search in blocks of queries, semantic retrieval and similarity matrices."""
+"""Exact vector search for batches of queries, semantic retrieval and similarity matrices."""
 
 from __future__ import annotations
 
@@ -12,10 +12,10 @@ from pyspark.sql.window import Window
 
 from loomquery.functions import vector as V
 from loomquery.plans.ship import ship
-from loomquery.plans.tables import top
+from loomquery.plans.tables import fits, top
 
-#: Queries of a block, which is sent to all tasks; distances that a task holds at a time.
-BLOCK, CELLS = 4096, 1 << 22
+#: Queries of a block; vectors of a chunk; distances that a task holds at a time.
+BLOCK, CHUNK, CELLS = 4096, 8192, 1 << 22
 #: Results of a query where none or zero is asked for.
 TOP_K = 10
 
@@ -35,7 +35,7 @@ def _distances(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     return np.stack([np.sqrt(((x - v) ** 2).sum(axis=1)) for v in q])
 
 
-def _nearest(rows: DataFrame, id_col: str, block: DataFrame, k: int, metric: str, exclude_self: bool) -> DataFrame:
+def _nearest(rows: DataFrame, block: DataFrame, id_col: str, k: int, metric: str, exclude_self: bool) -> DataFrame:
     """(query_id, id, distance): of each Arrow batch the ``k`` nearest of each query, and what ties with the last."""
     spark, kind = rows.sparkSession, V.metric_name(metric)
     ship(spark)
@@ -68,18 +68,61 @@ def _nearest(rows: DataFrame, id_col: str, block: DataFrame, k: int, metric: str
     return rows.select(id_col, F.col("embedding").cast("array<double>").alias("embedding")).filter("embedding is not null").mapInArrow(run, schema)
 
 
+def scorer(k: int, metric: str, schema: T.StructType, exclude_self: bool = False):
+    """Of a group of vectors (id, v) and one of queries (query_id, query): the ``k`` nearest of each query, and what ties with the last."""
+
+    def run(rows, asked):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        found = []
+        if rows.num_rows and asked.num_rows:
+            matrix = lambda c: np.asarray(c.combine_chunks().flatten()).reshape(len(c), -1)
+            x, q, own = matrix(rows.column("v")), matrix(asked.column("query")), None
+            if exclude_self:
+                known = pc.unique(rows.column("id"))
+                own = [pc.index_in(c, value_set=known).fill_null(-1).to_numpy() for c in (asked.column("query_id"), rows.column("id"))]
+            step = max(1, CELLS // len(x))
+            for at in range(0, len(q), step):
+                d = _distances(q[at : at + step], x, metric).round(6)
+                if own:
+                    d[own[0][at : at + step, None] == own[1][None, :]] = np.inf
+                n = min(k, d.shape[1])
+                i, j = np.nonzero((d <= np.partition(d, n - 1, axis=1)[:, n - 1 : n]) & np.isfinite(d))
+                found.append(pa.table([asked.column("query_id").take(pa.array(i + at)), rows.column("id").take(pa.array(j)), pa.array(d[i, j])], names=schema.names))
+        if found:
+            return pa.concat_tables(found)
+        return pa.table([asked.column("query_id").slice(0, 0), rows.column("id").slice(0, 0), pa.array([], pa.float64())], names=schema.names)
+
+    return run
+
+
+def _paired(rows: DataFrame, queries: DataFrame, id_col: str, k: int, metric: str, exclude_self: bool) -> DataFrame:
+    """(query_id, id, distance) for any number of queries: blocks of them meet chunks of vectors in groups of bounded size, by one shuffle."""
+    ship(rows.sparkSession)
+    held = rows.select(F.col(id_col).alias("id"), F.col("embedding").cast("array<double>").alias("v")).filter("v is not null")
+    asked = queries.select("query_id", F.col("query").cast("array<double>").alias("query")).filter("query is not null")
+    chunks, blocks = max(1, -(-rows.count() // CHUNK)), max(1, -(-queries.count() // BLOCK))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = held.withColumn("chunk", deal("id", chunks)).withColumn("block", each(blocks))
+    right = asked.withColumn("block", deal("query_id", blocks)).withColumn("chunk", each(chunks))
+    schema = T.StructType([queries.schema["query_id"], held.schema["id"], T.StructField("distance", T.DoubleType())])
+    met = left.groupBy("chunk", "block").cogroup(right.groupBy("chunk", "block"))
+    return met.applyInArrow(scorer(k, V.metric_name(metric), schema, exclude_self), schema).withColumnRenamed("id", id_col)
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int | None = None, metric: str = "cosine", where: Column | None = None, id_col: str = "vec_id", exclude_self: bool = False) -> DataFrame:
     """(query_id, id, distance, rank): the ``k`` nearest of each query (query_id, query).
 
-    ``where`` filters before the search. Each block of queries (its size is bounded) is sent to all tasks and
-    multiplied with their vectors batch by batch; a group limit keeps ``k`` of a query in each task before
-    anything is shuffled. Vectors and queries that are null are left out.
+    ``where`` filters before the search. Queries of a checked size (BLOCK rows, and bytes) are sent to all tasks and
+    multiplied with their vectors batch by batch; more of them are dealt in blocks that meet chunks of vectors. A group
+    limit keeps ``k`` of a query in each task before anything is shuffled. Vectors and queries that are null are left out.
     """
-    rows, k, out = vectors.filter(where) if where is not None else vectors, k or TOP_K, None
-    for block in _blocks(queries):
-        part = top(_nearest(rows, id_col, block, k, metric, exclude_self), k, ["query_id"], F.col("distance"), F.col(id_col))
-        out = part if out is None else out.unionByName(part)
-    return out
+    rows, k = vectors.filter(where) if where is not None else vectors, k or TOP_K
+    near = _nearest if fits(queries, BLOCK) else _paired
+    found = near(rows, queries, id_col, k, metric, exclude_self)
+    return top(found, k, ["query_id"], F.col("distance"), F.col(id_col))
 
 
 def retrieve(vectors: DataFrame, queries: DataFrame, contents: DataFrame, k: int = 5, metric: str = "cosine", threshold: float | None = None, where: Column | None = None) -> DataFrame:

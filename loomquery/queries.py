@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from loomquery.functions import metrics as M
 from loomquery.functions import text as X
 from loomquery.functions import vector as V
-from loomquery.operators import bm25, dedup, evaluate, fusion, knn, rewrite, split
+from loomquery.operators import bm25, dedup, evaluate, fusion, ivf, knn, rewrite, split
 from loomquery.plans import rag
 from loomquery.plans.tables import own_dir, top, with_group_size
 from loomquery.sources import collections as K
@@ -188,6 +188,32 @@ def knn_batch(spark, sf_dir):
     return knn.search(t(spark, sf_dir, "embeddings"), _vq(spark, sf_dir))
 
 
+def _index(spark, sf_dir) -> ivf.VectorIndex:
+    return ivf.VectorIndex.build(t(spark, sf_dir, "embeddings"), f"{own_dir(spark)}/vectors-{uuid.uuid4().hex}")
+
+
+@query()
+def vector_index_search(spark, sf_dir):
+    """Approximate: the lists that each query probes. Its recall is ``vector_index_recall``."""
+    return _index(spark, sf_dir).search(_vq(spark, sf_dir)).withColumnRenamed("id", "vec_id")
+
+
+@query(_knn_sql())
+def vector_index_exact(spark, sf_dir):
+    """Every list probed: what ``knn_batch`` finds, so that no row is missing from the index."""
+    index = _index(spark, sf_dir)
+    return index.search(_vq(spark, sf_dir), probes=len(index.centroids)).withColumnRenamed("id", "vec_id")
+
+
+@query("select 10 k, count(*) rows_indexed, true recall_reached, true fewer_rows_read from embeddings")
+def vector_index_recall(spark, sf_dir):
+    """Whether 0.9 of the exact ten nearest are found, and whether a query is compared with fewer rows than there are."""
+    index = _index(spark, sf_dir)
+    read = index.probes < len(index.centroids) or index.about["rows"] < 2
+    found = F.lit(index.recall(_vq(spark, sf_dir, "true")) >= 0.9)
+    return index.rows().agg(F.lit(10).alias("k"), F.count("*").alias("rows_indexed"), found.alias("recall_reached"), F.lit(read).alias("fewer_rows_read"))
+
+
 @query(_knn_sql(where="label in (1, 2, 3)", k=5))
 def knn_filtered(spark, sf_dir):
     return knn.search(t(spark, sf_dir, "embeddings"), _vq(spark, sf_dir), 5, where=F.col("label").isin(1, 2, 3))
@@ -725,32 +751,64 @@ def kb_stats(spark, sf_dir):
     return K.stats(t(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
+def _collection(spark, sf_dir) -> K.Collection:
+    """All documents as a collection, their source, language and length as metadata."""
+    made = K.Collection(spark, own_dir(spark), f"kb-{uuid.uuid4().hex}", columns={"lang": "string", "source": "string", "n_chars": "double"})
+    made.upsert(_records(t(spark, sf_dir, "documents")))
+    return made
+
+
+def _records(docs):
+    meta = F.create_map(*[x for k in ("lang", "source", "n_chars") for x in (F.lit(k), F.col(k).cast("string"))])
+    return docs.select(F.lpad(F.col("doc_id").cast("string"), 15, "0").alias("id"), F.col("text").alias("document"), meta.alias("metadata"))
+
+
+def _meta(records, *keys, **types):
+    each = [F.try_element_at("metadata", F.lit(k)).cast(types.get(k, "string")).alias(k) for k in keys]
+    return records.select(F.col("id").cast("long").alias("doc_id"), *each)
+
+
 @query("select doc_id, source from documents where source <> 'src1' or source is null")
 def kb_delete_by_source(spark, sf_dir):
-    return K.delete(t(spark, sf_dir, "documents").select("doc_id", "source"), F.col("source") == "src1")
+    kb = _collection(spark, sf_dir)
+    K.KnowledgeBase(kb).delete_by_source("src1")
+    return _meta(kb.read(), "source")
 
 
-@query("select doc_id, case when doc_id % 10 = 0 then 'new' else source end source from documents")
+@query("select doc_id, case when doc_id % 10 = 0 then 'new' else source end source, md5(text) text_md5 from documents")
 def kb_upsert(spark, sf_dir):
-    old = t(spark, sf_dir, "documents").select("doc_id", "source")
-    return K.upsert(old, old.filter("doc_id % 10 = 0").withColumn("source", F.lit("new")), "doc_id")
+    kb = _collection(spark, sf_dir)
+    kb.upsert(_records(t(spark, sf_dir, "documents").filter("doc_id % 10 = 0").withColumn("source", F.lit("new"))))
+    texts = kb.read().select(F.col("id").cast("long").alias("doc_id"), F.md5("document").alias("text_md5"))
+    return _meta(kb.read(), "source").join(texts, "doc_id")
 
 
 @query("select doc_id, lang, source from documents where lang in ('de', 'fr') and n_chars >= 500 and (source = 'src1' or source = 'src2')")
 def kb_filter(spark, sf_dir):
     wanted = {"lang": ["de", "fr"], "n_chars": {"$gte": 500}, "$or": [{"source": "src1"}, {"source": {"$eq": "src2"}}]}
-    return t(spark, sf_dir, "documents").filter(K.where(wanted, F.col)).select("doc_id", "lang", "source")
+    return _meta(_collection(spark, sf_dir).read(filters=wanted), "lang", "source")
+
+
+@query("select doc_id, lang from documents where n_chars >= 500 and n_chars < 2000 and lang in ('en', '7')")
+def kb_filter_mixed(spark, sf_dir):
+    """Typed columns where one key's texts are numbers for some records only, and other keys are missing."""
+    docs = t(spark, sf_dir, "documents")
+    kb = K.Collection(spark, own_dir(spark), f"kb-{uuid.uuid4().hex}", columns={"size": "double"})
+    size = F.when(F.col("n_chars") < 500, F.lit("few")).otherwise(F.col("n_chars").cast("string"))
+    kb.add(_records(docs).join(docs.select(F.lpad(F.col("doc_id").cast("string"), 15, "0").alias("id"), size.alias("size")), "id").select("id", "document", F.map_concat("metadata", F.create_map(F.lit("size"), F.col("size"))).alias("metadata")))
+    return _meta(kb.read(filters={"$and": [{"size": {"$lt": 2000}}, {"lang": ["en", 7]}]}), "lang")
 
 
 @query("select doc_id, source, 1.0::double score from documents order by doc_id limit 1000")
 def kb_scan(spark, sf_dir):
     """The scan's own limit of 1000 records is the feature."""
-    return t(spark, sf_dir, "documents").select("doc_id", "source", F.lit(1.0).cast("double").alias("score")).orderBy("doc_id").limit(1000)
+    found = _collection(spark, sf_dir).scan()
+    return _meta(found, "source").withColumn("score", F.lit(1.0).cast("double"))
 
 
 @query("select count(*) n from documents")
 def kb_count(spark, sf_dir):
-    return t(spark, sf_dir, "documents").agg(F.count("*").alias("n"))
+    return spark.createDataFrame([(_collection(spark, sf_dir).count(),)], "n long")
 
 
 @query("""

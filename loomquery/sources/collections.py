@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomquery.functions.vector import score
+from loomquery.operators.ivf import VectorIndex
 from loomquery.operators.knn import search
-from loomquery.plans.tables import save, sized
+from loomquery.plans.tables import save, sized, top
 
 RECORD = "id string, document string, embedding array<float>, metadata map<string,string>"
 #: Metadata keys that are never stored.
@@ -25,34 +26,86 @@ def record_id(source: Column, index: Column, text: Column) -> Column:
     return F.sha2(F.concat_ws("\u0001", source, index.cast("string"), text), 256)
 
 
-def where(filters: dict, column=lambda k: F.try_element_at(F.col("metadata"), F.lit(k))) -> Column:
-    """A predicate from a filter: scalars are equalities, lists memberships, dicts operators; $and and $or nest."""
-    ops = {
-        "$eq": lambda c, v: c == v, "$ne": lambda c, v: c != v, "$gt": lambda c, v: c > v, "$gte": lambda c, v: c >= v,
-        "$lt": lambda c, v: c < v, "$lte": lambda c, v: c <= v, "$in": lambda c, v: c.isin(v), "$nin": lambda c, v: ~c.isin(v),
-    }
+def _as_text(v) -> str:
+    return str(v).lower() if isinstance(v, bool) else str(v)
+
+
+def _equals(c: Column, v) -> Column:
+    """Whether a metadata text is ``v``: by its text, or by its number. Never null where there is a text."""
+    same = c == _as_text(v)
+    if isinstance(v, int | float) and not isinstance(v, bool):
+        same = same | F.coalesce(c.try_cast("double") == float(v), F.lit(False))
+    return same
+
+
+def _one_of(c: Column, values) -> Column:
+    return reduce(lambda a, b: a | b, [_equals(c, v) for v in values], F.lit(False) & c.isNotNull())
+
+
+def _compared(c: Column, v) -> Column:
+    """The side of a metadata text that orders like ``v``; null if it is no number and ``v`` is one."""
+    return c.try_cast("double") if isinstance(v, int | float) and not isinstance(v, bool) else c
+
+
+_TEXT_OPS = {
+    "$eq": _equals, "$ne": lambda c, v: ~_equals(c, v), "$in": _one_of, "$nin": lambda c, v: ~_one_of(c, v),
+    "$gt": lambda c, v: _compared(c, v) > v, "$gte": lambda c, v: _compared(c, v) >= v, "$lt": lambda c, v: _compared(c, v) < v, "$lte": lambda c, v: _compared(c, v) <= v,
+}
+_OPS = {
+    "$eq": lambda c, v: c == v, "$ne": lambda c, v: c != v, "$in": lambda c, v: c.isin(list(v)), "$nin": lambda c, v: ~c.isin(list(v)),
+    "$gt": lambda c, v: c > v, "$gte": lambda c, v: c >= v, "$lt": lambda c, v: c < v, "$lte": lambda c, v: c <= v,
+}
+
+
+def _terms(v) -> list[tuple[str, object]]:
+    """A key's filter as (operator, value) pairs."""
+    return list(v.items()) if isinstance(v, dict) else [("$in", v)] if isinstance(v, list | tuple) else [("$eq", v)]
+
+
+def where(filters: dict, column: Callable[[str], Column] | None = None) -> Column:
+    """A predicate from a filter: scalars are equalities, lists memberships, dicts operators; $and and $or nest.
+
+    Metadata are texts: a number equals the texts that read as it, a boolean ``true`` and ``false``; order compares numbers
+    with texts that read as numbers only. A missing key fulfils nothing. With ``column`` the keys are columns with
+    types of their own instead.
+    """
+    of, ops = (column, _OPS) if column else (lambda k: F.try_element_at(F.col("metadata"), F.lit(k)), _TEXT_OPS)
     parts = []
     for k, v in filters.items():
         if k in ("$and", "$or"):
             parts.append(reduce(lambda a, b: a & b if k == "$and" else a | b, [where(f, column) for f in v]))  # noqa: B023
-        elif isinstance(v, dict):
-            for op, x in v.items():
-                c = column(k).cast("double") if isinstance(x, int | float) and not isinstance(x, bool) else column(k)
-                parts.append(ops[op](c, x))
-        elif isinstance(v, list | tuple):
-            parts.append(column(k).isin(list(v)))
         else:
-            parts.append(column(k) == v)
+            parts += [ops[op](of(k), x) for op, x in _terms(v)]
     return reduce(lambda a, b: a & b, parts) if parts else F.lit(True)
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
-    return old.join(new, key, "left_anti").unionByName(new)
+#: What a typed column can tell for certain, by its type: comparisons that hold for its value and for nothing else.
+_SURE = {"double": (int, float), "string": (str,)}
 
 
-def delete(old: DataFrame, predicate: Column) -> DataFrame:
-    """Rows for which the predicate isn't true; an unknown outcome keeps the row."""
-    return old.filter(~F.coalesce(predicate, F.lit(False)))
+def typed_where(filters: dict, columns: dict[str, str]) -> Column | None:
+    """What typed columns (key to type, see ``Collection``) say of a filter: true wherever ``where`` is, and understood by a scan."""
+    parts = []
+    for k, v in filters.items():
+        if k in ("$and", "$or"):
+            inner = [typed_where(f, columns) for f in v]
+            if k == "$and" and any(x is not None for x in inner):
+                parts.append(reduce(lambda a, b: a & b, [x for x in inner if x is not None]))
+            elif k == "$or" and inner and all(x is not None for x in inner):
+                parts.append(reduce(lambda a, b: a | b, inner))
+            continue
+        for op, x in _terms(v) if k in columns else ():
+            values = list(x) if op == "$in" else [x]
+            if op in ("$ne", "$nin") or not values or not all(isinstance(y, _SURE[columns[k]]) and not isinstance(y, bool) for y in values):
+                continue
+            parts.append(_OPS[op](F.col(f"m_{k}"), values if op == "$in" else x))
+    return reduce(lambda a, b: a & b, parts) if parts else None
+
+
+def one_by_id(records: DataFrame) -> DataFrame:
+    """One record of each id: the first by document, then by metadata and vector as JSON."""
+    order = [F.col("document").asc_nulls_last(), F.to_json(F.struct(F.array_sort(F.map_entries("metadata")), "embedding"))]
+    return top(records, 1, ["id"], *order, rank="_n").drop("_n")
 
 
 def stored(records: DataFrame) -> DataFrame:
@@ -66,10 +119,17 @@ class Collection:
     from earlier folders to one of ``gone``. Folders are named by version and a random part, so writers never
     share one. Then one small file in ``log`` names all folders of the version: readers never see half a
     write, and of two writers of one version the second fails. ``compact`` folds the folders into one.
+
+    ``columns`` (key to ``double`` or ``string``) are metadata keys that new folders also hold as columns of that type,
+    ``m_`` and the key, null where the text doesn't read as one. Files keep their statistics, and filters on these keys are
+    pushed into the scan if all folders hold them; ``frequent_keys`` names candidates, and ``compact`` brings older
+    folders up to it. The map keeps every key as text, so mixed values stay what they are.
     """
 
-    def __init__(self, spark: SparkSession, root: str, name: str, metric: str = "cosine", embed: Callable[[Column], Column] | None = None):
-        self.spark, self.root, self.name, self.metric, self.embed = spark, root.rstrip("/"), name, metric, embed
+    def __init__(self, spark: SparkSession, root: str, name: str, metric: str = "cosine", embed: Callable[[Column], Column] | None = None, columns: dict[str, str] | None = None):
+        self.spark, self.root, self.name, self.metric, self.embed, self.columns = spark, root.rstrip("/"), name, metric, embed, columns or {}
+        if unknown := set(self.columns.values()) - set(_SURE):
+            raise ValueError(f"unknown column types {sorted(unknown)}")
         self.path = f"{self.root}/{name}"
 
     def _fs(self, path: str = ""):
@@ -98,8 +158,17 @@ class Collection:
         finally:
             opened.close()
 
-    def read(self, version: int | None = None) -> DataFrame:
+    def typed(self, version: int | None = None) -> dict[str, str]:
+        """The typed columns that all folders of a version hold."""
         folders = self._folders(version)
+        held = [folders.get("typed", {}).get(n, {}) for n in folders["data"]]
+        return {k: v for k, v in held[0].items() if all(h.get(k) == v for h in held)} if held else {}
+
+    def read(self, version: int | None = None, filters: dict | None = None, since: int | None = None) -> DataFrame:
+        """The records of a version that a filter lets through; of those, the ones that came after version ``since``."""
+        folders, typed = self._folders(version), self.typed(version)
+        if since is not None:
+            folders["data"] = [n for n in folders["data"] if n not in self._folders(since)["data"]]
         if not folders["data"]:
             return self.spark.createDataFrame([], RECORD)
 
@@ -107,11 +176,22 @@ class Collection:
             reader = self.spark.read.option("basePath", f"{self.path}/{name}").schema(f"{schema}, seq string")
             return reader.parquet(*[f"{self.path}/{name}/seq={n}" for n in folders[name]])
 
-        rows = kind("data", RECORD)
+        rows = kind("data", ", ".join([RECORD, *[f"`m_{k}` {v}" for k, v in typed.items()]]))
+        if filters:
+            sure = typed_where(filters, typed)
+            rows = (rows if sure is None else rows.filter(sure)).filter(where(filters))
         if folders["gone"]:
             last = kind("gone", "id string").groupBy("id").agg(F.max("seq").alias("until")).withColumnRenamed("id", "gone_id")
             rows = rows.join(last, (F.col("id") == F.col("gone_id")) & (F.col("seq") < F.col("until")), "left_anti")
-        return rows.drop("seq")
+        return rows.select("id", "document", "embedding", "metadata")
+
+    def frequent_keys(self, share: float = 0.5) -> dict[str, str]:
+        """Metadata keys that at least ``share`` of the records have, with the type that all their texts read as."""
+        pairs = self.read().select(F.explode("metadata").alias("k", "v")).groupBy("k")
+        number = F.min(F.col("v").try_cast("double").isNotNull().cast("int")).alias("number")
+        least = share * self.count()
+        found = pairs.agg(F.count("*").alias("n"), number).filter(F.col("n") >= least).collect()
+        return {r["k"]: "double" if r["number"] else "string" for r in sorted(found, key=lambda r: r["k"])}
 
     def _commit(self, data: DataFrame | None = None, gone: DataFrame | None = None, alone: bool = False) -> DataFrame | None:
         """Write a version; what was added, read back."""
@@ -120,7 +200,10 @@ class Collection:
         folder = f"{n:010d}-{uuid.uuid4().hex}"
         if alone:
             folders = {"data": [], "gone": []}
-        for name, df, columns in (("data", data, ["id", "document", "embedding", "metadata"]), ("gone", gone, ["id"])):
+        typed = [F.try_element_at(F.col("metadata"), F.lit(k)).try_cast(v).alias(f"m_{k}") for k, v in self.columns.items()]
+        if data is not None:
+            folders["typed"] = {**folders.get("typed", {}), folder: self.columns}
+        for name, df, columns in (("data", data, ["id", "document", "embedding", "metadata", *typed]), ("gone", gone, ["id"])):
             if df is not None:
                 df.select(*columns).write.parquet(f"{self.path}/{name}/seq={folder}")
                 folders[name] = [*folders[name], folder]
@@ -132,7 +215,7 @@ class Collection:
 
     def add(self, records: DataFrame) -> int:
         """Append records whose ids are new; the number added. A missing id is drawn, a missing embedding computed."""
-        new = stored(self._complete(records)).dropDuplicates(["id"]).join(self.read().select("id"), "id", "left_anti")
+        new = one_by_id(self._complete(records)).join(self.read().select("id"), "id", "left_anti")
         return self._commit(new).count()
 
     def _complete(self, records: DataFrame) -> DataFrame:
@@ -142,44 +225,76 @@ class Collection:
         if self.embed:
             made = self.embed(F.col("document"))
             out = out.withColumn("embedding", F.coalesce("embedding", made) if "embedding" in have else made)
-        return out if "metadata" in have else out.withColumn("metadata", F.create_map().cast("map<string,string>"))
+        elif "embedding" not in have:
+            out = out.withColumn("embedding", F.lit(None).cast("array<float>"))
+        out = out if "metadata" in have else out.withColumn("metadata", F.create_map().cast("map<string,string>"))
+        return stored(out.withColumn("metadata", F.coalesce("metadata", F.create_map().cast("map<string,string>")))).select("id", "document", "embedding", "metadata")
 
     def upsert(self, records: DataFrame) -> None:
-        self._commit(records, records.select("id").distinct())
+        """Add records, each in place of the one that has its id, if any; of several with one id the first (``one_by_id``) stays."""
+        new = save(one_by_id(self._complete(records)), "upsert")
+        self._commit(new, new.select("id"))
 
     def update(self, records: DataFrame) -> None:
         """Replace records that exist; others are ignored."""
-        there = save(records.select("id", "document", "embedding", "metadata").join(self.read().select("id"), "id", "left_semi"), "update")
+        there = save(one_by_id(self._complete(records)).join(self.read().select("id"), "id", "left_semi"), "update")
         self._commit(there, there.select("id"))
 
     def delete(self, ids: list[str] | None = None, filters: dict | None = None) -> bool:
         if not ids and not filters:
             return False
-        chosen = F.col("id").isin(ids) if ids else F.coalesce(where(filters), F.lit(False))
-        self._commit(gone=self.read().filter(chosen).select("id"))
+        chosen = self.read().filter(F.col("id").isin(ids)) if ids else self.read(filters=filters)
+        self._commit(gone=chosen.select("id"))
         return True
 
-    def compact(self) -> None:
-        """All records in one folder, as a new version; older versions stay readable."""
+    def compact(self, columns: dict[str, str] | None = None) -> None:
+        """All records in one folder, as a new version, with the typed ``columns`` if given; older versions stay readable."""
+        self.columns = self.columns if columns is None else columns
         self._commit(self.read(), alone=True)
 
     def scan(self, limit: int | None = 1000, filters: dict | None = None) -> DataFrame:
-        df = self.read().filter(where(filters or {})).withColumn("score", F.lit(1.0))
+        df = self.read(filters=filters).withColumn("score", F.lit(1.0))
         return df.orderBy("id").limit(limit) if limit else df
 
     def count(self) -> int:
         return self.read().count()
 
-    def search(self, queries: DataFrame, k: int = 5, filters: dict | None = None, threshold: float | None = None) -> DataFrame:
+    def build_index(self, **options) -> VectorIndex:
+        """Store a vector index of the latest version (``operators.ivf``) for approximate searches of it and later ones."""
+        return VectorIndex.build(self.read(), f"{self.path}/index/{self.versions()[-1]}", "id", "embedding", self.metric, **options)
+
+    def _indexed(self) -> int | None:
+        """The latest version with an index whose folders are all part of the collection yet."""
+        p, fs = self._fs("/index")
+        have = sorted((int(s.getPath().getName()) for s in fs.listStatus(p)), reverse=True) if fs.exists(p) else []
+        now = set(self._folders()["data"])
+        return next((v for v in have if set(self._folders(v)["data"]) <= now), None)
+
+    def _approximate(self, queries: DataFrame, k: int, probes: int | None) -> DataFrame | None:
+        """The nearest by the index, without what was taken away since, and exactly of what came since; None without an index."""
+        version = self._indexed()
+        if version is None:
+            return None
+        later = [n for n in self._folders()["gone"] if n not in self._folders(version)["gone"]]
+        gone = self.spark.read.schema("id string").parquet(*[f"{self.path}/gone/seq={n}" for n in later]).distinct() if later else None
+        old = VectorIndex(self.spark, f"{self.path}/index/{version}").search(queries, k, probes, gone)
+        new = search(self.read(since=version), queries, k, self.metric, None, "id")
+        return top(old.unionByName(new).drop("rank"), k, ["query_id"], F.col("distance"), F.col("id"))
+
+    def search(self, queries: DataFrame, k: int = 5, filters: dict | None = None, threshold: float | None = None, approximate: bool = False, probes: int | None = None) -> DataFrame:
         """(query_id, id, distance, score, rank) for queries with a vector (``query``) or, if the collection embeds, a text (``text``).
 
-        Results under ``threshold`` go: scores are similarities, so higher is nearer for every metric.
+        Results under ``threshold`` go: scores are similarities, so higher is nearer for every metric. ``approximate`` reads
+        the lists that the queries probe of the index of ``build_index``; with ``filters``, or without an index, the search is exact.
         """
         if "query" not in queries.columns:
             if not self.embed:
                 raise ValueError("a collection without an embedder needs query vectors")
             queries = save(queries.select("query_id", self.embed(F.col("text")).alias("query")), "queries")
-        found = search(self.read(), queries.select("query_id", "query"), k, self.metric, where(filters) if filters else None, "id")
+        queries = queries.select("query_id", "query")
+        found = self._approximate(queries, k, probes) if approximate and not filters else None
+        if found is None:
+            found = search(self.read(filters=filters), queries, k, self.metric, None, "id")
         scored = found.withColumn("score", F.round(score(F.col("distance"), self.metric), 6))
         return scored if threshold is None else scored.filter(F.col("score") >= threshold)
 

@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 
 from loomquery.functions import text as X
 from loomquery.functions import vector as V
-from loomquery.operators import bm25, dedup, fusion, knn, rewrite, split
+from loomquery.operators import bm25, dedup, fusion, ivf, knn, rewrite, split
 from loomquery.plans import llm, pipeline, rag, testsets
 from loomquery.plans.tables import global_scan, row_numbers, with_group_size
 from loomquery.queries import QUERIES
+from loomquery.sources import collections as K
 
 
 def test_recursive_split():
@@ -165,8 +166,12 @@ def test_knn_blocks_agree(spark, sf, monkeypatch):
     e = spark.read.parquet(f"{sf}/embeddings.parquet")
     q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     whole = sorted(knn.search(e, q, 4).collect())
-    monkeypatch.setattr(knn._blocks, "__defaults__", (3,))
-    assert sorted(knn.search(e, q, 4).collect()) == whole
+    alone = sorted(knn.search(e, q, 4, exclude_self=True).collect())
+    monkeypatch.setattr(knn, "BLOCK", 3)
+    monkeypatch.setattr(knn, "CHUNK", 40)
+    many = knn.search(e, q, 4)
+    assert "FlatMapCoGroupsInArrow" in many._jdf.queryExecution().executedPlan().toString() and sorted(many.collect()) == whole
+    assert sorted(knn.search(e, q, 4, exclude_self=True).collect()) == alone
     assert knn.search(e, q, 1, exclude_self=True).filter("query_id = vec_id").count() == 0
 
 
@@ -408,3 +413,52 @@ def test_queries_without_sql(spark, sf):
     for r in answers:
         scores = [s for _, s in sorted(top.get(r["query_id"], [])) if s >= 0.5]
         assert r["retrieval_scores"] == scores and r["num_retrieved"] == len(scores) and r["answer"]
+
+
+def test_vector_index(spark, sf, tmp_path, monkeypatch):
+    """Recall against the exact search, every row in one list, the exact way, and the partitions that are read."""
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding")
+    hot = e.filter("vec_id = 3").withColumn("vec_id", F.explode(F.sequence(F.lit(10_000), F.lit(10_299))))
+    rows = e.unionByName(hot).unionByName(spark.createDataFrame([(99_999, None)], e.schema))
+    monkeypatch.setattr(ivf, "CHUNK", 64)
+    index = ivf.VectorIndex.build(rows, str(tmp_path / "ix"), lists=16)
+    assert index.about["rows"] == 800 and len(index.centroids) == 16 and 1 <= index.probes < 16
+    assert sorted(r["id"] for r in index.rows().collect()) == sorted(r["vec_id"] for r in rows.filter("embedding is not null").collect())
+    sizes = {r["list"]: (r["n"], r["parts"]) for r in index.rows().groupBy("list").agg(F.count("*").alias("n"), F.countDistinct("part").alias("parts")).collect()}
+    assert sum(n for n, _ in sizes.values()) == 800 and max(n for n, _ in sizes.values()) >= 300 and max(p for _, p in sizes.values()) >= 5
+    q = e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    exact = sorted(tuple(r) for r in knn.search(rows, q, 10).collect())
+    assert sorted(tuple(r) for r in index.search(q, 10, probes=16).collect()) == exact
+    found = {(r[0], r[1]) for r in index.search(q, 10).collect()}
+    assert len(found & {(r[0], r[1]) for r in exact}) >= 0.9 * len(exact) and index.recall(q) >= 0.9
+    for metric in ("l2", "l1"):
+        other = ivf.VectorIndex.build(e, str(tmp_path / metric), metric=metric, lists=8)
+        assert sorted(tuple(r) for r in other.search(q.limit(20), 5, probes=8).collect()) == sorted(tuple(r) for r in knn.search(e, q.limit(20), 5, metric).collect())
+    one = index.search(q.filter("query_id = 7"), 10, probes=2)
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    wanted = re.search(r"PartitionFilters: \[[^\]]*?list#\d+ IN \(([\d,]+)\)", plan)
+    assert wanted, re.findall("PartitionFilters: .{0,200}", plan)
+    assert len(wanted[1].split(",")) == 2
+    none = ivf.VectorIndex.build(e.limit(0), str(tmp_path / "none"))
+    assert none.rows().count() == 0 and none.search(q).count() == 0
+    few = ivf.VectorIndex.build(e.limit(1), str(tmp_path / "few"))
+    assert few.search(q, 3).count() == q.count()
+
+
+def test_approximate_search_of_a_collection(spark, sf, tmp_path):
+    """What was added, replaced and taken away after the index was built."""
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    records = e.select(F.col("vec_id").cast("string").alias("id"), F.lit("x").alias("document"), "embedding")
+    c = K.Collection(spark, str(tmp_path), "c")
+    c.add(records.filter("id < 400"))
+    q = e.filter("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    assert sorted(c.search(q, 5, approximate=True).collect()) == sorted(c.search(q, 5).collect())
+    index = c.build_index(lists=8)
+    c.add(records.filter("id >= 400"))
+    c.delete(ids=["0", "50"])
+    c.upsert(records.filter("id = 75").withColumn("embedding", F.transform("embedding", lambda x: -x)))
+    assert sorted(c.search(q, 5, approximate=True, probes=8).collect()) == sorted(c.search(q, 5).collect())
+    about = c.search(q, 5, approximate=True).join(c.search(q, 5).select("query_id", "id"), ["query_id", "id"]).count()
+    assert about >= 0.85 * 5 * q.count() and index.about["rows"] == 400
+    c.compact()
+    assert c._indexed() is None and sorted(c.search(q, 5, approximate=True).collect()) == sorted(c.search(q, 5).collect())

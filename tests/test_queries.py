@@ -47,7 +47,9 @@ def test_plans(spark, sf):
         return df._jdf.queryExecution().executedPlan().toString()
 
     assert "WindowGroupLimit" in plan(QUERIES["knn_batch"](spark, sf))
-    assert "PushedFilters: [Or(Not(EqualTo(source" in plan(QUERIES["kb_delete_by_source"](spark, sf)) or "PushedFilters: [" in plan(QUERIES["kb_filter"](spark, sf))
+    kept = plan(QUERIES["kb_filter"](spark, sf))
+    assert "In(m_lang, [de,fr])" in kept and "GreaterThanOrEqual(m_n_chars,500.0)" in kept and "EqualTo(m_source,src1)" in kept
+    assert "LessThan(m_size,2000.0)" in plan(QUERIES["kb_filter_mixed"](spark, sf))
     assert "ReadSchema: struct<doc_id:bigint,source:string>" in plan(QUERIES["kb_stats"](spark, sf))
     assert "text:" not in plan(QUERIES["top_by_source"](spark, sf)).split("ReadSchema")[1]
     search = plan(QUERIES["hybrid_search"](spark, sf))

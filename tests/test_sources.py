@@ -143,6 +143,57 @@ def test_collection(spark, tmp_path):
     assert not c.reset() and c.reset(confirm=True) and c.count() == 0
 
 
+def test_upsert_takes_one_record_of_each_id(spark, tmp_path):
+    c = K.Collection(spark, str(tmp_path), "up", embed=pipeline.hashing_encoder(8))
+    new = spark.createDataFrame([("a", "z"), ("a", "y"), ("b", "x"), (None, "w")], "id string, document string")
+    c.upsert(new)
+    assert sorted((r["document"], len(r["embedding"])) for r in c.read().collect()) == [("w", 8), ("x", 8), ("y", 8)]
+    c.upsert(new.withColumn("document", F.concat("document", F.lit("!"))).filter("id is not null"))
+    got = {r["id"]: r["document"] for r in c.read().collect()}
+    assert got["a"] == "y!" and got["b"] == "x!" and len(got) == 3
+    c.upsert(spark.createDataFrame([("b", "v", {"k": None, "total_record_count": "9", "s": "1"})], "id string, document string, metadata map<string,string>"))
+    assert c.read().filter("id = 'b'").first()["metadata"] == {"s": "1"} and c.count() == 3
+    plain = K.Collection(spark, str(tmp_path), "plain")
+    plain.upsert(new)
+    assert plain.count() == 3 and plain.read().filter("embedding is not null").count() == 0
+
+
+META = [
+    ("a", {"page": "3", "ok": "true", "s": "x"}), ("b", {"page": "iv", "ok": "True"}), ("c", {"page": "3.0", "ok": "false"}), ("d", {"s": "3"}), ("e", {"page": "10", "s": "true"}),
+    ("f", {"page": "-2.5"}), ("g", {"page": ""}), ("h", {}), ("i", {"page": "4", "s": "xy"}),
+]
+FILTERS = {
+    "page = 3": ({"page": 3}, "ac"), "page in": ({"page": [3, 4, "iv"]}, "abci"), "page >= 2": ({"page": {"$gte": 2}}, "acei"), "page < 3.5": ({"page": {"$lt": 3.5}}, "acf"),
+    "page <> 3": ({"page": {"$ne": 3}}, "befgi"), "page not in": ({"page": {"$nin": [3, "iv"]}}, "efgi"), "ok": ({"ok": True}, "a"), "not ok": ({"ok": {"$ne": True}}, "bc"), "s text": ({"s": "x"}, "a"),
+    "s number": ({"s": 3}, "d"), "s > x": ({"s": {"$gt": "x"}}, "i"), "both": ({"$and": [{"page": {"$gt": 2, "$lt": 5}}, {"s": ["x", "xy"]}]}, "ai"), "either": ({"$or": [{"page": "iv"}, {"s": "3"}]}, "bd"),
+    "either typed": ({"$or": [{"page": {"$gt": 9}}, {"s": "x"}]}, "ae"), "none in": ({"page": []}, ""), "no filter": ({}, "abcdefghi"),
+}
+
+
+def test_filters_on_mixed_metadata(spark, tmp_path):
+    """With and without typed columns, and over folders of which only some have them."""
+    rows = [(i, i, None, m) for i, m in META]
+    plain, typed, mixed = (K.Collection(spark, str(tmp_path), n) for n in ("plain", "typed", "mixed"))
+    typed.columns = {"page": "double", "s": "string"}
+    plain.add(_records(spark, rows))
+    typed.add(_records(spark, rows))
+    mixed.add(_records(spark, rows[:4]))
+    mixed.columns = {"page": "double"}
+    mixed.add(_records(spark, rows[4:]))
+    assert typed.typed() == {"page": "double", "s": "string"} and mixed.typed() == plain.typed() == {}
+    for name, (f, want) in FILTERS.items():
+        for c in (plain, typed, mixed):
+            assert "".join(sorted(r["id"] for r in c.read(filters=f).collect())) == want, (name, c.name)
+    pushed = typed.read(filters={"page": {"$gte": 2}, "s": "x"})._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(m_page,2.0)" in pushed and "EqualTo(m_s,x)" in pushed
+    assert plain.frequent_keys() == {"page": "string"} and plain.frequent_keys(0.1)["s"] == "string"
+    mixed.compact({"page": "double"})
+    assert mixed.typed() == {"page": "double"} and "".join(sorted(r["id"] for r in mixed.read(filters={"page": 3}).collect())) == "ac"
+    assert typed.delete(filters={"page": {"$gt": 2}}) and "".join(sorted(r["id"] for r in typed.read().collect())) == "bdfgh"
+    with pytest.raises(ValueError):
+        K.Collection(spark, str(tmp_path), "x", columns={"page": "map"})
+
+
 def test_knowledge_base(spark, tmp_path):
     kb = K.KnowledgeBase(K.Collection(spark, str(tmp_path), "kb"), pipeline.hashing_encoder(16))
     docs = spark.createDataFrame([("a", "some text here. " * 60), ("b", "other words. " * 10)], "source string, text string").withColumn("doc_id", F.col("source"))
