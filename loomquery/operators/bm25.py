@@ -58,10 +58,12 @@ class Index:
 
     @classmethod
     def build(cls, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kind="words", stopwords: Iterable[str] = ()) -> Index:
+        """Texts are cut once: each document's counted tokens are saved, and all else is read from them."""
         toks = docs.select(F.col(id_col).alias("doc_id"), tokenize(text_col, kind, stopwords).alias("tokens"))
-        lengths = toks.select("doc_id", F.size("tokens").cast("long").alias("dl"))
-        postings = _counted(toks).select("doc_id", F.explode_outer("counts").alias("x")).select("doc_id", "x.token", "x.tf").filter("token is not null")
-        lexicon = toks.select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+        counted = save(_counted(toks).select("doc_id", F.size("tokens").cast("long").alias("dl"), "counts"), "counted")
+        lengths = counted.select("doc_id", "dl")
+        postings = counted.select("doc_id", F.explode("counts").alias("x")).select("doc_id", "x.token", "x.tf")
+        lexicon = postings.groupBy("token").agg(F.count("*").alias("df"))
         return cls(postings, lengths, lexicon, *_totals(lengths))
 
     def write(self, path: str) -> None:
@@ -123,9 +125,11 @@ def query_tokens(queries: DataFrame, kind="words") -> DataFrame:
 def _ranked(hits: DataFrame, q: DataFrame, lexicon: DataFrame, n: int, avgdl: float, k: int, idf_kind: str = "ratio", threshold: float | None = None, k1: float = K1, b: float = B) -> DataFrame:
     weight = F.col("qtf") * idf(n, F.col("df"), idf_kind) * F.col("tf") * (k1 + 1)
     part = weight / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(float(max(avgdl, 1.0)))))
-    raw = hits.join(lexicon, "token").join(sized(q), "token").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score_raw")).filter("score_raw > 0")
+    raw = hits.join(sized(lexicon.join(sized(q), "token")), "token").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score_raw")).filter("score_raw > 0")
     if threshold is not None:
-        raw = raw.withColumn("m", F.max("score_raw").over(Window.partitionBy("query_id"))).filter(F.col("score_raw") / F.col("m") >= threshold).drop("m")
+        raw = save(raw, "scored")
+        greatest = raw.groupBy(F.col("query_id").alias("_q")).agg(F.max("score_raw").alias("_m"))
+        raw = raw.join(sized(greatest), F.col("query_id") == F.col("_q")).filter(F.col("score_raw") / F.col("_m") >= threshold).drop("_q", "_m")
     best = top(raw, k, ["query_id"], F.col("score_raw").desc(), F.col("doc_id"))
     most = F.max("score_raw").over(Window.partitionBy("query_id"))
     return best.select("query_id", "doc_id", F.round(F.col("score_raw") / most, 6).alias("score"), "score_raw", "rank")

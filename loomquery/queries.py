@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from loomquery.functions import metrics as M
 from loomquery.functions import text as X
 from loomquery.functions import vector as V
-from loomquery.operators import bm25, dedup, evaluate, fusion, ivf, knn, rewrite, split
+from loomquery.operators import bm25, dedup, evaluate, fusion, ivf, knn, rewrite, segments, split
 from loomquery.plans import rag
 from loomquery.plans.tables import own_dir, top, with_group_size
 from loomquery.sources import collections as K
@@ -148,6 +148,30 @@ def bm25_relevant_terms(spark, sf_dir):
     return bm25.relevant_terms(index, "the thble unseenword of the", spark, 4).select("token", F.round("idf", 6).alias("idf"))
 
 
+def _segments(spark, sf_dir) -> segments.SegmentedIndex:
+    """All documents in three batches: one of them came with other texts first, another was deleted in between, and two are merged."""
+    docs, index = t(spark, sf_dir, "documents").select("doc_id", "text", "lang"), segments.SegmentedIndex(spark, f"{own_dir(spark)}/segments-{uuid.uuid4().hex}")
+    en, de, other = docs.filter("lang = 'en'"), docs.filter("lang = 'de'"), docs.filter("lang not in ('en', 'de') or lang is null")
+    for batch in (en, de.withColumn("text", F.reverse("text")), other):
+        index.add(batch)
+    index.delete(other.select("doc_id"))
+    index.add(de)
+    index.merge(below=en.count())
+    index.add(other)
+    return index
+
+
+@query(_bm25_sql(_BENCH))
+def segments_search(spark, sf_dir):
+    return _segments(spark, sf_dir).search(_bench(spark, sf_dir), 10)
+
+
+@query(f"""
+    select token, count(*) df from (select unnest(list_distinct({_tok("text")})) token from documents) group by token""")
+def segments_lexicon(spark, sf_dir):
+    return _segments(spark, sf_dir).lexicon()
+
+
 # Vector search ---------------------------------------------------------------------------------------------
 
 _DIST = {

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from loomquery.functions import text as X
 from loomquery.functions import vector as V
-from loomquery.operators import bm25, dedup, fusion, ivf, knn, rewrite, split
+from loomquery.operators import bm25, dedup, fusion, ivf, knn, rewrite, segments, split
 from loomquery.plans import llm, pipeline, rag, testsets
 from loomquery.plans.tables import global_scan, row_numbers, with_group_size
 from loomquery.queries import QUERIES
@@ -462,3 +462,64 @@ def test_approximate_search_of_a_collection(spark, sf, tmp_path):
     assert about >= 0.85 * 5 * q.count() and index.about["rows"] == 400
     c.compact()
     assert c._indexed() is None and sorted(c.search(q, 5, approximate=True).collect()) == sorted(c.search(q, 5).collect())
+
+
+def _same(a, b):
+    return sorted(tuple(r) for r in a.collect()) == sorted(tuple(r) for r in b.collect())
+
+
+def test_segments_equal_a_fresh_build(spark, tmp_path, monkeypatch):
+    """Additions, replacements, deletions and merges, with small shards, blocks and groups, against the search without an index."""
+    for name, value in (("SHARD", 25), ("QUERIES", 7), ("NAMED", 30)):
+        monkeypatch.setattr(segments, name, value)
+    monkeypatch.setattr(segments, "_BLOCKS", segments._BLOCKS.replace(str(segments.BLOCK), "4"))
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(80)]
+    text = lambda n: " ".join(rng.choices(vocabulary, weights=[1 / (i + 1) for i in range(80)], k=n))
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    state = {i: text(rng.choice([0, 1, 5, 40, 200])) for i in range(200)} | {i: "tie tie w1" for i in range(200, 230)} | {300: None, 301: " ", 302: "w0 " * 3000}
+    queries = spark.createDataFrame([(i, text(rng.randint(1, 25))) for i in range(30)] + [(90, "tie"), (91, "unknown"), (92, ""), (93, "w0 w0 w0 w70")], "query_id long, query string")
+    index = segments.SegmentedIndex(spark, str(tmp_path / "ix"))
+    assert index.search(queries).count() == 0 and index.lexicon().count() == 0 and index.totals() == (0, 0) and index.delete(frame([(1, "")])) == 0
+
+    def agrees(kinds=("ratio",)):
+        docs = frame(list(state.items()))
+        fresh = bm25.Index.build(docs)
+        assert _same(index.lexicon(), fresh.lexicon) and index.totals() == (fresh.n, fresh.avgdl)
+        for kind in kinds:
+            found, read = index.search_counted(queries, 7, kind)
+            assert _same(found, bm25.search(docs, queries, 7, idf_kind=kind))
+            assert read.filter("blocks_read > blocks or blocks_read < 1").count() == 0
+        assert _same(index.search(queries, 9, threshold=0.4), bm25.search(docs, queries, 9, threshold=0.4))
+
+    everything = dict(state)
+    for part in range(3):
+        index.add(frame([(i, t) for i, t in everything.items() if i % 3 == part]))
+    agrees(("ratio", "okapi"))
+    gone = [i for i in state if i % 7 == 0]
+    assert index.delete(frame([(i, None) for i in [*gone, 5555]])) == len(gone)
+    state = {i: t for i, t in state.items() if i % 7}
+    agrees()
+    changed = {i: text(30) for i in (1, 2, 14, 200)}
+    assert index.add(frame([*changed.items(), *changed.items()])) == 4
+    state |= changed
+    agrees()
+    assert index.merge(below=78) == 2 and len(index.about()["segments"]) == 3 and index.about()["gone"]
+    agrees()
+    assert index.merge() == 3 and not index.about()["gone"] and len(index.about()["segments"]) == 1 and index.merge() == 0
+    agrees(("okapi",))
+    assert segments.SegmentedIndex(spark, str(tmp_path / "ix")).totals()[0] == len(state) and index.terms().count() == index.lexicon().count()
+    assert index.clear() and not index.about()["segments"]
+
+
+def test_less_than_half_of_the_blocks_are_read(spark, sf, tmp_path):
+    """At sf0.1, for whole benchmark texts; and only the files' parts that hold the queries' tokens."""
+    where = sf.replace("0.001", "0.1")
+    queries = spark.read.parquet(f"{where}/benchmark.parquet").selectExpr("item_id query_id", "text query").filter("query_id < 60")
+    index = segments.SegmentedIndex(spark, str(tmp_path / "ix"))
+    index.add(spark.read.parquet(f"{where}/documents.parquet"))
+    found, read = index.search_counted(queries, 10)
+    total = read.agg(F.sum("blocks").alias("all"), F.sum("blocks_read").alias("read")).first()
+    assert total["read"] < total["all"] / 2 and found.count() == 600
+    few = index._read("blocks").filter(F.col("token").isin(["the", "and"]))
+    assert "PushedFilters: [In(token" in few._jdf.queryExecution().executedPlan().toString() or "In(token, [and,the])" in few._jdf.queryExecution().executedPlan().toString()
