@@ -95,13 +95,40 @@ def sketched_pairs(vectors: DataFrame, threshold: float = 0.95, id_col: str = "v
     return found.groupBy("id_a", "id_b").agg(F.round(F.max("similarity"), 6).alias("similarity"))
 
 
-def by_embedding(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", pairs: Callable[..., DataFrame] = similar_pairs) -> DataFrame:
-    """``vectors`` without those similar to an earlier one that is kept (greedy in order of id).
+#: Pairs up to which greedy choices are made in one task; of a component, and of all pairs if they are no more.
+SETTLED = 1 << 20
+
+
+def _greedy(df: pd.DataFrame) -> pd.DataFrame:
+    """Of pairs (early, id): the ids that go, as an earlier neighbour is kept. Ids are looked at in ascending order."""
+    gone: set[int] = set()
+    for i, early in df.sort_values(["id", "early"])[["id", "early"]].groupby("id", sort=True)["early"]:
+        if any(e not in gone for e in early):
+            gone.add(int(i))
+    return pd.DataFrame({"id": sorted(gone)}, dtype="int64")
+
 
-    ``pairs`` finds the similar ones: ``similar_pairs`` or ``sketched_pairs``. Every round settles the vectors whose earlier neighbours are all settled: kept if none of them is kept.
-    Rounds are as many as the longest chain of similar vectors.
+def components(edges: DataFrame) -> DataFrame:
+    """(id, root) of every end of ``edges`` (early, id; saved): the smallest id that it is linked with.
+
+    Every round each id takes the least root of its neighbours, for itself and for the root that it had, and then its root's root:
+    roots get near by doubling, so rounds grow with the logarithm of the longest path.
     """
-    edges = save(pairs(vectors, threshold, id_col).select(F.col("id_a").alias("early"), F.col("id_b").alias("id")), "similar")
+    both = save(edges.select("id", F.col("early").alias("other")).unionByName(edges.select(F.col("early").alias("id"), F.col("id").alias("other"))).distinct(), "both")
+    state = save(both.groupBy("id").agg(F.least("id", F.min("other")).alias("root")), "roots")
+    while True:
+        near = both.join(state.withColumnsRenamed({"id": "other", "root": "r"}), "other").select("id", "r").join(state, "id").select("id", "root", F.least("r", "root").alias("r"))
+        told = near.select("id", "r").unionByName(near.select(F.col("root").alias("id"), "r")).groupBy("id").agg(F.min("r").alias("r"))
+        jumped = told.join(told.select(F.col("id").alias("r"), F.col("r").alias("root")), "r", "left").select("id", F.least("root", "r").alias("root"))
+        new = save(jumped, "roots")
+        same = new.join(state.withColumnRenamed("root", "old"), "id").filter("root <> old").isEmpty()
+        state = new
+        if same:
+            return state
+
+
+def _rounds(edges: DataFrame) -> DataFrame:
+    """The ids that go, by rounds: each settles the vectors whose earlier neighbours are all settled."""
     state = save(edges.select("id").distinct().withColumn("kept", F.lit(None).cast("boolean")), "greedy")
     while True:
         # an earlier vector without earlier neighbours of its own is kept from the start
@@ -110,5 +137,25 @@ def by_embedding(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
         seen = of_early.groupBy("id").agg(F.max(F.col("kept").cast("int")).alias("any"), F.sum(F.col("kept").isNull().cast("int")).alias("open"))
         new = save(seen.select("id", F.when(F.col("any") == 1, False).when(F.col("open") == 0, True).alias("kept")), "greedy", replaces=state)
         if new.filter("kept is null").isEmpty():
-            return vectors.join(new.filter("not kept").select(F.col("id").alias(id_col)), id_col, "left_anti")
+            return new.filter("not kept").select("id")
         state = new
+
+
+def by_embedding(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", pairs: Callable[..., DataFrame] = similar_pairs) -> DataFrame:
+    """``vectors`` without those similar to an earlier one that is kept (greedy in order of id).
+
+    ``pairs`` finds the similar ones: ``similar_pairs`` or ``sketched_pairs``. Vectors of different components don't touch each other's
+    choice: a component of up to SETTLED pairs is settled in one task (and all of them, if there are no more pairs than that); only
+    larger ones take rounds, as many as their longest chain.
+    """
+    edges = save(pairs(vectors, threshold, id_col).select(F.col("id_a").alias("early"), F.col("id_b").alias("id")), "similar")
+    ship(vectors.sparkSession)
+    if edges.count() <= SETTLED:
+        gone = edges.groupBy().applyInPandas(_greedy, "id long")
+    else:
+        rooted = save(edges.join(components(edges), "id"), "rooted")
+        large = save(rooted.groupBy("root").agg(F.count("*").alias("n")).filter(F.col("n") > SETTLED).select("root"), "large")
+        gone = rooted.join(sized(large), "root", "left_anti").groupBy("root").applyInPandas(_greedy, "id long")
+        if not large.isEmpty():
+            gone = gone.unionByName(_rounds(save(rooted.join(sized(large), "root", "left_semi").select("early", "id"), "chained")))
+    return vectors.join(gone.withColumnRenamed("id", id_col), id_col, "left_anti")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from loomquery.functions import text as X
 from loomquery.functions import vector as V
-from loomquery.operators import bm25, dedup, fusion, ivf, knn, rewrite, segments, split
+from loomquery.operators import bm25, dedup, fusion, ivf, knn, rewrite, segments, split, table_functions
 from loomquery.plans import llm, pipeline, rag, testsets
 from loomquery.plans.tables import global_scan, row_numbers, with_group_size
 from loomquery.queries import QUERIES
@@ -523,3 +523,59 @@ def test_less_than_half_of_the_blocks_are_read(spark, sf, tmp_path):
     assert total["read"] < total["all"] / 2 and found.count() == 600
     few = index._read("blocks").filter(F.col("token").isin(["the", "and"]))
     assert "PushedFilters: [In(token" in few._jdf.queryExecution().executedPlan().toString() or "In(token, [and,the])" in few._jdf.queryExecution().executedPlan().toString()
+
+
+def test_greedy_dedup_by_components(spark, monkeypatch):
+    """A chain of 5,000 in a few jobs; large and small components, whichever way they are settled, against a plain loop."""
+    rng = random.Random(3)
+    links = [(i, i + 1) for i in range(5000)] + [(10_000 + min(a, b), 10_000 + max(a, b)) for a, b in ((rng.randrange(400), rng.randrange(400)) for _ in range(300)) if a != b]
+    ids = sorted({x for p in links for x in p} | {99_999})
+    near = {}
+    for a, b in links:
+        near.setdefault(b, set()).add(a)
+    kept = set()
+    for i in ids:
+        if not near.get(i, set()) & kept:
+            kept.add(i)
+    vectors = spark.createDataFrame([(i,) for i in ids], "vec_id long")
+    found = lambda *_: spark.createDataFrame(links, "id_a long, id_b long")
+    spark.sparkContext.setJobGroup("chain", "chain")
+    got = {r["vec_id"] for r in dedup.by_embedding(vectors, pairs=found).collect()}
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("chain")
+    spark.sparkContext.setJobGroup("", "")
+    assert got == kept and 0 < len(jobs) < 10
+    parent = {i: i for i in ids}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links[5000:] + links[:60]:
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    some = spark.createDataFrame([(a, b) for a, b in links[5000:] + links[:60]], "early long, id long")
+    assert {r["id"]: r["root"] for r in dedup.components(some).collect()} == {i: root(i) for p in links[5000:] + links[:60] for i in p}
+    # small bounds: components one by one, the largest by rounds
+    monkeypatch.setattr(dedup, "SETTLED", 20)
+    small = lambda *_: some.withColumnsRenamed({"early": "id_a", "id": "id_b"})
+    picked = [i for i in ids if i <= 60 or i >= 10_000]
+    assert {r["vec_id"] for r in dedup.by_embedding(vectors.filter("vec_id <= 60 or vec_id >= 10000"), pairs=small).collect()} == kept & set(picked)
+
+
+def test_splitters_as_table_functions(spark, sf):
+    table_functions.register(spark)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    docs.unionByName(spark.createDataFrame([(-1, None), (-2, ""), (-3, "  ")], docs.schema)).createOrReplaceTempView("some_documents")
+    made = lambda call: spark.sql(f"select d.doc_id, c.* from some_documents d, lateral {call} c")
+    want = split.recursive(docs, 300, 30).select("doc_id", "chunk_index", "total_chunks", "text")
+    assert _same(made("split_text(d.text, 'recursive', 300, 30)"), want) and want.count() > 200
+    assert _same(made("split_text(d.text)"), split.recursive(docs).select("doc_id", "chunk_index", "total_chunks", "text"))
+    assert _same(made("split_text(text => d.text, kind => 'markdown', size => 400)").filter("doc_id >= 0"), split.markdown(docs, 400).select("doc_id", "chunk_index", "total_chunks", "text"))
+    family = made("split_text(d.text, 'parent_child', 1500, 150)")
+    assert family.columns == ["doc_id", "parent_index", "parent_content", "chunk_index", "total_chunks", "text"]
+    own = split.parent_child(docs, (1500, 150), (300, 30)).select("doc_id", "parent_index", "parent_content", "child_index", "text")
+    assert _same(family.drop("total_chunks"), own)
+    for call in ("split_text(d.text, 'other')", "split_text(d.text, 'recursive', 0)", "split_text(d.doc_id)", "split_text(d.text, 'recursive', cast(d.doc_id as int))"):
+        with pytest.raises(Exception, match="(?i)splitter|positive|string|constant"):
+            made(call).collect()

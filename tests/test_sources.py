@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loomquery.operators import evaluate
 from loomquery.plans import config, pipeline, report
 from loomquery.sources import collections as K
+from loomquery.sources import datasource
 from loomquery.sources import loaders, sinks
 from loomquery.streaming import ingest
 
@@ -108,6 +109,27 @@ def test_csv_rows_and_encodings(spark, tmp_path):
         assert loaders.csv(spark, f"{tmp_path}/e/x.csv", encoding=None).first()["text"] == "\n".join(f"{k}: {v}" for k, v in zip(*[x.split(",") for x in text.split()], strict=True))
 
 
+def test_office_data_source(spark, folder, monkeypatch):
+    """Spark's own reader gives what the loaders give; filters leave files out before they are opened."""
+    datasource.register(spark)
+    (folder / "sub" / "deep.DOCX").write_bytes(DOCX)
+    rows = lambda df: sorted((r["source"], r["file_name"], r["file_type"], r["text"], sorted(r["metadata"].items())) for r in df.collect())
+    flat = spark.read.format("office").option("recursive", "false").load(str(folder))
+    want = loaders.load_all(spark, [f"{folder}/{f}" for f in ("e.docx", "f.pptx", "g.docx")])
+    assert rows(flat) == rows(want) and flat.schema == want.schema
+    assert spark.read.format("office").load(str(folder)).count() == 4 and spark.read.format("office").load(f"{folder}/e.docx").first()["text"] == "First para\n\na | b"
+    monkeypatch.setattr(datasource, "PARTITION_BYTES", 1)
+    reader = datasource.OfficeReader({"path": str(folder)})
+    assert [len(p.paths) for p in reader.partitions()] == [1, 1, 1, 1]
+    few = spark.read.format("office").load(str(folder)).filter("file_type = 'pptx' and length(text) > 3")
+    assert rows(few) == rows(loaders.pptx(spark, f"{folder}/f.pptx"))
+    assert spark.read.format("office").load(str(folder)).filter("file_name in ('e.docx', 'g.docx') and source like '%e.docx'").count() == 1
+    kept = list(reader.pushFilters([datasource.EqualTo(("file_type",), "docx"), datasource.EqualTo(("text",), "x")]))
+    assert len(kept) == 1 and sorted(p.paths[0].rsplit("/", 1)[-1] for p in reader.partitions()) == ["deep.DOCX", "e.docx", "g.docx"]
+    with pytest.raises(Exception, match="path"):
+        spark.read.format("office").load().collect()
+
+
 def _records(spark, rows):
     return spark.createDataFrame(rows, K.RECORD)
 
