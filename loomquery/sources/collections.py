@@ -193,13 +193,15 @@ class Collection:
         found = pairs.agg(F.count("*").alias("n"), number).filter(F.col("n") >= least).collect()
         return {r["k"]: "double" if r["number"] else "string" for r in sorted(found, key=lambda r: r["k"])}
 
-    def _commit(self, data: DataFrame | None = None, gone: DataFrame | None = None, alone: bool = False) -> DataFrame | None:
+    def _commit(self, data: DataFrame | None = None, gone: DataFrame | None = None, alone: bool = False, once: tuple[str, int] | None = None) -> DataFrame | None:
         """Write a version; what was added, read back."""
         have, folders = self.versions(), self._folders()
         n = have[-1] + 1 if have else 0
         folder = f"{n:010d}-{uuid.uuid4().hex}"
         if alone:
-            folders = {"data": [], "gone": []}
+            folders = {**folders, "data": [], "gone": [], "typed": {}}
+        if once:
+            folders["streams"] = {**folders.get("streams", {}), once[0]: once[1]}
         typed = [F.try_element_at(F.col("metadata"), F.lit(k)).try_cast(v).alias(f"m_{k}") for k, v in self.columns.items()]
         if data is not None:
             folders["typed"] = {**folders.get("typed", {}), folder: self.columns}
@@ -230,10 +232,16 @@ class Collection:
         out = out if "metadata" in have else out.withColumn("metadata", F.create_map().cast("map<string,string>"))
         return stored(out.withColumn("metadata", F.coalesce("metadata", F.create_map().cast("map<string,string>")))).select("id", "document", "embedding", "metadata")
 
-    def upsert(self, records: DataFrame) -> None:
-        """Add records, each in place of the one that has its id, if any; of several with one id the first (``one_by_id``) stays."""
+    def upsert(self, records: DataFrame, once: tuple[str, int] | None = None) -> bool:
+        """Add records, each in place of the one that has its id, if any; of several with one id the first (``one_by_id``) stays.
+
+        ``once`` names a stream and the number of its batch: a batch that a version has already, or a later one, changes nothing (False).
+        """
+        if once and self._folders().get("streams", {}).get(once[0], -1) >= once[1]:
+            return False
         new = save(one_by_id(self._complete(records)), "upsert")
-        self._commit(new, new.select("id"))
+        self._commit(new, new.select("id"), once=once)
+        return True
 
     def update(self, records: DataFrame) -> None:
         """Replace records that exist; others are ignored."""

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from loomquery.functions import text as X
 from loomquery.functions import vector as V
-from loomquery.operators import bm25, dedup, fusion, ivf, knn, rewrite, segments, split, table_functions
+from loomquery.operators import bm25, dedup, evaluate, fusion, ivf, knn, rewrite, segments, split, table_functions
 from loomquery.plans import llm, pipeline, rag, testsets
 from loomquery.plans.tables import global_scan, row_numbers, with_group_size
 from loomquery.queries import QUERIES
@@ -579,3 +579,37 @@ def test_splitters_as_table_functions(spark, sf):
     for call in ("split_text(d.text, 'other')", "split_text(d.text, 'recursive', 0)", "split_text(d.doc_id)", "split_text(d.text, 'recursive', cast(d.doc_id as int))"):
         with pytest.raises(Exception, match="(?i)splitter|positive|string|constant"):
             made(call).collect()
+
+
+def test_quantile_sketches_merge(spark):
+    """Stored by run and merged, against exact ranks; a sketch of a few scores is exact."""
+    rng = random.Random(2)
+    rows = [(run, m, round(rng.random() ** 2, 4)) for run in range(5) for m in ("a", "b") for _ in range(4000 * (run + 1))] + [(0, "few", x / 10) for x in range(10)] + [(1, "few", None)]
+    df = spark.createDataFrame(rows, "run int, metric_name string, score double")
+    stored = evaluate.sketches(df, ("run", "metric_name"))
+    at = (0.01, 0.25, 0.5, 0.75, 0.9)
+    for r in evaluate.quantiles(evaluate.merged(stored), at).collect():
+        own = sorted(x[2] for x in rows if x[1] == r["metric_name"] and x[2] is not None)
+        assert r["n"] == len(own)
+        for q in at:
+            v = r[f"p{round(100 * q):02d}"]
+            low, high = sum(x < v for x in own) / len(own), sum(x <= v for x in own) / len(own)
+            assert low - 0.015 <= q <= high + 0.015 or len(own) == 10 and v in own
+    assert stored.count() == 11 and evaluate.quantiles(stored).columns == ["run", "metric_name", "n", "p25", "p50", "p75"]
+    one = evaluate.distribution(df.filter("score is not null")).select("metric_name", "p50").collect()
+    assert all(abs(r["p50"] - {s["metric_name"]: s["p50"] for s in evaluate.quantiles(evaluate.merged(stored)).collect()}[r["metric_name"]]) < 0.12 for r in one)
+
+
+def test_metrics_cut_once_equal_each_alone(spark):
+    from loomquery.functions import metrics
+
+    rows = [("q a b", "a b. c d! e", "a z", ["a b c", "q"]), ("", "", "", []), (None, "a", "b", ["x"]), ("q", None, "g", None), ("q q r", "R. q", "r s t", ["r s", "", "q r t"]), ("a", "b", None, ["a", None])]
+    df = spark.createDataFrame(rows, "question string, answer string, ground_truth string, contexts array<string>")
+    metrics.register("own", lambda q, a: F.length(q) + F.length(a), ("question", "answer"))
+    try:
+        names = list(metrics.REGISTRY)
+        got = evaluate.evaluate(df)
+        assert got.columns == [*df.columns, *names] and "own" in names
+        assert got.collect() == df.withColumns({m: F.round(metrics.metric(m), 6) for m in names}).collect()
+    finally:
+        del metrics.REGISTRY["own"]

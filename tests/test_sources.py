@@ -288,3 +288,32 @@ def test_settings(monkeypatch):
     monkeypatch.setenv("LQ_X", "7")
     assert config.resolve({"a": ["${LQ_X}", "${LQ_UNSET}"]}) == {"a": ["7", "${LQ_UNSET}"]}
     assert config.Settings().retrieval.rrf_k == 60
+
+
+def test_a_collection_follows_a_stream(spark, tmp_path):
+    """Inserts, updates and nothing; a batch run again and a restart change nothing."""
+    c = K.Collection(spark, str(tmp_path), "followed")
+    (tmp_path / "in").mkdir()
+    stamp = iter(range(1, 100))
+
+    def land(*rows):
+        n = next(stamp)
+        (tmp_path / "in" / f"{n}.json").write_text("".join(json.dumps({"id": i, "text": t, "arrived": f"2024-01-01T00:00:{n + k:02}"}) + "\n" for k, (i, t) in enumerate(rows)))
+
+    def run():
+        stream = spark.readStream.schema("id string, text string, arrived timestamp").json(str(tmp_path / "in"))
+        ingest.follow(stream, c, str(tmp_path / "checkpoint")).awaitTermination()
+        return {r["id"]: (r["document"], r["metadata"].get("change")) for r in c.read().collect()}
+
+    land(("a", "one"), ("b", "two"), ("a", "three"), (None, "x"), ("n", None))
+    assert run() == {"a": ("three", "insert"), "b": ("two", "insert"), "n": ("", "insert")}
+    land(("b", "two"), ("c", "four"))
+    land(("a", "five"))
+    assert run() == {"a": ("five", "update"), "b": ("two", "insert"), "c": ("four", "insert"), "n": ("", "insert")}
+    versions = c.versions()
+    assert run()["a"] == ("five", "update") and c.versions() == versions
+    last = c._folders()["streams"]["landing"]
+    again = spark.createDataFrame([("a", "replayed")], "id string, document string")
+    assert not c.upsert(again, once=("landing", last)) and not c.upsert(again, once=("landing", 0)) and c.versions() == versions
+    c.compact()
+    assert not c.upsert(again, once=("landing", last)) and c.upsert(again, once=("landing", last + 1)) and run()["b"] == ("two", "insert")
