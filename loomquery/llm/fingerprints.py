@@ -3,7 +3,8 @@
 Terms are lower-cased words; a word of n characters weighs max(1, min(n, 12) - 2) squared, so that the
 short common words of a language hardly count. Every term's 64-bit hash votes with its weight for or
 against each bit; a bit is set if the votes for it outweigh those against. Votes are summed two bits to a
-long (32 bits each, enough for texts of 250 MB), sixteen bits to a row of the hash aggregate.
+long (32 bits each, enough for texts of 250 MB; a text with more weight than that raises), sixteen bits to a row of
+the hash aggregate.
 
 Fingerprints within ``RADIUS`` bits are found by permuted block tables: one table for each choice of
 blocks, keyed by the chosen blocks' bits and joined on the key, then verified (neardup.links, which has the
@@ -17,8 +18,8 @@ key is used twice, and the votes are summed where that join leaves the rows, wit
 
 Defined results: null text is the empty text, with n_chars 0 and fingerprint zero. Order is by doc_id, nulls
 last, then by text hash. Rows with the same doc_id and text are one document in that order and get equal
-rows. A single document is its own successor. A text is at most 250 MB long. Only id and text are read,
-whatever other columns there are. Empty tables give no rows.
+rows. A single document is its own successor. A text whose terms weigh 2 ** 32 or more (250 MB at least) raises an
+error. Only id and text are read, whatever other columns there are. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ RADIUS = 4
 
 
 GROUPS, LANES = 4, 8
+#: Weight that the sums of a text's votes hold.
+MOST = 1 << 32
 
 
 def _votes() -> list[Column]:
@@ -48,7 +51,8 @@ def _bits() -> Column:
     half = F.lit(0xFFFFFFFF)
     low = [F.shiftleft((F.col(f"v{j}").bitwiseAND(half) > F.col("all") / 2).cast("long"), j) for j in range(LANES)]
     high = [F.shiftleft((F.shiftrightunsigned(f"v{j}", 32) > F.col("all") / 2).cast("long"), j + 32) for j in range(LANES)]
-    return F.coalesce(reduce(lambda a, b: a.bitwiseOR(b), [*low, *high]), F.lit(0).cast("long"))
+    bits = F.coalesce(reduce(lambda a, b: a.bitwiseOR(b), [*low, *high]), F.lit(0).cast("long"))
+    return F.when(F.col("all") >= MOST, F.raise_error(F.lit("a text is too long to be fingerprinted")).cast("long")).otherwise(bits)
 
 
 def simhash(texts: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:

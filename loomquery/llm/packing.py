@@ -13,7 +13,8 @@ two. BLOCK_TOKENS and BLOCK_DOCS bound a task's memory and so what is balanced t
 Packing runs where the text is read: no shuffle, and a task holds one block at a time. A lost task is run
 again on the same input split and gives the same pieces; sequence ids hold the partition number.
 
-Defined results: null text is empty and gives the end id alone. Repeated rows are packed each on its own.
+Defined results: null text is empty and gives the end id alone. Documents of one length go in the order in which
+they are read; of sequences of one cost the first is taken. Repeated rows are packed each on its own.
 Very long texts are taken whole. Ids keep their type. Only id and text are read, whatever other columns there
 are. Empty tables give no rows.
 

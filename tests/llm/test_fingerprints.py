@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -78,3 +79,11 @@ def test_links_of_a_cloud_are_counted(spark):
     want = {fp: sum(near(fp, other) for _, other in rows) - 1 for _, fp in rows}
     for hot in (fingerprints.HOT, 100, 8):
         assert {r["fp"]: r["n_links"] for r in fingerprints.near_groups(fps, hot=hot).collect()} == want
+
+
+def test_a_text_beyond_the_sums_raises(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "MOST", 1000)
+    short, long = (spark.createDataFrame([(1, t)], "doc_id long, text string") for t in ("few words here", "somewhat-longer-words " * 11))
+    assert fingerprints.simhash(short, ["doc_id"]).count() == 1 and fingerprints.simhash(short, ["doc_id"]).first()["fp"] is not None
+    with pytest.raises(Exception, match="too long"):
+        fingerprints.simhash(long, ["doc_id"]).collect()

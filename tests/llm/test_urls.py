@@ -120,3 +120,9 @@ def test_trees_match_brute_force(spark, sf):
     told = urls._binned(learned, model.rates, model.prior, own_fold=True).withColumn("odds", model.odds).collect()
     want = boosted([(tuple(r[f"b_{k}"] for k in urls.NAMES), r["label"]) for r in told])
     assert max(abs(r["odds"] - w) for r, w in zip(told, want, strict=True)) < 1e-6 and len({round(w, 6) for w in want}) > 5
+
+
+def test_a_score_of_one_half_allows(spark, sf, monkeypatch):
+    monkeypatch.setattr(urls, "boost", lambda *_: F.lit(0.0))
+    got = urls.judge(spark.read.parquet(f"{sf}/pages.parquet")).filter("rule is null")
+    assert got.count() and got.filter("block_score = 0.5 and verdict = 'allow'").count() == got.count()
