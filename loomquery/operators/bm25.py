@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -39,6 +41,35 @@ def tokenize(c: str | Column, kind: str | Callable[[Column], Column] = "words",
     return F.filter(parts, lambda x: ~x.isin(stop)) if stop else parts
 
 
+def segmenter(words: Iterable[str]) -> Callable[[Column], Column]:
+    """A tokenizer that cuts scripts without spaces by a word list: at each place the longest word that fits, else one character.
+
+    Runs of Latin letters and digits are tokens as they are written, case kept. For ``tokenize(..., kind=segmenter(words))``.
+    """
+    known = frozenset(words)
+    longest = max(map(len, known), default=1)
+    run = re.compile(r"[0-9A-Za-z\u00c0-\u024f]+|\w|\s+|.", re.S)
+
+    def cut(text: str) -> list[str]:
+        out, at = [], 0
+        while at < len(text):
+            plain = run.match(text, at)[0]
+            if len(plain) > 1 or plain.isspace():
+                out.append(plain)
+                at += len(plain)
+                continue
+            word = next((text[at : at + n] for n in range(min(longest, len(text) - at), 1, -1) if text[at : at + n] in known), text[at])
+            out.append(word)
+            at += len(word)
+        return [w for w in out if any(c.isalnum() for c in w)]
+
+    @F.pandas_udf("array<string>")
+    def tokens(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: cut(t or ""))
+
+    return lambda c: tokens(c)
+
+
 def idf(n: Column | int, df: Column, kind: str = "ratio") -> Column:
     """``ratio``: max(0, (n - df + 0.5) / (df + 0.5)); ``okapi``: ln(1 + that ratio)."""
     n = n if isinstance(n, Column) else F.lit(n)

@@ -159,25 +159,39 @@ def create(name: str = "extractive", **options) -> Client:
     return PROVIDERS[name](**options)
 
 
-def within(call: Callable[[], str], seconds: float | None) -> str | None:
-    """The call's result; null if it fails or takes longer (a call that runs on is left to its own timeout)."""
-    if seconds is None:
-        try:
-            return call()
-        except Exception:  # noqa: BLE001  the plan falls back on null
-            return None
-    got: list[str | None] = [None]
+class Slots:
+    """Calls with a time limit on at most ``n`` threads.
 
-    def run() -> None:
-        try:
-            got[0] = call()
-        except Exception:  # noqa: BLE001
-            got[0] = None
+    A call that outlives its limit keeps its slot until it ends by its client's own timeout; while all slots are taken, a call waits for
+    one as long as its own limit and then gives up. So a slow service holds ``n`` threads of a task, never more.
+    """
 
-    t = threading.Thread(target=run, daemon=True)
-    t.start()
-    t.join(seconds)
-    return None if t.is_alive() else got[0]
+    def __init__(self, n: int = 8):
+        self.free = threading.BoundedSemaphore(n)
+
+    def within(self, call: Callable[[], str], seconds: float | None) -> str | None:
+        """The call's result; null if it fails or takes longer."""
+        got: list[str | None] = [None]
+
+        def run(release: bool) -> None:
+            try:
+                got[0] = call()
+            except Exception:  # noqa: BLE001  the plan falls back on null
+                got[0] = None
+            finally:
+                if release:
+                    self.free.release()
+
+        if seconds is None:
+            run(False)
+            return got[0]
+        began = time.monotonic()
+        if not self.free.acquire(timeout=seconds):
+            return None
+        t = threading.Thread(target=run, args=(True,), daemon=True)
+        t.start()
+        t.join(max(0.0, seconds - (time.monotonic() - began)))
+        return None if t.is_alive() else got[0]
 
 
 def complete(df: DataFrame, factory: Callable[[], Client], prompt_col: str = "prompt", out_col: str = "reply", timeout: float | None = None) -> DataFrame:
@@ -189,9 +203,9 @@ def complete(df: DataFrame, factory: Callable[[], Client], prompt_col: str = "pr
     schema = T.StructType([*df.schema.fields, T.StructField(out_col, T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        client = factory()
+        client, slots = factory(), Slots()
         for b in batches:
-            replies = {p: within(lambda p=p: client.invoke(p), timeout) for p in b[prompt_col].dropna().unique()}
+            replies = {p: slots.within(lambda p=p: client.invoke(p), timeout) for p in b[prompt_col].dropna().unique()}
             yield b.assign(**{out_col: b[prompt_col].map(replies).astype(object).where(lambda x: x.notna(), None)})
 
     return df.mapInPandas(run, schema)

@@ -49,6 +49,11 @@ def summary_prompt(text: Column) -> Column:
     return F.concat(F.lit("Summarise:\n\n"), truncate_context(text))
 
 
+def search_prompt(query: Column) -> Column:
+    """Asks for what a hybrid search needs of a question: keywords for one leg, a sentence for the other."""
+    return F.concat(F.lit("Prepare a search. On the first line give the question's keywords, on the second a sentence that an answer would hold.\n\nQuestion: "), query)
+
+
 def condense_prompt(question: Column, history: Column) -> Column:
     return F.concat(F.lit("Restate the last question so that it stands alone.\n\n"), F.coalesce(history, F.lit("无")), F.lit("\n\nQuestion: "), question)
 

@@ -851,14 +851,16 @@ def ingest_counts(spark, sf_dir):
 
 # Query rewriting -------------------------------------------------------------------------------------------
 
-# benchmark texts as statements, short ones, questions and alternatives
-_ASKED = "select item_id query_id, case item_id % 5 when 0 then text when 1 then substring(text, 1, 12) || '?' when 2 then text || '吗' when 3 then substring(text, 1, 9) || '呢或' else substring(text, 1, 30) end query from benchmark"
+
+_SHORT = [(-1, "short statement"), (-2, "what is it?"), (-3, "这是什么或那是什么"), (-4, "a statement of over thirty characters, which is specific"), (-5, "这是谁呢")]
+_ASKED = "select item_id query_id, case item_id % 4 when 0 then text when 1 then text || '?' when 2 then text || '吗' else text || '呢或' end query from benchmark union all select * from (values " + ", ".join(map(str, _SHORT)) + ")"
 
 
 def _asked(spark, sf_dir):
-    kind, text = F.col("item_id") % 5, F.col("text")
-    query = F.when(kind == 0, text).when(kind == 1, F.concat(F.substring(text, 1, 12), F.lit("?"))).when(kind == 2, F.concat(text, F.lit("吗"))).when(kind == 3, F.concat(F.substring(text, 1, 9), F.lit("呢或"))).otherwise(F.substring(text, 1, 30))
-    return t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), query.alias("query"))
+    """Whole benchmark texts as statements, questions and alternatives, and a few short ones."""
+    kind, text = F.col("item_id") % 4, F.col("text")
+    query = F.when(kind == 0, text).when(kind == 1, F.concat(text, F.lit("?"))).when(kind == 2, F.concat(text, F.lit("吗"))).otherwise(F.concat(text, F.lit("呢或")))
+    return t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), query.alias("query")).unionByName(spark.createDataFrame(_SHORT, "query_id long, query string"))
 
 
 @query(f"""

@@ -255,6 +255,10 @@ class Collection:
         self._commit(gone=chosen.select("id"))
         return True
 
+    def remove(self, ids: DataFrame) -> None:
+        """Take the records with these ids (id) away, however many."""
+        self._commit(gone=self.read().join(sized(ids.select("id").distinct()), "id", "left_semi").select("id"))
+
     def compact(self, columns: dict[str, str] | None = None) -> None:
         """All records in one folder, as a new version, with the typed ``columns`` if given; older versions stay readable."""
         self.columns = self.columns if columns is None else columns

@@ -46,7 +46,14 @@ def _metadata(**values: Column) -> Column:
     return F.map_filter(pairs, lambda _, v: v.isNotNull())
 
 
+def _undecoded(text: str = "text") -> Column:
+    """What is wrong with a text that was read: bytes that are no UTF-8, or what a reader puts for bytes that it can't decode."""
+    return F.when(~F.is_valid_utf8(F.col(text)), F.lit("not valid UTF-8")).when(F.contains(F.col(text), F.lit("\ufffd")), F.lit("characters that its encoding lacks"))
+
+
 def _done(df: DataFrame, **metadata: Column) -> DataFrame:
+    """The columns of a document; a text that couldn't be decoded has ``error`` among its metadata, as files of other kinds do."""
+    metadata.setdefault("error", _undecoded())
     return df.select("source", "file_name", "file_type", "text", _metadata(**metadata).alias("metadata"))
 
 
@@ -299,6 +306,11 @@ def load(spark: SparkSession, path: str, **options) -> DataFrame:
     return READERS[_suffix(path)](spark, path, **options)
 
 
+def errors(docs: DataFrame) -> DataFrame:
+    """(source, error): what went wrong, by file, once for each file and kind of trouble."""
+    return docs.select("source", F.try_element_at("metadata", F.lit("error")).alias("error")).filter("error is not null").distinct()
+
+
 def load_all(spark: SparkSession, paths: list[str], on_error: Callable[[str, Exception], None] | None = None) -> DataFrame:
     """Files of any kinds in one plan: a read for each suffix.
 

@@ -13,8 +13,14 @@ def testset(samples: DataFrame, path: str) -> None:
     samples.write.mode("overwrite").json(path)
 
 
-def testset_file(samples: DataFrame, path: str) -> None:
-    """One JSON array in one file. For test sets: their size is a parameter of the generation."""
+#: Samples that one file takes; larger sets are written by ``testset``.
+MOST_SAMPLES = 100_000
+
+
+def testset_file(samples: DataFrame, path: str, most: int = MOST_SAMPLES) -> None:
+    """One JSON array in one file, made by one task. For test sets: their size is a parameter of the generation, and checked here."""
+    if samples.limit(most + 1).count() > most:
+        raise ValueError(f"over {most} samples; write them with testset()")
     row = F.to_json(F.struct(*samples.columns), {"ignoreNullFields": "false"})
     body = samples.agg(F.concat(F.lit("["), F.array_join(F.collect_list(row), ",\n"), F.lit("]")).alias("value"))
     body.coalesce(1).write.mode("overwrite").text(path)

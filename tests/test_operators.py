@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from loomquery.functions import text as X
 from loomquery.functions import vector as V
-from loomquery.operators import bm25, dedup, evaluate, fusion, ivf, knn, rewrite, segments, split, table_functions
+from loomquery.operators import bm25, dedup, evaluate, fusion, ivf, knn, retriever, rewrite, segments, split, table_functions
 from loomquery.plans import llm, pipeline, rag, testsets
 from loomquery.plans.tables import global_scan, row_numbers, with_group_size
 from loomquery.queries import QUERIES
@@ -613,3 +613,58 @@ def test_metrics_cut_once_equal_each_alone(spark):
         assert got.collect() == df.withColumns({m: F.round(metrics.metric(m), 6) for m in names}).collect()
     finally:
         del metrics.REGISTRY["own"]
+
+
+def test_retrievers_tell_what_happened(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").filter("doc_id < 120")
+    queries = spark.read.parquet(f"{sf}/benchmark.parquet").selectExpr("item_id query_id", "text query").filter("query_id < 6")
+    word = retriever.Keyword(segments.SegmentedIndex(spark, str(tmp_path / "seg")), docs.limit(0))
+    near = retriever.Semantic(K.Collection(spark, str(tmp_path), "col", embed=pipeline.hashing_encoder(32)))
+    both = retriever.Fused([word, near], k=4)
+    assert both.add(docs.filter("doc_id < 60")) == 60 and both.add(docs.filter("doc_id >= 60")) == 60
+    near.collection.build_index(lists=4)
+    for one in (word, near, both):
+        got = one.retrieve(queries)
+        assert not got.failed and got.notes["retriever"] == one.name and got.notes["results"] == got.results.count() > 0 and got.notes["seconds"] >= 0
+        assert got.results.columns == ["query_id", "doc_id", "content", "score", "rank"]
+        assert got.results.groupBy("query_id").agg(F.max("rank").alias("r")).filter(F.col("r") > one.k).count() == 0
+        texts = {str(r["doc_id"]): r["text"] for r in docs.collect()}
+        assert all(texts[r["doc_id"]] == r["content"] for r in got.results.collect())
+    assert {x["retriever"] for x in both.retrieve(queries).notes["legs"]} == {"keyword", "semantic"} and near.stats()["indexed"] and word.stats()["segments"] == 2
+    want = bm25.search(docs, queries, 5, idf_kind="okapi").select("query_id", F.col("doc_id").cast("string").alias("doc_id"), "rank")
+    assert _same(word.retrieve(queries).results.select("query_id", "doc_id", "rank").filter("rank = 1"), want.filter("rank = 1"))
+    # a failing leg is noted, the other one goes on; a threshold and a filter are too
+    filtered = both.retrieve(queries, filters={"source": "nowhere"})
+    assert not filtered.failed and "no metadata" in filtered.notes["legs"][0]["error"] and filtered.results.count() == 0
+    alone = word.retrieve(queries, filters={"source": "x"})
+    assert alone.failed and alone.results.count() == 0 and alone.notes["results"] == 0
+    assert "lack" in near.retrieve(queries.drop("query_id")).error and retriever.Retriever(spark).retrieve(queries).failed
+    assert near.retrieve(queries, threshold=2.0).results.count() == 0
+    gone = docs.filter("doc_id < 30").select("doc_id")
+    assert both.delete(gone) == 30 and word.stats()["documents"] == 90 == near.stats()["documents"]
+    assert not {r["doc_id"] for r in both.retrieve(queries, 50).results.collect()} & {str(i) for i in range(30)}
+
+
+def test_segmenter(spark):
+    kind = bm25.segmenter(["中文", "分词", "中文分词", "知识库"])
+    rows = [("中文分词 in Apache Spark4 的知识库。", ["中文分词", "in", "Apache", "Spark4", "的", "知识库"]), ("", []), (None, []), ("中文词 a-B", ["中文", "词", "a", "B"])]
+    df = spark.createDataFrame(rows, "text string, want array<string>")
+    assert df.withColumn("got", bm25.tokenize("text", kind)).filter("got <> want").count() == 0
+    found = bm25.search(df.withColumn("doc_id", F.monotonically_increasing_id()), spark.createDataFrame([(1, "知识库 Apache")], "query_id long, query string"), tokenizer=kind, idf_kind="okapi")
+    assert found.count() == 1
+
+
+def test_slow_calls_hold_few_threads():
+    slots, running, most = llm.Slots(2), [0], [0]
+
+    def slow():
+        running[0] += 1
+        most[0] = max(most[0], running[0])
+        time.sleep(0.6)
+        running[0] -= 1
+        return "late"
+
+    began = time.monotonic()
+    assert [slots.within(slow, 0.1) for _ in range(5)] == [None] * 5 and most[0] <= 2 and time.monotonic() - began < 2
+    time.sleep(0.8)
+    assert slots.within(lambda: "soon", 1.0) == "soon" and slots.within(lambda: 1 / 0, 1.0) is None and slots.within(lambda: "now", None) == "now" and slots.within(lambda: 1 / 0, None) is None

@@ -130,6 +130,23 @@ def test_office_data_source(spark, folder, monkeypatch):
         spark.read.format("office").load().collect()
 
 
+def test_errors_by_file(spark, folder):
+    """Bytes that are no text are told of for text and CSV files as for others."""
+    (folder / "bad.txt").write_bytes(b"fine \xff\xfe line")
+    (folder / "bad.csv").write_bytes(b"a,b\n1,\xff\n2,x\n")
+    (folder / "bad.py").write_bytes(b"x = '\xe9'\n")
+    docs = loaders.load_all(spark, [f"{folder}/{f}" for f in ("bad.txt", "bad.csv", "bad.py", "a.md", "c.py", "d.csv", "e.docx", "g.docx")])
+    told = {r["source"].rsplit("/", 1)[-1]: r["error"] for r in loaders.errors(docs).collect()}
+    assert set(told) == {"bad.txt", "bad.csv", "bad.py", "g.docx"} and "UTF-8" in told["bad.txt"] and "encoding" in told["bad.csv"]
+
+
+def test_a_test_set_in_one_file_is_bounded(spark, tmp_path):
+    rows = spark.range(5).selectExpr("cast(id as string) question")
+    sinks.testset_file(rows, str(tmp_path / "t"))
+    with pytest.raises(ValueError, match="over 4"):
+        sinks.testset_file(rows, str(tmp_path / "u"), most=4)
+
+
 def _records(spark, rows):
     return spark.createDataFrame(rows, K.RECORD)
 
