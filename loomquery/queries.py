@@ -597,22 +597,60 @@ def split_headers(spark, sf_dir):
     return split.headers(t(spark, sf_dir, "documents").select("doc_id", md.alias("text"))).withColumn("path", F.array_join("path", " > "))
 
 
-@query()
+def _split_sql(source: str, size: int, overlap: int, name: str = "x") -> str:
+    """CTEs of the recursive split of ``source`` (id, text): ``name`` (id, chunk_index, total_chunks, text).
+
+    A level for each separator. Of each open part, pieces with their separator; a fold over their lengths that gives windows as
+    ranges of pieces (s: where the held window starts) and pieces that are too long, which are open for the next level.
+    """
+    window, none = "{'a': h.s, 'b': x.i - 1, 'open': false}", "[]::struct(a bigint, b bigint, open boolean)[]"
+    held = f"list_append(h.w, {window})"
+    out = [f"{name}0 as (select id, [0] ord, text, true open from ({source}) where text <> '')"]
+    for k, sep in enumerate(split.SEPARATORS):
+        full = f"h.s < x.i and c[x.i] - c[h.s] + x.n > {size}"
+        text = "array_to_string(p[v.a : v.b], '')"
+        out.append(rf"""{name}p{k} as (select id, ord, regexp_extract_all(text, '(?s:.*?(?:{sep}))|(?s:.+)') p from {name}{k} where open),
+    {name}l{k} as (select *, list_transform(p, lambda q: length(q)) l, list_transform(range(0, len(p) + 1), lambda i: coalesce(list_sum(list_transform(p[1:i], lambda q: length(q))), 0)::bigint) c from {name}p{k}),
+    {name}f{k} as (select *, list_reduce(list_prepend({{'i': 0::bigint, 'n': 0::bigint, 's': 1::bigint, 'w': {none}}}, list_transform(l, lambda n, i: {{'i': i::bigint, 'n': n::bigint, 's': 0::bigint, 'w': {none}}})),
+      lambda h, x: {{'i': x.i, 'n': x.n,
+        's': case when x.n >= {size} then x.i + 1 when {full} then list_filter(range(h.s, x.i + 1), lambda j: c[x.i] - c[j] <= least({overlap}, {size} - x.n))[1] else h.s end,
+        'w': case when x.n >= {size} then list_append(case when h.s < x.i then {held} else h.w end, {{'a': x.i, 'b': x.i, 'open': true}}) when {full} then {held} else h.w end}}) h from {name}l{k}),
+    {name}w{k} as (select id, ord, p, unnest(w) v, unnest(range(len(w))) pos from (select id, ord, p, case when h.s <= len(p) then list_append(h.w, {{'a': h.s, 'b': len(p)::bigint, 'open': false}}) else h.w end w from {name}f{k})),
+    {name}{k + 1} as (select id, ord, text, open from {name}{k} where not open union all select id, list_append(ord, pos), {text} t, v.open from {name}w{k} where v.open or {_strip(text)} <> '')""")
+    last = f"select id, ord, {_strip('text')} t from {name}{len(split.SEPARATORS)}"
+    out.append(rf"""{name} as (select id, (row_number() over (partition by id order by ord) - 1)::int chunk_index, (count(*) over (partition by id))::int total_chunks, regexp_replace(t, '\n{{2,}}', chr(10), 'g') text from ({last}) where t <> '')""")
+    return ",\n    ".join(out)
+
+
+_FAMILY = f"""
+    with {_split_sql("select doc_id id, text from documents", 1500, 150, "p")},
+    {_split_sql("select {'doc_id': id, 'parent_index': chunk_index} id, text from p", 200, 20)}"""
+
+
+@query(f"""
+    with {_split_sql("select doc_id id, text from documents", split.SIZE, split.OVERLAP)}
+    select id doc_id, chunk_index, total_chunks, text from x""")
 def split_recursive(spark, sf_dir):
     return split.recursive(t(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-@query()
+@query(rf"""
+    with d as (select doc_id, string_split(text, chr(10)) l from documents where text <> ''),
+    f as (select doc_id, l, list_reduce(list_prepend({{'x': '', 'i': 0::bigint, 'n': -1::bigint, 'most': {split.SIZE}::bigint, 's': []::bigint[]}}, list_transform(l, lambda x, i: {{'x': x, 'i': i::bigint, 'n': 0::bigint, 'most': 0::bigint, 's': []::bigint[]}})),
+      lambda h, y: {{'x': '', 'i': y.i, 'most': case when regexp_matches({_strip("y.x")}, '^#{{1,6}}\s+.') then {2 * split.SIZE} else h.most end,
+        's': case when y.i = 1 or {_strip("y.x")} <> '' and h.n >= case when regexp_matches({_strip("y.x")}, '^#{{1,6}}\s+.') then {2 * split.SIZE} else h.most end then list_append(h.s, y.i) else h.s end,
+        'n': length(y.x) + 1 + case when y.i = 1 or {_strip("y.x")} <> '' and h.n >= case when regexp_matches({_strip("y.x")}, '^#{{1,6}}\s+.') then {2 * split.SIZE} else h.most end then -1 else h.n end}}).s s from d)
+    select doc_id, (k - 1)::int chunk_index, len(s)::int total_chunks, array_to_string(l[s[k] : coalesce(s[k + 1], len(l) + 1) - 1], chr(10)) text from f, lateral (select unnest(range(1, len(s) + 1)) k)""")
 def split_markdown(spark, sf_dir):
     return split.markdown(t(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-@query()
+@query(f"{_FAMILY} select id.doc_id doc_id, id.parent_index parent_index, chunk_index child_index, text from x")
 def split_parent_child(spark, sf_dir):
     return split.parent_child(t(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "parent_index", "child_index", "text")
 
 
-@query()
+@query(f"{_FAMILY} select p.id doc_id, p.chunk_index parent_index, p.text parent_content, count(*) child_count from p join x on x.id.doc_id = p.id and x.id.parent_index = p.chunk_index group by all")
 def parent_recovery(spark, sf_dir):
     return split.parents(split.parent_child(t(spark, sf_dir, "documents").select("doc_id", "text")))
 
