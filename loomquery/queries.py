@@ -16,7 +16,7 @@ from loomquery.operators import bm25, dedup, evaluate, fusion, ivf, knn, rewrite
 from loomquery.plans import rag
 from loomquery.plans.tables import own_dir, top, with_group_size
 from loomquery.sources import collections as K
-from loomquery.sources import loaders
+from loomquery.sources import loaders, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -90,6 +90,12 @@ def bm25_topk(spark, sf_dir):
     return bm25.search(t(spark, sf_dir, "documents"), _one(spark), 10)
 
 
+@query(_bm25_sql())
+def bm25_default_k(spark, sf_dir):
+    """Zero asks for the default number of results."""
+    return bm25.search(t(spark, sf_dir, "documents"), _one(spark), 0)
+
+
 @query(_bm25_sql(idf="okapi"))
 def bm25_okapi_topk(spark, sf_dir):
     return bm25.search(t(spark, sf_dir, "documents"), _one(spark), 10, idf_kind="okapi")
@@ -202,6 +208,12 @@ def knn_l2(spark, sf_dir):
     return knn.search(t(spark, sf_dir, "embeddings"), _vq(spark, sf_dir), metric="l2")
 
 
+@query(_knn_sql("l2"))
+def knn_alias(spark, sf_dir):
+    """A metric by another of its names, in any case."""
+    return knn.search(t(spark, sf_dir, "embeddings"), _vq(spark, sf_dir), 0, metric="Euclidean")
+
+
 @query(_knn_sql("l1"))
 def knn_l1(spark, sf_dir):
     return knn.search(t(spark, sf_dir, "embeddings"), _vq(spark, sf_dir), metric="l1")
@@ -427,6 +439,18 @@ def clean_full(spark, sf_dir):
     return t(spark, sf_dir, "documents").select("doc_id", X.clean_cjk("text").alias("text"))
 
 
+@query(f"select page_id, {_whitespace_sql("regexp_replace(html, '<[^>]+>', ' ', 'g')")} text from pages")
+def clean_documents(spark, sf_dir):
+    return X.clean_documents(t(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text")))
+
+
+@query(f"select page_id, regexp_replace(lower({_whitespace_sql("regexp_replace(html, '<[^>]+>', ' ', 'g')")}), '[0-9]+', '#', 'g') || '.' text from pages")
+def clean_custom(spark, sf_dir):
+    """Cleaners of one's own run after the others, in their order."""
+    own = [lambda c: F.regexp_replace(c, "[0-9]+", "#"), lambda c: F.concat(c, F.lit("."))]
+    return t(spark, sf_dir, "pages").select("page_id", X.clean("html", lower=True, custom=own).alias("text"))
+
+
 @query("select doc_id, lower(text) text from documents")
 def lowercase(spark, sf_dir):
     return t(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("text"))
@@ -459,6 +483,15 @@ def cjk_quotes(spark, sf_dir):
     return _cjk(spark, sf_dir).select("doc_id", X.cjk_quotes("s").alias("text"))
 
 
+_CJK_CLEAN = f"replace(replace(translate(translate(translate(regexp_replace(s, '<[^>]+>', ' ', 'g'), '「」『』“”‘’', '\"\"\'\'\'\'\"\"\'\'\'\''), '{_FULL}', '{_HALF.replace(chr(39), chr(39) * 2)}'), '（）【】《》', '()[]<>'), '——', '--'), '…', '...')"
+
+
+@query(f"select doc_id, {_whitespace_sql(_CJK_CLEAN)} text from ({_CJK})")
+def clean_cjk(spark, sf_dir):
+    """The whole cleaner for Chinese text but for NFKC, which SQL lacks."""
+    return _cjk(spark, sf_dir).select("doc_id", X.clean_cjk("s", normalize=False).alias("text"))
+
+
 @query("select doc_id, case when length(text) > 200 then substring(text, 1, 197) || '...' else text end text from documents")
 def truncate(spark, sf_dir):
     return t(spark, sf_dir, "documents").select("doc_id", X.truncate("text", 200).alias("text"))
@@ -645,6 +678,13 @@ def split_markdown(spark, sf_dir):
     return split.markdown(t(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query(f"""
+    with {_split_sql("select doc_id id, text from documents", 1500, 150)}
+    select id doc_id, chunk_index, total_chunks, text from x""")
+def split_parents(spark, sf_dir):
+    return split.recursive(t(spark, sf_dir, "documents").select("doc_id", "text"), 1500, 150)
+
+
 @query(f"{_FAMILY} select id.doc_id doc_id, id.parent_index parent_index, chunk_index child_index, text from x")
 def split_parent_child(spark, sf_dir):
     return split.parent_child(t(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "parent_index", "child_index", "text")
@@ -861,6 +901,92 @@ def kb_filter_mixed(spark, sf_dir):
     return _meta(kb.read(filters={"$and": [{"size": {"$lt": 2000}}, {"lang": ["en", 7]}]}), "lang")
 
 
+@query("select doc_id, case when lang = 'en' then source else 'second' end source, count(*) over ()::bigint total from documents")
+def kb_add(spark, sf_dir):
+    """An id that is there already stays as it is."""
+    docs = t(spark, sf_dir, "documents")
+    kb = K.Collection(spark, own_dir(spark), f"kb-{uuid.uuid4().hex}")
+    total = kb.add(_records(docs.filter("lang = 'en'"))) + kb.add(_records(docs.withColumn("source", F.lit("second"))))
+    return _meta(kb.read(), "source").withColumn("total", F.lit(total).cast("long"))
+
+
+@query("select doc_id, case when lang = 'de' then 'changed' else md5(text) end text_md5 from documents")
+def kb_update(spark, sf_dir):
+    """Records that exist are replaced, others are ignored."""
+    docs, kb = t(spark, sf_dir, "documents"), _collection(spark, sf_dir)
+    kb.update(_records(docs.filter("lang = 'de'").withColumn("text", F.lit(None).cast("string"))))
+    kb.update(_records(docs.withColumn("doc_id", -1 - F.col("doc_id"))))
+    return kb.read().select(F.col("id").cast("long").alias("doc_id"), F.coalesce(F.md5("document"), F.lit("changed")).alias("text_md5"))
+
+
+@query("""
+    select v.version, count(*) n from documents, (values (0), (1), (2), (3)) v(version) where v.version = 0 or (source <> 'src1' or source is null) and (v.version = 1 or lang <> 'de' or lang is null) group by all""")
+def kb_versions(spark, sf_dir):
+    """What older versions held, and that folding a collection into one folder changes nothing."""
+    kb = _collection(spark, sf_dir)
+    kb.delete(filters={"source": "src1"})
+    kb.delete(filters={"lang": "de"})
+    kb.compact()
+    parts = [kb.read(v).agg(F.lit(v).alias("version"), F.count("*").alias("n")) for v in kb.versions()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@query("select doc_id, case when source is null then 'lang,n_chars' else 'lang,n_chars,source' end keys from documents")
+def kb_stored_keys(spark, sf_dir):
+    """Keys without a value, and those that are never stored, go."""
+    kb = K.Collection(spark, own_dir(spark), f"kb-{uuid.uuid4().hex}")
+    more = F.map_concat("metadata", F.create_map(*[F.lit(x) for k in K.NEVER_STORED for x in (k, "1")]))
+    kb.upsert(_records(t(spark, sf_dir, "documents")).withColumn("metadata", more))
+    return kb.read().select(F.col("id").cast("long").alias("doc_id"), F.array_join(F.array_sort(F.map_keys("metadata")), ",").alias("keys"))
+
+
+@query(f"""
+    with r as ({_knn_sql(where="label >= 3 and label < 9", k=5)}) select query_id, vec_id, distance, round(1 - distance, 6) score, rank from r where round(1 - distance, 6) >= 0.4""")
+def kb_search(spark, sf_dir):
+    """A collection's own search, with a filter on typed metadata and a threshold."""
+    e = t(spark, sf_dir, "embeddings")
+    kb = K.Collection(spark, own_dir(spark), f"kb-{uuid.uuid4().hex}", columns={"label": "double"})
+    meta = F.create_map(F.lit("label"), F.col("label").cast("string"))
+    kb.add(e.select(F.lpad(F.col("vec_id").cast("string"), 15, "0").alias("id"), F.lit("").alias("document"), "embedding", meta.alias("metadata")))
+    found = kb.search(_vq(spark, sf_dir), 5, {"label": {"$gte": 3, "$lt": 9}}, 0.4)
+    return found.select("query_id", F.col("id").cast("long").alias("vec_id"), "distance", "score", "rank")
+
+
+@query("select doc_id, 'insert' change, md5(text) text_md5, 0 changed_again from documents")
+def kb_follow_stream(spark, sf_dir):
+    """A collection kept up to date by a stream of the documents; a second stream with the same texts changes nothing."""
+    from loomquery.streaming import ingest
+
+    kb, root = K.Collection(spark, own_dir(spark), f"kb-{uuid.uuid4().hex}"), f"{own_dir(spark)}/follow-{uuid.uuid4().hex}"
+    schema = t(spark, sf_dir, "documents").schema
+    read = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    stream = read.select(F.col("doc_id").cast("string").alias("id"), "text", F.lit("2024-01-01").cast("timestamp").alias("arrived"))
+    before = spark.conf.get(ingest._STORE, None)
+    try:
+        for _ in range(2):
+            ingest.follow(stream, kb, root).awaitTermination()
+    finally:
+        spark.conf.set(ingest._STORE, before) if before else spark.conf.unset(ingest._STORE)
+    change = F.try_element_at("metadata", F.lit("change")).alias("change")
+    return kb.read().select(F.col("id").cast("long").alias("doc_id"), change, F.md5("document").alias("text_md5"), F.lit(len(kb.versions()) - 1).alias("changed_again"))
+
+
+@query("select text question, '' answer, md5(text) ground_truth_context, item_id::varchar item from benchmark")
+def testset_files(spark, sf_dir):
+    """A test set written as lines and read back; keys that are missing get defaults."""
+    path = f"{own_dir(spark)}/testset-{uuid.uuid4().hex}"
+    meta = F.create_map(F.lit("item"), F.col("item_id").cast("string"))
+    sinks.testset(t(spark, sf_dir, "benchmark").select(F.col("text").alias("question"), F.md5("text").alias("ground_truth_context"), meta.alias("metadata")), path)
+    return loaders.testset(spark, path).select("question", "answer", "ground_truth_context", F.try_element_at("metadata", F.lit("item")).alias("item"))
+
+
+@query("select o_orderkey, o_orderstatus, o_totalprice::varchar o_totalprice from orders")
+def csv_export(spark, sf_dir):
+    path = f"{own_dir(spark)}/export-{uuid.uuid4().hex}"
+    sinks.csv(t(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.col("o_totalprice").cast("string")), path)
+    return spark.read.option("header", True).schema("o_orderkey long, o_orderstatus string, o_totalprice string").csv(path)
+
+
 @query("select doc_id, source, 1.0::double score from documents order by doc_id limit 1000")
 def kb_scan(spark, sf_dir):
     """The scan's own limit of 1000 records is the feature."""
