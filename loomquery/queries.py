@@ -306,6 +306,16 @@ def mean_pooling(spark, sf_dir):
     return rows.groupBy("label", (F.col("i") + 1).alias("dim")).agg(F.round(F.avg("x"), 6).alias("mean"))
 
 
+@query("""
+    select vec_id, d::int dim, round((select avg(embedding[k * 8 + d]::double) from (values (1), (2), (4), (5), (7)) v(k)), 6) mean from embeddings, (select unnest(range(1, 9)) d)""")
+def mean_pool_masked(spark, sf_dir):
+    """Each vector as eight token vectors of eight numbers, pooled where a mask lets them through."""
+    states = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.slice("embedding", k * 8 + 1, F.lit(8)))
+    mask = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: (k % 3 != 0).cast("double"))
+    pooled = t(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(V.mean_pool(states, mask)).alias("i", "x"))
+    return pooled.select("vec_id", (F.col("i") + 1).cast("int").alias("dim"), F.round("x", 6).alias("mean"))
+
+
 # Fusion, hybrid, rerank ------------------------------------------------------------------------------------
 
 # a query is a benchmark item; its vector is that of the document with its number
