@@ -1,6 +1,7 @@
 """What a query holds, hands back or shuffles stays bounded, and folders of files are read like one file."""
 
 from loomquery.operators import ivf
+from loomquery.queries import QUERIES
 
 
 def test_recall_is_held_against_brute_force(spark, sf, tmp_path, monkeypatch):
@@ -14,3 +15,11 @@ def test_recall_is_held_against_brute_force(spark, sf, tmp_path, monkeypatch):
     assert index.recall(queries) >= 0.5 and asked == [12, None]
     index.probes_for(0.9)
     assert asked == [12, None]
+
+
+def test_stream_of_a_folder_of_files(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["kb_follow_stream"](spark, str(tmp_path)).collect()
+    want = docs.selectExpr("doc_id", "md5(text)").collect()
+    assert sorted((r.doc_id, r.text_md5) for r in got) == sorted(map(tuple, want)) and {(r.change, r.changed_again) for r in got} == {("insert", 0)}
