@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 from collections import deque
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -101,22 +101,70 @@ def explode_chunks(docs: DataFrame, chunks: Column) -> DataFrame:
     return rows.select(*[c for c in docs.columns if c != "text"], "total_chunks", F.posexplode("chunks").alias("chunk_index", "text"))
 
 
-def recursive(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, separators: Sequence[str] = SEPARATORS) -> DataFrame:
+#: Characters of chunks that a task gathers before it hands them back: what it holds follows this, not the number of rows.
+HELD = 1 << 20
+
+
+def _chunked(docs: DataFrame, split: Callable[[str], list], fields: list[T.StructField], values: Callable[[list], Iterable[tuple]]) -> DataFrame:
+    """Rows of ``docs``, each once for every tuple that ``values`` makes of its text's chunks, with these as ``fields`` in place of the text.
+
+    Rows go back as soon as they hold HELD characters, in the middle of a batch or of a text.
+    """
     ship(docs.sparkSession)
-    return explode_chunks(docs, chunker(lambda t: split_recursively(t, size, overlap, separators))(F.col("text")))
+    kept = [c for c in docs.columns if c != "text"]
+    schema = T.StructType([*[docs.schema[c] for c in kept], *fields])
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            of_rows = batch.select(list(range(len(kept))))
+            texts, at, out, held = batch.column(len(kept)), [], [], 0
+
+            def made(of_rows=of_rows):
+                columns = zip(*out, strict=True)
+                types = [pa.int32() if f.dataType == T.IntegerType() else pa.string() if f.dataType == T.StringType() else pa.list_(pa.string()) for f in fields]
+                return pa.RecordBatch.from_arrays([c.take(pa.array(at)) for c in of_rows.columns] + [pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=schema.names)
+
+            for i in range(batch.num_rows):
+                text = texts[i].as_py()
+                for row in values(split(text)) if text else ():
+                    at.append(i)
+                    out.append(row)
+                    held += sum(len(v) if isinstance(v, str) else sum(map(len, v)) if isinstance(v, list) else 1 for v in row)
+                    if held >= HELD:
+                        yield made()
+                        at.clear(), out.clear()
+                        held = 0
+            if out:
+                yield made()
+
+    return docs.select(*kept, "text").mapInArrow(run, schema)
+
+
+_INDEX, _TEXT = T.StructField("chunk_index", T.IntegerType()), T.StructField("text", T.StringType())
+
+
+def _exploded(docs: DataFrame, split: Callable[[str], list[str]]) -> DataFrame:
+    """``explode_chunks`` of a function of one text."""
+    numbered = lambda chunks: ((len(chunks), i, c) for i, c in enumerate(chunks))
+    return _chunked(docs, split, [T.StructField("total_chunks", T.IntegerType()), _INDEX, _TEXT], numbered)
+
+
+def recursive(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, separators: Sequence[str] = SEPARATORS) -> DataFrame:
+    return _exploded(docs, lambda t: split_recursively(t, size, overlap, separators))
 
 
 def markdown(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    ship(docs.sparkSession)
-    return explode_chunks(docs, chunker(lambda t: split_markdown_by_size(t, size))(F.col("text")))
+    return _exploded(docs, lambda t: split_markdown_by_size(t, size))
 
 
 def parent_child(docs: DataFrame, parent: tuple[int, int] = (1500, 150), child: tuple[int, int] = (200, 20)) -> DataFrame:
     """Children of recursively split parents: parent_index, parent_content, child_index, text."""
-    ship(docs.sparkSession)
-    parents = recursive(docs, *parent).drop("total_chunks").withColumnsRenamed({"chunk_index": "parent_index", "text": "parent_content"})
-    cut = chunker(lambda t: split_recursively(t, *child))
-    return parents.select("*", F.posexplode(cut(F.col("parent_content"))).alias("child_index", "text"))
+    fields = [T.StructField("parent_index", T.IntegerType()), T.StructField("parent_content", T.StringType()), T.StructField("children", T.ArrayType(T.StringType()))]
+    family = lambda chunks: ((i, c, split_recursively(c, *child)) for i, c in enumerate(chunks))
+    cut = _chunked(docs, lambda t: split_recursively(t, *parent), fields, family)
+    return cut.select(*[c for c in cut.columns if c != "children"], F.posexplode("children").alias("child_index", "text"))
 
 
 def parents(children: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -1,6 +1,6 @@
 """What a query holds, hands back or shuffles stays bounded, and folders of files are read like one file."""
 
-from loomquery.operators import ivf
+from loomquery.operators import ivf, split
 from loomquery.queries import QUERIES
 
 
@@ -23,3 +23,18 @@ def test_stream_of_a_folder_of_files(spark, sf, tmp_path):
     got = QUERIES["kb_follow_stream"](spark, str(tmp_path)).collect()
     want = docs.selectExpr("doc_id", "md5(text)").collect()
     assert sorted((r.doc_id, r.text_md5) for r in got) == sorted(map(tuple, want)) and {(r.change, r.changed_again) for r in got} == {("insert", 0)}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_splitters_hand_back_bounded_batches(spark, sf, monkeypatch):
+    """Whatever a task gathers before it hands chunks back, the chunks are the same; no array of all chunks of a batch is made."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang", "text").limit(40)
+    made = (split.recursive, split.markdown, split.parent_child)
+    want = [sorted(map(tuple, f(docs).collect()), key=repr) for f in made]
+    monkeypatch.setattr(split, "HELD", 300, raising=False)
+    for f, rows in zip(made, want, strict=True):
+        assert sorted(map(tuple, f(docs).collect()), key=repr) == rows and len(rows) > 40
+        assert "MapInArrow" in _plan(f(docs)) and "ArrowEvalPython" not in _plan(f(docs))
