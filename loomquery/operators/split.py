@@ -169,7 +169,9 @@ def parent_child(docs: DataFrame, parent: tuple[int, int] = (1500, 150), child:
 
 def parents(children: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, parent_index, parent_content, child_count): each parent of some children once."""
-    return children.groupBy(key, "parent_index").agg(F.min("parent_content").alias("parent_content"), F.count("*").alias("child_count"))
+    # counted by hash with the text as a part of the key: a task holds each parent once, and doesn't sort a copy for each child
+    each = children.groupBy(key, "parent_index", "parent_content").agg(F.count("*").alias("n"))
+    return each.groupBy(key, "parent_index").agg(F.min("parent_content").alias("parent_content"), F.sum("n").alias("child_count"))
 
 
 def lines(docs: DataFrame) -> DataFrame:

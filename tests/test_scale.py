@@ -38,3 +38,11 @@ def test_splitters_hand_back_bounded_batches(spark, sf, monkeypatch):
     for f, rows in zip(made, want, strict=True):
         assert sorted(map(tuple, f(docs).collect()), key=repr) == rows and len(rows) > 40
         assert "MapInArrow" in _plan(f(docs)) and "ArrowEvalPython" not in _plan(f(docs))
+
+
+def test_parents_are_counted_by_hash(spark):
+    """A parent is not sorted once for each child; children of one key with other texts still count together."""
+    children = spark.createDataFrame([(1, 0, "b"), (1, 0, "a"), (1, 0, "a"), (1, 1, "c"), (None, 0, "d")], "doc_id long, parent_index int, parent_content string")
+    found = split.parents(children)
+    assert sorted(map(tuple, found.collect()), key=repr) == [(1, 0, "a", 3), (1, 1, "c", 1), (None, 0, "d", 1)]
+    assert "HashAggregate" in _plan(found).split("partial_count(1)")[0].splitlines()[-1]
