@@ -16,6 +16,10 @@ from loomquery.plans.tables import save, sized
 
 #: Vectors of a block of the similarity join.
 BLOCK = 2048
+#: Blocks of one set of vectors, unless they would have more than LARGEST rows: each row is sent once for each block.
+GRID, LARGEST = 16, 65_536
+#: Products that a task holds at a time, and how far single precision is trusted (its error on unit vectors of 64 numbers is under 1e-5).
+CELLS, MARGIN = 1 << 22, 1e-3
 
 
 def exact(docs: DataFrame, text_col: str = "text", *order: Column) -> DataFrame:
@@ -26,28 +30,46 @@ def exact(docs: DataFrame, text_col: str = "text", *order: Column) -> DataFrame:
 
 
 def _products(threshold: float):
-    """Of a pair of blocks (columns id, v, own, i, j): the pairs whose cosine similarity reaches ``threshold``."""
+    """Of a pair of blocks (columns id, v, own, i, j): the pairs whose cosine similarity reaches ``threshold``.
 
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(df["i"].iloc[0]), int(df["j"].iloc[0])
+    Products are made in single precision, CELLS at a time; what comes within MARGIN of the threshold is
+    computed again in double precision, and that decides.
+    """
+
+    def run(table):
+        import pyarrow as pa
+
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        own, ids, v = table.column("own").to_numpy(), table.column("id").to_numpy(), table.column("v").combine_chunks()
+        x = np.asarray(v.flatten()).reshape(len(v), -1)
+        found = {"id_a": [np.zeros(0, np.int64)], "id_b": [np.zeros(0, np.int64)], "similarity": [np.zeros(0)]}
         unit = {}
         for k in {i, j}:
-            part = df[df["own"] == k]
-            x = np.array(part["v"].tolist(), dtype=np.float64).reshape(len(part), -1)
-            size = np.linalg.norm(x, axis=1)
-            unit[k] = part["id"].to_numpy()[size > 0], x[size > 0] / size[size > 0, None]
+            part = x[own == k].astype(np.float64)
+            size = np.linalg.norm(part, axis=1)
+            unit[k] = ids[own == k][size > 0], part[size > 0] / size[size > 0, None]
         (ids_a, a), (ids_b, b) = unit[i], unit[j]
-        if not len(a) or not len(b):
-            return pd.DataFrame({"id_a": [], "id_b": [], "similarity": []}).astype({"id_a": "int64", "id_b": "int64"})
-        s = a @ b.T
-        p, q = np.nonzero(s >= threshold)
-        one, other = ids_a[p], ids_b[q]
-        keep = one < other if i == j else np.ones(len(p), bool)
-        return pd.DataFrame({"id_a": np.minimum(one, other)[keep], "id_b": np.maximum(one, other)[keep], "similarity": s[p, q][keep]})
+        near = b.astype(np.float32).T
+        step = max(1, CELLS // max(1, len(b)))
+        for at in range(0, len(a) if len(b) else 0, step):
+            p, q = np.nonzero(a[at : at + step].astype(np.float32) @ near >= np.float32(threshold - MARGIN))
+            for lo in range(0, len(p), CELLS // 64):
+                one, other = p[lo : lo + CELLS // 64] + at, q[lo : lo + CELLS // 64]
+                s = np.einsum("nd,nd->n", a[one], b[other])
+                keep = (s >= threshold) & ((ids_a[one] < ids_b[other]) if i == j else True)
+                one, other = ids_a[one[keep]], ids_b[other[keep]]
+                for c, values in zip(found, (np.minimum(one, other), np.maximum(one, other), s[keep]), strict=True):
+                    found[c].append(values)
+        return pa.table({c: np.concatenate(parts) for c, parts in found.items()})
 
     return run
 
 
+def _blocks(n: int, block: int) -> int:
+    """Blocks for ``n`` rows: of ``block`` rows, but no more than GRID as long as a block then has at most LARGEST."""
+    return max(1, -(-n // LARGEST), min(-(-n // block), GRID))
+
+
 def _dealt(rows: DataFrame, n: Column) -> DataFrame:
     """``rows`` (id, v) in ``n`` blocks by a hash of the id, each row once for each block that its own one meets."""
     dealt = rows.withColumn("own", F.pmod(F.xxhash64("id"), n).cast("int"))
@@ -58,14 +80,14 @@ def _dealt(rows: DataFrame, n: Column) -> DataFrame:
 def similar_pairs(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", block: int = BLOCK) -> DataFrame:
     """(id_a, id_b, similarity): all pairs with cosine similarity of at least ``threshold``, id_a < id_b.
 
-    Vectors are dealt into blocks of about ``block`` rows; each pair of blocks is one matrix product on an
-    executor that hands back the similar pairs only. A task holds two blocks, whatever the number of vectors;
-    all pairs are computed, so work grows with the square (``sketched_pairs`` is the way beyond some millions).
+    Vectors are dealt into blocks of ``block`` rows or, of more vectors than GRID blocks take, into GRID larger ones; each pair of
+    blocks is one matrix product on an executor that hands back the similar pairs only. A row is shuffled once for each block, so what is
+    shuffled grows like the vectors up to GRID * LARGEST of them; a task holds two blocks of at most LARGEST rows or so. All
+    pairs are computed, so work grows with the square (``sketched_pairs`` is the way beyond some millions). Null vectors have no pairs.
     """
     ship(vectors.sparkSession)
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
-    n = max(1, -(-rows.count() // block))
-    found = _dealt(rows, F.lit(n)).groupBy("i", "j").applyInPandas(_products(threshold), "id_a long, id_b long, similarity double")
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col("embedding").alias("v")).filter("v is not null")
+    found = _dealt(rows, F.lit(_blocks(rows.count(), block))).groupBy("i", "j").applyInArrow(_products(threshold), "id_a long, id_b long, similarity double")
     return found.select("id_a", "id_b", F.round("similarity", 6).alias("similarity"))
 
 
@@ -91,7 +113,7 @@ def sketched_pairs(vectors: DataFrame, threshold: float = 0.95, id_col: str = "v
     each = save(rows.select("id", "v", codes("v").alias("c")), "sketches").select("id", "v", F.posexplode("c").alias("sketch", "code"))
     sizes = save(each.groupBy("sketch", "code").agg(F.ceil(F.count("*") / block).alias("n")), "buckets")
     paired = _dealt(each.join(sized(sizes), ["sketch", "code"]), F.col("n"))
-    found = paired.groupBy("sketch", "code", "i", "j").applyInPandas(_products(threshold), "id_a long, id_b long, similarity double")
+    found = paired.groupBy("sketch", "code", "i", "j").applyInArrow(_products(threshold), "id_a long, id_b long, similarity double")
     return found.groupBy("id_a", "id_b").agg(F.round(F.max("similarity"), 6).alias("similarity"))
 
 

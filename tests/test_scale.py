@@ -1,6 +1,6 @@
 """What a query holds, hands back or shuffles stays bounded, and folders of files are read like one file."""
 
-from loomquery.operators import ivf, split
+from loomquery.operators import dedup, ivf, split
 from loomquery.queries import QUERIES
 
 
@@ -46,3 +46,16 @@ def test_parents_are_counted_by_hash(spark):
     found = split.parents(children)
     assert sorted(map(tuple, found.collect()), key=repr) == [(1, 0, "a", 3), (1, 1, "c", 1), (None, 0, "d", 1)]
     assert "HashAggregate" in _plan(found).split("partial_count(1)")[0].splitlines()[-1]
+
+
+def test_similar_pairs_shuffle_grows_like_the_vectors(spark, sf, monkeypatch):
+    """Ten times the vectors are sent to as many blocks, unless these would be too large; the pairs don't depend on the blocks."""
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    want = sorted(map(tuple, dedup.similar_pairs(e, 0.3).collect()))
+    monkeypatch.setattr(dedup, "GRID", 3, raising=False)
+    dealt, counts = dedup._dealt, []
+    monkeypatch.setattr(dedup, "_dealt", lambda rows, n: (counts.append(dealt(rows, n).count() / rows.count()), dealt(rows, n))[1])
+    assert sorted(map(tuple, dedup.similar_pairs(e, 0.3, block=20).collect())) == want and len(want) > 10
+    monkeypatch.setattr(dedup, "LARGEST", 100, raising=False)
+    assert sorted(map(tuple, dedup.similar_pairs(e, 0.3, block=20).collect())) == want
+    assert counts == [3, 5]
