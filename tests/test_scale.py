@@ -1,6 +1,6 @@
 """What a query holds, hands back or shuffles stays bounded, and folders of files are read like one file."""
 
-from loomquery.operators import dedup, ivf, split
+from loomquery.operators import dedup, ivf, knn, split
 from loomquery.queries import QUERIES
 
 
@@ -59,3 +59,18 @@ def test_similar_pairs_shuffle_grows_like_the_vectors(spark, sf, monkeypatch):
     monkeypatch.setattr(dedup, "LARGEST", 100, raising=False)
     assert sorted(map(tuple, dedup.similar_pairs(e, 0.3, block=20).collect())) == want
     assert counts == [3, 5]
+
+
+def test_similarity_matrix_multiplies_matrices(spark, sf, monkeypatch):
+    """Blocks meet as matrices, in bounded batches, and null vectors keep their rows."""
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").limit(70)
+    e = e.unionByName(spark.sql("select 900l vec_id, cast(null as array<float>) embedding union all select 901l, transform(sequence(1, 64), i -> if(i = 3, null, cast(i as float)))"))
+    plain = {(a.vec_id, b.vec_id): None if None in (a.embedding or [None]) + (b.embedding or [None]) else sum(x * y for x, y in zip(a.embedding, b.embedding)) for a in e.collect() for b in e.collect()}
+    size = {k[0]: v**0.5 for k, v in plain.items() if k[0] == k[1] and v is not None}
+    monkeypatch.setattr(knn, "PAIRS", 500, raising=False)
+    monkeypatch.setattr(knn, "PAIRS_BATCH", 300, raising=False)
+    monkeypatch.setattr(knn, "BLOCK", 25)
+    found = knn.similarity_matrix(e, e)
+    got = {(r.id_a, r.id_b): r.similarity for r in found.collect()}
+    assert got.keys() == plain.keys() and "MapInArrow" in _plan(found)
+    assert all((got[k] is None) if v is None else abs(got[k] - v / (size[k[0]] * size[k[1]] + 1e-8)) < 2e-6 for k, v in plain.items())
