@@ -16,6 +16,8 @@ from loomquery.plans.tables import save, sized, top
 K1, B = 1.5, 0.75
 #: Results of a query where none or zero is asked for.
 TOP_K = 10
+#: Documents, and pairs of a document and a query, that a task scores at most (about); tokens of queries up to which they are named to the tasks that cut texts.
+DOCS, PAIRS, NAMED = 65_536, 1 << 20, 10_000
 #: Stopwords that a keyword search may leave out.
 STOPWORDS = [
     "的", "了", "在", "是", "我", "有", "和", "就", "不", "人", "都", "一", "一个", "上", "也", "很", "到", "说", "要", "去", "你", "会", "着", "没有", "看", "好",
@@ -156,6 +158,9 @@ def query_tokens(queries: DataFrame, kind="words") -> DataFrame:
 def _ranked(hits: DataFrame, q: DataFrame, lexicon: DataFrame, n: int, avgdl: float, k: int, idf_kind: str = "ratio", threshold: float | None = None, k1: float = K1, b: float = B) -> DataFrame:
     weight = F.col("qtf") * idf(n, F.col("df"), idf_kind) * F.col("tf") * (k1 + 1)
     part = weight / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(float(max(avgdl, 1.0)))))
+    # a document's hits meet in one task before they are multiplied by queries, so that no sum of a pair is shuffled
+    asked = q.select("query_id").distinct().count()
+    hits = hits.repartition(max(1, -(-n // DOCS), -(-n * asked // PAIRS)), "doc_id")
     raw = hits.join(sized(lexicon.join(sized(q), "token")), "token").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score_raw")).filter("score_raw > 0")
     if threshold is not None:
         raw = save(raw, "scored")
@@ -176,6 +181,10 @@ def search(docs: DataFrame, queries: DataFrame, k: int | None = None, where: Col
     k, keep = k or TOP_K, where if where is not None else F.lit(True)
     toks = docs.select("doc_id", tokenize("text", tokenizer, stopwords).alias("tokens"), F.coalesce(keep, F.lit(False)).alias("keep")).withColumn("dl", F.size("tokens").cast("long"))
     q = query_tokens(queries, tokenizer)
+    named = [r["token"] for r in q.select("token").distinct().limit(NAMED + 1).collect()]
+    if len(named) <= NAMED:
+        # other words are dropped before a text's words are sorted and counted
+        toks = toks.withColumn("tokens", F.filter("tokens", lambda x: x.isin(named)))
     one = F.array(F.struct(F.lit(None).cast("string").alias("token"), F.lit(1).cast("long").alias("tf")))
     each = _counted(toks).select("doc_id", "dl", "keep", F.explode_outer(F.concat(one, "counts")).alias("x")).select("doc_id", "dl", "keep", "x.token", "x.tf")
     wanted = sized(q.select("token").distinct().withColumn("wanted", F.lit(True)))

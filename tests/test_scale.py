@@ -1,6 +1,8 @@
 """What a query holds, hands back or shuffles stays bounded, and folders of files are read like one file."""
 
-from loomquery.operators import dedup, ivf, knn, split
+import re
+
+from loomquery.operators import bm25, dedup, ivf, knn, split
 from loomquery.queries import QUERIES
 
 
@@ -74,3 +76,16 @@ def test_similarity_matrix_multiplies_matrices(spark, sf, monkeypatch):
     got = {(r.id_a, r.id_b): r.similarity for r in found.collect()}
     assert got.keys() == plain.keys() and "MapInArrow" in _plan(found)
     assert all((got[k] is None) if v is None else abs(got[k] - v / (size[k[0]] * size[k[1]] + 1e-8)) < 2e-6 for k, v in plain.items())
+
+
+def test_keyword_scores_meet_by_document(spark, sf, monkeypatch):
+    """Sums of a query and a document are not shuffled, and more pairs are more tasks, with the same rows."""
+    for name in ("bm25_batch", "bm25_index_search"):
+        monkeypatch.undo()
+        found = QUERIES[name](spark, sf)
+        assert not re.search(r"hashpartitioning\(query_id#\d+L?, doc_id", _plan(found))
+        want = sorted(map(tuple, found.collect()))
+        monkeypatch.setattr(bm25, "PAIRS", 20_000, raising=False)
+        monkeypatch.setattr(bm25, "NAMED", 3, raising=False)
+        again = QUERIES[name](spark, sf)
+        assert sorted(map(tuple, again.collect())) == want and "REPARTITION_BY_NUM" in _plan(again)
