@@ -2,13 +2,15 @@
 
 Every ``add`` writes one segment: its documents dealt into shards of bounded size by a hash of their id and numbered there
 in order of id, and for each token of a shard its postings in blocks of BLOCK, each with the greatest count and the least
-ratio of length to count among them, which bound what a block can add to a score under any average length.
+ratio of length to count among them, which bound what a block can add to a score under any average length. Texts are moved
+once, to the task of their shard, which cuts, counts and inverts them; nothing but the segment is written. So a batch is read
+three times (ids, lengths, texts) and must be the same each time.
 ``delete`` writes tombstones; nothing that is stored is changed. Document frequencies are sums over the segments' lexicons
 less what tombstones hide, so an addition costs its own documents only. ``merge`` rewrites segments into one, without
-the documents that are gone. Of each version a small file in ``log`` names segments and tombstones: readers never see half a
+the documents that are gone: whole shards meet in new ones, and their blocks are moved once, with new numbers. Of each version a small file in ``log`` names segments and tombstones: readers never see half a
 write, and of two writers of one version the second fails.
 
-``search`` gives the rows of ``bm25.search``. The queries' tokens choose blocks where they are stored (files are sorted by
+``search`` gives the rows of ``bm25.search``. The queries' tokens choose blocks where they are stored (each file is sorted by
 token); a shard's blocks meet in one task of bounded size. There, token by token from the greatest bound down, a block is read
 only if some document of its range could still reach the k-th best score with all that later tokens can add; as rare tokens weigh most,
 most blocks of common ones are passed by. Nothing is lost: a document that is passed by can't be among the best.
@@ -34,7 +36,9 @@ from loomquery.plans.ship import ship
 from loomquery.plans.tables import save, sized, top
 
 #: Documents of a shard, postings of a block, queries that a group scores together.
-SHARD, BLOCK, QUERIES = 32_768, 64, 512
+SHARD, BLOCK, QUERIES = 8192, 64, 512
+#: Numbers of documents, gone ones included, that shards which meet in one by a merge have at most, in SHARDs.
+SPAN = 16
 #: Tokens up to which a search names them to the scan.
 NAMED = 2000
 #: Scores this near count as equal: they are rounded to six places.
@@ -99,35 +103,43 @@ class SegmentedIndex:
         docs, gone = self._read("docs", names), self._read("gone")
         return docs if docs is None or gone is None else docs.join(sized(gone.select("seg", "shard", "ord")), ["seg", "shard", "ord"], "left_anti")
 
-    def _write(self, counted: DataFrame) -> tuple[str, dict]:
-        """A segment of (doc_id, dl, counts): its name, and what it holds."""
-        name = f"{(self._versions() or [-1])[-1] + 1:010d}-{uuid.uuid4().hex}"
-        total = counted.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("words")).first()
-        shards = max(1, -(-total["n"] // SHARD))
-        placed = counted.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))
-        placed = save(placed.withColumn("ord", F.row_number().over(Window.partitionBy("shard").orderBy("doc_id")) - 1), "placed")
-        placed.select("shard", F.col("ord").cast("int").alias("ord"), "doc_id", F.col("dl").cast("int").alias("dl")).write.parquet(f"{self.path}/docs/seg={name}")
-        each = placed.select("shard", "ord", "dl", F.explode_outer("counts").alias("x")).filter("x is not null")
-        posting = F.struct(F.col("ord").cast("int").alias("ord"), F.col("x.tf").cast("int").alias("tf"), F.col("dl").cast("int").alias("dl"))
-        lists = save(each.groupBy("shard", F.col("x.token").alias("token")).agg(F.sort_array(F.collect_list(posting)).alias("ps")), "lists")
+    def _name(self) -> str:
+        return f"{(self._versions() or [-1])[-1] + 1:010d}-{uuid.uuid4().hex}"
+
+    def _write(self, docs: DataFrame, lists: DataFrame) -> tuple[str, dict]:
+        """A segment of documents (shard, ord, doc_id, dl) and lists (shard, token, ps), a shard in one task: its name, and what it holds."""
+        name = self._name()
+        docs.select("shard", F.col("ord").cast("int").alias("ord"), "doc_id", F.col("dl").cast("int").alias("dl")).write.parquet(f"{self.path}/docs/seg={name}")
         blocks = lists.select("shard", "token", F.explode(F.expr(_BLOCKS)).alias("b")).select("shard", "token", "b.block", F.col("b.ps").alias("ps"))
         lo, hi = F.col("ps")[0]["ord"].alias("lo"), F.element_at("ps", -1)["ord"].alias("hi")
         most, least = F.array_max("ps.tf").alias("most"), F.array_min(F.transform("ps", lambda p: p["dl"] / p["tf"])).alias("least")
         told = blocks.select("shard", "token", "block", lo, hi, most, least, "ps")
-        told.repartitionByRange("token", "shard").sortWithinPartitions("token", "shard", "block").write.parquet(f"{self.path}/blocks/seg={name}")
-        df = lists.groupBy("token").agg(F.sum(F.size("ps")).alias("df"))
-        df.repartitionByRange("token").sortWithinPartitions("token").write.parquet(f"{self.path}/lexicon/seg={name}")
+        told.sortWithinPartitions("token", "shard", "block").write.parquet(f"{self.path}/blocks/seg={name}")
+        df = self._read("blocks", [name]).groupBy("token").agg(F.sum(F.size("ps.ord")).alias("df"))
+        df.sortWithinPartitions("token").write.parquet(f"{self.path}/lexicon/seg={name}")
+        total = self._read("docs", [name]).agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("words")).first()
         return name, {"n": total["n"], "words": total["words"]}
 
     def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> int:
         """A segment of new documents, in place of those that have their ids; the number added."""
-        rows = top(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null"), 1, ["doc_id"], F.col("text"), rank="_n")
-        toks = rows.select("doc_id", bm25.tokenize("text", self.tokenizer, self.stopwords).alias("tokens"))
-        counted = save(bm25._counted(toks).select("doc_id", F.size("tokens").alias("dl"), "counts"), "counted")
-        gone = self._bury(counted.select("doc_id"))
-        name, holds = self._write(counted)
+        rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
+        ids = save(rows.groupBy("doc_id").agg(F.count("*").alias("n")), "ids")
+        n, repeated = ids.agg(F.count("*"), F.count_if(F.col("n") > 1)).first()
+        if repeated:
+            # only texts of ids that come again are compared
+            again = sized(ids.filter("n > 1").select("doc_id"))
+            rows = rows.join(again, "doc_id", "left_anti").unionByName(top(rows.join(again, "doc_id", "left_semi"), 1, ["doc_id"], F.col("text"), rank="_n").drop("_n"))
+        gone = self._bury(ids.select("doc_id"))
+        shards, tokens = max(1, -(-n // SHARD)), bm25.tokenize("text", self.tokenizer, self.stopwords)
+        dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))
+        ord_ = F.row_number().over(Window.partitionBy("shard").orderBy("doc_id")) - 1
+        placed = dealt.repartitionById(shards, F.col("shard")).withColumn("ord", ord_).select("shard", "ord", tokens.alias("tokens"))
+        each = bm25._counted(placed).select("shard", "ord", F.size("tokens").alias("dl"), F.explode_outer("counts").alias("x")).filter("x is not null")
+        posting = F.struct(F.col("ord").cast("int").alias("ord"), F.col("x.tf").cast("int").alias("tf"), F.col("dl").cast("int").alias("dl"))
+        lists = each.groupBy("shard", F.col("x.token").alias("token")).agg(F.sort_array(F.collect_list(posting)).alias("ps"))
+        name, holds = self._write(dealt.select("shard", "doc_id", F.size(tokens).alias("dl")).withColumn("ord", ord_), lists)
         about = self.about()
-        about["id"] = counted.schema["doc_id"].dataType.simpleString()
+        about["id"] = rows.schema["doc_id"].dataType.simpleString()
         about["segments"][name] = holds
         about["gone"] |= gone
         self._commit(about)
@@ -142,7 +154,7 @@ class SegmentedIndex:
         total = found.agg(F.count("*").alias("n"), F.sum("dl").alias("words")).first()
         if not total["n"]:
             return {}
-        name = f"{(self._versions() or [-1])[-1] + 1:010d}-{uuid.uuid4().hex}"
+        name = self._name()
         found.write.parquet(f"{self.path}/gone/at={name}")
         return {name: {"n": total["n"], "words": total["words"]}}
 
@@ -164,12 +176,7 @@ class SegmentedIndex:
         names = [n for n, x in about["segments"].items() if below is None or x["n"] < below]
         if len(names) < 2 and not (names and about["gone"]):
             return 0
-        key = ["seg", "shard", "ord"]
-        docs = self._live(names).select(*key, "doc_id", "dl")
-        each = self._read("blocks", names).select("seg", "shard", "token", F.explode("ps").alias("p")).select("seg", "shard", "p.ord", F.struct("token", F.col("p.tf").cast("long").alias("tf")).alias("x"))
-        counts = each.groupBy(*key).agg(F.collect_list("x").alias("counts"))
-        counted = save(docs.join(counts, key, "left").select("doc_id", "dl", "counts"), "merged")
-        name, holds = self._write(counted)
+        name, holds = self._write(*self._moved(names))
         rest = {n: x for n, x in about["segments"].items() if n not in names}
         gone = {}
         if rest and about["gone"]:
@@ -181,6 +188,32 @@ class SegmentedIndex:
         self._commit({**about, "segments": rest | {name: holds}, "gone": gone})
         return len(names)
 
+    def _moved(self, names: list[str]) -> tuple[DataFrame, DataFrame]:
+        """What is live in these segments, as documents and lists of new shards. Each of the old shards goes to one of them."""
+        docs, gone = self._read("docs", names), self._read("gone")
+        dead = F.lit(None).cast("boolean")
+        if gone is not None:
+            docs, dead = docs.join(sized(gone.select("seg", "shard", "ord", F.lit(True).alias("dead"))), ["seg", "shard", "ord"], "left"), F.col("dead")
+        docs = docs.withColumn("dead", F.coalesce(dead, F.lit(False)))
+        sizes = docs.groupBy("seg", "shard").agg(F.count_if(~F.col("dead")).alias("n"), (F.max("ord") + 1).alias("span")).filter("n > 0").orderBy("seg", "shard").collect()
+        moves, to, held, base = [], 0, 0, 0
+        for x in sizes:
+            if held and (held + x["n"] > SHARD or base + x["span"] > SPAN * SHARD):
+                to, held, base = to + 1, 0, 0
+            moves.append((x["seg"], x["shard"], to, base))
+            held, base = held + x["n"], base + x["span"]
+        moves = sized(self.spark.createDataFrame(moves, "seg string, shard int, to int, base int"))
+        # of a document, its place among all of its new shard's old numbers, and its new number (null if it is gone)
+        number = F.row_number().over(Window.partitionBy("to", "dead").orderBy("doc_id")) - 1
+        placed = docs.join(moves, ["seg", "shard"]).select("to", (F.col("base") + F.col("ord")).alias("place"), F.when(~F.col("dead"), number).alias("ord"), "doc_id", "dl")
+        placed = save(placed, "placed")
+        numbers = placed.groupBy("to").agg(F.sort_array(F.collect_list(F.struct("place", "ord")))["ord"].alias("numbers"))
+        blocks = self._read("blocks", names).join(moves, ["seg", "shard"]).select("to", "token", "base", "ps").join(numbers, "to")
+        kept = F.filter(F.transform("ps", lambda p: F.struct(F.get("numbers", F.col("base") + p["ord"]).alias("ord"), p["tf"].alias("tf"), p["dl"].alias("dl"))), lambda p: p["ord"].isNotNull())
+        parts = blocks.select(F.col("to").alias("shard"), "token", kept.alias("ps")).filter(F.size("ps") > 0)
+        lists = parts.groupBy("shard", "token").agg(F.sort_array(F.flatten(F.collect_list("ps"))).alias("ps"))
+        return placed.filter("ord is not null").select(F.col("to").alias("shard"), "ord", "doc_id", "dl"), lists
+
     def clear(self) -> bool:
         p, fs = self._fs()
         return fs.delete(p, True)

@@ -512,6 +512,35 @@ def test_segments_equal_a_fresh_build(spark, tmp_path, monkeypatch):
     assert index.clear() and not index.about()["segments"]
 
 
+def test_segments_move_texts_once(spark, tmp_path, monkeypatch):
+    """Neither an addition nor a merge writes or shuffles anything of the size of texts or postings twice; repeated ids, dead shards and shards that meet."""
+    monkeypatch.setattr(segments, "SHARD", 10)
+    monkeypatch.setattr(segments, "SPAN", 2)
+    written, save = [], segments.save
+    monkeypatch.setattr(segments, "save", lambda df, name="table", **rest: written.append(df.dtypes) or save(df, name, **rest))
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    index, state = segments.SegmentedIndex(spark, str(tmp_path / "ix")), {}
+    for part in range(4):
+        new = {i: f"w{i % 9} w{i % 4} both" for i in range(part * 20, part * 20 + 27)}
+        assert index.add(frame([*new.items(), (part * 20, "zz later"), (part * 20 + 1, None), (part * 20 + 1, "zz")])) == 27
+        state |= new | {part * 20 + 1: None}
+    assert index.delete(frame([(i, "") for i in range(30, 70)])) == 40
+    state = {i: t for i, t in state.items() if not 30 <= i < 70}
+
+    def agrees():
+        docs, queries = frame(list(state.items())), frame([(1, "w3 both"), (2, "w0 w8 zz")]).toDF("query_id", "query")
+        assert _same(index.lexicon(), bm25.Index.build(docs).lexicon) and _same(index.search(queries, 6, "okapi"), bm25.search(docs, queries, 6, idf_kind="okapi"))
+
+    agrees()
+    assert index.merge() == 4 and not index.about()["gone"]
+    agrees()
+    shards = index._read("docs").groupBy("shard").agg(F.count("*").alias("n"), F.max("ord").alias("last")).collect()
+    assert all(r["n"] == r["last"] + 1 for r in shards) and len(shards) < len(state)
+    assert index.delete(frame([(i, "") for i in state])) == len(state) and index.merge() == 1 and index.totals()[0] == 0 and index.lexicon().count() == 0
+    moves = [d for d in written if {"text", "tokens", "counts", "ps"} & {c for c, _ in d}]
+    assert written and not moves
+
+
 def test_less_than_half_of_the_blocks_are_read(spark, sf, tmp_path):
     """At sf0.1, for whole benchmark texts; and only the files' parts that hold the queries' tokens."""
     where = sf.replace("0.001", "0.1")
