@@ -5,12 +5,19 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable, Iterable
 from functools import reduce
+from itertools import pairwise
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomquery.plans.ship import ship
+
+#: Bytes of texts that are Python strings at a time (a longer text by itself).
+PIECE = 1 << 20
 #: Control, zero-width, line-separator and byte-order characters.
 SPECIAL = "[\\x00-\\x1f\\x7f-\\x9f\\u200b-\\u200f\\u2028-\\u202f\\ufeff]"
 #: CJK quotes and punctuation and what stands for them.
@@ -34,13 +41,24 @@ def strip(c: str | Column) -> Column:
     return F.regexp_replace(_c(c), r"^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$", "")
 
 
-@F.pandas_udf(T.StringType())
-def _nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+def _pieces(s: pa.Array) -> list[pa.Array]:
+    """``s`` in slices of about PIECE bytes."""
+    turn = np.cumsum(pc.fill_null(pc.binary_length(s), 0).to_numpy(zero_copy_only=False), dtype=np.int64) // PIECE
+    return [s.slice(a, b - a) for a, b in pairwise([0, *(np.flatnonzero(np.diff(turn)) + 1).tolist(), len(s)])]
+
+
+@F.arrow_udf(T.StringType())
+def _nfkc(s: pa.Array) -> pa.Array:
+    normal = lambda t: None if t is None else unicodedata.normalize("NFKC", t)
+    return pa.concat_arrays([pa.array([normal(t) for t in x.to_pylist()], pa.string()) for x in _pieces(s)])
 
 
 def nfkc(c: str | Column) -> Column:
-    """Unicode NFKC. ASCII texts don't reach Python: the function gets null for them."""
+    """Unicode NFKC. ASCII texts don't reach Python: the function gets null for them.
+
+    A worker holds an Arrow batch of bounded bytes and its result, and of it a PIECE at a time as strings.
+    """
+    ship(SparkSession.active())
     c = _c(c)
     return F.coalesce(_nfkc(F.when(c.rlike("[^\\x00-\\x7F]"), c)), c)
 

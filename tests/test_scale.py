@@ -89,3 +89,22 @@ def test_keyword_scores_meet_by_document(spark, sf, monkeypatch):
         monkeypatch.setattr(bm25, "NAMED", 3, raising=False)
         again = QUERIES[name](spark, sf)
         assert sorted(map(tuple, again.collect())) == want and "REPARTITION_BY_NUM" in _plan(again)
+
+
+def test_nfkc_takes_bounded_pieces(spark):
+    """A worker holds about a megabyte of texts as strings, whatever the number of rows or the length of each."""
+    import unicodedata
+
+    import pyarrow as pa
+
+    from loomquery.functions import text as X
+
+    texts = [None, "", "ﬁ①Ａ", "e\u0301" * 700_000, *["ﾊﾞ ü"] * 400_000, None, "x"]
+    pieces = X._pieces(pa.array(texts))
+    longest = max(len(t.encode()) for t in texts if t)
+    assert sum((p.to_pylist() for p in pieces), []) == texts and max(sum(len(t.encode()) for t in p.to_pylist() if t) for p in pieces) < X.PIECE + longest and len(pieces) > 4
+    assert X._pieces(pa.array([], pa.string()))[0].to_pylist() == [] and X._pieces(pa.array([None], pa.string()))[0].to_pylist() == [None]
+    few = list(enumerate([*texts[:4], *texts[-3:]]))
+    got = spark.createDataFrame(few, "i int, t string").select("i", X.nfkc("t").alias("t")).collect()
+    assert dict(map(tuple, got)) == {i: t and unicodedata.normalize("NFKC", t) for i, t in few}
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 16 << 20
