@@ -55,7 +55,7 @@ def rrf(legs: dict[str, DataFrame], weights: dict[str, float] | None = None, k:
 
 
 def hybrid(semantic: DataFrame | None, keyword: DataFrame | None, k: int = 5, weights: tuple[float, float] = (0.7, 0.3), rerank: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Fuse two legs to 2k, rerank if asked, cut to k. A single leg is passed on as it is.
+    """Fuse two legs to 2k, rerank if asked, cut to k. A single leg is passed on as it is, in its own order: its scores may be rounded.
 
     A leg without rows for a query leaves that query to the other leg alone, score included.
     """
@@ -64,6 +64,8 @@ def hybrid(semantic: DataFrame | None, keyword: DataFrame | None, k: int = 5, we
         raise ValueError("a hybrid search needs a leg")
     if len(legs) == 1:
         fused = next(iter(legs.values())).select("query_id", "doc_id", "score", "rank")
+        if not rerank:
+            return top_k(fused, k)
     else:
         fused = rrf(legs, {"semantic": weights[0], "keyword": weights[1]}, limit=2 * k, lone_scores=True)
     ranked = rerank(fused) if rerank else fused

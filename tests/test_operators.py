@@ -208,6 +208,17 @@ def test_fusion_contracts(spark):
     assert {r["score"] for r in equal.collect()} == {0.4}
 
 
+def test_hybrid_keeps_the_order_of_a_single_leg(spark):
+    """Scores that rounding made equal are not ordered anew, in the middle or at the cut."""
+    leg = spark.createDataFrame([(1, 9, 1.0, 1), (1, 8, 0.63756, 2), (1, 3, 0.63756, 3), (1, 2, 0.63756, 4)], "query_id long, doc_id long, score double, rank int")
+    want = [(9, 1.0, 1), (8, 0.63756, 2), (3, 0.63756, 3)]
+    for found in (fusion.hybrid(None, leg, 3), fusion.hybrid(leg, None, 3), fusion.Hybrid(None, lambda queries, k: leg).search(leg, 3)):
+        assert found.columns == ["query_id", "doc_id", "score", "rank"]
+        assert [tuple(r)[1:] for r in found.orderBy("rank").collect()] == want
+    turned = fusion.hybrid(None, leg, 1, rerank=lambda df: df.withColumn("score", -F.col("score")))
+    assert [tuple(r)[1:] for r in turned.collect()] == [(2, -0.63756, 1)]
+
+
 def test_rewriting_with_a_client(spark):
     class Client:
         def invoke(self, prompt):
