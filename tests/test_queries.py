@@ -35,6 +35,19 @@ def test_equals_duckdb(spark, duck, sf, name):
     assert _rows(sorted(got.column_names), got) == _rows(sorted(got.column_names), want)
 
 
+def test_single_leg_of_scores_that_round_to_the_same(spark, tmp_path):
+    """Document 1 is a word longer than document 2: its raw score is lower, its score of six digits is the same."""
+    c = duckdb.connect()
+    text = "case doc_id when 1 then repeat('rare ', 20000) || 'more' when 2 then repeat('rare ', 20000) else 'common' end"
+    c.execute(f"create table documents as select range doc_id, {text} as text from range(1, 63)")
+    c.execute("create table benchmark as select 0::bigint item_id, 'rare' as text")
+    for t in ("documents", "benchmark"):
+        c.execute(f"copy {t} to '{tmp_path}/{t}.parquet'")
+    got = QUERIES["hybrid_single_leg"](spark, str(tmp_path)).select("query_id", "doc_id", "score", "rank").orderBy("rank").collect()
+    want = c.execute(f"select query_id, doc_id, score, rank from ({ORACLES['hybrid_single_leg']}) order by rank").fetchall()
+    assert [tuple(r) for r in got] == want == [(0, 2, 1.0, 1), (0, 1, 1.0, 2)]
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(QUERIES) <= set(__spark_entry__.queries()) and set(ORACLES) <= set(__spark_entry__.oracle_sql())
